@@ -1,11 +1,14 @@
-"""The catalogue of analytics queries and their SQL."""
+"""All analytics queries by name, and their SQL."""
 
 from __future__ import annotations
 
+from caravel.plans import domain, relational, rollups, scalars  # noqa: F401  they register their queries
+from caravel.plans.registry import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
