@@ -1,10 +1,12 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Document labels become token labels: a word is toxic where it stands in clearly more
-different contexts of toxic documents than of clean ones (contexts, so that copies of
-one document count once). Two-state chains over windows of a text's words learn from
-these; forward-backward gives each token's marginal. A document's marginals (their sum,
-maximum and mean) are turned into a probability of label 1 by a logistic regression.
+Document labels become token labels: in a toxic document, a word is toxic if it, or the
+beginning it shares with others, stands in clearly more different contexts of toxic
+documents than of clean ones (contexts, so that copies of one document count once).
+Two-state chains over windows of a text's words learn from these; forward-backward gives
+each token's marginal. A document's marginals (their sum, maximum and mean) are turned
+into a probability of label 1 by a logistic regression, fitted on documents that the
+chain it sees has not learned from.
 
 Only the fit is bounded, by `fit_docs` and `fit_chars`: it runs on the driver over that
 sample. Scoring covers every word of every text, window by window, where the rows are.
@@ -26,23 +28,33 @@ from caravel.llm.shared import rows_per_batch
 
 WORD = re.compile(r"\w+")
 BITS = 17
-#: Words in one chain.
+SIZE = 1 << BITS
+#: Letters of a word's beginning; shorter words have none of their own.
+STEM = 5
+#: Words in one chain, and chains that are computed at once.
 WINDOW = 256
-FIT_DOCS = 4000
-FIT_CHARS = 12_000_000
-#: A word is toxic evidence from so many contexts, so many times likelier than in clean ones.
+CHAINS = 1024
+FIT_DOCS = 6000
+FIT_CHARS = 18_000_000
+#: A word or beginning is toxic evidence from so many contexts, so many times likelier
+#: than in clean documents.
 CONTEXTS, TIMES = 5, 20.0
-#: Words whose number is kept by a worker.
+STEM_CONTEXTS, STEM_TIMES = 20, 8.0
+#: Words whose numbers are kept by a worker.
 MEMORY = 500_000
 
 
 class Numbers(dict):
-    """word -> number in 1..2^BITS-1 of its lower case; 0 stands for no word."""
+    """word -> numbers in 1..2^BITS-1 of its lower case and of its beginning, as one; 0
+    stands for no word and for no beginning.
+    """
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        value = self[word] = 1 + zlib.crc32(word.lower().encode()) % ((1 << BITS) - 1)
+        low = word.lower()
+        of = lambda x: 1 + zlib.crc32(x.encode()) % (SIZE - 1)
+        value = self[word] = of(low) | (of(low[:STEM]) if len(low) > STEM else 0) << BITS
         return value
 
 
@@ -56,36 +68,40 @@ def windows(texts: Iterable[str], width: int = WINDOW) -> tuple[np.ndarray, np.n
         found = WORD.findall(text)
         n = -(-len(found) // width)
         if n:
-            row = np.zeros(n * width, np.int32)
-            row[: len(found)] = np.fromiter(map(get, found), np.int32, len(found))
+            row = np.zeros(n * width, np.int64)
+            row[: len(found)] = np.fromiter(map(get, found), np.int64, len(found))
             rows.append(row.reshape(n, width))
             owners += [d] * n
-    return (np.concatenate(rows) if rows else np.zeros((0, width), np.int32)), np.array(owners, np.int64)
+    return (np.concatenate(rows) if rows else np.zeros((0, width), np.int64)), np.array(owners, np.int64)
 
 
 @dataclass
 class Chain:
-    """Log-odds of the state toxic from the word, the words beside it and the state before."""
+    """Log-odds of the state toxic from the word, its beginning, the words beside it and
+    the state before.
+    """
 
     word: np.ndarray
+    stem: np.ndarray
     before: np.ndarray
     after: np.ndarray
     bias: float
     moves: np.ndarray  # [from, to], log
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        e = self.word[ids] + self.bias
+    def emissions(self, both: np.ndarray) -> np.ndarray:
+        ids, stems = both & (SIZE - 1), both >> BITS
+        e = self.word[ids] + self.stem[stems] + self.bias
         e[:, 1:] += self.before[ids[:, :-1]]
         e[:, :-1] += self.after[ids[:, 1:]]
         return e
 
-    def marginals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(toxic) of each word (0 where there is none), and the forward and backward
-        ratios of the two states. Empty places at a row's end change nothing before them:
-        they carry the backward ratio 1.
+    def marginals(self, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """P(toxic) of each word (0 where there is none), the forward and backward ratios
+        of the two states, and the words' own odds. Empty places at a row's end change
+        nothing before them: they carry the backward ratio 1.
         """
-        x = np.exp(np.clip(self.emissions(ids), -30, 30)).T.copy()
-        there = (ids != 0).T
+        x = np.exp(np.clip(self.emissions(both), -30, 30)).T.copy()
+        there = (both != 0).T
         t = np.exp(self.moves)
         ahead, back = np.empty_like(x), np.ones_like(x)
         if len(x):
@@ -97,60 +113,77 @@ class Chain:
             r = x[i + 1] * back[i + 1]
             back[i] = np.where(there[i + 1], (t[1, 0] + r * t[1, 1]) / (t[0, 0] + r * t[0, 1]), 1.0)
         odds = ahead * back
-        return np.where(there, odds / (1 + odds), 0.0).T, ahead, back
+        return np.where(there, odds / (1 + odds), 0.0).T, ahead, back, x
+
+
+class Adam:
+    def __init__(self, shape: int | tuple[int, ...], pace: float):
+        self.first, self.second, self.pace, self.step = np.zeros(shape), np.zeros(shape), pace, 0
 
+    def __call__(self, gradient: np.ndarray) -> np.ndarray:
+        self.step += 1
+        self.first = 0.9 * self.first + 0.1 * gradient
+        self.second = 0.999 * self.second + 0.001 * gradient**2
+        return self.pace * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-7)
 
-def fit_chain(ids: np.ndarray, truth: np.ndarray, rounds: int = 40, penalty: float = 1e-6) -> Chain:
-    """Full-batch Adam on the chains' log-likelihood; its gradient is what was seen less
-    what the marginals expect.
+
+def fit_chain(both: np.ndarray, truth: np.ndarray, rounds: int = 40, penalty: float = 1e-6) -> Chain:
+    """Adam on the likelihood of all chains at once; its gradient is what was seen less
+    what the marginals expect. It is summed over `CHAINS` chains at a time, so that the
+    memory needed is theirs, not the sample's.
     """
-    size, there = 1 << BITS, ids != 0
-    n = max(1, int(there.sum()))
+    n = max(1, int((both != 0).sum()))
     rate = (truth.sum() + 1) / (n + 2)
-    chain = Chain(np.zeros(size), np.zeros(size), np.zeros(size), float(np.log(rate / (1 - rate))), np.zeros((2, 2)))
-    params = [chain.word, chain.before, chain.after]
-    first, second = [np.zeros(size) for _ in params], [np.zeros(size) for _ in params]
-    pair_there = there[:, 1:]
-    seen = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = (pair_there & (truth[:, :-1] == a) & (truth[:, 1:] == b)).sum()
-    moves = [np.zeros((2, 2)), np.zeros((2, 2))]
-    for step in range(1, rounds + 1):
-        p, ahead, back = chain.marginals(ids)
-        gap = np.where(there, truth - p, 0.0)
-        count = lambda at, w: np.bincount(at.ravel(), w.ravel(), size)
-        grads = [count(ids, gap), count(ids[:, :-1], gap[:, 1:]), count(ids[:, 1:], gap[:, :-1])]
-        x, t = np.exp(np.clip(chain.emissions(ids), -30, 30)), np.exp(chain.moves)
-        r, right = ahead.T[:, :-1], x[:, 1:] * back.T[:, 1:]
-        joint = np.stack([np.full_like(r, t[0, 0]), t[0, 1] * right, t[1, 0] * r, t[1, 1] * r * right])
-        joint = joint / joint.sum(axis=0) * pair_there
-        move_gap = (seen - joint.sum(axis=(1, 2)).reshape(2, 2)) / n
-        for k, (w, g) in enumerate(zip(params, grads)):
-            g = g / n - penalty * w
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            w += 0.3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
-        moves[0] = 0.9 * moves[0] + 0.1 * move_gap
-        moves[1] = 0.999 * moves[1] + 0.001 * move_gap**2
-        chain.moves = chain.moves + 0.05 * (moves[0] / (1 - 0.9**step)) / (np.sqrt(moves[1] / (1 - 0.999**step)) + 1e-7)
+    chain = Chain(*(np.zeros(SIZE) for _ in range(4)), float(np.log(rate / (1 - rate))), np.zeros((2, 2)))
+    params = [chain.word, chain.stem, chain.before, chain.after]
+    paces, move_pace = [Adam(SIZE, 0.3) for _ in params], Adam((2, 2), 0.05)
+    for _ in range(rounds):
+        grads, move_gap = [np.zeros(SIZE) for _ in params], np.zeros((2, 2))
+        for at in range(0, len(both), CHAINS):
+            own, is_toxic = both[at : at + CHAINS], truth[at : at + CHAINS]
+            ids, stems = own & (SIZE - 1), own >> BITS
+            there = own != 0
+            p, ahead, back, x = chain.marginals(own)
+            gap = np.where(there, is_toxic - p, 0.0)
+            places = [(ids, gap), (stems, gap), (ids[:, :-1], gap[:, 1:]), (ids[:, 1:], gap[:, :-1])]
+            for g, (i, w) in zip(grads, places):
+                g += np.bincount(i.ravel(), w.ravel(), SIZE)
+            t, r, right = np.exp(chain.moves), ahead[:-1], x[1:] * back[1:]
+            joint = np.stack([np.full_like(r, t[0, 0]), t[0, 1] * right, t[1, 0] * r, t[1, 1] * r * right])
+            pair = there[:, 1:]
+            joint = joint / joint.sum(axis=0) * pair.T
+            seen = [(pair & (is_toxic[:, :-1] == a) & (is_toxic[:, 1:] == b)).sum() for a in (0, 1) for b in (0, 1)]
+            move_gap += np.reshape(seen, (2, 2)) - joint.sum(axis=(1, 2)).reshape(2, 2)
+        grads[1][0] = 0.0
+        for w, g, pace in zip(params, grads, paces):
+            w += pace(g / n - penalty * w)
+        chain.moves = chain.moves + move_pace(move_gap / n)
     return chain
 
 
-def toxic_words(ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Numbers of the words that stand in many more contexts of toxic documents."""
-    size = 1 << BITS
+def evidence(both: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word number, and each number of a beginning, stands in many more
+    contexts of toxic documents.
+    """
+    ids, there = both & (SIZE - 1), both != 0
     sides = np.pad(ids, ((0, 0), (1, 1)))
-    there = ids != 0
-    context = (sides[:, :-2].astype(np.int64) << BITS | sides[:, 2:])[there]
-    word, label = ids[there].astype(np.int64), np.broadcast_to(toxic[:, None], ids.shape)[there]
-    counts = []
-    for side in (True, False):
-        pairs = np.unique(word[label == side] << 2 * BITS | context[label == side])
-        counts.append(np.bincount(pairs >> 2 * BITS, minlength=size))
-    a, b = counts
-    ratio = ((a + 0.5) / (a.sum() + 1)) / ((b + 0.5) / (b.sum() + 1))
-    return np.flatnonzero((a >= CONTEXTS) & (ratio >= TIMES))
+    context = (sides[:, :-2] << BITS | sides[:, 2:])[there]
+    label = np.broadcast_to(toxic[:, None], both.shape)[there]
+    found = []
+    for of, contexts, times in ((ids[there], CONTEXTS, TIMES), ((both >> BITS)[there], STEM_CONTEXTS, STEM_TIMES)):
+        a, b = (np.bincount(np.unique(of[label == side] << 2 * BITS | context[label == side]) >> 2 * BITS, minlength=SIZE) for side in (True, False))
+        ratio = ((a + 0.5) / (a.sum() + 1)) / ((b + 0.5) / (b.sum() + 1))
+        found.append((a >= contexts) & (ratio >= times))
+    found[1][0] = False
+    return found[0], found[1]
+
+
+def chain_of(texts: list[str], toxic: np.ndarray) -> Chain:
+    both, owners = windows(texts)
+    of_row = toxic[owners]
+    words, stems = evidence(both, of_row)
+    truth = (words[both & (SIZE - 1)] | stems[both >> BITS]) & of_row[:, None] & (both != 0)
+    return fit_chain(both, truth.astype(np.float32))
 
 
 @dataclass
@@ -165,8 +198,8 @@ class Model:
         found: list[list[tuple[int, float]]] = [[] for _ in texts]
         if self.chain is not None:
             ids, owners = windows(texts)
-            for at in range(0, len(ids), 4096):
-                own, of = ids[at : at + 4096], owners[at : at + 4096]
+            for at in range(0, len(ids), CHAINS):
+                own, of = ids[at : at + CHAINS], owners[at : at + CHAINS]
                 p = self.chain.marginals(own)[0]
                 np.add.at(sums, of, p.sum(axis=1))
                 np.maximum.at(most, of, p.max(axis=1))
@@ -182,26 +215,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(marks @ self.weights, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
+    w, total = np.zeros(x.shape[1]), weight.sum()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) / len(x) - penalty * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x / total + penalty * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (y - p)) / total - penalty * w)
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
-    """Fits on about `fit_docs` labelled documents, chosen by a hash of doc_id, and about
-    `fit_chars` characters of their windows. `usable` says which rows of `labels` may be
-    learned from. Of repeated labels the larger holds; nulls are left out. Without both
-    labels every document gets the rate of label 1.
+    """Fits on about `fit_docs` labelled documents, half of each label as far as there are
+    so many, chosen by a hash of doc_id, and about `fit_chars` characters of their windows.
+    `usable` says which rows of `labels` may be learned from. Of repeated labels the larger
+    holds; nulls are left out. Without both labels every document gets the rate of label 1.
     """
     truth = labels.filter("doc_id is not null and toxic is not null")
-    truth = (truth if usable is None else truth.filter(usable)).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    total = truth.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    some = truth.filter(share < min(1.0, fit_docs / max(total, 1)))
+    truth = (truth if usable is None else truth.filter(usable)).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("__toxic"))
+    counts = {r["__toxic"]: r["count"] for r in truth.groupBy("__toxic").count().collect()}
+    few = min(counts.get(0, 0), counts.get(1, 0), fit_docs // 2)
+    share = {k: min(1.0, (few if n == min(counts.values()) else fit_docs - few) / n) for k, n in counts.items()}
+    chosen = F.when(F.col("__toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
+    some = truth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < chosen)
     # `some` has about fit_docs rows at any size of the input
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").filter("text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -210,19 +245,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, fit_do
     pieces = texts.select("doc_id", "__toxic", piece.alias("text"))
     rows = pieces.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6 < part).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    rate = float(np.mean([r["__toxic"] for r in rows])) if rows else 0.0
-    if not 0 < rate < 1:
+    rate = counts.get(1, 0) / max(1, sum(counts.values()))
+    toxic = np.array([r["__toxic"] == 1 for r in rows], bool)
+    if not rows or toxic.all() or not toxic.any():
         return Model(None, np.zeros(4), rate)
-    ids, owners = windows(r.text for r in rows)
-    toxic = np.array([r["__toxic"] == 1 for r in rows])[owners]
-    cues = np.zeros(1 << BITS, bool)
-    cues[toxic_words(ids, toxic)] = True
-    chain = fit_chain(ids, (cues[ids] & toxic[:, None]).astype(float))
-    model = Model(chain, np.zeros(4), rate)
-    marks, _ = model.marks([r.text for r in rows])
-    model.weights = fit_logistic(marks, np.array([r["__toxic"] == 1 for r in rows], float))
-    for name in ("word", "before", "after"):
-        setattr(chain, name, getattr(chain, name).astype(np.float32))
+    # every fourth document, copies of one text together, is kept from the chain whose marks are weighed
+    apart = np.array([zlib.crc32(r.text.encode()) % 4 == 0 for r in rows])
+    weigh = apart if len({*toxic[apart]}) == 2 and len({*toxic[~apart]}) == 2 else np.ones(len(rows), bool)
+    learn = ~apart if weigh is apart else weigh
+    of = lambda which: [r.text for r, keep in zip(rows, which) if keep]
+    model = Model(chain_of(of(learn), toxic[learn]), np.zeros(4), rate)
+    marks, y = model.marks(of(weigh))[0], toxic[weigh]
+    weight = np.where(y, rate / y.mean(), (1 - rate) / (1 - y.mean()))  # the sample's labels are not as frequent as all
+    model.weights = fit_logistic(marks, y.astype(float), weight)
+    model.chain = chain_of([r.text for r in rows], toxic)
+    for name in ("word", "stem", "before", "after"):
+        setattr(model.chain, name, getattr(model.chain, name).astype(np.float32))
     return model
 
 
