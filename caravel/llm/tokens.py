@@ -100,7 +100,13 @@ class PrefixCounter:
         model = json.loads(self.encoder.tokenizer.to_str())["model"]
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        self.tails = {"": set(), self.end: set()}  # ends of tokens, without and with the mark
+        for token in self.vocab:
+            ended = token.endswith(self.end) and token != self.end
+            whole = token.removesuffix(self.end) if ended else token
+            self.tails[self.end if ended else ""].update(whole[i:] for i in range(len(whole)))
+        self.goes_on: dict[str, tuple[str, int]] = {}
+        self.ended: dict[str, int] = {}
         self.letters = byte_letters()
         self.stands = Memory(self.both_stand)
         self.pieces = Memory(self.steps)
@@ -131,26 +137,43 @@ class PrefixCounter:
             symbols[-1] += self.end
         return self.merged(symbols) == [t for t in pair if t]
 
-    def ending(self, symbols: str, i: int, last: list[tuple[str, int]], end: str) -> tuple[str, int]:
-        vocab, stands = self.vocab, self.stands
-        for j in range(max(0, i - self.longest), i):
-            token = symbols[j:i] + end
-            if token in vocab and stands[last[j][0], token]:
+    def ending(self, symbols: str, end: str, last: list[tuple[str, int]]) -> tuple[str, int]:
+        """The last token of the whole of `symbols`, and the count with it. Longer and
+        longer ends of `symbols` are tried while some token ends in them.
+        """
+        vocab, stands, tails = self.vocab, self.stands, self.tails[end]
+        for j in range(len(symbols) - 1, -1, -1):
+            tail = symbols[j:]
+            if tail not in tails:
+                break
+            if (token := tail + end) in vocab and stands[last[j][0], token]:
                 return token, last[j][1] + 1
-        raise ValueError(f"no token ends {symbols[:i]!r}")
+        raise ValueError(f"no token ends {symbols!r}")
 
     def steps(self, piece: str) -> bytes:
-        """For each code point of a piece, the change of the count as a signed byte."""
+        """For each code point of a piece, the change of the count as a signed byte. What
+        is known of a prefix holds for every piece that begins with it.
+        """
         if WHITE_SPACE.match(piece):
             return bytes(len(piece))
+        goes_on, ended = self.goes_on, self.ended
+        if max(len(goes_on), len(ended)) >= MEMORY:
+            goes_on.clear()
+            ended.clear()
         symbols, last, counts = "", [("", 0)], [0]
         for char in piece:
-            for b in char.encode():
-                if len(symbols):
-                    last.append(self.ending(symbols, len(symbols), last, ""))
-                symbols += self.letters[b]
-            counts.append(self.ending(symbols, len(symbols), last, self.end)[1])
-        return np.clip(np.diff(counts), -128, 127).astype(np.int8).tobytes()
+            for letter in [self.letters[b] for b in char.encode()]:
+                if symbols:
+                    state = goes_on.get(symbols)
+                    if state is None:
+                        state = goes_on[symbols] = self.ending(symbols, "", last)
+                    last.append(state)
+                symbols += letter
+            n = ended.get(symbols)
+            if n is None:
+                n = ended[symbols] = self.ending(symbols, self.end, last)[1]
+            counts.append(n)
+        return bytes([max(-128, min(127, b - a)) & 255 for a, b in zip(counts, counts[1:])])
 
     def table(self, text: str) -> np.ndarray:
         """Changes of the token count, one for each code point of the text's NFC form:
