@@ -73,10 +73,11 @@ def without_coarse(days: DataFrame, by: list[str]) -> DataFrame:
     """Longer periods' amounts go null with a reason where any one-day filing of the same
     `by` exists for that day; hours and rates beside them stay.
     """
-    daily = days.filter("period_days = 1").select(*by, "day").distinct().withColumn("__daily", F.lit(True))
-    same = [days[c].eqNullSafe(daily[c]) for c in [*by, "day"]]
+    keys = [*by, "day"]
+    daily = days.filter("period_days = 1").select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct().withColumn("__daily", F.lit(True))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
     coarse = (F.col("period_days") > 1) & F.col("__daily").isNotNull()
-    joined = days.join(daily, same, "left").select(*[days[c] for c in days.columns], "__daily")
+    joined = days.join(daily, same, "left").select(*days.columns, "__daily")
     return joined.withColumn("reason", F.when(coarse, "daily_filing_exists")).withColumn("day_amount", F.when(~coarse, F.col("day_amount"))).drop("__daily")
 
 

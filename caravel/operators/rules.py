@@ -103,7 +103,7 @@ def unusual_days(days: DataFrame, day: str, value: str) -> DataFrame:
     weekday = Window.partitionBy(F.weekday(day)).orderBy(day).rowsBetween(-4, -1)
     past = F.array_sort(F.collect_list(value).over(weekday))
     rows = days.withColumn("past", past).filter("size(past) = 4")
-    median = (F.col("past")[1] + F.col("past")[2]) / 2
+    median = (F.get("past", F.lit(1)) + F.get("past", F.lit(2))) / 2
     rows = rows.withColumn("median", median)
-    outside = (F.col(value) < F.col("past")[0]) | (F.col(value) > F.col("past")[3])
+    outside = (F.col(value) < F.get("past", F.lit(0))) | (F.col(value) > F.get("past", F.lit(3)))
     return rows.filter(outside & (F.abs(F.col(value) - F.col("median")) >= 0.1 * F.col("median"))).select(day, value, "median", (F.col(value) > F.col("median")).alias("above"))

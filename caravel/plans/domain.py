@@ -112,11 +112,11 @@ def _(t):
     return rules.low_performers(days.withColumn("active", F.col("trips") > 0))
 
 
-@query("C19_target_month", "WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DOUBLE) AS earned FROM events GROUP BY 1) SELECT day, round(100000.0 * 1 / count(*) OVER (), 4) AS plan, round(sum(earned) OVER (ORDER BY day), 2) AS earned_so_far, round(sum(earned) OVER (ORDER BY day) / (100000.0 / count(*) OVER () * row_number() OVER (ORDER BY day)), 6) AS pace FROM d")
+@query("C19_target_month", "WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DOUBLE) AS earned FROM events GROUP BY 1) SELECT day, round(100000.0 * 1 / count(*) OVER (), 4) AS plan, round(sum(earned) OVER (ORDER BY day), 2) AS earned_so_far, round(sum(earned) OVER (ORDER BY day) / (100000.0 / count(*) OVER () * row_number() OVER (ORDER BY day)), 4) AS pace FROM d")
 def _(t):
     days = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.col("value").cast("decimal(14,2)")).cast("double").alias("earned")).withColumn("target", F.lit(100000.0)).withColumn("weight", F.lit(1.0))
     rows = forecast.target_month(days, "day", "earned", "target", "weight")
-    return rows.select("day", F.round("plan", 4).alias("plan"), F.round("earned_so_far", 2).alias("earned_so_far"), F.round("pace", 6).alias("pace"))
+    return rows.select("day", F.round("plan", 4).alias("plan"), F.round("earned_so_far", 2).alias("earned_so_far"), F.round("pace", 4).alias("pace"))
 
 
 @query("C24_weekly_rebuild", "SELECT l_suppkey AS driver, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) AS fares, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS fees FROM lineitem GROUP BY 1, 2")
@@ -239,7 +239,7 @@ def _(t):
     return latest_state(rows, ["user_id"], "at")
 
 
-@query("T13_retention", "WITH s AS (SELECT event_id, user_id, ts, event_type, epoch(date_trunc('minute', ts)) // 900 AS slot FROM events), k AS (SELECT *, slot IS DISTINCT FROM lag(slot) OVER w OR event_type IS DISTINCT FROM lag(event_type) OVER w OR lead(ts) OVER w IS NULL AS keep FROM s WHERE ts < TIMESTAMP '2024-01-20' WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT event_id FROM k WHERE keep UNION ALL SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+@query("T13_retention", "WITH s AS (SELECT event_id, user_id, ts, event_type, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) // 900 AS slot FROM events), k AS (SELECT *, slot IS DISTINCT FROM lag(slot) OVER w OR event_type IS DISTINCT FROM lag(event_type) OVER w OR lead(ts) OVER w IS NULL AS keep FROM s WHERE ts < TIMESTAMP '2024-01-20' WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT event_id FROM k WHERE keep UNION ALL SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
 def _(t):
     return incremental.retained(t.events, ["user_id"], "ts", ["event_type"], F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")).select("event_id")
 

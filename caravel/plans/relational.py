@@ -99,7 +99,7 @@ def _(t):
     return joins.asof_before(a, b, ["user_id"], "ts", "v_ts", ["view_id"]).select("event_id", "view_id")
 
 
-@query("J14_nearest_trip", "WITH s AS (SELECT event_id AS session_id, user_id % 60 AS driver, ts AS at, CASE WHEN event_id % 4 = 0 THEN 'own' END AS session_plate FROM events WHERE event_type = 'signup'), tr AS (SELECT user_id % 60 AS driver, 'P' || (event_id % 3) AS plate, ts AS trip_at FROM events WHERE event_type = 'purchase' AND user_id % 60 < 50), m AS (SELECT session_id, plate, row_number() OVER (PARTITION BY session_id ORDER BY abs(epoch_us(at) - epoch_us(trip_at)), trip_at, plate) AS n FROM s JOIN tr USING (driver) WHERE abs(epoch_us(at) - epoch_us(trip_at)) <= 14400000000), g AS (SELECT session_id, max(plate) FILTER (WHERE n = 1) AS near, count(DISTINCT plate) AS cars FROM m GROUP BY 1) SELECT session_id, coalesce(session_plate, near) AS plate, CASE WHEN session_plate IS NOT NULL THEN 'session_plate' WHEN driver NOT IN (SELECT driver FROM tr) THEN 'no_link' WHEN cars IS NULL THEN 'no_trip' WHEN cars = 1 THEN 'only_car' ELSE 'nearest_trip' END AS basis FROM s LEFT JOIN g USING (session_id)")
+@query("J14_nearest_trip", """WITH s AS (SELECT event_id AS session_id, user_id % 60 AS driver, ts AS "at", CASE WHEN event_id % 4 = 0 THEN 'own' END AS session_plate FROM events WHERE event_type = 'signup'), tr AS (SELECT user_id % 60 AS driver, 'P' || (event_id % 3) AS plate, ts AS trip_at FROM events WHERE event_type = 'purchase' AND user_id % 60 < 50), m AS (SELECT session_id, plate, row_number() OVER (PARTITION BY session_id ORDER BY abs(epoch_us("at") - epoch_us(trip_at)), trip_at, plate) AS n FROM s JOIN tr USING (driver) WHERE abs(epoch_us("at") - epoch_us(trip_at)) <= 14400000000), g AS (SELECT session_id, max(plate) FILTER (WHERE n = 1) AS near, count(DISTINCT plate) AS cars FROM m GROUP BY 1) SELECT session_id, coalesce(session_plate, near) AS plate, CASE WHEN session_plate IS NOT NULL THEN 'session_plate' WHEN driver NOT IN (SELECT driver FROM tr) THEN 'no_link' WHEN cars IS NULL THEN 'no_trip' WHEN cars = 1 THEN 'only_car' ELSE 'nearest_trip' END AS basis FROM s LEFT JOIN g USING (session_id)""")
 def _(t):
     driver = (F.col("user_id") % 60).alias("driver")
     s = t.events.filter("event_type = 'signup'").select(F.col("event_id").alias("session_id"), driver, F.col("ts").alias("at"), F.when(F.col("event_id") % 4 == 0, "own").alias("session_plate"))
@@ -209,7 +209,7 @@ def _(t):
     return intervals.restated(_filings(t), ["person"], "a", "b").select("id", "restated")
 
 
-@query("W08_W09_thinned", "WITH s AS (SELECT event_id, user_id, ts, event_type, epoch(date_trunc('minute', ts)) // 900 AS slot FROM events), k AS (SELECT *, slot IS DISTINCT FROM lag(slot) OVER w OR event_type IS DISTINCT FROM lag(event_type) OVER w OR lead(ts) OVER w IS NULL AS keep FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT event_id, user_id FROM k WHERE keep")
+@query("W08_W09_thinned", "WITH s AS (SELECT event_id, user_id, ts, event_type, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) // 900 AS slot FROM events), k AS (SELECT *, slot IS DISTINCT FROM lag(slot) OVER w OR event_type IS DISTINCT FROM lag(event_type) OVER w OR lead(ts) OVER w IS NULL AS keep FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT event_id, user_id FROM k WHERE keep")
 def _(t):
     return intervals.thinned(t.events, ["user_id"], "ts", ["event_type"]).select("event_id", "user_id")
 
@@ -305,7 +305,7 @@ def _(t):
     return a.join(b, "l_partkey", "left_anti")
 
 
-@query("U06_channel_sets", "WITH y AS (SELECT o_custkey, list(DISTINCT o_orderpriority) FILTER (WHERE year(o_orderdate) = 1997) AS a, list(DISTINCT o_orderpriority) FILTER (WHERE year(o_orderdate) = 1998) AS b FROM orders GROUP BY 1) SELECT o_custkey, list_sort(list_filter(coalesce(a, []), x -> NOT list_contains(coalesce(b, []), x))) AS gone, list_sort(list_filter(coalesce(a, []), x -> list_contains(coalesce(b, []), x))) AS shared FROM y")
+@query("U06_channel_sets", "WITH y AS (SELECT o_custkey, list(DISTINCT o_orderpriority) FILTER (WHERE year(o_orderdate) = 1997) AS a, list(DISTINCT o_orderpriority) FILTER (WHERE year(o_orderdate) = 1998) AS b FROM orders GROUP BY 1) SELECT o_custkey, list_sort(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) AS gone, list_sort(list_filter(coalesce(a, []), lambda x: list_contains(coalesce(b, []), x))) AS shared FROM y")
 def _(t):
     of = lambda y: F.collect_set(F.when(F.year("o_orderdate") == y, F.col("o_orderpriority")))
     rows = t.orders.groupBy("o_custkey").agg(of(1997).alias("a"), of(1998).alias("b"))

@@ -209,10 +209,10 @@ def _(t):
     return agg.modal(t.part, ["p_size"], "p_type")
 
 
-@query("A22_weighted_allocation", "WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * (l_orderkey % 3) AS DOUBLE) AS w, o_totalprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT *, sum(w) OVER p AS total, count(*) OVER p AS n FROM l WINDOW p AS (PARTITION BY l_orderkey)) SELECT l_orderkey, l_linenumber, round(CASE WHEN total > 0 THEN w / total ELSE 1.0 / n END, 6) AS share, round(amount * (CASE WHEN total > 0 THEN w / total ELSE 1.0 / n END), 4) AS allocated, CASE WHEN total > 0 THEN 'trips' ELSE 'even' END AS basis FROM s")
+@query("A22_weighted_allocation", "WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * (l_orderkey % 3) AS DOUBLE) AS w, o_totalprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT *, sum(w) OVER p AS total, count(*) OVER p AS n FROM l WINDOW p AS (PARTITION BY l_orderkey)) SELECT l_orderkey, l_linenumber, round(CASE WHEN total > 0 THEN w / total ELSE 1.0 / n END, 6) AS share, amount * (CASE WHEN total > 0 THEN w / total ELSE 1.0 / n END) AS allocated, CASE WHEN total > 0 THEN 'trips' ELSE 'even' END AS basis FROM s")
 def _(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", (F.col("l_quantity") * (F.col("l_orderkey") % 3)).alias("w"), F.col("o_totalprice").alias("amount"))
-    return agg.weighted_shares(rows, ["l_orderkey"], "w", "amount").select("l_orderkey", "l_linenumber", F.round("share", 6).alias("share"), F.round("allocated", 4).alias("allocated"), "basis")
+    return agg.weighted_shares(rows, ["l_orderkey"], "w", "amount").select("l_orderkey", "l_linenumber", F.round("share", 6).alias("share"), "allocated", "basis")
 
 
 PERIODS_SQL = """p AS (SELECT l_suppkey % 20 AS driver, l_partkey % 3 AS fleet, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + CAST(l_linenumber - 1 AS INT) AS b,

@@ -18,7 +18,7 @@ def _(t):
     return t.customer.select("c_custkey", F.trim(F.regexp_replace(F.lower(twice), r"\s+", " ")).alias("spaced"), text.fold_name(F.col("c_name")).alias("folded"))
 
 
-TRIGRAMS = lambda c: f"list_distinct(list_transform(range(1, length({c}) + 2), i -> substring('  ' || {c} || ' ', i, 3)))"
+TRIGRAMS = lambda c: f"list_distinct(list_transform(range(1, length({c}) + 2), lambda i: substring('  ' || {c} || ' ', i, 3)))"
 
 
 @query("F03_trigram", f"WITH p AS (SELECT DISTINCT p_name AS a FROM part WHERE p_partkey % 40 = 0), q AS (SELECT DISTINCT p_name AS b FROM part WHERE p_partkey % 40 = 1), j AS (SELECT a, b, {TRIGRAMS('a')} AS ta, {TRIGRAMS('b')} AS tb FROM p JOIN q ON string_split(a, ' ')[1] = string_split(b, ' ')[1]) SELECT a, b, round(CAST(len(list_intersect(ta, tb)) AS DOUBLE) / len(list_distinct(list_concat(ta, tb))), 6) AS score FROM j")
