@@ -214,6 +214,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     lines = located(found.filter("generator is not null"))
     is_base = F.col("generator").isin([g for g, v in GENERATORS.items() if v[1]])
     judged = features(lines)[0].withColumn("p", chance).withColumn("base", is_base & (F.col("f_valid") == 1))
+    # written, so that no filter on the trees' result is taken below them as a copy of all trees and features
+    judged = shared_table(judged.select("row", "generator", "kind", "start", "end", "base", "p"), "judged")
     bound = reduce(lambda c, g: c.when(F.col("generator") == g, thresholds.get(g, 0.95)), GENERATORS, F.when(F.lit(False), 1.0))
     judged = judged.filter(F.col("base") | (~is_base & (F.col("p") >= bound))).select("row", "kind", "start", "end", "base", "p")
     by = Window.partitionBy("row", "kind")
