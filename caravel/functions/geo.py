@@ -21,25 +21,29 @@ def cell(coordinate: Column, size: float = CELL) -> Column:
 
 
 def approaches(states: DataFrame, runways: DataFrame) -> DataFrame:
-    """The runway that an aircraft is about to land on: within 6 nm, 1.5 nm of its line
-    and 20 degrees of its heading, at most 900 m high and descending 0.5 m/s, or on the
-    ground within 3 nm at over 20 m/s. The smallest cross-track wins.
-
-    `states`: icao24, lat, lng, track, altitude_m, descent_ms, speed_ms, on_ground.
-    `runways` (airport, runway, lat, lng, heading) is a table of a few rows: a join of
-    every state with each of them is what the question asks.
+    """The runway that an aircraft is on final approach to: within 6 nm of the airport on a
+    local flat grid, at most 1.5 nm off its track and 0.5 nm past it, the track within 20
+    degrees of the heading; at most 900 m high and descending 0.5 m/s or more, or on the
+    ground within 3 nm at over 20 m/s. The smallest cross-track wins. A missing
+    barometric altitude is the geometric one; below 30 m/s the time is that of 70 m/s.
+
+    `states`: icao24, lat, lng, track, baro_m, geo_m, climb_ms, speed_ms, on_ground.
+    `runways` (airport, runway, lat, lng, heading) is a table of a few rows, broadcast: a
+    join of every state with each near one is what the question asks.
     """
     r = runways.select("airport", "runway", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), "heading")
-    north = (F.col("lat") - F.col("r_lat")) * 60
-    east = (F.col("lng") - F.col("r_lng")) * 60 * F.cos(F.radians("r_lat"))
-    out = -(north * F.cos(F.radians("heading")) + east * F.sin(F.radians("heading")))
-    cross = F.abs(east * F.cos(F.radians("heading")) - north * F.sin(F.radians("heading")))
-    turn = F.abs((F.col("track") - F.col("heading") + 540) % 360 - 180)
-    near = F.sqrt(north * north + east * east)
-    joined = states.join(F.broadcast(r), F.abs(F.col("lat") - F.col("r_lat")) <= 0.2)
-    joined = joined.withColumn("along_nm", out).withColumn("cross_nm", cross).withColumn("near_nm", near)
-    flying = (F.col("altitude_m") <= 900) & (F.col("descent_ms") >= 0.5) & (F.col("near_nm") <= 6)
-    landed = F.col("on_ground") & (F.col("near_nm") <= 3) & (F.col("speed_ms") > 20)
-    fits = joined.filter((flying | landed) & (F.col("cross_nm") <= 1.5) & (F.col("along_nm") >= -0.5) & (turn <= 20))
-    best = F.row_number().over(Window.partitionBy("icao24").orderBy("cross_nm", "runway"))
-    return fits.withColumn("__n", best).filter("__n = 1").select("icao24", "airport", "runway", "along_nm", "cross_nm", (F.col("near_nm") * NM_KM * 1000 / F.nullif("speed_ms", F.lit(0.0))).alias("eta_s"))
+    north = (F.col("r_lat") - F.col("lat")) * 60
+    east = (F.col("r_lng") - F.col("lng")) * 60 * F.cos(F.radians((F.col("r_lat") + F.col("lat")) / 2))
+    ahead = lambda a, b: a * F.cos(F.radians("track")) + b * F.sin(F.radians("track"))
+    turn = F.abs(F.pmod(F.col("track") - F.col("heading") + 180, F.lit(360.0)) - 180)
+    altitude = F.coalesce("baro_m", "geo_m")
+    joined = states.join(F.broadcast(r), F.abs(F.col("lat") - F.col("r_lat")) <= 0.1)
+    joined = joined.withColumn("along_nm", ahead(north, east)).withColumn("cross_nm", F.abs(ahead(east, -north))).withColumn("dist_nm", F.sqrt(north * north + east * east))
+    flying = ~F.col("on_ground") & (altitude <= 900) & (F.col("climb_ms") <= -0.5)
+    landed = F.col("on_ground") & (F.col("dist_nm") <= 3) & (F.col("speed_ms") > 20)
+    fits = joined.filter((flying | landed) & (F.col("dist_nm") <= 6) & (F.col("cross_nm") <= 1.5) & (F.col("along_nm") >= -0.5) & (turn <= 20))
+    best = F.row_number().over(Window.partitionBy("icao24").orderBy(F.round("cross_nm", 2), "airport", "runway"))
+    speed = F.when(F.col("speed_ms") > 30, F.col("speed_ms")).otherwise(70.0)
+    eta = F.round(F.greatest(F.col("along_nm"), F.lit(0.0)) * NM_KM * 1000 / speed).cast("bigint")
+    rounded = [F.round(c, 2).alias(c) for c in ("along_nm", "cross_nm", "dist_nm")]
+    return fits.withColumn("__n", best).filter("__n = 1").select("icao24", "airport", "runway", *rounded, altitude.alias("alt_m"), eta.alias("eta_s"))

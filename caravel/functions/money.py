@@ -54,7 +54,7 @@ def settlement_class(payment: Column) -> Column:
     word = F.lower(F.trim(payment))
     ladder = F.when(payment.isNull() | (word == ""), None)
     ladder = reduce(lambda c, kind: c.when(word.isin(SETTLEMENT[kind]), kind), SETTLEMENT, ladder)
-    return ladder.when(word.startswith("foc"), "complimentary").otherwise("other")
+    return ladder.otherwise("other")
 
 
 def cancelled_by(outcome_: Column, status: Column) -> Column:

@@ -70,20 +70,23 @@ def hour_slices(spans: DataFrame, start: str = "start", end: str = "end") -> Dat
 
 
 def period_window(name: str, today: date) -> tuple[date, date]:
-    """The days of a named period, no later than today: today, yesterday, this_week,
-    last_week, this_month, last_month, this_year, last_7_days ..., YYYY, YYYY-MM, YYYY-Qn.
+    """The days of a named period, no later than today: today, yesterday, week,
+    month, quarter, year (all to date; this_week ... mean the same), last_week, last_month,
+    last_7_days ..., YYYY, YYYY-MM, YYYY-Qn.
     """
     monday, first = today - timedelta(days=today.weekday()), today.replace(day=1)
+    name = name.removeprefix("this_")
     if m := re.fullmatch(r"last_(\d+)_days", name):
         return today - timedelta(days=int(m[1]) - 1), today
     named = {
         "today": (today, today),
         "yesterday": (today - timedelta(days=1),) * 2,
-        "this_week": (monday, today),
+        "week": (monday, today),
         "last_week": (monday - timedelta(days=7), monday - timedelta(days=1)),
-        "this_month": (first, today),
+        "month": (first, today),
         "last_month": ((first - timedelta(days=1)).replace(day=1), first - timedelta(days=1)),
-        "this_year": (date(today.year, 1, 1), today),
+        "quarter": (date(today.year, (today.month - 1) // 3 * 3 + 1, 1), today),
+        "year": (date(today.year, 1, 1), today),
     }
     if name in named:
         return named[name]

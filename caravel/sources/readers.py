@@ -48,7 +48,7 @@ def csv_payments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def pivoted(tables: DataFrame, columns: str = "columns") -> DataFrame:
     """A provider's column-major table, array<struct<key, cells>>, as rows of a map."""
-    keys, n = F.col(columns)["key"], F.size(F.element_at(F.col(columns), 1)["cells"])
+    keys, n = F.col(columns)["key"], F.array_max(F.transform(F.col(columns), lambda c: F.size(c["cells"])))
     lines = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.map_from_arrays(keys, F.transform(F.col(columns), lambda c: F.get(c["cells"], i))))
     return tables.filter(n > 0).select(F.posexplode(lines).alias("row", "cells"))
 
@@ -74,19 +74,21 @@ def status_rows(overviews: DataFrame, seen_at: Column) -> DataFrame:
     return now.unionByName(past).filter("status is not null").dropDuplicates(["driver", "at", "status"])
 
 
-def flattened(breakdowns: DataFrame, key: str, nodes: str, depth: int = 6) -> DataFrame:
-    """A tree of amounts as key, path, amount, mixed_currency. `nodes` is a JSON array of
-    {name, amount, currency, children}; deeper levels than `depth` are not expected.
+def flattened(breakdowns: DataFrame, key: str, nodes: str, depth: int = 9) -> DataFrame:
+    """A tree of amounts as key, path, amount, mixed_currency; siblings of one name are
+    summed, and a node without a name goes with all below it. `nodes` is a JSON array of
+    {name, amount, currency, children}, read to `depth` levels.
     """
     schema = "array<struct<name:string,amount:double,currency:string,children:string>>"
-    level = breakdowns.select(key, F.explode(F.from_json(nodes, schema)).alias("n")).select(key, F.col("n.name").alias("path"), "n.*")
+    named = F.trim("n.name") != ""
+    level = breakdowns.select(key, F.explode(F.from_json(nodes, schema)).alias("n")).filter(named).select(key, F.trim("n.name").alias("path"), "n.*")
     found = level
     for _ in range(depth - 1):
         level = level.filter("children is not null").select(key, F.col("path").alias("up"), F.explode(F.from_json("children", schema)).alias("n"))
-        level = level.select(key, F.concat_ws("/", "up", "n.name").alias("path"), "n.*")
+        level = level.filter(named).select(key, F.concat_ws(".", "up", F.trim("n.name")).alias("path"), "n.*")
         found = found.unionByName(level)
     mixed = found.groupBy(key).agg((F.countDistinct("currency") > 1).alias("mixed_currency"))
-    return found.filter("amount is not null").select(key, "path", "amount").join(mixed, key)
+    return found.filter("amount is not null").groupBy(key, "path").agg(F.sum("amount").alias("amount")).join(mixed, key)
 
 
 def plan_days(spark: SparkSession, lo: date, hi: date, airports: list[str], covered: DataFrame) -> DataFrame:

@@ -89,12 +89,16 @@ def workbook(rows: DataFrame, limit: int = 50_000) -> bytes:
     if len(body) > limit:
         raise ValueError(f"over {limit} rows")
 
-    def cell(v) -> str:
+    def letters(n: int) -> str:
+        return (letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+
+    def cell(at: str, v) -> str:
         if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        return "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+            return f'<c r="{at}"><v>{v}</v></c>'
+        return f'<c r="{at}"/>' if v is None else f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    lines = [f"<row>{''.join(map(cell, row))}</row>" for row in [rows.columns, *body]]
+    names = [letters(i) for i in range(1, len(rows.columns) + 1)]
+    lines = [f'<row r="{n}">{"".join(cell(f"{c}{n}", v) for c, v in zip(names, row))}</row>' for n, row in enumerate([rows.columns, *body], 1)]
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
