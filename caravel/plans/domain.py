@@ -125,19 +125,19 @@ def _(t):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("driver"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week")).agg(part("A").alias("fares"), part("R").alias("fees"))
 
 
-@query("C25_two_way_match", "WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey AS other, o_custkey AS c, o_orderdate AS d FROM orders WHERE o_orderkey % 2 = 1), j AS (SELECT o_orderkey, other, count(*) OVER (PARTITION BY o_orderkey) AS x, count(*) OVER (PARTITION BY other) AS y FROM a JOIN b ON o_orderdate = d AND o_custkey % 50 = c % 50) SELECT o_orderkey, other, x = 1 AND y = 1 AS matched FROM j")
+@query("C25_two_way_match", "WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_orderkey AS other, o_custkey AS c, o_orderdate AS d FROM orders WHERE o_orderstatus <> 'F'), j AS (SELECT o_orderkey, other, count(*) OVER (PARTITION BY o_orderkey) AS x, count(*) OVER (PARTITION BY other) AS y FROM a JOIN b ON o_orderdate = d AND o_custkey % 50 = c % 50) SELECT o_orderkey, other, x = 1 AND y = 1 AS matched FROM j")
 def _(t):
-    a = t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 50).alias("k"))
-    b = t.orders.filter("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("other"), "o_orderdate", (F.col("o_custkey") % 50).alias("k"))
+    a = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 50).alias("k"))
+    b = t.orders.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("other"), "o_orderdate", (F.col("o_custkey") % 50).alias("k"))
     met = a.join(b, ["o_orderdate", "k"])
     alone = lambda c: F.count("*").over(Window.partitionBy(c)) == 1
     return met.select("o_orderkey", "other", (alone("o_orderkey") & alone("other")).alias("matched"))
 
 
-@query("C26_set_audit", "WITH ours AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 10 <> 3), theirs AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 10 <> 7) SELECT coalesce(o.day, t.day) AS day, count(*) FILTER (WHERE o.k IS NULL) AS missing, count(*) FILTER (WHERE t.k IS NULL) AS extra, round(100.0 * count(*) FILTER (WHERE o.k IS NOT NULL AND t.k IS NOT NULL) / count(*), 1) AS agreement_pct FROM ours o FULL JOIN theirs t ON o.k = t.k GROUP BY 1")
+@query("C26_set_audit", "WITH ours AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority <> '1-URGENT'), theirs AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority <> '5-LOW') SELECT coalesce(o.day, t.day) AS day, count(*) FILTER (WHERE o.k IS NULL) AS missing, count(*) FILTER (WHERE t.k IS NULL) AS extra, round(100.0 * count(*) FILTER (WHERE o.k IS NOT NULL AND t.k IS NOT NULL) / count(*), 1) AS agreement_pct FROM ours o FULL JOIN theirs t ON o.k = t.k GROUP BY 1")
 def _(t):
-    side = lambda rest, n: t.orders.filter(f"o_orderkey % 10 <> {rest}").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias(f"{n}_day"), F.lit(True).alias(n))
-    both = side(3, "ours").join(side(7, "theirs"), "k", "full_outer")
+    side = lambda rest, n: t.orders.filter(F.col("o_orderpriority") != rest).select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias(f"{n}_day"), F.lit(True).alias(n))
+    both = side("1-URGENT", "ours").join(side("5-LOW", "theirs"), "k", "full_outer")
     count = lambda p: F.count(F.when(p, 1))
     ours, theirs = F.col("ours").isNotNull(), F.col("theirs").isNotNull()
     return both.groupBy(F.coalesce("ours_day", "theirs_day").alias("day")).agg(count(~ours).alias("missing"), count(~theirs).alias("extra"), F.round(100 * count(ours & theirs) / F.count("*"), 1).alias("agreement_pct"))
@@ -174,10 +174,10 @@ def _(t):
     return readers.plan_days(t.spark, date(2024, 1, 1), date(2024, 1, 30), ["OMDB", "OMDW"], covered)
 
 
-@query("S22_S23_upsert", "WITH b AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 10000000, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 7 = 0) SELECT coalesce(c.c_custkey, b.c_custkey) AS c_custkey, round(coalesce(b.c_acctbal, c.c_acctbal), 2) AS c_acctbal, coalesce(b.c_mktsegment, c.c_mktsegment) AS c_mktsegment, b.c_custkey IS NOT NULL AS changed FROM customer c FULL JOIN b ON c.c_custkey = b.c_custkey")
+@query("S22_S23_upsert", "WITH b AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey + 10000000, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0) SELECT coalesce(c.c_custkey, b.c_custkey) AS c_custkey, round(coalesce(b.c_acctbal, c.c_acctbal), 2) AS c_acctbal, coalesce(b.c_mktsegment, c.c_mktsegment) AS c_mktsegment, b.c_custkey IS NOT NULL AS changed FROM customer c FULL JOIN b ON c.c_custkey = b.c_custkey")
 def _(t):
     table = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
-    batch = table.filter("c_custkey % 5 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1).unionByName(table.filter("c_custkey % 7 = 0").withColumn("c_custkey", F.col("c_custkey") + 10000000))
+    batch = table.filter("c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.col("c_acctbal") + 1).unionByName(table.filter("c_acctbal < 0").withColumn("c_custkey", F.col("c_custkey") + 10000000))
     return sinks.upserted(table, batch.withColumn("seen", F.lit(1)), ["c_custkey"], "seen").withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
@@ -223,11 +223,11 @@ def _(t):
     return incremental.refreshed(rows.withColumn("of", F.lit("old")), rows.withColumn("of", F.lit("fresh")), "bucket", since).select("bucket", "of", "n")
 
 
-@query("T09_supersede", "WITH l AS (SELECT event_id AS id, event_type AS airport, user_id % 20 AS icao24, ts FROM events WHERE event_id % 2 = 0), c AS (SELECT event_id AS confirmed_id, event_type AS airport, user_id % 20 AS icao24, ts AS c_at FROM events WHERE event_id % 2 = 1 AND day(ts) % 2 = 0), n AS (SELECT id, confirmed_id FROM l JOIN c USING (airport, icao24) WHERE abs(epoch_us(ts) - epoch_us(c_at)) <= 1800000000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(epoch_us(ts) - epoch_us(c_at)), c_at) = 1), d AS (SELECT DISTINCT airport, CAST(c_at AS DATE) AS day FROM c) SELECT l.id, d.day IS NOT NULL AS superseded, CASE WHEN d.day IS NOT NULL THEN confirmed_id END AS confirmed_id FROM l LEFT JOIN d ON l.airport = d.airport AND CAST(ts AS DATE) = d.day LEFT JOIN n USING (id)")
+@query("T09_supersede", "WITH l AS (SELECT event_id AS id, event_type AS airport, user_id % 20 AS icao24, ts FROM events WHERE value < 35), c AS (SELECT event_id AS confirmed_id, event_type AS airport, user_id % 20 AS icao24, ts AS c_at FROM events WHERE value >= 60), n AS (SELECT id, confirmed_id FROM l JOIN c USING (airport, icao24) WHERE abs(epoch_us(ts) - epoch_us(c_at)) <= 1800000000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(epoch_us(ts) - epoch_us(c_at)), c_at) = 1), d AS (SELECT DISTINCT airport, CAST(c_at AS DATE) AS day FROM c) SELECT l.id, d.day IS NOT NULL AS superseded, CASE WHEN d.day IS NOT NULL THEN confirmed_id END AS confirmed_id FROM l LEFT JOIN d ON l.airport = d.airport AND CAST(ts AS DATE) = d.day LEFT JOIN n USING (id)")
 def _(t):
-    rows = t.events.select("event_id", F.col("event_type").alias("airport"), (F.col("user_id") % 20).alias("icao24"), F.col("ts").alias("landed_at"))
-    live = rows.filter("event_id % 2 = 0").withColumnRenamed("event_id", "id")
-    confirmed = rows.filter("event_id % 2 = 1 and day(landed_at) % 2 = 0").withColumnRenamed("event_id", "confirmed_id")
+    rows = t.events.select("event_id", "value", F.col("event_type").alias("airport"), (F.col("user_id") % 20).alias("icao24"), F.col("ts").alias("landed_at"))
+    live = rows.filter("value < 35").withColumnRenamed("event_id", "id")
+    confirmed = rows.filter("value >= 60").withColumnRenamed("event_id", "confirmed_id")
     return incremental.superseded(live, confirmed).select("id", "superseded", "confirmed_id")
 
 

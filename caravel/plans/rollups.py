@@ -37,7 +37,7 @@ def _(t):
 SETTLEMENT_SQL = """CASE WHEN payment_type IS NULL OR trim(payment_type) = '' THEN NULL
   WHEN lower(payment_type) IN ('cash','cash-driver','cash-supervisor') THEN 'cash' WHEN lower(payment_type) IN ('pos-driver','card') THEN 'card'
   WHEN lower(payment_type) IN ('apple_pay','google_pay') THEN 'wallet' WHEN lower(payment_type) IN ('room-charge','hotel-charge') THEN 'on_account'
-  WHEN lower(payment_type) LIKE 'foc%' THEN 'complimentary' ELSE 'other' END"""
+  WHEN lower(payment_type) IN ('foc-complimentary','foc','complimentary') THEN 'complimentary' ELSE 'other' END"""
 DAYPART_SQL = "CASE WHEN local_hour < 5 THEN 'night' WHEN local_hour < 10 THEN 'morning' WHEN local_hour < 15 THEN 'midday' WHEN local_hour < 20 THEN 'evening' ELSE 'late' END"
 
 
@@ -145,10 +145,10 @@ def _(t):
     return t.customer.groupBy("c_mktsegment").agg(F.round(100 * count(F.col("c_acctbal") < 0) / F.nullif(count(F.col("c_acctbal") > 9000), F.lit(0)), 1).alias("ratio"))
 
 
-@query("A08_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.25) FILTER (WHERE user_id % 2 = 0), 4) AS p25_even FROM events GROUP BY 1")
+@query("A08_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.25) FILTER (WHERE hour(ts) < 12), 4) AS p25_morning FROM events GROUP BY 1")
 def _(t):
     p = lambda c, q: F.round(F.percentile(c, F.lit(q)), 4)
-    return t.events.groupBy("event_type").agg(p("value", 0.5).alias("p50"), p("value", 0.9).alias("p90"), p(F.when(F.col("user_id") % 2 == 0, F.col("value")), 0.25).alias("p25_even"))
+    return t.events.groupBy("event_type").agg(p("value", 0.5).alias("p50"), p("value", 0.9).alias("p90"), p(F.when(F.hour("ts") < 12, F.col("value")), 0.25).alias("p25_morning"))
 
 
 @query("A09_mode", "SELECT p_brand, arg_max(p_size, {'n': n, 'k': -p_size}) AS modal_size FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1")
