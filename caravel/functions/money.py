@@ -51,8 +51,8 @@ def completed(status: Column) -> Column:
 
 
 def settlement_class(payment: Column) -> Column:
-    word = F.lower(F.trim(payment))
-    ladder = F.when(payment.isNull() | (word == ""), None)
+    word = F.lower(payment)
+    ladder = F.when(payment.isNull() | (F.trim(payment) == ""), None)
     ladder = reduce(lambda c, kind: c.when(word.isin(SETTLEMENT[kind]), kind), SETTLEMENT, ladder)
     return ladder.otherwise("other")
 

@@ -4,7 +4,7 @@ simultaneous work, shared phones, components.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caravel.functions import text
@@ -56,3 +56,13 @@ def persons(pairs: DataFrame, trips: DataFrame, links: DataFrame) -> DataFrame:
     kept = pairs.join(refuted(pairs, trips), ["a", "b"], "left_anti").select("a", "b")
     found = connected(kept.unionByName(links.select("a", "b")))
     return found.withColumnsRenamed({"node": "id", "component": "person"})
+
+
+def canonical(records: DataFrame, key: str, rank: Column, columns: list[str]) -> DataFrame:
+    """One row for each `key`: of every column the first value that is not blank, in the
+    order of `rank` (unique within the key); who has records, and how many there are.
+    """
+    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    first = lambda c: F.min_by(known(c), F.when(known(c).isNotNull(), rank)).alias(c)
+    named = records.filter(known(key).isNotNull())
+    return named.groupBy(key).agg(F.min_by("platform", rank).alias("platform"), F.array_sort(F.collect_set("platform")).alias("platforms"), F.count("*").alias("records"), *map(first, columns))

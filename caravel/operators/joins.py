@@ -123,3 +123,17 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new
         if not changed:
             return labels
+
+
+def status_at(candidates: DataFrame, accounts: DataFrame, events: DataFrame) -> DataFrame:
+    """segment_id, person, status and at: the newest status of any of the candidate's
+    accounts at or before the segment's start, null where there is none.
+
+    `candidates`: segment_id, person, started_at. `accounts`: person, account. `events`:
+    account, at, status. One as-of pass for each account, then the newest across them.
+    """
+    asked = candidates.join(accounts, "person").select("segment_id", "person", "account", "started_at")
+    seen = asof_before(asked, events, ["account"], "started_at", "at", ["status"])
+    newest = seen.groupBy("segment_id", "person").agg(F.max(F.struct("at", "status")).alias("s"))
+    joined = candidates.join(newest, ["segment_id", "person"], "left")
+    return joined.select("segment_id", "person", F.col("s.status").alias("status"), F.col("s.at").alias("at"))

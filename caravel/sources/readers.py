@@ -148,7 +148,11 @@ def _cells(book: bytes) -> Iterator[tuple[str, int, int, str | None]]:
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     """path, sheet, row, column, text of all workbooks under a path: one file, one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return cells_of(spark.read.format("binaryFile").load(path))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """The same of workbooks that are rows (path, content)."""
 
     def read(batches):
         import pandas as pd
@@ -157,7 +161,7 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
             rows = [(p, *cell) for p, content in zip(batch["path"], batch["content"]) for cell in _cells(content)]
             yield pd.DataFrame(rows, columns=["path", "sheet", "row", "column", "text"])
 
-    return files.mapInPandas(read, "path string, sheet string, row bigint, column bigint, text string")
+    return files.select("path", "content").mapInPandas(read, "path string, sheet string, row bigint, column bigint, text string")
 
 
 def headed_rows(cells: DataFrame, header: list[str]) -> DataFrame:
@@ -177,7 +181,7 @@ def statement_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pasted statement rows (line, day, amount as text) as valid rows and refused rows with
     the reason.
     """
-    day, amount = F.try_to_date("day", F.lit("yyyy-MM-dd")), F.regexp_replace("amount", ",", "").try_cast("decimal(14,2)")
+    day, amount = F.try_to_date("day", "yyyy-MM-dd"), F.regexp_replace("amount", ",", "").try_cast("decimal(14,2)")
     reason = F.when(day.isNull(), "bad_day").when(amount.isNull(), "bad_amount")
     read = lines.select("*", day.alias("on"), amount.alias("value"), reason.alias("reason"))
     return read.filter("reason is null").select("line", "on", "value"), read.filter("reason is not null").select("line", "day", "amount", "reason")
