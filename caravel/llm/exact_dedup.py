@@ -97,7 +97,9 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     found = shared_table(exact_identities(docs, block), "identified")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    groups = found.groupBy("identity").agg(first, F.count("*").alias("group_size"))
+    # written, so that the join below has a plain table on both sides: Spark then splits the
+    # rows of a large group, which it cannot do where it reuses the aggregate's partitioning
+    groups = shared_table(found.groupBy("identity").agg(first, F.count("*").alias("group_size")), "groups")
     return found.join(groups, "identity").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
