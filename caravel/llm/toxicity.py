@@ -226,7 +226,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
     """Fits on about `fit_docs` labelled documents, half of each label as far as there are
-    so many, chosen by a hash of doc_id, and about `fit_chars` characters of their windows.
+    so many, chosen by a hash of doc_id, and of these on whole documents, chosen by another
+    hash, of about `fit_chars` characters together.
     `usable` says which rows of `labels` may be learned from. Of repeated labels the larger
     holds; nulls are left out. Without both labels every document gets the rate of label 1.
     """
@@ -241,9 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, fit_do
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").filter("text is not null")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     part = min(1.0, fit_chars / max(chars, 1))
-    piece = F.explode(F.expr(r"regexp_extract_all(text, '(?:\\w+\\W*){1,256}', 0)")) if part < 1 else F.col("text")
-    pieces = texts.select("doc_id", "__toxic", piece.alias("text"))
-    rows = pieces.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6 < part).collect()
+    # whole documents at every size: a label holds for its document, not for its pieces
+    rows = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6 < part).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
     toxic = np.array([r["__toxic"] == 1 for r in rows], bool)
