@@ -35,10 +35,15 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TO_WORDS).split()
 
 
+def in_order(items: Iterable[int | None]) -> list[int | None]:
+    """Each once and sorted, null last."""
+    return sorted(set(items), key=lambda i: (i is None, i or 0))
+
+
 class TestPart:
     """The windows of some test items, as numbers of their terms."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
+    def __init__(self, items: list[tuple[int | None, str]], window: int):
         self.terms: dict[bytes, int] = {}
         self.items, self.windows = [], []
         seen: dict[tuple[int, ...], list[int]] = {}
@@ -48,7 +53,7 @@ class TestPart:
                 seen.setdefault(tuple(row[at : at + window]), []).append(item)
         for terms, owners in seen.items():
             self.windows.append(terms)
-            self.items.append(sorted(set(owners)))
+            self.items.append(in_order(owners))
         self.padded = np.full((len(self.windows), window), -1, np.int64)
         for i, terms in enumerate(self.windows):
             self.padded[i, : len(terms)] = terms
@@ -75,34 +80,36 @@ INDEX_SCHEMA = "first binary, size binary, term binary, start binary, place bina
 INDEX_TYPES = {"first": "<i8", "size": "<i8", "term": "<i4", "start": "<i8", "place": "<i4"}
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int) -> DataFrame:
-    """One row for each block: doc_ids, and the arrays of `block_index` as bytes. Null text
-    has no words; every row of `docs` (doc_id, text) has its place, repeated ones too.
+def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, keys: list[str]) -> DataFrame:
+    """One row for each block: the values of `keys` of its documents, and the arrays of
+    `block_index` as bytes. Null text has no words; every row of `docs` (keys, text) has
+    its place, repeated ones too.
     """
     rows_per_batch(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = ", ".join(f"{k} array<{docs.schema[k].dataType.simpleString()}>" for k in keys)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, n = [], [], 0
+        rows, texts, n = [], [], 0
 
         def block() -> pa.RecordBatch:
             found = block_index(texts, terms, gap)
             arrays = [pa.array([found[k].astype(t).tobytes()], pa.binary()) for k, t in INDEX_TYPES.items()]
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(id_type)), *arrays], ["doc_ids", *INDEX_TYPES])
+            named = [pa.array([list(column)], pa.list_(kind)) for column, kind in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays([*named, *arrays], [*keys, *INDEX_TYPES])
 
         for batch in batches:
-            id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
+            types = [c.type for c in batch.columns[:-1]]
+            for *row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append(row)
                 texts.append(words(text))
                 n += len(texts[-1]) + 1
                 if n >= BLOCK_WORDS:
                     yield block()
-                    ids, texts, n = [], [], 0
-        if ids:
+                    rows, texts, n = [], [], 0
+        if rows:
             yield block()
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(index, f"doc_ids array<{kind}>, {INDEX_SCHEMA}")
+    return docs.select(*keys, F.col("text").cast("string")).mapInArrow(index, f"{kinds}, {INDEX_SCHEMA}")
 
 
 class Block:
@@ -147,17 +154,20 @@ def matches_in(block: Block, part: TestPart, slop: int) -> list[tuple[int, int,
     return found
 
 
-def test_parts(benchmark: DataFrame, window: int, part_words: int) -> Iterator[TestPart]:
-    """The test items in parts of about `part_words` words by a hash of their rows: one
-    part is all that driver and tasks hold. Null and empty items have no window.
+def n_parts(benchmark: DataFrame, part_words: int) -> int:
+    total = benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    return 1 + total // (6 * part_words)
+
+
+def test_parts(benchmark: DataFrame, window: int, parts: int) -> Iterator[TestPart]:
+    """The test items in `parts` parts by a hash of their rows: one part is all that driver
+    and tasks hold. Null and empty texts have no window.
     """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = 1 + total // (6 * part_words)
     for k in range(parts):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         rows = sorted(mine.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        yield TestPart([(r.item_id, r.text) for r in rows if r.item_id is not None], window)
+        yield TestPart([(r.item_id, r.text) for r in rows], window)
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, part_words: int = PART_WORDS) -> DataFrame:
@@ -166,19 +176,32 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Exact phrases with slop 0; otherwise proximity matches, whose terms may each stand
     up to `slop` words from their place (the span is the window's own place). Documents
-    without words or matches have empty arrays. Items of a null item_id are left out.
+    without words or matches have empty arrays. Items of a null item_id are one null in
+    item_ids, the last.
+    """
+    return matches_of(docs, benchmark, ["doc_id"], window, slop, part_words)
+
+
+def matches_of(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int, slop: int, part_words: int) -> DataFrame:
+    """`phrase_matches` with the columns `keys` of `docs` in place of doc_id. If the test set
+    has several parts, the rows of `docs` are written with a number first, and what the
+    parts find of a row is merged by it.
     """
     rows_per_batch(docs.sparkSession, 200)  # of the index, a row is a block
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts = n_parts(benchmark, part_words)
+    if parts > 1:
+        docs = shared_table(docs.select(F.monotonically_increasing_id().alias("__row"), *keys, F.col("text").cast("string").alias("text")), "numbered-docs")
+    carried = ["__row", *keys] if parts > 1 else keys
     item = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, item_ids array<{item}>, spans array<array<bigint>>"
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in carried)
+    schema = f"{kinds}, n_words bigint, item_ids array<{item}>, spans array<array<bigint>>"
     found = None
-    for part in test_parts(benchmark, window, part_words):
-        index = shared_table(build_index(docs, part.terms, window + slop), "postings")
+    for part in test_parts(benchmark, window, parts):
+        index = shared_table(build_index(docs, part.terms, window + slop, carried), "postings")
 
         def search(batches: Iterable[pa.RecordBatch], part: TestPart = part) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, row in enumerate(batch.to_pylist()):
+                for at, row in enumerate(batch.select([*INDEX_TYPES]).to_pylist()):
                     block = Block(row)
                     items: dict[int, set] = {}
                     spans: dict[int, list] = {}
@@ -188,17 +211,29 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     n = range(len(block.size))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column("doc_ids")[at].values,
+                            *(batch.column(k)[at].values for k in carried),
                             pa.array(block.size.astype(np.int64)),
-                            pa.array([sorted(items.get(d, ())) for d in n], pa.list_(pa.int64())),
+                            pa.array([in_order(items.get(d, ())) for d in n], pa.list_(pa.int64())),
                             pa.array([merged(spans.get(d, [])) for d in n], pa.list_(pa.list_(pa.int64()))),
                         ],
-                        ["doc_id", "n_words", "item_ids", "spans"],
+                        [*carried, "n_words", "item_ids", "spans"],
                     )
 
         more = index.mapInArrow(search, schema)
         found = more if found is None else found.unionByName(more)
-    return found
+    if parts == 1:
+        return found
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "spans")]  # one of each part
+    rows = found.groupBy("__row").agg(*(F.first(c).alias(c) for c in [*keys, "n_words"]), *lists)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = pa.array([in_order(x) for x in batch.column("item_ids").to_pylist()], batch.column("item_ids").type)
+            spans = pa.array([merged(x) for x in batch.column("spans").to_pylist()], batch.column("spans").type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], items, spans], batch.schema.names)
+
+    merged_rows = rows.select(*keys, "n_words", "item_ids", "spans")
+    return merged_rows.mapInArrow(merge, merged_rows.schema)
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
