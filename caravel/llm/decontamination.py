@@ -246,8 +246,10 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` whose doc_id no match is found for (null: as an id of its own)."""
-    found = phrase_matches(docs, benchmark, window).filter(F.size("item_ids") > 0)
-    hit = shared_table(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """The rows of `docs` in whose own text no match is found, whatever their doc_ids."""
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    texts = docs.select("text", sha.alias("text_sha256"))
+    found = matches_of(texts, benchmark, ["text_sha256"], window, 0, part_words).filter(F.size("spans") > 0)
+    hit = shared_table(found.select("text_sha256").distinct(), "contaminated")
+    return docs.join(hit, sha == hit["text_sha256"], "left_anti")

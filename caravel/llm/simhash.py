@@ -116,21 +116,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` with one document of each component, the one of its smallest
-    doc_id. Rows of a null doc_id stay only where no other row is in their component. Of
-    rows that repeat a doc_id that stays, null too, the smallest by all columns stays.
-    """
-    found = shared_table(near_duplicates(docs, shingle, seed, radius), "near-duplicates")
-    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = found.groupBy("doc_id").agg(stays.alias("again"), F.count("*").alias("times"))
-    out = ids.filter("not again or times > 1").select("doc_id", "again")
-    out = shared_table(out, "dropped-or-repeated")
-    single = docs.join(out, docs["doc_id"].eqNullSafe(out["doc_id"]), "left_anti")
-    if out.filter("again").isEmpty():
-        return single
-    again = out.filter("again")
-    rows = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    return single.unionByName(rows.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*"))

@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from caravel.llm import decontamination
 
 WORDS = [a + b + c for a in "bdfgklmnprst" for b in ("a", "e", "io", "u") for c in ("n", "r", "st", "lm")]
 
@@ -71,3 +72,22 @@ def test_pipeline_runs_whole(spark):
         own = sorted((r.start, r.length, r.doc_tokens) for r in found if r.doc_id == d)
         assert [s for s, _, _ in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))]
         assert sum(n for _, n, _ in own) == own[0][2]
+
+
+def test_stages_decide_by_row_where_ids_are_null_or_repeated(spark):
+    a, b, c, d = (" ".join(prose(1000 + i, 150)) for i in range(4))
+    copy = a.split()
+    copy[75] = "edited"
+    rows = [(None, b, "x"), (None, c, "x"), (5, a, "x"), (5, d, "x"), (9, " ".join(copy), "x"), (7, d, "x"), (5, a, "y"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    expected = [(None, b, "x"), (None, c, "x"), (5, a, "x"), (5, d, "x"), (None, None, "x")]
+    assert kept.columns == docs.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, expected))
+
+    leak = " ".join(a.split()[40:60])
+    benchmark = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, f"before {leak} after", "x"), (None, b, "x"), (5, a, "x"), (5, d, "x"), (5, d, "x"), (6, None, "x")]
+    docs = spark.createDataFrame(rows, docs.schema)
+    clean = decontamination.without_contaminated(docs, benchmark)
+    expected = [(None, b, "x"), (5, d, "x"), (5, d, "x"), (6, None, "x")]
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, expected))
