@@ -4,28 +4,30 @@ each word's end).
 
 Word pieces are independent of each other in such a vocabulary. So the ids of a text
 are its pieces' ids one after another, and each Python worker keeps a bounded memory of
-pieces that it has met. Texts outside a plain range of characters, where Unicode
-versions or special strings could matter, are left to the library itself.
+short pieces that it has met; long ones are worked out where they stand. Texts of a plain
+range of characters are cut into pieces here; all others are normalised and cut by the
+library's own rules, as only it knows its version of Unicode.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers
 
 from caravel.llm.shared import rows_per_batch
 
 #: Pieces kept by a worker; when full, the memory is emptied and filled again.
 MEMORY = 400_000
+#: Pieces, and prefixes of pieces, that are longer are not kept.
+LONG = 48
 #: Texts of these characters need no library: NFC leaves them, lower case is one to one.
 PLAIN = re.compile(r"[\t-\r\x20-\x7E\xA1-įı-ňŊ-ž]*")
 #: Letters and other numbers of the plain range, after lower-casing.
@@ -33,28 +35,27 @@ LETTERS = "a-zªµºß-öø-ž"
 NUMBERS = "0-9²³¹¼½¾"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 PIECES = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+SPACES = "\t\n\v\f\r "
 PIECES_AND_SPACE = re.compile(f"{PIECES.pattern}|\\s+")
-ANY_PIECES_AND_SPACE = regex.compile(ENDINGS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+")
-WHITE_SPACE = regex.compile(r"\p{White_Space}")
 
 
 @cache
 def library(path: str):
-    from tokenizers import Tokenizer
-
     return Tokenizer.from_file(path)
 
 
 class Memory(dict):
-    """piece -> what `make` gives for it."""
+    """piece -> what `make` gives for it; kept for short pieces only."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, piece):
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[piece] = self.make(piece)
+        value = self.make(piece)
+        if len(piece) <= LONG:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[piece] = value
         return value
 
 
@@ -67,11 +68,24 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.pieces = Memory(self.by_library)
 
+    def is_plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def nfc(self, text: str) -> str:
+        return normalizers.NFC().normalize_str(text)
+
+    def lower_case(self, char: str) -> str:
+        return normalizers.Lowercase().normalize_str(char)
+
+    def cuts(self, lowered: str) -> list[tuple[int, int]]:
+        """(start, end) of the pieces of a normalised text, white space left out."""
+        return [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(lowered)]
+
     def by_library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+        if self.is_plain(text):
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
         return self.by_library(text)
 
@@ -100,6 +114,7 @@ class PrefixCounter:
         model = json.loads(self.encoder.tokenizer.to_str())["model"]
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
+        self.longest = max(map(len, self.vocab))
         self.tails = {"": set(), self.end: set()}  # ends of tokens, without and with the mark
         for token in self.vocab:
             ended = token.endswith(self.end) and token != self.end
@@ -110,6 +125,7 @@ class PrefixCounter:
         self.letters = byte_letters()
         self.stands = Memory(self.both_stand)
         self.pieces = Memory(self.steps)
+        self.lower = Memory(self.encoder.lower_case)
 
     def merged(self, symbols: list[str]) -> list[str]:
         rank, never = self.rank, len(self.rank)
@@ -137,67 +153,78 @@ class PrefixCounter:
             symbols[-1] += self.end
         return self.merged(symbols) == [t for t in pair if t]
 
-    def ending(self, symbols: str, end: str, last: list[tuple[str, int]]) -> tuple[str, int]:
-        """The last token of the whole of `symbols`, and the count with it. Longer and
-        longer ends of `symbols` are tried while some token ends in them.
+    def ending(self, symbols: str, stop: int, end: str, last: list[tuple[str, int]]) -> tuple[str, int]:
+        """The last token of the first `stop` of `symbols`, and the count with it; `last`
+        has the same for the prefixes before. Longer and longer ends are tried while some
+        token ends in them.
         """
         vocab, stands, tails = self.vocab, self.stands, self.tails[end]
-        for j in range(len(symbols) - 1, -1, -1):
-            tail = symbols[j:]
+        for j in range(stop - 1, -1, -1):
+            tail = symbols[j:stop]
             if tail not in tails:
                 break
-            if (token := tail + end) in vocab and stands[last[j][0], token]:
-                return token, last[j][1] + 1
-        raise ValueError(f"no token ends {symbols!r}")
+            token, (before, n) = tail + end, last[j - stop]
+            if token in vocab and stands[before, token]:
+                return token, n + 1
+        raise ValueError(f"no token ends {symbols[max(0, stop - self.longest) : stop]!r}")
 
     def steps(self, piece: str) -> bytes:
-        """For each code point of a piece, the change of the count as a signed byte. What
-        is known of a prefix holds for every piece that begins with it.
+        """For each code point of a piece, the change of the count, as 32-bit numbers. What
+        is known of a short prefix holds for every piece that begins with it; beyond, only
+        the states within reach of the longest token are held.
         """
-        if WHITE_SPACE.match(piece):
-            return bytes(len(piece))
-        goes_on, ended = self.goes_on, self.ended
+        if piece[0] in SPACES:
+            return bytes(4 * len(piece))
+        goes_on, ended, end, longest = self.goes_on, self.ended, self.end, self.longest
         if max(len(goes_on), len(ended)) >= MEMORY:
             goes_on.clear()
             ended.clear()
-        symbols, last, counts = "", [("", 0)], [0]
-        for char in piece:
-            for letter in [self.letters[b] for b in char.encode()]:
-                if symbols:
-                    state = goes_on.get(symbols)
+        symbols = "".join([self.letters[b] for b in piece.encode()])
+        edges = np.cumsum([len(c.encode()) for c in piece]).tolist()
+        last, counts, at = [("", 0)], [0], 0
+        for edge in edges:
+            while at < edge:
+                if at:
+                    state = goes_on.get(symbols[:at]) if at <= LONG else None
                     if state is None:
-                        state = goes_on[symbols] = self.ending(symbols, "", last)
+                        state = self.ending(symbols, at, "", last)
+                        if at <= LONG:
+                            goes_on[symbols[:at]] = state
                     last.append(state)
-                symbols += letter
-            n = ended.get(symbols)
+                    if len(last) > 64 * longest:
+                        del last[:-longest]
+                at += 1
+            n = ended.get(symbols[:at]) if at <= LONG else None
             if n is None:
-                n = ended[symbols] = self.ending(symbols, self.end, last)[1]
+                n = self.ending(symbols, at, end, last)[1]
+                if at <= LONG:
+                    ended[symbols[:at]] = n
             counts.append(n)
-        return bytes([max(-128, min(127, b - a)) & 255 for a, b in zip(counts, counts[1:])])
+        return np.diff(np.array(counts, "<i4")).tobytes()
 
     def table(self, text: str) -> np.ndarray:
-        """Changes of the token count, one for each code point of the text's NFC form:
-        the count at prefix i is the sum of the first i. A special string of the
-        vocabulary counts as one token once it is whole; before, as ordinary text.
+        """Changes of the token count, one for each code point of the text in NFC: the
+        count at prefix i is the sum of the first i. A special string of the vocabulary
+        stands for itself and counts as one token once it is whole; before, as ordinary
+        text. What lies between special strings is put in NFC.
         """
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.encoder.special):
-            return self.plain(PIECES_AND_SPACE.findall(text.lower()))
-        whole = unicodedata.normalize("NFC", text)
-        parts = re.split("(" + "|".join(map(re.escape, self.encoder.special)) + ")", whole)
-        return np.concatenate([self.special(p) if p in self.encoder.special else self.other(p) for p in parts] or [np.zeros(0, np.int64)])
-
-    def plain(self, pieces: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), np.int8)
+        if self.encoder.is_plain(text):
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, PIECES_AND_SPACE.findall(text.lower()))), "<i4")
+        parts = re.split("(" + "|".join(map(re.escape, self.encoder.special)) + ")", text)
+        return np.concatenate([self.special(p) if p in self.encoder.special else self.other(p) for p in parts])
 
     def special(self, part: str) -> np.ndarray:
-        steps = self.other(part).astype(np.int64)
+        steps = self.other(part)
         steps[-1] += 1 - steps.sum()
         return steps
 
     def other(self, part: str) -> np.ndarray:
-        lowered = [c.lower() for c in part]
-        steps = self.plain(ANY_PIECES_AND_SPACE.findall("".join(lowered))).astype(np.int64)
-        if len(steps) == len(part):
+        lowered = [self.lower[c] for c in self.encoder.nfc(part)]
+        joined = "".join(lowered)
+        steps = np.zeros(len(joined), "<i4")
+        for start, end in self.encoder.cuts(joined):
+            steps[start:end] = np.frombuffer(self.pieces[joined[start:end]], "<i4")
+        if len(lowered) == len(joined):
             return steps
         ends = np.cumsum([len(c) for c in lowered])
         return np.diff(np.concatenate([[0], np.cumsum(steps)])[ends], prepend=0)
@@ -223,13 +250,14 @@ def longest_prefix(table: np.ndarray, budget: int) -> int:
 
 def prefix_counts(docs: DataFrame, vocabulary: str, budgets: tuple[int, ...] = (), keep_table: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens, `fits` (for each of `budgets`, the code points of the
-    longest prefix within it) and, if kept, `steps`: the prefix table as one signed byte
-    for each code point of the NFC form, whose running sum is the token count.
-
-    One row for each row of `docs` (doc_id, text); null text counts as empty, empty text
-    has no tokens and the empty table. Rows, ids and further columns may repeat freely.
-    Texts beyond the plain range also get the library's own count; should its Unicode
-    version disagree with this one's, n_tokens is the library's.
+    longest prefix within it) and, if kept, `steps`: the prefix table as a little-endian
+    signed 32-bit number for each code point of the NFC form, whose running sum is the
+    token count.
+
+    One row for each row of `docs` (doc_id, text), repeated ones and null doc_ids too;
+    further columns are left alone, no rows give none. Null text counts as empty, empty
+    text has no tokens and the empty table. Words of any length are exact: they need
+    memory for their own table only.
     """
     rows_per_batch(docs.sparkSession)
     schema = "doc_id {}, n_bytes bigint, n_tokens bigint, fits array<bigint>".format(docs.schema["doc_id"].dataType.simpleString())
@@ -242,14 +270,11 @@ def prefix_counts(docs: DataFrame, vocabulary: str, budgets: tuple[int, ...] = (
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 table = dp.table(text)
-                n = int(table.sum(dtype=np.int64))
-                if not PLAIN.fullmatch(text):
-                    n = len(dp.encoder.by_library(text)) // dp.encoder.dtype.itemsize
                 sizes.append(len(text.encode()))
-                tokens.append(n)
+                tokens.append(int(table.sum(dtype=np.int64)))
                 fits.append([longest_prefix(table, b) for b in budgets])
                 if keep_table:
-                    tables.append(np.clip(table, -128, 127).astype(np.int8).tobytes())
+                    tables.append(table.astype("<i4").tobytes())
             out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.list_(pa.int64()))]
             names = ["doc_id", "n_bytes", "n_tokens", "fits"]
             if keep_table:
