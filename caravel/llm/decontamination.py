@@ -35,15 +35,19 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TO_WORDS).split()
 
 
-def in_order(items: Iterable[int | None]) -> list[int | None]:
+def in_order(items: Iterable) -> list:
     """Each once and sorted, null last."""
-    return sorted(set(items), key=lambda i: (i is None, i or 0))
+    return sorted(set(items), key=null_last)
+
+
+def null_last(item):
+    return item is None, 0 if item is None else item
 
 
 class TestPart:
     """The windows of some test items, as numbers of their terms."""
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int):
+    def __init__(self, items: list[tuple], window: int):
         self.terms: dict[bytes, int] = {}
         self.items, self.windows = [], []
         seen: dict[tuple[int, ...], list[int]] = {}
@@ -166,7 +170,7 @@ def test_parts(benchmark: DataFrame, window: int, parts: int) -> Iterator[TestPa
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     for k in range(parts):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        rows = sorted(mine.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+        rows = sorted(mine.collect(), key=lambda r: (null_last(r.item_id), r.text))
         yield TestPart([(r.item_id, r.text) for r in rows], window)
 
 
@@ -193,6 +197,7 @@ def matches_of(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: i
         docs = shared_table(docs.select(F.monotonically_increasing_id().alias("__row"), *keys, F.col("text").cast("string").alias("text")), "numbered-docs")
     carried = ["__row", *keys] if parts > 1 else keys
     item = benchmark.schema["item_id"].dataType.simpleString()
+    item_type = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in carried)
     schema = f"{kinds}, n_words bigint, item_ids array<{item}>, spans array<array<bigint>>"
     found = None
@@ -213,7 +218,7 @@ def matches_of(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: i
                         [
                             *(batch.column(k)[at].values for k in carried),
                             pa.array(block.size.astype(np.int64)),
-                            pa.array([in_order(items.get(d, ())) for d in n], pa.list_(pa.int64())),
+                            pa.array([in_order(items.get(d, ())) for d in n], pa.list_(item_type)),
                             pa.array([merged(spans.get(d, [])) for d in n], pa.list_(pa.list_(pa.int64()))),
                         ],
                         [*carried, "n_words", "item_ids", "spans"],
