@@ -3,8 +3,10 @@
 A page's nodes get a density: characters per tag, adjusted by the share of linked
 characters and tags. The sum of a node's children's densities finds the subtree that
 holds most dense text; the smallest density on the path from body to it is the page's
-threshold, below which a sibling subtree is no content. Elements that are never article
-(by tag, role or name) leave the tree before anything is counted.
+threshold. Of every other subtree that reaches the threshold, the part with the largest
+sum is main text too. An article or main element around such a part, and headings just
+before it, are taken with it; blocks of links within are not. Elements that are never
+article (by tag, role, name or heading) leave the tree before anything is counted.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -44,46 +47,65 @@ NEVER = {
     "input", "svg", "canvas", "object", "embed", "dialog",
 }
 NEVER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
-#: Words of class and id names (split at anything but letters and at case) of elements
-#: that are no article.
+#: What class and id names call elements that are no article: alone or as the last word
+#: of a name (reader-comments), or before a word for a container (comment-list).
 NEVER_NAME = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts",
     "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup",
     "modal", "overlay", "newsletter", "subscribe", "signup", "login", "comment", "comments", "disqus", "respond", "reply", "replies", "related",
     "recommended", "share", "sharing", "social", "pagination", "pager", "widget", "toolbar", "copyright", "legal", "disclaimer",
 }
+CONTAINER = {
+    "area", "articles", "bar", "block", "body", "box", "button", "buttons", "card", "column", "container", "content", "footer", "form", "group", "header", "icons",
+    "inner", "item", "items", "link", "links", "list", "main", "message", "module", "outer", "panel", "posts", "region", "row", "section", "slot", "stories", "text",
+    "thread", "title", "top", "unit", "wrap", "wrapper",
+}
+#: First words of names that say what an element or page has, not what it is.
+STATE = {"has", "is", "no", "not", "show", "with", "without"}
+COMMENTS_HEADING = re.compile(r"\s*(?:\d+\s+)?(?:(?:reader|user)\s+)?(?:comments?|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply))\b[\s\d():]*", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "no_article")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "no_article", "in_article")
 
     def __init__(self, tag: str, parent: Node | None, no_article: bool):
         self.tag, self.parent, self.no_article = tag, parent, no_article
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.best = self
+
+    @property
+    def mostly_links(self) -> bool:
+        return self.link_chars * 2 > self.chars
+
+
+def names_no_article(name: str, never: set[str]) -> bool:
+    """Whether one class or id name calls its element one of `never`."""
+    words = [w.lower() for w in NAME_WORDS.findall(name)]
+    if not words or words[0] in STATE:
+        return False
+    return words[-1] in never or words[-1] in CONTAINER and not never.isdisjoint(words[:-1])
 
 
 def is_no_article(tag: str, attrs: str, parent: Node) -> bool:
-    in_article = parent
-    while in_article is not None and in_article.tag not in ("article", "main"):
-        in_article = in_article.parent
     if tag in NEVER:
-        return tag != "header" or in_article is None  # an article's own header holds its title
+        return tag != "header" or not parent.in_article  # an article's own header holds its title
     if tag == "a" or not attrs.strip():
         return False
+    never = NEVER_NAME - {"header", "banner", "masthead"} if parent.in_article else NEVER_NAME
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name == "hidden" and value.lower() not in ("false", "until-found") or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
         if name == "role" and value.lower() in NEVER_ROLE:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            never = NEVER_NAME - {"header", "banner", "masthead"} if in_article is not None else NEVER_NAME
-            if not never.isdisjoint(w.lower() for w in NAME_WORDS.findall(value)):
-                return True
+        if name in ("class", "id") and tag not in ("body", "html", "main") and any(names_no_article(v, never) for v in value.split()):
+            return True
     return False
 
 
@@ -92,6 +114,7 @@ def parse(page: str) -> Node:
     blocks that close an open paragraph with the inline elements in it.
     """
     root = node = Node("html", None, False)
+    opened: Counter[str] = Counter()  # tags opened and not yet closed by name; others need no search
     at = 0
     match = MARKUP.search(page)
     while match:
@@ -104,6 +127,10 @@ def parse(page: str) -> Node:
         if not tag:
             pass
         elif match["close"]:
+            if not opened[tag]:
+                match = MARKUP.search(page, at)
+                continue
+            opened[tag] -= 1
             found = node
             while found.parent and found.tag != tag:
                 found = None if found.tag in ("table", "td", "th") and tag in INLINE else found.parent
@@ -134,25 +161,43 @@ def parse(page: str) -> Node:
                 at = end.end() if end else len(page)
             elif tag not in VOID and not match["attrs"].endswith("/"):
                 node = child
+                opened[tag] += 1
         match = MARKUP.search(page, at)
     if at < len(page):
         node.children.append(page[at:])
     return root
 
 
+def heads_comments(node: Node) -> bool:
+    """Whether the first heading among a block's children says that comments follow."""
+    if node.tag not in ("div", "section", "ol", "ul"):
+        return False
+    first = next((c for c in node.children if isinstance(c, Node) or c.strip()), None)
+    if not isinstance(first, Node) or first.tag not in HEADINGS:
+        return False
+    return COMMENTS_HEADING.fullmatch("".join(c for c in first.children if isinstance(c, str))) is not None
+
+
+def text_chars(text: str) -> int:
+    return len(SPACE.sub(" ", html.unescape(text)).strip())
+
+
 def measured(root: Node) -> list[Node]:
-    """All nodes in page order, without those that are no article, with their counts."""
+    """All nodes in page order, without those that are no article, with their counts,
+    densities, sums and the best (largest sum) of their subtree.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not c.no_article]
+        node.children = [c for c in node.children if isinstance(c, str) or not (c.no_article or heads_comments(c))]
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    own = {}
     for node in reversed(order):
+        own[node] = sum(text_chars(c) for c in node.children if isinstance(c, str))
+        node.chars = own[node]
         for c in node.children:
-            if isinstance(c, str):
-                node.chars += len(SPACE.sub(" ", html.unescape(c)).strip())
-            else:
+            if isinstance(c, Node):
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.chars if c.tag == "a" else c.link_chars
@@ -166,45 +211,54 @@ def measured(root: Node) -> list[Node]:
             inner = node.chars / max(1, node.link_chars) * max(1, node.tags) / max(1, node.link_tags)
             node.density = node.chars / max(1, node.tags) * max(0.0, math.log(inner) / base if inner > 1 else 0.0)
         # characters of the node's own text count with its children
-        own = sum(len(SPACE.sub(" ", html.unescape(c)).strip()) for c in node.children if isinstance(c, str))
-        node.sum = own + sum(c.density for c in node.children if isinstance(c, Node))
+        inside = [c for c in node.children if isinstance(c, Node)]
+        node.sum = own[node] + sum(c.density for c in inside)
+        node.best = max([node, *(c.best for c in inside if c.tag not in INLINE)], key=lambda n: n.sum)
     return order
 
 
-def content(root: Node) -> set[Node]:
-    """The nodes whose subtrees are the main text: the one of the largest density sum, as
-    far as an article or main element around it reaches, or the one that holds most of
-    it; without such elements, also what beside its path to body is as dense as the path.
+def up_to(node: Node, top: Node) -> list[Node]:
+    path = [node]
+    while path[-1] is not top and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path
+
+
+def content(root: Node) -> tuple[set[Node], set[Node]]:
+    """The nodes whose subtrees are the main text, and those within that are blocks of
+    links. Marks are the part of the largest density sum and, of every other subtree as
+    dense as the threshold, its part of the largest sum.
     """
     order = measured(root)
     body = next((n for n in order if n.tag == "body"), root)
-    best = max([n for n in order if n.tag not in INLINE], key=lambda n: n.sum)
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return {node}
-        node = node.parent
-    within, stack = [], [best]
+    threshold = min(n.density for n in up_to(body.best, body))
+    marks, stack = [], [body]
     while stack:
         node = stack.pop()
-        stack += [c for c in node.children if isinstance(c, Node)]
-        if node.tag in ("article", "main") and 2 * node.chars >= best.chars:
-            within.append(node)
-    if within:
-        return {max(within, key=lambda n: (n.tag == "article", n.chars))}
-    path, node = [best], best
-    while node is not body and node.parent is not None:
-        node = node.parent
-        path.append(node)
-    threshold = min(n.density for n in path)
-    beside = {c for n in path[1:] for c in n.children if isinstance(c, Node) and c.chars and c.density >= threshold and c.link_chars * 2 < c.chars}
-    return {best, *beside}
+        inside = [node]
+        if node.chars and node.density >= threshold and (node is body or not node.mostly_links) and node.tag not in INLINE:
+            marks.append(node.best)
+            inside = up_to(node.best, node)[1:]
+        on_path = {node.best, *inside}
+        stack += [c for n in inside for c in n.children if isinstance(c, Node) and c not in on_path]
+    chosen, of_articles = set(), any(n.tag == "article" for m in marks for n in up_to(m, body))
+    for mark in marks:
+        path = up_to(mark, body)
+        around = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), mark)
+        if around.tag == "main" and of_articles:
+            around = mark
+        chosen.add(around)
+        for node in up_to(around, body)[:-1]:
+            before = node.parent.children[: node.parent.children.index(node)]
+            chosen.update(c for c in before if isinstance(c, Node) and c.tag in HEADINGS | {"header", "hgroup"} and not c.mostly_links)
+    links = {n for n in order if n.tag in ("div", "section", "ul", "ol", "dl", "table") and n.link_tags > 1 and n.mostly_links and n.density < threshold}
+    return chosen, links
 
 
 def main_text(page: str) -> str:
     """The blocks of the main text in page order, joined by two new lines."""
     root = parse(page)
-    chosen = content(root)
+    chosen, links = content(root)
     blocks, line = [], []
 
     def flush() -> None:
@@ -221,7 +275,7 @@ def main_text(page: str) -> str:
         elif isinstance(node, str):
             if within:
                 line.append(node)
-        else:
+        elif node not in links:
             block, within = node.tag not in INLINE, within or node in chosen
             if block:
                 flush()
@@ -234,7 +288,8 @@ def main_text(page: str) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row of `pages` (page_id, url, html). Null or
+    """page_id, url, text and n_chars of each row of `pages` (page_id, url, html; further
+    columns are left alone), repeated rows and null ids too; no rows give none. Null or
     empty html, and pages of nothing but menus and the like, have an empty text.
     """
     rows_per_batch(pages.sparkSession)
