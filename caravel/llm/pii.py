@@ -2,12 +2,16 @@
 
 Generators propose spans generously and may overlap: the four base kinds as they are
 fixed by the contract, and looser shapes of each. Boosted trees judge each candidate by
-its format and its context; a threshold for each generator, calibrated on held-out rows
-for precision, selects the redactions. Valid base spans always stay.
-
-The trees learn from rows made by a rule (there are no labels of personal data): written
-shapes in telling, misleading and neutral contexts. They are then one SQL expression.
-Positions come from the gaps between matches, summed in order within each document.
+its format and its context; a threshold for each generator, calibrated for precision on
+documents the trees have not seen, selects the redactions. Valid base spans always stay.
+
+There are no labels of personal data, so the trees learn from planted ones: shapes of
+personal data and of what is mistaken for it (order numbers, versions, times, sums,
+misspelt or malformed ones) are set into pieces of a bounded sample of the corpus, with
+telling and misleading words beside either, and found there by the same generators. A
+candidate's label is what was planted, not a function of its features. The trees are
+then one SQL expression. Positions come from the gaps between matches, summed in order
+within each document.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.llm.shared import shared_table, whole_text
@@ -30,14 +34,16 @@ GENERATORS = {
     "ip": ("ip", True, ".", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("card", True, None, r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+"),
     "phone": ("phone", True, "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "email_spelled": ("email", False, "at", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\.)[A-Za-z]{2,24}+"),
-    "ip_long": ("ip", False, ":", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    "phone_local": ("phone", False, "-", r"(?<![0-9+.)\x20-])(?<![0-9][\x20.-])\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9-])|(?<=[A-Za-z:.,;]\x20)\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9-])"),
+    "email_spelled": ("email", False, "at", r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+(?:\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]{2,64}+(?:\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\.)[A-Za-z]{2,24}+|\x20at\x20[A-Za-z0-9-]{2,64}+\x20dot\x20[A-Za-z]{2,24}+)"),
+    "ip_long": ("ip", False, ":", r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"),
+    "phone_local": ("phone", False, None, r"(?<![0-9+.(/-])(?<![0-9][\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-][0-9])(?![0-9])|(?<![0-9+.(/-])(?<![0-9][\x20.-])\(?0[0-9]{2,4}\)?[\x20/-][0-9]{5,8}(?![0-9])"),
 }
 CUES = {"email": "mail|contact|write|kontakt|correo|courriel|reach", "ip": "host|server|addr|ip|client|login", "card": "card|visa|pay|karte|tarjeta|carte", "phone": "call|phone|tel|fax|mobile|cell|dial|anruf|llam|appel"}
 MISLEADING = "order|item|ref|isbn|version|section|invoice|model|serial|part|page|room|score"
 LEFT, RIGHT = 24, 8
-TRAIN_ROWS = 6000
+#: Planted shapes, and pieces of documents (at most so many, of so many code points) they are set into.
+TRAIN_ROWS = 8000
+PIECES, PIECE = 800, 96
 PRECISION = 0.95
 
 
@@ -117,6 +123,10 @@ def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
         "chars": F.least(F.length(m), F.lit(120)),
         "separators": F.least(F.length(F.regexp_replace(m, "[0-9A-Za-z]+", "")), F.lit(40)),
         "brackets": m.contains("("),
+        "first": F.coalesce(F.substring(digits(m), 1, 1).try_cast("int"), F.lit(-1)),
+        "groups": F.size(F.split(m, "[^0-9A-Za-z]+")),
+        "ending": m.rlike(r"(?i)(?:\.|dot\x20|dot[)\]]\x20?)(?:com|org|net|edu|gov|info|io|co|eu|de|fr|es|it|uk)$"),
+        "hex_letters": F.length(F.regexp_replace(m, "[^A-Fa-f]+", "")),
         "distinct": F.size(F.array_distinct(F.split(digits(m), ""))),
         "valid": F.coalesce(valid(F.col("generator"), m), F.lit(False)),
         "luhn": F.length(digits(m)).between(8, 19) & luhn(F.substring(digits(m), 1, 19)),
@@ -129,40 +139,92 @@ def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows.select("*", *columns), [f"f_{k}" for k in made]
 
 
-def training_rows(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
-    """Labelled candidates by rule: for each generator the shape with numbers from a hash,
-    in a telling, a misleading or a neutral context. Telling and valid is personal data,
-    misleading or malformed is not, neutral is when the shape itself tells.
+def pieces(docs: DataFrame, n: int = PIECES) -> DataFrame:
+    """At most `n` pieces of documents, chosen by a hash of their rows: number, before and
+    after (the halves of the piece).
+    """
+    share = 2 * n / max(1, docs.count())
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") > 2 * PIECE).withColumn("key", key)
+    some = some.filter(F.pmod(F.col("key"), F.lit(1_000_000)) / 1e6 < share).orderBy("key", "text").limit(n)
+    at = (F.pmod(F.xxhash64("text", F.lit("at")), F.length("text") - PIECE) + 1).cast("int")
+    numbered = some.withColumn("piece", F.col("text").substr(at, F.lit(PIECE))).select(F.row_number().over(Window.orderBy("key", "piece")).alias("number"), "piece")
+    return numbered.select("number", F.left("piece", F.lit(PIECE // 2)).alias("before"), F.substring("piece", PIECE // 2 + 1, PIECE).alias("after"))
+
+
+def planted(docs: DataFrame, n: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id (0 to n - 1), text, kind, personal (1 or 0), from and to (the planted span),
+    number (of the piece around it). Shapes, words beside them and faults are drawn by
+    hashes, each apart from the others.
     """
+    spark = docs.sparkSession
     pick = lambda salt, m: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(m))
     number = lambda salt, width: F.lpad(pick(salt, 10**width).cast("string"), width, "0")
-    of = lambda names, salt: F.array(*map(F.lit, names))[pick(salt, len(names)).cast("int")]
-    names = list(GENERATORS)
-    base = spark.range(n).withColumn("generator", F.array(*map(F.lit, names))[F.pmod("id", F.lit(len(names))).cast("int")])
-    kind = reduce(lambda c, g: c.when(F.col("generator") == g, GENERATORS[g][0]), names, F.when(F.lit(False), ""))
-    word = of(["alder", "brook", "cinder", "dune", "ember", "fern"], "word")
-    fifteen = F.concat(of(["4", "5", "3"], "issuer"), number("card", 14))
+    of = lambda names, salt: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in names])[pick(salt, len(names)).cast("int")]
+    word = lambda salt: of(["alder", "brook", "cinder", "dune", "ember", "fern", "grove", "heath", "iris", "jade"], salt)
+    top = of(["com", "org", "net", "de", "fr", "es", "io", "edu"], "top")
+    fifteen = F.concat(of(["4", "5", "3", "6"], "issuer"), number("card", 14))
     check = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: luhn(F.concat(fifteen, d.cast("string"))))[0].cast("string")
-    card = F.concat(fifteen, F.when(pick("pass", 3) > 0, check).otherwise(number("last", 1)))
-    octet = lambda s: F.when(pick("wild", 4) == 0, pick(s, 999)).otherwise(pick(s, 256)).cast("string")
-    shape = (
-        F.when(F.col("generator") == "email", F.concat(word, F.lit("@"), word, F.lit(".org")))
-        .when(F.col("generator") == "ip", F.concat_ws(".", octet("a"), octet("b"), octet("c"), octet("d")))
-        .when(F.col("generator") == "card", card)
-        .when(F.col("generator") == "phone", F.concat(F.lit("+"), number("cc", 2), F.lit(" "), number("p", 3), F.lit("-"), number("q", 4), F.when(pick("short", 4) > 0, number("r", 3)).otherwise("")))
-        .when(F.col("generator") == "email_spelled", F.concat(word, F.lit(" (at) "), word, F.lit(" (dot) org")))
-        .when(F.col("generator") == "ip_long", F.concat_ws(":", *[F.hex(pick(f"x{i}", 65536)) for i in range(8)]))
-        .otherwise(F.concat(F.when(pick("round", 2) == 0, F.concat(F.lit("("), number("p", 3), F.lit(")"))).otherwise(number("p", 3)), F.lit(" "), number("q", 3), F.lit("-"), number("r", 4)))
-    )
-    rows = base.withColumn("kind", kind).withColumn("match", shape).withColumn("tone", pick("tone", 4))
-    cues = reduce(lambda c, k: c.when(F.col("kind") == k, F.array(*map(F.lit, CUES[k].split("|")))[pick("cue", 3).cast("int")]), CUES, F.when(F.lit(False), ""))
-    left = F.when(F.col("tone") == 0, of(MISLEADING.split("|"), "lead")).when(F.col("tone") == 1, word).otherwise(cues)
-    glued = pick("glued", 8) == 0
-    rows = rows.withColumn("left", F.concat(left, F.when(glued, "=").otherwise(" "))).withColumn("right", F.when(pick("tail", 8) == 0, "-7").otherwise(". "))
-    whole = F.col("generator").isin("email", "email_spelled", "ip_long") | valid(F.col("generator"), F.col("match")) | (F.col("generator") == "phone_local")
-    neutral = (F.col("tone") == 1) & F.col("generator").isin("email", "email_spelled", "card", "phone", "ip", "ip_long")
-    label = whole & ~glued & ((F.col("tone") >= 2) | neutral)
-    return rows.withColumn("label", F.coalesce(label, F.lit(False)).cast("double"))
+    card = F.concat(fifteen, F.when(pick("typo", 12) == 0, number("last", 1)).otherwise(check))
+    grouped = lambda c, by: F.concat_ws(by, *[F.substring(c, i, 4) for i in (1, 5, 9, 13)])
+    octets = lambda most: F.concat_ws(".", *[pick(s, most).cast("string") for s in "abcd"])
+    group = lambda s: F.lower(F.hex(pick(s, 65536)))
+    area = F.concat((2 + pick("area", 8)).cast("string"), number("exchange", 2))
+    people = F.concat(word("who"), of([".", "_", "", "-"], "joint"), word("name"), of(["", "7", "42"], "end"))
+    shapes = [  # kind, whether personal, shape
+        ("email", 1, F.concat(people, F.lit("@"), word("host"), F.lit("."), top)),
+        ("email", 1, F.concat(people, of([" (at) ", "(at)", " [at] "], "at"), word("host"), of([" (dot) ", " [dot] ", "."], "dot"), top)),
+        ("email", 1, F.concat(people, F.lit(" at "), word("host"), F.lit(" dot "), top)),
+        ("ip", 1, octets(256)),
+        ("ip", 1, F.concat_ws(":", *[group(f"x{i}") for i in range(8)])),
+        ("ip", 1, F.concat(of(["fe80", "2001:db8", "2a02:8108", "fd00"], "net"), F.lit("::"), group("y1"), F.when(pick("more", 2) == 0, F.concat(F.lit(":"), group("y2"))).otherwise(""))),
+        ("card", 1, card),
+        ("card", 1, grouped(card, " ")),
+        ("card", 1, grouped(card, "-")),
+        ("phone", 1, F.concat(F.lit("+"), of(["1", "44", "49", "33", "34"], "cc"), F.lit(" "), number("p", 3), of([" ", "-"], "sep"), number("q", 3), number("r", 4))),
+        ("phone", 1, F.concat(of([F.concat(F.lit("("), area, F.lit(") ")), F.concat(area, F.lit("-")), F.concat(area, F.lit(" "))], "form"), number("q", 3), F.lit("-"), number("r", 4))),
+        ("phone", 1, F.concat_ws(".", area, number("q", 3), number("r", 4))),
+        ("phone", 1, F.concat(F.lit("0"), number("city", 3), of([" ", "/", "-"], "sep"), number("line", 7))),
+        ("email", 0, F.concat(word("who"), of(["@2x.png", "@3x.jpg", "@1.4.2", "@latest.tgz"], "asset"))),
+        ("email", 0, F.concat(word("who"), of([" at point dot matrix", " at page dot product", " (at) noon.then", " at line dot line"], "phrase"))),
+        ("ip", 0, F.concat_ws(".", pick("a", 20).cast("string"), pick("b", 20).cast("string"), (256 + pick("c", 700)).cast("string"), pick("d", 99).cast("string"))),
+        ("ip", 0, F.concat_ws(":", *[number(f"t{i}", 2) for i in range(8)])),
+        ("ip", 0, F.concat(of(["add", "fade", "bed", "face", "cafe"], "scope"), F.lit("::"), of(["dead", "beef", "bad", "decade", "ace"], "member"))),
+        ("card", 0, F.concat((1 + pick("lead", 9)).cast("string"), number("order", 15))),
+        ("card", 0, F.concat(of(["15", "16", "17"], "epoch"), number("ms", 11))),
+        ("card", 0, F.concat(of(["978", "979"], "isbn"), number("book", 10))),
+        ("card", 0, F.concat(number("long1", 12), number("long2", 12))),
+        ("card", 0, grouped(F.concat(number("long1", 8), number("long2", 8)), " ")),
+        ("phone", 0, F.concat(F.lit("+"), number("sum", 2), F.lit("."), number("cents", 2))),
+        ("phone", 0, F.concat(F.lit("+"), number("long1", 9), F.lit("-"), number("long2", 9))),
+        ("phone", 0, F.concat_ws(" ", F.concat(pick("low", 2).cast("string"), number("s", 2)), number("q", 3), number("r", 4))),
+        ("phone", 0, F.concat_ws(".", F.concat(pick("low", 2).cast("string"), number("s", 2)), number("q", 3), number("r", 4))),
+    ]
+    chosen = pick("shape", len(shapes))
+    column = lambda i: F.element_at(F.array(*[s[i] if isinstance(s[i], Column) else F.lit(s[i]) for s in shapes]), (chosen + 1).cast("int"))
+    rows = spark.range(n).select("id", column(0).alias("kind"), column(1).alias("personal"), column(2).alias("shape"), (pick("piece", PIECES) + 1).cast("int").alias("number"))
+    telling = reduce(lambda c, k: c.when(F.col("kind") == k, of(CUES[k].split("|"), "cue")), CUES, F.when(F.lit(False), ""))
+    chance = pick("beside", 100)
+    mine = F.when(F.col("personal") == 1, chance < 50).otherwise(chance < 8)
+    other = F.when(F.col("personal") == 1, chance >= 96).otherwise(chance >= 50)
+    beside = F.when(mine, F.concat(telling, of([" ", ": ", " is "], "link"))).when(other, F.concat(of(MISLEADING.split("|"), "lead"), of([" ", ": ", " no. "], "link"))).otherwise("")
+    # pieces are bounded by PIECES rows
+    set_in = rows.join(F.broadcast(pieces(docs)), "number", "left")
+    left = F.concat(F.coalesce("before", F.lit("")), F.when(pick("glued", 10) == 0, of(["=", "/", "x"], "glue")).otherwise(" "), beside)
+    right = F.concat(of(["", ".", ",", " "], "stop"), F.lit(" "), F.coalesce("after", F.lit("")))
+    start = F.length(left)
+    return set_in.select(F.col("id").alias("doc_id"), F.concat(left, "shape", right).alias("text"), "kind", "personal", start.alias("from"), (start + F.length("shape")).alias("to"), "number")
+
+
+def training_rows(docs: DataFrame, n: int = TRAIN_ROWS) -> DataFrame:
+    """Candidates that the generators find at the planted spans, with their label: 1 if what
+    was planted there is personal data of the candidate's kind.
+    """
+    texts = shared_table(planted(docs, n), "planted")
+    found = located(candidates(texts).filter("generator is not null"))
+    truth = texts.select("doc_id", F.col("kind").alias("planted"), "personal", "from", "to", "number")
+    met = found.join(truth, "doc_id").filter("start < to and end > from")
+    return met.withColumn("label", ((F.col("personal") == 1) & (F.col("kind") == F.col("planted"))).cast("double"))
 
 
 def _tree(node: str, names: list[str]) -> Column:
@@ -181,25 +243,32 @@ def _tree(node: str, names: list[str]) -> Column:
     return grow()
 
 
-def fitted(spark: SparkSession, precision: float = PRECISION) -> tuple[Column, dict[str, float], list[str]]:
-    """The trees' probability as an expression of the features, and each generator's
-    threshold: the lowest of 0.50, 0.55, ... 0.95 that keeps `precision` on held-out rows.
+def held() -> Column:
+    """Rows set into pieces of documents that the trees do not learn from."""
+    return F.col("number") % 10 >= 7
+
+
+def fitted(docs: DataFrame, precision: float = PRECISION) -> tuple[Column, DataFrame]:
+    """The trees' probability as an expression of the features; and for each generator the
+    threshold (the lowest of 0.50, 0.55, ... 0.95 that keeps `precision` among what is held
+    out), the precision and the recall there.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows, names = features(training_rows(spark))
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows).select("id", "generator", "label", "x", *names).cache()
-    model = GBTClassifier(featuresCol="x", maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(rows.filter("id % 10 < 7"))
+    rows, names = features(shared_table(training_rows(docs), "training"))
+    rows = shared_table(rows.select("number", "generator", "label", *names), "features")
+    vectors = VectorAssembler(inputCols=names, outputCol="x").transform(rows.filter(~held()))
+    model = GBTClassifier(featuresCol="x", maxIter=16, maxDepth=5, stepSize=0.3, seed=7).fit(vectors)
     margin = reduce(lambda a, b: a + b, [_tree(t.toDebugString, names) * F.lit(w) for t, w in zip(model.trees, model.treeWeights)])
     chance = 1 / (1 + F.exp(-2 * margin))
-    bounds = [x / 100 for x in range(50, 100, 5)]
-    held = rows.filter("id % 10 >= 7").withColumn("p", chance)
-    share = [F.avg(F.when(F.col("p") >= b, F.col("label"))).alias(f"b{i}") for i, b in enumerate(bounds)]
-    precise = held.groupBy("generator").agg(*share).collect()
-    rows.unpersist()
-    thresholds = {r.generator: next((b for i, b in enumerate(bounds) if (r[f"b{i}"] or 0) >= precision), bounds[-1]) for r in precise}
-    return chance, thresholds, names
+    judged = shared_table(rows.filter(held()).select("generator", "label", chance.alias("p")), "held-out")
+    tried = judged.withColumn("threshold", F.explode(F.array(*[F.lit(x / 100) for x in range(50, 100, 5)])))
+    taken = F.when(F.col("p") >= F.col("threshold"), F.col("label"))
+    figures = tried.groupBy("generator", "threshold").agg(F.avg(taken).alias("precision"), (F.sum(taken) / F.sum("label")).alias("recall"))
+    good = F.coalesce(F.col("precision"), F.lit(0)) >= precision
+    best = Window.partitionBy("generator").orderBy(F.desc(good), F.when(good, F.col("threshold")).otherwise(-F.col("threshold")))
+    return chance, figures.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -207,17 +276,20 @@ def personal_data(docs: DataFrame) -> DataFrame:
     exclusive; by kind as listed, then start) of each row of `docs` (doc_id, text).
 
     Null and empty texts have no spans; repeated rows and null doc_ids are rows of their
-    own. A candidate beyond the base is dropped if it overlaps a base span of its kind.
+    own, further columns are left alone, no rows give none. Matches of a base pattern that
+    fail its check are candidates like the looser ones. A candidate beyond the base is
+    dropped if it overlaps a base span of its kind.
     """
-    chance, thresholds, names = fitted(docs.sparkSession)
+    chance, figures = fitted(docs)
+    thresholds = {r.generator: r.threshold for r in figures.collect()}  # a row a generator
     found = candidates(docs)
     lines = located(found.filter("generator is not null"))
     is_base = F.col("generator").isin([g for g, v in GENERATORS.items() if v[1]])
     judged = features(lines)[0].withColumn("p", chance).withColumn("base", is_base & (F.col("f_valid") == 1))
     # written, so that no filter on the trees' result is taken below them as a copy of all trees and features
     judged = shared_table(judged.select("row", "generator", "kind", "start", "end", "base", "p"), "judged")
-    bound = reduce(lambda c, g: c.when(F.col("generator") == g, thresholds.get(g, 0.95)), GENERATORS, F.when(F.lit(False), 1.0))
-    judged = judged.filter(F.col("base") | (~is_base & (F.col("p") >= bound))).select("row", "kind", "start", "end", "base", "p")
+    bound = reduce(lambda c, g: c.when(F.col("generator") == g, thresholds.get(g, 1.0)), GENERATORS, F.when(F.lit(False), 1.0))
+    judged = judged.filter(F.col("base") | (F.col("p") >= bound)).select("row", "kind", "start", "end", "base", "p")
     by = Window.partitionBy("row", "kind")
     running = (Window.unboundedPreceding, Window.currentRow)
     ends = F.max(F.when(F.col("base"), F.col("end"))).over(by.orderBy("start", "end").rangeBetween(*running))
@@ -238,4 +310,4 @@ def digests(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     of = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
     counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.encode(text(base), "UTF-8"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.encode(text(base), "UTF-8"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
