@@ -24,15 +24,15 @@ DROPPED = ["driver_cancelled", "driver_cancelled_after_accept"]
 DECLINED = ["driver_did_not_respond", "driver_rejected", "offer_rejected"]
 RIDER = ["rider_cancelled", "client_cancelled", "client_did_not_show"]
 DEVICE_FAULT = "power|battery|tamper|disconnect|gps"
-NOT_AIRPORT = [
-    "opposite", r"\bopp\b", r"\boppo\b", r"\bnear\b", r"free\s*zone", r"\bdafza\b", r"al\s+quds\s+st", r"al\s+ittihad\s+r", r"\be11\b",
-    r"\bhotel\b", r"\binn\b", r"\bcruise\b", r"mina\s+rashid", r"zayed\s+international", r"abu\s+dhabi\s+international\s+airport",
-    r"sharjah\s+(international\s+|intl\.?\s+)?airport", r"مطار\s+الشارقة",
+# How addresses name the two airports, and what is beside or elsewhere.
+MAKTOUM = ["al maktoum international airport", "al maktoum international air", "al maktoum airport", "( dwc )", "مطار آل مكتوم", "ورلد سنترال"]
+DUBAI = ["dubai international airport", "dubai int l airport", "dubai intl airport", "( dxb )", "dxb terminal", "مطار دبي"]
+BESIDE = [
+    "opposite", "opp", "oppo", "near", "free zone", "freezone", "dafza", "al quds st", "al quds street", "al ittihad rd", "al ittihad road", "e11",
+    "hotel", "inn", "cruise", "mina rashid", "zayed international", "abu dhabi international airport", "sharjah airport", "sharjah international airport",
+    "sharjah intl airport", "مطار الشارقة",
 ]
-AIRPORT_DWC = [r"al[\s-]+maktoum[\s-]+(international[\s-]+)?air", r"\(dwc\)", r"\bdwc\b[^,]*terminal", r"مطار\s+آل\s+مكتوم", r"ورلد\s+سنترال"]
-AIRPORT_DXB = [r"dubai[\s-]+int(ernationa|.)?l\.?[\s-]+airport", r"\(dxb\)", r"\bdxb\s+terminal", r"مطار\s+دبي"]
-TERMINAL = r"\bterminal\s*[123]\b"
-AIRPORT_WORD = r"airport|مطار|\barrivals?\b|\bdepartures?\b|meeting\s+point|\bcustoms\b|\bconcourse\b"
+IN_TERMINAL = ["airport", "مطار", "arrival", "arrivals", "departure", "departures", "meeting point", "customs", "concourse"]
 
 
 def bare_status(status: Column) -> Column:
@@ -67,11 +67,24 @@ def device_fault(alert_type: Column) -> Column:
     return F.coalesce(alert_type.rlike(f"(?i){DEVICE_FAULT}"), F.lit(False))
 
 
+def address_words(address: Column) -> Column:
+    """An address as lower-case words between single spaces; brackets are words."""
+    apart = F.regexp_replace(F.lower(address), "[()]", " $0 ")
+    return F.concat(F.lit(" "), F.regexp_replace(apart, r"[^\p{L}\p{N}()]+", " "), F.lit(" "))
+
+
+def names_one(words: Column, phrases: list[str]) -> Column:
+    return reduce(lambda found, p: found | F.contains(words, F.lit(f" {p} ")), phrases, F.lit(False))
+
+
 def airport_of(address: Column) -> Column:
-    """OMDW, OMDB or null for an address."""
-    some = lambda patterns: address.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
-    dxb = some(AIRPORT_DXB) | (some([TERMINAL]) & some([AIRPORT_WORD]))
-    return F.when(address.isNull() | (F.trim(address) == "") | some(NOT_AIRPORT), None).when(some(AIRPORT_DWC), "OMDW").when(dxb, "OMDB")
+    """OMDW, OMDB or null for an address: by the airport's name or code, or by a numbered
+    terminal with a word for what is in one; null for what is only beside an airport.
+    """
+    words = address_words(address)
+    terminal = names_one(words, [f"terminal {n}" for n in (1, 2, 3)]) & names_one(words, IN_TERMINAL)
+    jets = F.exists(F.split(address, ","), lambda part: address_words(part).rlike(" dwc .*terminal"))
+    return F.when(names_one(words, BESIDE), None).when(names_one(words, MAKTOUM) | jets, "OMDW").when(names_one(words, DUBAI) | terminal, "OMDB")
 
 
 def net_fare(earnings: Column, tip: Column, taxes: Column, net: Column) -> Column:

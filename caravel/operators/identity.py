@@ -1,37 +1,69 @@
-"""Which accounts are one person: candidate pairs by shared words, scores, refutation by
-simultaneous work, shared phones, components.
+"""Which accounts are one person: names of the same words, scores of spellings, refutation
+by simultaneous work, shared cars and phones, components.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.functions import text
 from caravel.operators.joins import connected, overlaps
 
 
-def candidate_pairs(people: DataFrame) -> DataFrame:
-    """Pairs a < b of `people` (id, name) that share a word of four letters or more: an
-    equi-join on words, never all pairs. Words are the blocks; a word that very many
-    people share is only as large as they are similar to each other by it.
+def name_classes(people: DataFrame) -> DataFrame:
+    """id and key of `people` (id, name): the name's distinct words in order, equal for names
+    of the same words. Names of fewer than two words are left out.
     """
-    words = people.select("id", "name", F.explode(F.array_distinct(F.split(text.fold_name(F.col("name")), " "))).alias("word")).filter(F.length("word") >= 4)
-    other = words.select(F.col("id").alias("b"), F.col("name").alias("b_name"), "word")
-    return words.withColumnsRenamed({"id": "a", "name": "a_name"}).join(other, "word").filter("a < b").select("a", "a_name", "b", "b_name").distinct()
+    words = F.array_sort(F.array_distinct(text.words_of(F.col("name"))))
+    return people.select("id", F.when(F.size(words) >= 2, F.concat_ws(" ", words)).alias("key")).filter("key is not null")
 
 
-def matched(pairs: DataFrame) -> DataFrame:
-    """Scored pairs at the floor or above; `strong`, and `ambiguous` where a's next best
-    partner is within 0.08.
+def contained_names(keys: DataFrame) -> DataFrame:
+    """Pairs (short, long) of distinct `keys` of which short's words are all in long, and more.
+
+    A key is looked up by its rarest word only, among the keys that have it: a word that
+    very many have is looked up only for keys of nothing but such words.
+    """
+    split = keys.select("key", F.split("key", " ").alias("words"))
+    spread = split.select("key", "words", F.explode("words").alias("word"))
+    counts = spread.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = spread.join(counts, "word").groupBy("key").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    short = rarest.select(F.col("key").alias("short"), "word")
+    met = short.join(spread.select(F.col("key").alias("long"), "words", "word"), "word")
+    own = F.split("short", " ")
+    return met.filter((F.size(own) < F.size("words")) & (F.size(F.array_except(own, "words")) == 0)).select("short", "long")
+
+
+def spelling_keys(word: Column) -> Column:
+    """A word and what is left of it without any one of its letters: words at one edit from
+    each other have one of these in common.
     """
-    from pyspark.sql import Window
+    dropped = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), word.substr(i + 1, F.length(word))))
+    return F.when(F.length(word) >= 4, F.array_union(F.array(word), dropped)).otherwise(F.array(word))
+
 
-    scored = pairs.withColumn("score", text.name_score(F.col("a_name"), F.col("b_name"))).filter(F.col("score") >= text.FLOOR)
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    nxt = F.lead("score").over(order)
-    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("ambiguous", F.coalesce(F.col("score") - nxt < text.CLOSE, F.lit(False)))
-    return ranked.withColumn("strong", F.col("score") >= text.STRONG)
+def matched(wanted: DataFrame, people: DataFrame) -> DataFrame:
+    """For each of `wanted` (wanted; distinct names that are looked for) the best of `people`
+    (name): best, score, next (the second best score) and verdict: exact, likely, ambiguous
+    (the next is too close), weak, or none (nothing at the floor).
+
+    Wanted names meet the distinct names of people that have a word of four letters or more
+    spelled alike, or a shorter word in common; the two best are kept on the map side.
+    """
+    keyed = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.flatten(F.transform(text.words_of(F.col(c)), spelling_keys)))).alias("word"))
+    pairs = keyed(wanted, "wanted").join(keyed(people, "name"), "word").select("wanted", "name").distinct()
+    scored = pairs.withColumn("score", text.name_score(F.col("wanted"), F.col("name"))).filter(F.col("score") >= text.FLOOR)
+    top = scored.groupBy("wanted").agg(F.max_by("name", F.struct("score", "name")).alias("best"), F.max(F.struct("score", "name"))["score"].alias("score"))
+    second = scored.join(top.select("wanted", "best"), "wanted").filter("name <> best").groupBy("wanted").agg(F.max("score").alias("next"))
+    verdict = (
+        F.when(F.col("best").isNull(), "none")
+        .when(text.fold_name(F.col("wanted")) == text.fold_name(F.col("best")), "exact")
+        .when(F.coalesce(F.col("score") - F.col("next") < text.CLOSE, F.lit(False)), "ambiguous")
+        .when(F.col("score") >= text.STRONG, "likely")
+        .otherwise("weak")
+    )
+    return wanted.select("wanted").distinct().join(top, "wanted", "left").join(second, "wanted", "left").withColumn("verdict", verdict)
 
 
 def refuted(pairs: DataFrame, trips: DataFrame) -> DataFrame:
@@ -51,9 +83,30 @@ def phone_links(records: DataFrame) -> DataFrame:
     return pairs.filter("n = 2 and platforms = 2 and a <> b").select("a", "b", F.lit("phone").alias("reason"))
 
 
+def shared_car(pairs: DataFrame, trips: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose two accounts have driven one car."""
+    driven = trips.select("id", "plate").filter("plate is not null").distinct()
+    both = pairs.join(driven.withColumnRenamed("id", "a"), "a").join(driven.withColumnRenamed("id", "b"), ["b", "plate"])
+    return both.select("a", "b").distinct()
+
+
+def name_pairs(people: DataFrame) -> DataFrame:
+    """Pairs a < b of accounts whose names are of the same words, each account with the first
+    of its class, and of the firsts of classes of which one has all words of the other.
+    """
+    classes = name_classes(people)
+    firsts = classes.groupBy("key").agg(F.min("id").alias("first"))
+    same = classes.join(firsts, "key").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    first = lambda c: firsts.select(F.col("key").alias(c), F.col("first").alias(f"{c}_id"))
+    more = contained_names(firsts.select("key")).join(first("short"), "short").join(first("long"), "long").select(F.col("short_id").alias("x"), F.col("long_id").alias("y"))
+    return same.unionByName(more).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def persons(pairs: DataFrame, trips: DataFrame, links: DataFrame) -> DataFrame:
-    """id, person: components over strong, unrefuted name pairs and other links."""
-    kept = pairs.join(refuted(pairs, trips), ["a", "b"], "left_anti").select("a", "b")
+    """id, person: components over name pairs that share a car and that simultaneous work
+    does not refute, and over other links.
+    """
+    kept = shared_car(pairs, trips).join(refuted(pairs, trips), ["a", "b"], "left_anti").select("a", "b")
     found = connected(kept.unionByName(links.select("a", "b")))
     return found.withColumnsRenamed({"node": "id", "component": "person"})
 

@@ -91,10 +91,14 @@ def asof_pairs(sessions: DataFrame, trips: DataFrame, hours: int) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only
+    a session on one machine may leave that unset; it gets a folder of its own.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = sc.getCheckpointDir()
     return f"{folder}/{sc.applicationId}/{label}-{uuid.uuid4().hex}"

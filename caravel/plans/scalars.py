@@ -27,20 +27,83 @@ def _(t):
     return side("a").join(side("b"), "w").select("a", "b", F.round(text.trigram_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("F04_F05_J30_name_match")
+#: Part names, the same with a word more, and turned round.
+NAMED = "SELECT DISTINCT unnest([p_name, p_name || ' ' || lower(p_type), split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)]) AS name FROM part"
+
+
+def named(t):
+    turned = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    return t.part.select(F.explode(F.array("p_name", F.concat_ws(" ", "p_name", F.lower("p_type")), turned)).alias("name")).distinct()
+
+
+@query("F04_edit_distance", "WITH n AS (SELECT DISTINCT p_name AS a, substring(p_name, 1, 2) || substring(p_name, 4, 1) || substring(p_name, 3, 1) || substring(p_name, 6) AS b FROM part) SELECT a.a, b.b, least(damerau_levenshtein(a.a, b.b), 4) AS edits FROM n a JOIN n b ON length(a.a) = length(b.b)")
+def _(t):
+    changed = F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1), F.substring("p_name", 3, 1), F.substring("p_name", 6, 100))
+    names = t.part.select(F.col("p_name").alias("a"), changed.alias("b")).distinct()
+    met = names.select("a", F.length("a").alias("n")).join(names.select("b", F.length("b").alias("n")), "n")
+    return met.select("a", "b", text.edit_distance(F.col("a"), F.col("b"), 3).cast("bigint").alias("edits"))
+
+
+WANTED_SQL = "SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN substring(p_name, 1, 2) || substring(p_name, 4) WHEN 2 THEN substring(p_name, 1, 1) || ' ' || split_part(p_name, ' ', 2) ELSE 'zzyx ' || split_part(p_name, ' ', 2) || 'q' END AS wanted FROM part"
+
+
+@query("F05_name_match", f"""WITH w AS ({WANTED_SQL}), p AS (SELECT DISTINCT p_name AS name FROM part),
+c AS (SELECT wanted, name, list_filter(string_split(wanted, ' '), lambda x: x <> '') AS wa, string_split(name, ' ') AS wb FROM w, p),
+s AS (SELECT *, CASE WHEN len(wa) <= len(wb) THEN wa ELSE wb END AS f, CASE WHEN len(wa) <= len(wb) THEN wb ELSE wa END AS m FROM c),
+k AS (SELECT wanted, name, CAST(len(list_filter(f, lambda x: list_contains(m, x) OR len(list_filter(m, lambda y: (length(x) >= 4 AND length(y) >= 4 AND damerau_levenshtein(x, y) <= 1) OR (length(x) <= 2 AND length(y) > 2 AND starts_with(y, x)))) > 0)) AS DOUBLE) / len(f) AS tokens, {TRIGRAMS('wanted')} AS ta, {TRIGRAMS('name')} AS tb FROM s),
+r AS (SELECT wanted, name, CASE WHEN wanted = name THEN 1.0 ELSE round(0.7 * tokens + 0.3 * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 3) END AS score FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY score DESC, name DESC) AS i, lead(score) OVER (PARTITION BY wanted ORDER BY score DESC, name DESC) AS next FROM r WHERE score >= 0.45)
+SELECT w.wanted, o.name AS best, o.score, o.next, CASE WHEN o.name IS NULL THEN 'none' WHEN w.wanted = o.name THEN 'exact' WHEN o.score - o.next < 0.08 THEN 'ambiguous' WHEN o.score >= 0.86 THEN 'likely' ELSE 'weak' END AS verdict
+FROM w LEFT JOIN o ON o.wanted = w.wanted AND o.i = 1""")
+def _(t):
+    kind, second = F.col("p_size") % 4, F.split_part("p_name", F.lit(" "), F.lit(2))
+    dropped = F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 100))
+    strange = F.concat(F.lit("zzyx "), second, F.lit("q"))
+    wanted = F.when(kind == 0, F.col("p_name")).when(kind == 1, dropped).when(kind == 2, F.concat(F.substring("p_name", 1, 1), F.lit(" "), second)).otherwise(strange)
+    return identity.matched(t.part.select(wanted.alias("wanted")), t.part.select(F.col("p_name").alias("name")))
+
+
+KEY_SQL = "array_to_string(list_sort(list_distinct(string_split(name, ' '))), ' ')"
+
+
+@query("J30_contained_names", f"WITH k AS (SELECT DISTINCT {KEY_SQL} AS key FROM ({NAMED})) SELECT a.key AS short, b.key AS long FROM k a JOIN k b ON len(string_split(a.key, ' ')) < len(string_split(b.key, ' ')) AND list_has_all(string_split(b.key, ' '), string_split(a.key, ' '))")
 def _(t):
-    names = t.part.select("p_name").distinct().select(F.xxhash64("p_name").alias("id"), F.col("p_name").alias("name"))
-    return identity.matched(identity.candidate_pairs(names)).select("a_name", "b_name", "score", "rank", "strong", "ambiguous")
+    classes = identity.name_classes(named(t).select(F.col("name").alias("id"), "name"))
+    return identity.contained_names(classes.select("key").distinct())
+
+
+#: Accounts: a name with its words turned round on every second platform, and with a word more on the third.
+ACCOUNT_SQL = """SELECT p_name || '#' || p_size % 5 AS id, CASE p_size % 5 WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 2 THEN p_name || ' senior' ELSE p_name END AS name,
+    'V-' || p_partkey % 20 AS plate, TIMESTAMP '2024-01-01' + INTERVAL 2 HOUR * CAST(p_partkey % 5000 AS INT) AS s, TIMESTAMP '2024-01-01' + INTERVAL 2 HOUR * CAST(p_partkey % 5000 AS INT) + INTERVAL 5 MINUTE * p_size AS e, CASE WHEN p_partkey % 200 < 2 THEN CAST(950000000 + p_partkey // 2 AS VARCHAR) END AS phone FROM part"""
 
 
-@query("C23_J31_persons")
+@query("C23_J31_persons", f"""WITH RECURSIVE r AS ({ACCOUNT_SQL}), acc AS (SELECT DISTINCT id, {KEY_SQL} AS key FROM r),
+f AS (SELECT key, min(id) AS first FROM acc GROUP BY 1), pairs AS (
+    SELECT first AS x, id AS y FROM acc JOIN f USING (key) WHERE first <> id
+    UNION SELECT a.first, b.first FROM f a JOIN f b ON len(string_split(a.key, ' ')) < len(string_split(b.key, ' ')) AND list_has_all(string_split(b.key, ' '), string_split(a.key, ' '))),
+ab AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM pairs),
+car AS (SELECT DISTINCT a, b FROM ab JOIN r p ON p.id = a JOIN r q ON q.id = b AND q.plate = p.plate),
+bad AS (SELECT DISTINCT a, b FROM ab JOIN r p ON p.id = a JOIN r q ON q.id = b AND q.plate <> p.plate AND p.s < q.e AND q.s < p.e),
+ph AS (SELECT min(id) AS a, max(id) AS b FROM (SELECT DISTINCT id, phone FROM r) GROUP BY phone HAVING count(*) = 2 AND count(DISTINCT split_part(id, '#', 2)) = 2),
+l AS (SELECT * FROM car WHERE (a, b) NOT IN (SELECT (a, b) FROM bad) UNION SELECT a, b FROM ph),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), w AS (SELECT x AS node, x AS seen FROM e UNION SELECT w.node, e.y FROM w JOIN e ON e.x = w.seen)
+SELECT node AS id, min(seen) AS person FROM w GROUP BY 1""")
 def _(t):
-    people = t.part.select("p_name").distinct().select(F.xxhash64("p_name").alias("id"), F.col("p_name").alias("name"))
-    strong = identity.matched(identity.candidate_pairs(people)).filter("strong and not ambiguous").select("a", "b")
-    cars = t.part.select(F.xxhash64("p_name").alias("id"), F.concat(F.lit("V-"), F.col("p_size")).alias("plate"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("base"), F.col("p_partkey"))
-    trips = cars.select("id", "plate", (F.col("base") + F.make_interval(hours=(F.col("p_partkey") * 3).cast("int"))).alias("start"), (F.col("base") + F.make_interval(hours=(F.col("p_partkey") * 3 + 2).cast("int"))).alias("end"))
-    links = people.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    return identity.persons(strong, trips, links)
+    band, second = F.col("p_size") % 5, F.split_part("p_name", F.lit(" "), F.lit(2))
+    turned = F.concat_ws(" ", second, F.split_part("p_name", F.lit(" "), F.lit(1)))
+    name = F.when(band == 1, turned).when(band == 2, F.concat("p_name", F.lit(" senior"))).otherwise(F.col("p_name"))
+    begin = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_interval(hours=(F.col("p_partkey") % 5000 * 2).cast("int"))
+    rows = t.part.select(
+        F.concat("p_name", F.lit("#"), band).alias("id"),
+        name.alias("name"),
+        F.concat(F.lit("V-"), F.col("p_partkey") % 20).alias("plate"),
+        begin.alias("start"),
+        (begin + F.make_interval(mins=F.col("p_size") * 5)).alias("end"),
+        F.when(F.col("p_partkey") % 200 < 2, F.floor(950000000 + F.col("p_partkey") / 2).cast("string")).alias("phone"),
+        band.cast("string").alias("platform"),
+    )
+    pairs = identity.name_pairs(rows.select("id", "name").distinct())
+    return identity.persons(pairs, rows, identity.phone_links(rows.select("id", "phone", "platform").distinct()))
 
 
 @query("F06_F07_F08_keys", r"SELECT s_suppkey, upper(regexp_replace('ab-' || s_suppkey || ' x', '[\s-]', '', 'g')) AS plate, CASE WHEN length(regexp_replace('+971 50-' || (1000000 + s_suppkey), '[^0-9]', '', 'g')) >= 9 THEN right(regexp_replace('+971 50-' || (1000000 + s_suppkey), '[^0-9]', '', 'g'), 9) END AS phone, regexp_replace(lower(trim(' Optional_Ride_' || s_name)), '^optional_ride_', '') AS status FROM supplier")
