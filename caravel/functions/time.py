@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OFFSET = "INTERVAL '4' HOUR"
@@ -142,19 +142,28 @@ def week_chunks(lo: date, hi: date, today: date) -> list[tuple[date, date]]:
     return [(w, w + timedelta(days=6)) for w in weeks if w + timedelta(days=6) < today]
 
 
-def hijri(day: Column) -> Column:
-    """(year, month, day) of the tabular Islamic calendar (civil epoch, 30-year cycle)."""
-    julian = F.datediff(day, F.to_date(F.lit("1970-01-01"))) + 2440588
-    n = julian - 1948440 + 10632
-    cycle = F.floor((n - 1) / 10631)
-    n = n - 10631 * cycle + 354
-    j = F.floor((10985 - n) / 5316) * F.floor((50 * n) / 17719) + F.floor(n / 5670) * F.floor((43 * n) / 15238)
-    n = n - F.floor((30 - j) / 15) * F.floor((17719 * j) / 50) - F.floor(j / 16) * F.floor((15238 * j) / 43) + 29
-    month = F.floor((24 * n) / 709)
-    return F.struct((30 * cycle + j - 30).cast("int").alias("year"), month.cast("int").alias("month"), (n - F.floor((709 * month) / 24)).cast("int").alias("day"))
+#: A new year of the calendar, from which its months are counted.
+HIJRI_ANCHOR = (1446, "2024-07-07")
+
+
+def hijri_days(spark: SparkSession, years: tuple[int, int] = (1400, 1500)) -> DataFrame:
+    """day, year, month, hijri_day of the Umm al-Qura calendar, as the JVM knows it: a month
+    has a day 30 if the JVM can name that day.
+    """
+    lo, hi = years
+    months = spark.range(lo * 12, (hi + 1) * 12).select((F.col("id") / 12).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"))
+    thirtieth = F.try_reflect(F.lit("java.time.chrono.HijrahDate"), F.lit("of"), F.col("year"), F.col("month"), F.lit(30))
+    # a row a month of a hundred years
+    order = Window.orderBy("year", "month")
+    counted = months.withColumn("days", F.when(thirtieth.isNull(), 29).otherwise(30)).withColumn("after", F.sum("days").over(order))
+    year, day = HIJRI_ANCHOR
+    zero = F.max(F.when((F.col("year") == year) & (F.col("month") == 1), F.col("after") - F.col("days"))).over(Window.partitionBy(F.lit(1)))
+    first = F.date_add(F.to_date(F.lit(day)), (F.col("after") - F.col("days") - zero).cast("int"))
+    spread = counted.withColumn("first", first).select("year", "month", "first", F.explode(F.sequence(F.lit(1), F.col("days"))).alias("hijri_day"))
+    return spread.select(F.date_add("first", F.col("hijri_day") - 1).alias("day"), "year", "month", "hijri_day")
 
 
 def calendar_days(spark: SparkSession, lo: date, hi: date) -> DataFrame:
-    """The calendar dimension: day, hijri date, whether it is in Ramadan (month 9)."""
+    """The calendar dimension: day, hijri year, month and day, whether it is in Ramadan (month 9)."""
     days = spark.range(1).select(F.explode(F.expr(f"sequence(DATE '{lo}', DATE '{hi}')")).alias("day"))
-    return days.withColumn("hijri", hijri(F.col("day"))).withColumn("is_ramadan", F.col("hijri.month") == 9)
+    return days.join(hijri_days(spark), "day", "left").withColumn("is_ramadan", F.col("month") == 9)

@@ -1,118 +1,107 @@
 """Monthly forecasts: a recent regime, its trend, a seasonal ratio, and their back-test.
 
-A series has one row a month, so a group is bounded by calendar time; each series is one
-Arrow batch, and thousands of series run side by side.
+A series has one row a month. Everything is windows and aggregates over (series, month),
+so a series is never gathered and thousands run side by side.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.functions.stats import T95
+from caravel.functions.stats import t95
 
 SCATTER, LEAST_MONTHS, BEATS_FLAT, K = 0.35, 3, 0.5, 3
 
 
-def t95(df: int) -> float:
-    return float("nan") if df < 1 else T95[df - 1] if df <= 30 else 1.96
-
-
-def fit(y: np.ndarray) -> dict:
-    x = np.arange(1, len(y) + 1, dtype=float)
-    sxx = ((x - x.mean()) ** 2).sum()
-    slope = ((x - x.mean()) * (y - y.mean())).sum() / sxx if sxx else 0.0
-    intercept = y.mean() - slope * x.mean()
-    rest = y - intercept - slope * x
-    total = ((y - y.mean()) ** 2).sum()
-    return {
-        "slope": slope, "intercept": intercept, "x_mean": x.mean(), "sxx": sxx, "n": len(y),
-        "s": math.sqrt((rest**2).sum() / (len(y) - 2)) if len(y) > 2 else float("nan"),
-        "r2": 1 - (rest**2).sum() / total if total else 0.0,
-    }
-
-
-def regime(y: np.ndarray) -> int:
-    """The length of the longest recent run of months whose scatter around its trend is at
-    most 0.35 of its mean; 0 without three such months.
+def regimes(months: DataFrame, by: list[str], month: str, value: str) -> DataFrame:
+    """`by` and n, how many of the newest months of each series one line describes: three,
+    and further back month by month until the scatter around the line is over 0.35 of the
+    mean. Series of fewer than three months have none.
     """
-    for n in range(len(y), LEAST_MONTHS - 1, -1):
-        part = y[-n:]
-        f = fit(part)
-        if part.mean() > 0 and not f["s"] / part.mean() > SCATTER:
-            return n
-    return 0
-
-
-def hundred(v: float) -> float:
-    return max(0.0, math.floor(v / 100 + 0.5) * 100.0)
-
-
-def trend(y: np.ndarray, horizon: int) -> list[dict]:
-    """value, low, high of the next months, floored at 0 and rounded to hundreds; the first
-    three are `forecast`, the rest `extrapolation`.
+    newest = Window.partitionBy(*by).orderBy(F.desc(month))
+    so_far = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x, y = F.row_number().over(newest) - 1, F.col(value).cast("double")
+    rows = months.select(*by, month, x.alias("x"), y.alias("y"))
+    n, sy = F.col("x") + 1, F.sum("y").over(so_far)
+    sxx = n * (n * n - 1) / 12
+    sxy = F.sum(F.col("x") * F.col("y")).over(so_far) - F.col("x") / 2 * sy
+    syy = F.sum(F.col("y") * F.col("y")).over(so_far) - sy * sy / n
+    off = F.sqrt(F.greatest(syy - sxy * sxy / F.nullif(sxx, F.lit(0.0)), F.lit(0.0)) / F.nullif(n - 2, F.lit(0)))
+    scatter = F.when((n > 2) & (sy > 0), off * n / sy)
+    breaks = (n > LEAST_MONTHS) & (scatter.isNull() | (scatter > SCATTER))
+    found = rows.select(*by, n.alias("n"), F.when(breaks, n).alias("broken"))
+    lengths = found.groupBy(*by).agg(F.coalesce(F.min("broken") - 1, F.max("n")).alias("n"))
+    return lengths.filter(F.col("n") >= LEAST_MONTHS)
+
+
+def hundred(v: Column) -> Column:
+    return F.floor(v / 100 + 0.5) * 100.0
+
+
+def fits(months: DataFrame, by: list[str], month: str, value: str) -> DataFrame:
+    """The line through each series' regime: n, base (its first month), slope, intercept, r2,
+    s (residual error), x_mean, sxx (x: months since base), flat (mean of its last three).
+    """
+    newest = Window.partitionBy(*by).orderBy(F.desc(month))
+    ranked = months.select(*by, month, F.col(value).cast("double").alias("y"), F.row_number().over(newest).alias("__r"))
+    used = ranked.join(regimes(months, by, month, value), by).filter(F.col("__r") <= F.col("n"))
+    used = used.withColumn("base", F.min(month).over(Window.partitionBy(*by))).withColumn("x", F.round(F.months_between(month, "base")))
+    line = used.groupBy(*by).agg(
+        F.count("*").alias("n"), F.first("base").alias("base"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
+        F.regr_r2("y", "x").alias("r2"), F.avg("x").alias("x_mean"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"),
+        F.avg(F.when(F.col("__r") <= 3, F.col("y"))).alias("flat"),
+    )
+    left = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.nullif("sxx", F.lit(0.0)), F.lit(0.0))
+    return line.withColumn("s", F.sqrt(left / F.nullif(F.col("n") - 2, F.lit(0))))
+
+
+def forecasts(months: DataFrame, by: list[str], month: str, value: str, horizon: int = 6, usable: Column | None = None) -> DataFrame:
+    """The next `horizon` months after each series' newest: value, low, high and flat in
+    hundreds (value and low at least 0), kind (forecast for three months, then
+    extrapolation), beats_flat, regime_months. Months that are not `usable` (partial, no
+    data) are neither fitted nor forecast.
+    """
+    whole = months if usable is None else months.filter(usable)
+    anchor = months.groupBy(*by).agg(F.max(month).alias("__last"))
+    ahead = fits(whole, by, month, value).join(anchor, by).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    ahead = ahead.withColumn("month", F.add_months("__last", F.col("ahead"))).withColumn("x", F.round(F.months_between("month", "base")))
+    point = F.greatest(F.col("intercept") + F.col("slope") * F.col("x"), F.lit(0.0))
+    half = t95(F.col("n") - 2) * F.col("s") * F.sqrt(1 + 1 / F.col("n") + F.pow(F.col("x") - F.col("x_mean"), 2) / F.col("sxx"))
+    return ahead.select(
+        *by,
+        "month",
+        hundred(point).alias("value"),
+        F.greatest(hundred(point - half), F.lit(0.0)).alias("low"),
+        hundred(point + half).alias("high"),
+        hundred(F.col("flat")).alias("flat"),
+        F.when(F.col("ahead") <= 3, "forecast").otherwise("extrapolation").alias("kind"),
+        F.coalesce((F.col("s").isNotNull()) & (F.col("r2") >= BEATS_FLAT), F.lit(False)).alias("beats_flat"),
+        F.col("n").alias("regime_months"),
+    )
+
+
+def back_test(months: DataFrame, by: list[str], month: str, value: str, steps: int = 6) -> DataFrame:
+    """For each series and model, tests and mae (mean absolute error) over the last `steps`
+    months, each forecast from the months before it alone: trend, seasonal (last year's
+    month times the mean of the last three year-on-year ratios), naive (the month before).
     """
-    n = regime(y)
-    if not n:
-        return []
-    f = fit(y[-n:])
-    out = []
-    for h in range(1, horizon + 1):
-        x = n + h
-        half = t95(n - 2) * f["s"] * math.sqrt(1 + 1 / n + (x - f["x_mean"]) ** 2 / f["sxx"])
-        v = f["intercept"] + f["slope"] * x
-        kind = "forecast" if h <= 3 else "extrapolation"
-        out.append({"ahead": h, "value": hundred(v), "low": hundred(v - half), "high": hundred(v + half), "kind": kind, "beats_flat": f["r2"] >= BEATS_FLAT, "months": n})
-    return out
-
-
-def seasonal(y: np.ndarray, k: int = K) -> dict | None:
-    """The next month from last year's, times the mean of the last k year-on-year ratios."""
-    if len(y) < 12 + k or (y[-12 - k : -12] <= 0).any():
-        return None
-    ratios = y[-k:] / y[-12 - k : -12]
-    base = y[-12]
-    sd = ratios.std(ddof=1)
-    half = t95(k - 1) * sd * math.sqrt(1 + 1 / k)
-    return {"value": max(0.0, base * ratios.mean()), "low": max(0.0, base * (ratios.mean() - half)), "high": base * (ratios.mean() + half)}
-
-
-def forecasts(months: DataFrame, by: str, month: str, value: str, horizon: int = 6) -> DataFrame:
-    def one(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(month)
-        rows = trend(series[value].to_numpy(dtype=float), horizon)
-        last = pd.Timestamp(series[month].iloc[-1])
-        return pd.DataFrame(
-            [(series[by].iloc[0], (last + pd.DateOffset(months=r["ahead"])).date(), r["value"], r["low"], r["high"], r["kind"], r["beats_flat"], r["months"]) for r in rows],
-            columns=[by, "month", "value", "low", "high", "kind", "beats_flat", "regime_months"],
-        )
-
-    kind = months.schema[by].dataType.simpleString()
-    return months.select(by, month, value).groupBy(by).applyInPandas(one, f"{by} {kind}, month date, value double, low double, high double, kind string, beats_flat boolean, regime_months bigint")
-
-
-def back_test(months: DataFrame, by: str, month: str, value: str, steps: int = 6) -> DataFrame:
-    """Mean absolute error of each model over the last `steps` months, one month ahead."""
-
-    def one(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(month)
-        y = series[value].to_numpy(dtype=float)
-        errors: dict[str, list[float]] = {"trend": [], "seasonal": [], "naive": []}
-        for i in range(max(1, len(y) - steps), len(y)):
-            past = y[:i]
-            errors["naive"].append(abs(past[-1] - y[i]))
-            if rows := trend(past, 1):
-                errors["trend"].append(abs(rows[0]["value"] - y[i]))
-            if found := seasonal(past):
-                errors["seasonal"].append(abs(found["value"] - y[i]))
-        return pd.DataFrame([(series[by].iloc[0], m, len(e), float(np.mean(e)) if e else None) for m, e in errors.items()], columns=[by, "model", "tests", "mae"])
-
-    kind = months.schema[by].dataType.simpleString()
-    return months.select(by, month, value).groupBy(by).applyInPandas(one, f"{by} {kind}, model string, tests bigint, mae double")
+    newest = Window.partitionBy(*by).orderBy(F.desc(month))
+    tested = months.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= steps).select(*by, F.col(month).alias("__cut"), F.col(value).alias("actual"))
+    # each series once for each of `steps` cuts
+    past = months.join(tested.select(*by, "__cut"), by).filter(F.col(month) < F.col("__cut"))
+    line = forecasts(past, [*by, "__cut"], month, value, 1).select(*by, "__cut", F.col("value").alias("trend"))
+    order = Window.partitionBy(*by).orderBy(month)
+    ratio = F.col(value) / F.nullif(F.lag(value, 12).over(order), F.lit(0.0))
+    rated = months.withColumn("__ratio", ratio).withColumn("__year", F.lag(value, 12).over(order)).withColumn("naive", F.lag(value).over(order))
+    recent = order.rowsBetween(-K, -1)
+    seasonal = F.greatest(F.when(F.count("__ratio").over(recent) == K, F.col("__year") * F.avg("__ratio").over(recent)), F.lit(0.0))
+    seasonal = F.when(F.count("__ratio").over(recent) == K, seasonal)
+    others = rated.select(*by, F.col(month).alias("__cut"), "naive", seasonal.alias("seasonal"))
+    all_models = tested.join(others, [*by, "__cut"]).join(line, [*by, "__cut"], "left")
+    models = ("trend", "seasonal", "naive")
+    error = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.abs(F.col(m) - F.col("actual")).alias("error")) for m in models])).alias("e")
+    return all_models.select(*by, error).groupBy(*by, F.col("e.model").alias("model")).agg(F.count("e.error").alias("tests"), F.avg("e.error").alias("mae"))
 
 
 def seasonal_ratio(months: DataFrame, by: list[str], month: str, value: str) -> DataFrame:

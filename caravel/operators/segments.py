@@ -1,18 +1,15 @@
-"""Seat segments and their verdicts. The segmenter is an ordered fold, so it runs per car
-and local day span in Arrow batches; everything around it is column work.
-"""
+"""Seat segments and their verdicts, by windows over a car's fixes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.functions import geo
 from caravel.operators.intervals import minutes_between
+from caravel.operators.joins import asof_before, overlaps
 
 
 @dataclass(frozen=True)
@@ -34,33 +31,19 @@ def seat_segments(fixes: DataFrame, rules: Rules = Rules()) -> DataFrame:
     null outside): an occupied fix extends the open segment if the fix before it, of any
     kind, is at most `bridge` minutes back; `empties` empty fixes in a row close it.
 
-    A car's fixes are one group: their number is bounded by one car's life, not by the fleet.
+    An occupied fix opens a segment if there was none before, if enough empty ones came
+    since, or after a gap; so a running count of openings numbers them, in one sort that
+    spills and never gathers a car's life.
     """
-
-    def fold(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for car in groups:
-            car = car.sort_values("captured_at", kind="stable")
-            at = car["captured_at"].astype("datetime64[us]").astype("int64").to_numpy() / 60e6
-            out, number, is_open, empty, last = [], 0, False, 0, None
-            for minute, seat in zip(at, car["seat_occupied"]):
-                near = last is not None and minute - last <= rules.bridge
-                if seat is True or seat == 1:
-                    if not (is_open and near):
-                        number += 1
-                    is_open, empty = True, 0
-                    out.append(number)
-                else:
-                    empty += 1
-                    is_open = is_open and empty < rules.empties
-                    out.append(None)
-                last = minute
-            yield car.assign(segment=pd.array(out, dtype="Int64"))
-
-    def one(car: pd.DataFrame) -> pd.DataFrame:
-        return next(fold(iter([car])))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fixes.schema) + ", segment bigint"
-    return fixes.groupBy("plate").applyInPandas(one, schema)
+    order = Window.partitionBy("plate").orderBy("captured_at", "seat_occupied")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    occupied = F.coalesce(F.col("seat_occupied").cast("boolean"), F.lit(False))
+    rows = fixes.withColumn("__occ", occupied).withColumn("__n", F.row_number().over(order)).withColumn("__gap", minutes_between(F.lag("captured_at").over(order), F.col("captured_at")))
+    rows = rows.withColumn("__last", F.max(F.when(F.col("__occ"), F.col("__n"))).over(before))
+    opens = F.col("__occ") & (F.col("__last").isNull() | (F.col("__n") - F.col("__last") > rules.empties) | (F.col("__gap") > rules.bridge))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.when(F.col("__occ"), F.sum(opens.cast("bigint")).over(so_far))
+    return rows.withColumn("segment", number).drop("__occ", "__n", "__gap", "__last")
 
 
 def summarised(marked: DataFrame) -> DataFrame:
@@ -143,15 +126,17 @@ def attributed(segments: DataFrame, trips: DataFrame, custody: DataFrame, before
     `trips`: plate, person, t_start, t_end. `custody`: plate, day, person.
     """
     reach = F.expr(f"INTERVAL '{before_minutes}' MINUTE")
-    near = segments.select("segment_id", F.col("plate").alias("s_plate"), "start", "end").join(
-        trips, (F.col("s_plate") == F.col("plate")) & (F.col("t_start") < F.col("end") + reach) & (F.col("t_end") > F.col("start") - reach)
-    )
+    wide = segments.select("segment_id", "plate", "start", "end", (F.col("start") - reach).alias("__a"), (F.col("end") + reach).alias("__b"))
+    met = overlaps(wide, trips.select("plate", "person", "t_start", "t_end"), ["plate"], ("__a", "__b"), ("t_start", "t_end"), before_minutes)
+    near = met.filter((F.col("t_start") < F.col("__b")) & (F.col("t_end") > F.col("__a")))
     before, after = F.col("t_end") <= F.col("start"), F.col("t_start") >= F.col("end")
     last = F.max(F.when(before, F.struct("t_end", "person")))["person"]
     following = F.min(F.when(after, F.struct("t_start", "person")))["person"]
     sides = near.groupBy("segment_id").agg(last.alias("before_person"), following.alias("after_person"), F.max((~before & ~after).cast("int")).alias("between"))
-    held = segments.join(custody, "plate").filter(F.col("day").between(F.to_date("start"), F.to_date("end"))).groupBy("segment_id").agg(F.collect_set("person").alias("custodians"))
-    earlier = segments.join(trips, "plate").filter(F.col("t_end") <= F.col("start")).groupBy("segment_id").agg(F.max(F.struct("t_end", "person"))["person"].alias("last_person"))
+    days = segments.select("segment_id", "plate", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("day"))
+    held = days.join(custody, ["plate", "day"]).groupBy("segment_id").agg(F.collect_set("person").alias("custodians"))
+    newest = trips.groupBy("plate", "t_end").agg(F.max("person").alias("last_person"))
+    earlier = asof_before(segments.select("segment_id", "plate", "start"), newest, ["plate"], "start", "t_end", ["last_person"]).select("segment_id", "last_person")
     joined = segments.join(sides, "segment_id", "left").join(held, "segment_id", "left").join(earlier, "segment_id", "left")
     bracketed = (F.col("before_person") == F.col("after_person")) & (F.col("between") == 0)
     one = F.size("custodians") == 1

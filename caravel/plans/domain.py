@@ -32,11 +32,28 @@ def _fixes(t):
     )
 
 
-@query("W18_W19_seat_segments")
-def _(t):
+KM_SQL = "2 * 6371.0 * asin(sqrt(least(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2), 1.0)))"
+#: Segments `g` of `events`, a row a segment, with their kind.
+SEGMENTS_SQL = f"""f AS (SELECT 'U' || (user_id % 40) AS plate, ts, event_type IN ('click', 'view', 'purchase') AS occ, value % 90 AS speed, event_id % 5 > 0 AS ign, 25 + (event_id % 50) / 2000.0 AS lat, 55 + (event_id % 37) / 2000.0 AS lng, event_id * 0.2 AS odo FROM events),
+n AS (SELECT *, row_number() OVER w AS i, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM f WINDOW w AS (PARTITION BY plate ORDER BY ts, occ)),
+l AS (SELECT *, max(i) FILTER (WHERE occ) OVER (PARTITION BY plate ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM n),
+s AS (SELECT *, CAST(sum(CASE WHEN occ AND (prev IS NULL OR i - prev >= 3 OR gap > 600000000) THEN 1 ELSE 0 END) OVER (PARTITION BY plate ORDER BY i) AS BIGINT) AS segment FROM l),
+o AS (SELECT *, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS step FROM s WHERE occ WINDOW w AS (PARTITION BY plate, segment ORDER BY i)),
+h AS (SELECT *, {KM_SQL.format(a="lat0", b="lat", c="lng0", d="lng")} AS km FROM o),
+a AS (SELECT plate, segment, min(ts) AS start, max(ts) AS "end", (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 AS minutes, CASE WHEN max(odo) - min(odo) > 0 AND max(odo) - min(odo) < 500 THEN max(odo) - min(odo) ELSE coalesce(sum(km), 0) END AS km, coalesce(max(speed), 0) AS top_speed, avg(CAST(ign AS DOUBLE)) AS ignition_ratio, coalesce(max(step) / 60000000.0, 0) AS max_gap, count(*) AS fixes FROM h GROUP BY 1, 2),
+g AS (SELECT *, CASE WHEN minutes > 480 OR (minutes >= 30 AND ignition_ratio < 0.2 AND top_speed < 5) THEN 'sensor_suspect' WHEN max_gap > 15 THEN 'partial' WHEN minutes < 5 OR km < 1 OR top_speed < 5 THEN 'stationary' ELSE 'candidate' END AS kind FROM a)"""
+
+
+def _segments(t):
     return segments.summarised(segments.seat_segments(_fixes(t))).withColumn("kind", segments.seat_class())
 
 
+@query("W18_W19_seat_segments", f"""WITH {SEGMENTS_SQL} SELECT plate, segment, start, "end", round(minutes, 4) AS minutes, round(km, 6) AS km, round(top_speed, 6) AS top_speed, round(ignition_ratio, 6) AS ignition_ratio, round(max_gap, 4) AS max_gap, fixes, kind FROM g""")
+def _(t):
+    rounded = [F.round(c, n).alias(c) for c, n in (("minutes", 4), ("km", 6), ("top_speed", 6), ("ignition_ratio", 6), ("max_gap", 4))]
+    return _segments(t).select("plate", "segment", "start", "end", *rounded, "fixes", "kind")
+
+
 @query("W17_C10_journey_verdicts", "WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_shipdate AS start, CASE WHEN l_linenumber <> 7 THEN l_shipdate + to_minutes(CAST(l_quantity * 12 AS INT)) END AS \"end\", l_extendedprice / 200 AS km FROM lineitem) SELECT id, CASE WHEN \"end\" IS NULL THEN 'unverifiable' WHEN epoch_us(\"end\") - epoch_us(start) > 28800000000 THEN 'suspect' WHEN km < 0 OR km >= 500 THEN 'unverifiable' WHEN epoch_us(\"end\") - epoch_us(start) < 300000000 OR km < 1 OR km < 5 * ((epoch_us(\"end\") - epoch_us(start)) / 60000000.0) / 60 THEN 'stationary' ELSE 'candidate' END AS kind FROM j")
 def _(t):
     end = F.col("l_shipdate") + F.make_interval(mins=(F.col("l_quantity") * 12).cast("int"))
@@ -44,9 +61,10 @@ def _(t):
     return rows.select("id", segments.journey_class().alias("kind"))
 
 
-@query("C10_T08_reconcile")
+@query("C10_T08_reconcile", f"""WITH {SEGMENTS_SQL}, b AS (SELECT event_id, 'U' || (user_id % 40) AS plate, ts AS b0, ts + INTERVAL 10 MINUTE AS b1 FROM events WHERE event_type = 'purchase')
+SELECT plate, segment, start, "end", kind, CASE WHEN kind <> 'candidate' THEN kind WHEN EXISTS (SELECT 1 FROM b WHERE b.plate = g.plate AND b0 <= g."end" + INTERVAL 15 MINUTE AND b1 >= g.start - INTERVAL 15 MINUTE) THEN 'authorized' WHEN g."end" > TIMESTAMP '2024-01-30 22:00:00' THEN 'pending' ELSE 'unauthorized' END AS verdict FROM g""")
 def _(t):
-    marked = segments.summarised(segments.seat_segments(_fixes(t))).withColumn("kind", segments.seat_class()).withColumn("segment_id", F.xxhash64("plate", "segment"))
+    marked = _segments(t).withColumn("segment_id", F.xxhash64("plate", "segment"))
     books = t.events.filter("event_type = 'purchase'").select(F.col("event_id").alias("booking_id"), F.concat(F.lit("U"), F.col("user_id") % 40).alias("plate"), F.col("ts").alias("b_start"), (F.col("ts") + F.expr("INTERVAL '10' MINUTE")).alias("b_end"), F.lit("completed").alias("outcome"))
     matched = joins.match_bookings(marked, books)
     no = F.lit(False)
@@ -63,7 +81,7 @@ def _(t):
 
 def _points(t):
     n = F.col("event_id")
-    return t.events.select(F.lit("fms").alias("source"), F.concat(F.lit("U"), F.col("user_id") % 25).alias("plate"), F.col("ts").alias("at"), (25 + F.floor(n / 40) % 9 / 300.0).alias("lat"), (55 + F.floor(n / 60) % 7 / 300.0).alias("lng"), (F.col("value") % 6).alias("speed"))
+    return t.events.select(F.lit("fms").alias("source"), F.concat(F.lit("U"), F.col("user_id") % 25).alias("plate"), F.col("ts").alias("at"), (25 + F.floor(n / 40) % 9 / 300.0).alias("lat"), (55 + F.floor(n / 60) % 7 / 300.0).alias("lng"), (F.col("value").cast("decimal(12,2)") % 6).cast("double").alias("speed"))
 
 
 @query("W20_legs", "WITH f AS (SELECT 'U' || (user_id % 25) AS plate, ts, 25 + (event_id // 40) % 9 / 300.0 AS lat, 55 + (event_id // 60) % 7 / 300.0 AS lng FROM events), l AS (SELECT *, lead(ts) OVER w AS t2, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM f WINDOW w AS (PARTITION BY plate ORDER BY ts)), d AS (SELECT plate, (epoch_us(t2) - epoch_us(ts)) / 60000000.0 AS gap, 2 * 6371.0 * asin(sqrt(least(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng) / 2), 2), 1.0))) AS km FROM l WHERE t2 IS NOT NULL) SELECT plate, CASE WHEN gap > 1440 THEN 'silent' WHEN km <= 0.15 THEN CASE WHEN gap <= 30 THEN 'still' ELSE 'parked' END WHEN gap <= 20 THEN 'moving' ELSE 'moved' END AS kind, count(*) AS n FROM d GROUP BY 1, 2")
@@ -71,14 +89,24 @@ def _(t):
     return tracks.legs(_points(t)).groupBy("plate", "kind").agg(F.count("*").alias("n"))
 
 
-@query("W21_stays")
+@query("W21_stays", f"""WITH RECURSIVE f AS (SELECT 'U' || (user_id % 25) AS plate, CAST(ts + INTERVAL 4 HOUR AS DATE) AS day, ts, 25 + (event_id // 40) % 9 / 300.0 AS lat, 55 + (event_id // 60) % 7 / 300.0 AS lng FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY plate, day ORDER BY ts) AS i FROM f),
+r AS (SELECT plate, day, i, ts, lat AS alat, lng AS alng, 1 AS run FROM n WHERE i = 1 UNION ALL
+  SELECT n.plate, n.day, n.i, n.ts, CASE WHEN {KM_SQL.format(a="alat", b="n.lat", c="alng", d="n.lng")} > 0.15 THEN n.lat ELSE alat END, CASE WHEN {KM_SQL.format(a="alat", b="n.lat", c="alng", d="n.lng")} > 0.15 THEN n.lng ELSE alng END,
+    run + CASE WHEN {KM_SQL.format(a="alat", b="n.lat", c="alng", d="n.lng")} > 0.15 THEN 1 ELSE 0 END FROM r JOIN n ON n.plate = r.plate AND n.day = r.day AND n.i = r.i + 1)
+SELECT plate, day AS local_day, min(ts) AS start, max(ts) AS "end", round(any_value(alat), 6) AS lat, round(any_value(alng), 6) AS lng, count(*) AS fixes FROM r GROUP BY plate, day, run HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= 600000000""")
 def _(t):
-    return tracks.stays(_points(t))
+    return tracks.stays(_points(t)).withColumn("lat", F.round("lat", 6)).withColumn("lng", F.round("lng", 6))
 
 
-@query("W22_C20_day_tiles")
+@query("W22_C20_day_tiles", f"""WITH f AS (SELECT 'U' || (user_id % 25) AS plate, CAST(ts + INTERVAL 4 HOUR AS DATE) AS day, ts, 25 + (event_id // 40) % 9 / 300.0 AS lat, 55 + (event_id // 60) % 7 / 300.0 AS lng FROM events),
+l AS (SELECT *, lead(ts) OVER w AS t2, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM f WINDOW w AS (PARTITION BY plate, day ORDER BY ts)),
+d AS (SELECT *, (epoch_us(t2) - epoch_us(ts)) / 60000000.0 AS gap, {KM_SQL.format(a="lat", b="lat2", c="lng", d="lng2")} AS km FROM l WHERE t2 IS NOT NULL),
+a AS (SELECT plate, day, ts AS start, t2 AS "end", CASE WHEN gap > 1440 THEN 'silent' WHEN km <= 0.15 THEN CASE WHEN gap <= 30 THEN 'still' ELSE 'parked' END WHEN gap <= 20 THEN 'moving' ELSE 'moved' END AS kind FROM d
+  UNION ALL SELECT plate, day, CAST(day AS TIMESTAMP) - INTERVAL 4 HOUR, min(ts), 'unknown' FROM f GROUP BY 1, 2 UNION ALL SELECT plate, day, max(ts), CAST(day AS TIMESTAMP) + INTERVAL 20 HOUR, 'unknown' FROM f GROUP BY 1, 2)
+SELECT plate, day AS local_day, start, "end", kind, round((epoch_us("end") - epoch_us(start)) / 60000000.0, 4) AS minutes FROM a WHERE "end" > start""")
 def _(t):
-    return tracks.day_tiles(_points(t))
+    return tracks.day_tiles(_points(t)).withColumn("minutes", F.round("minutes", 4))
 
 
 @query("W23_C21_night", "WITH f AS (SELECT 'U' || (user_id % 25) AS plate, ts, hour(ts + INTERVAL 4 HOUR) < 5 AS i FROM events), m AS (SELECT *, lead(i) OVER w AS a, lag(i) OVER w AS b FROM f WINDOW w AS (PARTITION BY plate ORDER BY ts)) SELECT plate, CASE WHEN i THEN 'night' WHEN coalesce(a, FALSE) THEN 'before' ELSE 'after' END AS edge, count(*) AS n FROM m WHERE i OR coalesce(a, FALSE) OR coalesce(b, FALSE) GROUP BY 1, 2")
@@ -88,9 +116,7 @@ def _(t):
 
 @query("W14_dwell_spots", "WITH f AS (SELECT 'U' || (user_id % 25) AS plate, ts, round(25 + (event_id // 40) % 9 / 300.0, 3) AS a, round(55 + (event_id // 60) % 7 / 300.0, 3) AS b, CAST(value AS DECIMAL(12,2)) % 6 < 2 AS still FROM events), l AS (SELECT *, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 60000000.0 AS gap, lead(still) OVER w AND lead(a) OVER w = a AND lead(b) OVER w = b AS same FROM f WINDOW w AS (PARTITION BY plate ORDER BY ts)) SELECT a AS spot_lat, b AS spot_lng, count(*) AS fixes, round(sum(coalesce(least(gap, CASE WHEN same THEN 10080 ELSE 5 END), 0)) / 60, 4) AS hours FROM l WHERE still GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY hours DESC LIMIT 60")
 def _(t):
-    points = _points(t).withColumn("speed", F.lit(0.0)).drop("speed")
-    speeds = t.events.select(F.concat(F.lit("U"), F.col("user_id") % 25).alias("plate"), F.col("ts").alias("at"), (F.col("value").cast("decimal(12,2)") % 6).cast("double").alias("speed"))
-    return tracks.dwell_spots(points.join(speeds, ["plate", "at"])).select("spot_lat", "spot_lng", "fixes", F.round("hours", 4).alias("hours"))
+    return tracks.dwell_spots(_points(t)).select("spot_lat", "spot_lng", "fixes", F.round("hours", 4).alias("hours"))
 
 
 @query("C12_findings", WITH_TRIPS + ", p AS (SELECT person_key, count(outcome) AS jobs, count(*) FILTER (WHERE outcome = 'not_completed') / CAST(nullif(count(outcome), 0) AS DOUBLE) AS rate FROM trip_norm WHERE is_booking AND person_key IS NOT NULL GROUP BY 1) SELECT 'cancellations' AS code, person_key AS entity, CASE WHEN rate > 0.15 THEN 'critical' ELSE 'warning' END AS severity, round(rate, 4) AS figure FROM p WHERE jobs > 50 AND rate >= 0.10 UNION ALL SELECT 'partner_concentration', product, 'info', round(n / CAST(total AS DOUBLE), 4) FROM (SELECT product, count(*) AS n, sum(count(*)) OVER () AS total FROM trip_norm WHERE is_booking GROUP BY 1) WHERE n >= 0.4 * total UNION ALL SELECT 'idle_vehicle', plate, 'warning', CAST(date_diff('day', last_day, today) AS DOUBLE) FROM (SELECT plate, max(local_day) FILTER (WHERE is_booking) AS last_day, (SELECT max(local_day) FROM trip_norm) AS today FROM trip_norm GROUP BY 1) WHERE coalesce(date_diff('day', last_day, today), 9999) >= 14 UNION ALL SELECT 'volume_trend', platform, CASE WHEN now < before THEN 'warning' ELSE 'info' END, round((now - before) / CAST(before AS DOUBLE), 4) FROM (SELECT platform, count(*) FILTER (WHERE age < 28) AS now, count(*) FILTER (WHERE age BETWEEN 28 AND 55) AS before FROM (SELECT platform, date_diff('day', local_day, (SELECT max(local_day) FROM trip_norm WHERE is_booking)) AS age FROM trip_norm WHERE is_booking) GROUP BY 1) WHERE before > 0 AND abs(now - before) / CAST(before AS DOUBLE) >= 0.2")
@@ -106,10 +132,16 @@ def _(t):
     return rows.groupBy("dow", "hour").agg(supply.alias("supply"), demand.alias("demand"), F.round(demand / F.nullif(supply, F.lit(0)), 6).alias("pressure"))
 
 
-@query("C18_low_performers")
+@query("C18_low_performers", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'purchase') AS trips, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DOUBLE) AS money, count(*) / 4.0 AS hours FROM events GROUP BY 1, 2),
+p AS (SELECT user_id AS person, count(*) FILTER (WHERE trips > 0) AS driven, count(*) FILTER (WHERE trips = 0) AS off, sum(hours) AS hours, sum(money) AS money, sum(trips) AS trips FROM d GROUP BY 1 HAVING driven >= 3),
+m AS (SELECT person, driven, CAST(off AS DOUBLE) / (off + driven) AS off_share, CAST(hours AS DOUBLE) / driven AS hours_day, money / nullif(CAST(hours AS DOUBLE), 0) AS money_hour, CAST(trips AS DOUBLE) / driven AS trips_day FROM p),
+q AS (SELECT quantile_cont(off_share, 0.5) AS a, quantile_cont(hours_day, 0.5) AS b, quantile_cont(money_hour, 0.5) AS c, quantile_cont(trips_day, 0.5) AS d FROM m),
+r AS (SELECT m.*, list_filter([CASE WHEN off_share >= greatest(0.25, 2 * a) THEN 'days_off' END, CASE WHEN hours_day < 0.75 * b THEN 'short_days' END, CASE WHEN money_hour < 0.85 * c THEN 'low_rate' END, CASE WHEN trips_day < 0.75 * d THEN 'few_trips' END], lambda x: x IS NOT NULL) AS causes FROM m, q)
+SELECT person, driven, round(off_share, 6) AS off_share, round(hours_day, 6) AS hours_day, round(money_hour, 4) AS money_hour, round(trips_day, 6) AS trips_day, causes FROM r WHERE len(causes) > 0""")
 def _(t):
-    days = t.events.groupBy(F.col("user_id").alias("person"), F.to_date("ts").alias("day")).agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("trips"), F.sum("value").alias("money"), (F.count("*") / 4).alias("hours"))
-    return rules.low_performers(days.withColumn("active", F.col("trips") > 0))
+    days = t.events.groupBy(F.col("user_id").alias("person"), F.to_date("ts").alias("day")).agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("trips"), F.sum(F.col("value").cast("decimal(14,2)")).cast("double").alias("money"), (F.count("*") / 4).alias("hours"))
+    low = rules.low_performers(days.withColumn("active", F.col("trips") > 0))
+    return low.select("person", "driven", *[F.round(c, n).alias(c) for c, n in (("off_share", 6), ("hours_day", 6), ("money_hour", 4), ("trips_day", 6))], "causes")
 
 
 @query("C19_target_month", "WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DOUBLE) AS earned FROM events GROUP BY 1) SELECT day, round(100000.0 * 1 / count(*) OVER (), 4) AS plan, round(sum(earned) OVER (ORDER BY day), 2) AS earned_so_far, round(sum(earned) OVER (ORDER BY day) / (100000.0 / count(*) OVER () * row_number() OVER (ORDER BY day)), 4) AS pace FROM d")
@@ -149,9 +181,9 @@ def _(t):
     return t.lineitem.groupBy(money.document_status(left).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("C28_unusual_days", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), p AS (SELECT *, list_sort(list(n) OVER (PARTITION BY isodow(day) ORDER BY day ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS past FROM d) SELECT day, n, (past[2] + past[3]) / 2.0 AS median, n > (past[2] + past[3]) / 2.0 AS above FROM p WHERE len(past) = 4 AND (n < past[1] OR n > past[4]) AND abs(n - (past[2] + past[3]) / 2.0) >= 0.1 * (past[2] + past[3]) / 2.0")
+@query("C28_unusual_days", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT *, list_sort(list(n) OVER (PARTITION BY isodow(day) ORDER BY day ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS past FROM d) SELECT day, n, (past[2] + past[3]) / 2.0 AS median, n > (past[2] + past[3]) / 2.0 AS above FROM p WHERE len(past) = 4 AND (n < past[1] OR n > past[4]) AND abs(n - (past[2] + past[3]) / 2.0) >= 0.1 * (past[2] + past[3]) / 2.0")
 def _(t):
-    days = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    days = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     return rules.unusual_days(days, "day", "n")
 
 
@@ -223,11 +255,11 @@ def _(t):
     return incremental.refreshed(rows.withColumn("of", F.lit("old")), rows.withColumn("of", F.lit("fresh")), "bucket", since).select("bucket", "of", "n")
 
 
-@query("T09_supersede", "WITH l AS (SELECT event_id AS id, event_type AS airport, user_id % 20 AS icao24, ts FROM events WHERE value < 35), c AS (SELECT event_id AS confirmed_id, event_type AS airport, user_id % 20 AS icao24, ts AS c_at FROM events WHERE value >= 60), n AS (SELECT id, confirmed_id FROM l JOIN c USING (airport, icao24) WHERE abs(epoch_us(ts) - epoch_us(c_at)) <= 1800000000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(epoch_us(ts) - epoch_us(c_at)), c_at) = 1), d AS (SELECT DISTINCT airport, CAST(c_at AS DATE) AS day FROM c) SELECT l.id, d.day IS NOT NULL AS superseded, CASE WHEN d.day IS NOT NULL THEN confirmed_id END AS confirmed_id FROM l LEFT JOIN d ON l.airport = d.airport AND CAST(ts AS DATE) = d.day LEFT JOIN n USING (id)")
+@query("T09_supersede", "WITH l AS (SELECT event_id AS id, event_type AS airport, user_id % 20 AS icao24, ts FROM events WHERE value < 50), c AS (SELECT event_id AS confirmed_id, event_type AS airport, user_id % 20 AS icao24, ts AS c_at FROM events WHERE value >= 50), n AS (SELECT id, confirmed_id FROM l JOIN c USING (airport, icao24) WHERE abs(epoch_us(ts) - epoch_us(c_at)) <= 1800000000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(epoch_us(ts) - epoch_us(c_at)), c_at) = 1), d AS (SELECT DISTINCT airport, CAST(c_at AS DATE) AS day FROM c) SELECT l.id, d.day IS NOT NULL AS superseded, CASE WHEN d.day IS NOT NULL THEN confirmed_id END AS confirmed_id FROM l LEFT JOIN d ON l.airport = d.airport AND CAST(ts AS DATE) = d.day LEFT JOIN n USING (id)")
 def _(t):
     rows = t.events.select("event_id", "value", F.col("event_type").alias("airport"), (F.col("user_id") % 20).alias("icao24"), F.col("ts").alias("landed_at"))
-    live = rows.filter("value < 35").withColumnRenamed("event_id", "id")
-    confirmed = rows.filter("value >= 60").withColumnRenamed("event_id", "confirmed_id")
+    live = rows.filter("value < 50").withColumnRenamed("event_id", "id")
+    confirmed = rows.filter("value >= 50").withColumnRenamed("event_id", "confirmed_id")
     return incremental.superseded(live, confirmed).select("id", "superseded", "confirmed_id")
 
 

@@ -142,10 +142,17 @@ def _(t):
 @query("J23_band", "WITH b AS (SELECT * FROM (VALUES (1, 10, 'small'), (11, 30, 'middle'), (31, 50, 'large')) v(lo, hi, band)) SELECT band, count(*) AS parts FROM part JOIN b ON p_size BETWEEN lo AND hi GROUP BY 1")
 def _(t):
     bands = t.spark.createDataFrame([(1, 10, "small"), (11, 30, "middle"), (31, 50, "large")], "lo int, hi int, band string")
-    return t.part.join(F.broadcast(bands), F.col("p_size").between(F.col("lo"), F.col("hi"))).groupBy("band").agg(F.count("*").alias("parts"))
+    return t.part.join(bands, F.col("p_size").between(F.col("lo"), F.col("hi"))).groupBy("band").agg(F.count("*").alias("parts"))
 
 
-@query("J25_attribution")
+@query("J25_attribution", """WITH s AS (SELECT event_id AS segment_id, 'U' || (user_id % 40) AS plate, ts AS s0, ts + INTERVAL 20 MINUTE AS s1 FROM events WHERE event_type = 'signup'),
+t AS (SELECT 'U' || (user_id % 40) AS plate, user_id AS person, ts AS t0, ts + INTERVAL 10 MINUTE AS t1 FROM events WHERE event_type = 'purchase'),
+n AS (SELECT segment_id, s0, s1, t.person, t0, t1 FROM s JOIN t ON s.plate = t.plate AND t0 < s1 + INTERVAL 240 MINUTE AND t1 > s0 - INTERVAL 240 MINUTE),
+sides AS (SELECT segment_id, arg_max(person, {'a': t1, 'b': person}) FILTER (WHERE t1 <= s0) AS b, arg_min(person, {'a': t0, 'b': person}) FILTER (WHERE t0 >= s1) AS a, bool_or(t1 > s0 AND t0 < s1) AS inside FROM n GROUP BY 1),
+held AS (SELECT segment_id, list(DISTINCT e.user_id) AS c FROM s JOIN events e ON e.event_type = 'view' AND 'U' || (e.user_id % 40) = s.plate AND CAST(e.ts AS DATE) BETWEEN CAST(s0 AS DATE) AND CAST(s1 AS DATE) GROUP BY 1),
+old AS (SELECT segment_id, arg_max(person, {'a': t1, 'b': person}) AS p FROM s JOIN t ON s.plate = t.plate AND t1 <= s0 GROUP BY 1)
+SELECT segment_id, plate, CASE WHEN b = a AND NOT inside THEN 'bracketed' WHEN p IS NOT NULL THEN 'last_trip' WHEN len(c) = 1 THEN 'sole_custodian' WHEN len(c) > 1 THEN 'ambiguous' ELSE 'unknown' END AS basis, CASE WHEN b = a AND NOT inside THEN b WHEN p IS NOT NULL THEN p WHEN len(c) = 1 THEN c[1] END AS person
+FROM s LEFT JOIN sides USING (segment_id) LEFT JOIN held USING (segment_id) LEFT JOIN old USING (segment_id)""")
 def _(t):
     from caravel.operators.segments import attributed
 
@@ -155,12 +162,12 @@ def _(t):
     return attributed(segments, done, custody).select("segment_id", "plate", "basis", "person")
 
 
-EDGES = "e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.08)"
-
-
-@query("J28_J29_components", f"WITH RECURSIVE {EDGES}, x AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT u AS node, u AS root FROM x UNION SELECT x.v, r.root FROM r JOIN x ON x.u = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")
+@query("J28_J29_components", "WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate > lag(o_orderdate) OVER w + INTERVAL 120 DAY AS apart FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), r AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY rn) AS run FROM (SELECT o.*, row_number() OVER (PARTITION BY o.o_custkey ORDER BY p.o_orderdate, o.o_orderkey) AS rn FROM o JOIN orders p USING (o_orderkey))) SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey, run) AS component FROM r QUALIFY count(*) OVER (PARTITION BY o_custkey, run) > 1")
 def _(t):
-    edges = t.lineitem.filter("l_quantity = 50 and l_discount > 0.08").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
+    # chains of a customer's orders, each at most 120 days after the one before
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    linked = t.orders.withColumn("a", F.lag("o_orderkey").over(order)).withColumn("since", F.lag("o_orderdate").over(order))
+    edges = linked.filter(F.col("o_orderdate") <= F.col("since") + F.expr("INTERVAL '120' DAY")).select("a", F.col("o_orderkey").alias("b"))
     return joins.connected(edges)
 
 
@@ -299,10 +306,10 @@ def _(t):
     return side("F").intersect(side("P"))
 
 
-@query("U04_except", "SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("U04_except", "SELECT l_orderkey FROM lineitem EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def _(t):
-    a, b = t.lineitem.filter("l_quantity >= 49").select("l_partkey").distinct(), t.lineitem.filter("l_returnflag = 'R'").select("l_partkey")
-    return a.join(b, "l_partkey", "left_anti")
+    a, b = t.lineitem.select("l_orderkey").distinct(), t.lineitem.filter("l_returnflag = 'R'").select("l_orderkey")
+    return a.join(b, "l_orderkey", "left_anti")
 
 
 @query("U06_channel_sets", "WITH y AS (SELECT o_custkey, list(DISTINCT o_orderpriority) FILTER (WHERE year(o_orderdate) = 1997) AS a, list(DISTINCT o_orderpriority) FILTER (WHERE year(o_orderdate) = 1998) AS b FROM orders GROUP BY 1) SELECT o_custkey, list_sort(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) AS gone, list_sort(list_filter(coalesce(a, []), lambda x: list_contains(coalesce(b, []), x))) AS shared FROM y")

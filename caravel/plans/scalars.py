@@ -140,10 +140,12 @@ def _(t):
     return t.part.select("p_partkey", text.vocabulary_area(F.col("p_name"), ["widget", "ring", "small", "red"]).alias("found"))
 
 
-@query("F18_redacted")
+@query("F18_redacted", """SELECT event_id, '{"user":' || user_id || ',"inner":{"kind":"' || event_type || '"},"seen":[{"n":' || event_id % 7 || '},{}]}' AS value, ['api_key', 'inner.password', 'seen[1].token'] AS removed FROM events""")
 def _(t):
-    payload = F.to_json(F.struct(F.col("user_id").alias("user"), F.lit("x").alias("api_key"), F.struct(F.lit("y").alias("password"), F.col("event_type").alias("kind")).alias("inner")))
-    return t.events.select("event_id", text.redacted(payload).alias("r")).select("event_id", "r.value", "r.removed")
+    inner = F.struct(F.lit("y").alias("password"), F.col("event_type").alias("kind"))
+    payload = F.to_json(F.struct(F.col("user_id").alias("user"), F.lit("x").alias("api_key"), inner.alias("inner")))
+    seen = F.concat(F.lit(',"seen":[{"n":'), F.col("event_id") % 7, F.lit('},{"token":1}]}'))
+    return t.events.select("event_id", text.redacted(F.concat(F.regexp_replace(payload, r"\}$", ""), seen)).alias("r")).select("event_id", "r.value", "r.removed")
 
 
 LOCAL = "(ts + INTERVAL 4 HOUR)"
@@ -176,11 +178,21 @@ def _(t):
     return time.hour_slices(spans).select("event_id", "hour_at", "minutes")
 
 
-@query("D14_S12_hijri")
+#: The first days of the calendar's months.
+HIJRI_STARTS = [
+    ("2023-12-14", 1445, 6), ("2024-01-13", 1445, 7), ("2024-02-11", 1445, 8), ("2024-03-11", 1445, 9), ("2024-04-10", 1445, 10), ("2024-05-09", 1445, 11),
+    ("2024-06-07", 1445, 12), ("2024-07-07", 1446, 1), ("2024-08-05", 1446, 2), ("2024-09-04", 1446, 3), ("2024-10-04", 1446, 4), ("2024-11-03", 1446, 5),
+    ("2024-12-02", 1446, 6), ("2025-01-01", 1446, 7), ("2025-01-31", 1446, 8), ("2025-03-01", 1446, 9), ("2025-03-30", 1446, 10), ("2025-04-29", 1446, 11),
+    ("2025-05-28", 1446, 12), ("2025-06-26", 1447, 1), ("2025-07-26", 1447, 2), ("2025-08-24", 1447, 3), ("2025-09-23", 1447, 4), ("2025-10-23", 1447, 5),
+    ("2025-11-22", 1447, 6), ("2025-12-21", 1447, 7),
+]
+
+
+@query("D14_S12_hijri", f"WITH m AS (SELECT CAST(f AS DATE) AS f, y, m FROM (VALUES {', '.join(map(str, HIJRI_STARTS))}) v(f, y, m)), d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY)) AS DATE) AS day) SELECT day, y AS year, m AS month, CAST(day - f AS INT) + 1 AS hijri_day, m = 9 AS is_ramadan FROM d ASOF JOIN m ON day >= f")
 def _(t):
     from datetime import date
 
-    return time.calendar_days(t.spark, date(2024, 1, 1), date(2025, 12, 31)).select("day", "hijri.year", "hijri.month", F.col("hijri.day").alias("hijri_day"), "is_ramadan")
+    return time.calendar_days(t.spark, date(2024, 1, 1), date(2025, 12, 31))
 
 
 LAT, LNG = "(25 + s_nationkey / 50.0)", "(55 + s_suppkey % 17 / 40.0)"
@@ -211,9 +223,30 @@ def _monthly(t):
     return t.orders.groupBy("o_orderpriority", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("value"))
 
 
-@query("M04_M05_forecast")
+MONTHLY_SQL = "SELECT o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS y FROM orders GROUP BY 1, 2"
+T95_SQL = "[" + ", ".join(map(str, stats.T95)) + "]"
+
+
+def forecast_sql(series: str, horizon: int) -> str:
+    """CTEs over `whole` (series columns, month, y): out has value and what belongs to it."""
+    same = " AND ".join(f"a.{c} = b.{c}" for c in series.split(", "))
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {series} ORDER BY month DESC) AS i FROM whole),
+k AS (SELECT {", ".join(f"a.{c}" for c in series.split(", "))}, a.i AS take, regr_syy(b.y, b.i) AS syy, regr_sxy(b.y, b.i) AS sxy, regr_sxx(b.y, b.i) AS sxx, avg(b.y) AS mean FROM r a JOIN r b ON {same} AND b.i <= a.i GROUP BY {", ".join(f"a.{c}" for c in series.split(", "))}, a.i),
+c AS (SELECT {series}, coalesce(min(take) FILTER (WHERE take > 3 AND (mean <= 0 OR sqrt(greatest(syy - sxy * sxy / sxx, 0) / (take - 2)) / mean > 0.35)) - 1, max(take)) AS n FROM k GROUP BY {series} HAVING max(take) >= 3),
+u AS (SELECT r.*, c.n, date_diff('month', min(month) OVER (PARTITION BY {series}), month)::DOUBLE AS x, min(month) OVER (PARTITION BY {series}) AS base FROM r JOIN c USING ({series}) WHERE i <= n),
+f AS (SELECT {series}, n, base, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, regr_r2(y, x) AS r2, avg(x) AS mx, regr_sxx(y, x) AS sxx, CASE WHEN n > 2 THEN sqrt(greatest(regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x), 0) / (n - 2)) END AS s, avg(y) FILTER (WHERE i <= 3) AS flat FROM u GROUP BY {series}, n, base),
+g AS (SELECT *, unnest(range(1, {horizon + 1})) AS ahead FROM f JOIN (SELECT {series}, max(month) AS last FROM all_months GROUP BY {series}) USING ({series})),
+h AS (SELECT *, CAST(last + to_months(CAST(ahead AS INT)) AS DATE) AS month, date_diff('month', base, last) + ahead AS x FROM g),
+out AS (SELECT *, greatest(b0 + b1 * x, 0) AS point, coalesce({T95_SQL}[CAST(n AS INT) - 2], 1.96) * s * sqrt(1 + 1.0 / n + (x - mx) * (x - mx) / sxx) AS half FROM h)"""
+
+
+@query("M04_M05_forecast", f"""WITH all_months AS ({MONTHLY_SQL}), whole AS (SELECT * FROM all_months WHERE month < (SELECT date_trunc('month', max(o_orderdate)) FROM orders)), {forecast_sql("p", 6)}
+SELECT p AS o_orderpriority, month, floor(point / 100 + 0.5) * 100 AS value, greatest(floor((point - half) / 100 + 0.5) * 100, 0) AS low, floor((point + half) / 100 + 0.5) * 100 AS high, floor(flat / 100 + 0.5) * 100 AS flat, CASE WHEN ahead <= 3 THEN 'forecast' ELSE 'extrapolation' END AS kind, s IS NOT NULL AND r2 >= 0.5 AS beats_flat, n AS regime_months FROM out""")
 def _(t):
-    return forecast.forecasts(_monthly(t), "o_orderpriority", "month", "value")
+    # the month that the record ends in is partial
+    last = t.orders.agg(F.to_date(F.date_trunc("month", F.max("o_orderdate"))).alias("__partial"))
+    months = _monthly(t).crossJoin(F.broadcast(last))  # one row
+    return forecast.forecasts(months, ["o_orderpriority"], "month", "value", usable=F.col("month") < F.col("__partial"))
 
 
 @query("M06_seasonal_ratio", "WITH m AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS value FROM orders GROUP BY 1, 2), j AS (SELECT a.*, a.value / nullif(b.value, 0) AS ratio FROM m a LEFT JOIN m b ON a.o_orderpriority = b.o_orderpriority AND a.month = b.month + INTERVAL 12 MONTH) SELECT o_orderpriority, month, round(ratio, 6) AS ratio, round(CASE WHEN count(ratio) OVER w = 3 THEN avg(ratio) OVER w END, 6) AS mean_ratio FROM j WINDOW w AS (PARTITION BY o_orderpriority ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
@@ -222,9 +255,15 @@ def _(t):
     return rows.select("o_orderpriority", "month", F.round("ratio", 6).alias("ratio"), F.round("mean_ratio", 6).alias("mean_ratio"))
 
 
-@query("M08_back_test")
+@query("M08_back_test", f"""WITH m AS ({MONTHLY_SQL}), t AS (SELECT p, month AS cut, y AS actual FROM m QUALIFY row_number() OVER (PARTITION BY p ORDER BY month DESC) <= 6),
+all_months AS (SELECT t.p, t.cut, m.month, m.y FROM t JOIN m ON m.p = t.p AND m.month < t.cut), whole AS (SELECT * FROM all_months), {forecast_sql("p, cut", 1)},
+q AS (SELECT *, y / nullif(lag(y, 12) OVER w, 0) AS ratio, lag(y, 12) OVER w AS year, lag(y) OVER w AS naive FROM m WINDOW w AS (PARTITION BY p ORDER BY month)),
+z AS (SELECT p, month AS cut, naive, CASE WHEN count(ratio) OVER v = 3 THEN greatest(year * avg(ratio) OVER v, 0) END AS seasonal FROM q WINDOW v AS (PARTITION BY p ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+e AS (SELECT t.p, actual, naive, seasonal, floor(point / 100 + 0.5) * 100 AS trend FROM t JOIN z USING (p, cut) LEFT JOIN out USING (p, cut)),
+x AS (SELECT p, 'trend' AS model, abs(trend - actual) AS error FROM e UNION ALL SELECT p, 'seasonal', abs(seasonal - actual) FROM e UNION ALL SELECT p, 'naive', abs(naive - actual) FROM e)
+SELECT p AS o_orderpriority, model, count(error) AS tests, round(avg(error), 2) AS mae FROM x GROUP BY 1, 2""")
 def _(t):
-    return forecast.back_test(_monthly(t), "o_orderpriority", "month", "value")
+    return forecast.back_test(_monthly(t), ["o_orderpriority"], "month", "value").withColumn("mae", F.round("mae", 2))
 
 
 @query("M07_decompose", "WITH y AS (SELECT year(o_orderdate) AS y, count(DISTINCT o_custkey)::DOUBLE AS v, count(*)::DOUBLE AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1) SELECT round(ln(b.v / a.v), 6) AS vehicles, round(ln(b.n / a.n) - ln(b.v / a.v), 6) AS intensity FROM y a, y b WHERE a.y = 1996 AND b.y = 1997")
