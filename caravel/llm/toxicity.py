@@ -1,15 +1,16 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Document labels become token labels: in a toxic document, a word is toxic if it, or the
-beginning it shares with others, stands in clearly more different contexts of toxic
-documents than of clean ones (contexts, so that copies of one document count once).
-Two-state chains over windows of a text's words learn from these; forward-backward gives
-each token's marginal. A document's marginals (their sum, maximum and mean) are turned
-into a probability of label 1 by a logistic regression, fitted on documents that the
-chain it sees has not learned from.
-
-Only the fit is bounded, by `fit_docs` and `fit_chars`: it runs on the driver over that
-sample. Scoring covers every word of every text, window by window, where the rows are.
+No tokens are labelled in the corpus, so document labels become token labels: in a toxic
+document, a word is toxic if it, or the beginning it shares with others, stands in clearly
+more different contexts of toxic documents than of clean ones (contexts, so that copies of
+one document count once). Two-state chains over windows of a text's words learn from these;
+forward-backward gives each token's marginal. A document's marginals (their sum, maximum
+and mean) are turned into a probability of label 1 by a logistic regression, fitted on
+documents that the chain it sees has not learned from.
+
+Only the fit is bounded, by `fit_docs` and `fit_chars`: two tasks see that sample, one for
+the chain and one for the regression, and the driver gets the weights alone. Scoring covers
+every word of every text, window by window, where the rows are.
 """
 
 from __future__ import annotations
@@ -224,13 +225,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
-    """Fits on about `fit_docs` labelled documents, half of each label as far as there are
-    so many, chosen by a hash of doc_id, and of these on whole documents, chosen by another
-    hash, of about `fit_chars` characters together.
-    `usable` says which rows of `labels` may be learned from. Of repeated labels the larger
-    holds; nulls are left out. Without both labels every document gets the rate of label 1.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, usable: Column | None, fit_docs: int, fit_chars: int) -> tuple[DataFrame, float]:
+    """text and toxic (boolean) of the documents that are fitted on, and the rate of label 1."""
     truth = labels.filter("doc_id is not null and toxic is not null")
     truth = (truth if usable is None else truth.filter(usable)).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("__toxic"))
     counts = {r["__toxic"]: r["count"] for r in truth.groupBy("__toxic").count().collect()}
@@ -243,31 +239,64 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, fit_do
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     part = min(1.0, fit_chars / max(chars, 1))
     # whole documents at every size: a label holds for its document, not for its pieces
-    rows = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6 < part).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    toxic = np.array([r["__toxic"] == 1 for r in rows], bool)
-    if not rows or toxic.all() or not toxic.any():
-        return Model(None, np.zeros(4), rate)
-    # every fourth document, copies of one text together, is kept from the chain whose marks are weighed
-    apart = np.array([zlib.crc32(r.text.encode()) % 4 == 0 for r in rows])
-    weigh = apart if len({*toxic[apart]}) == 2 and len({*toxic[~apart]}) == 2 else np.ones(len(rows), bool)
+    rows = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6 < part)
+    return rows.select("text", (F.col("__toxic") == 1).alias("toxic")), counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def weights_of(texts: list[str], toxic: np.ndarray, rate: float) -> np.ndarray:
+    """The regression's weights: every fourth document, copies of one text together, is kept
+    from a chain, and its marks are weighed.
+    """
+    apart = np.array([zlib.crc32(t.encode()) % 4 == 0 for t in texts])
+    weigh = apart if len({*toxic[apart]}) == 2 and len({*toxic[~apart]}) == 2 else np.ones(len(texts), bool)
     learn = ~apart if weigh is apart else weigh
-    of = lambda which: [r.text for r, keep in zip(rows, which) if keep]
-    model = Model(chain_of(of(learn), toxic[learn]), np.zeros(4), rate)
-    marks, y = model.marks(of(weigh))[0], toxic[weigh]
-    weight = np.where(y, rate / y.mean(), (1 - rate) / (1 - y.mean()))  # the sample's labels are not as frequent as all
-    model.weights = fit_logistic(marks, y.astype(float), weight)
-    model.chain = chain_of([r.text for r in rows], toxic)
-    for name in ("word", "stem", "before", "after"):
-        setattr(model.chain, name, getattr(model.chain, name).astype(np.float32))
-    return model
+    of = lambda which: [t for t, keep in zip(texts, which) if keep]
+    marks, y = Model(chain_of(of(learn), toxic[learn]), np.zeros(4), rate).marks(of(weigh))[0], toxic[weigh]
+    # the sample's labels are not as frequent as all
+    return fit_logistic(marks, y.astype(float), np.where(y, rate / y.mean(), (1 - rate) / (1 - y.mean())))
+
+
+FITTED = "job string, word binary, stem binary, before binary, after binary, bias double, moves array<double>, weights array<double>"
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
+    """Fits on about `fit_docs` labelled documents, half of each label as far as there are
+    so many, chosen by a hash of doc_id, and of these on whole documents, chosen by another
+    hash, of about `fit_chars` characters together.
+    `usable` says which rows of `labels` may be learned from. Of repeated labels the larger
+    holds; nulls are left out. Without both labels every document gets the rate of label 1.
+    """
+    rows, rate = sampled(docs, labels, usable, fit_docs, fit_chars)
+
+    def work(key: tuple, sample: pa.Table) -> pa.Table:
+        pairs = sorted(zip(sample["text"].to_pylist(), sample["toxic"].to_pylist()))
+        texts, toxic = [t for t, _ in pairs], np.array([y for _, y in pairs], bool)
+        found: dict = dict.fromkeys(("word", "stem", "before", "after", "bias", "moves", "weights"))
+        if not toxic.all() and toxic.any():
+            if key[0].as_py() == "weights":
+                found["weights"] = weights_of(texts, toxic, rate).tolist()
+            else:
+                chain = chain_of(texts, toxic)
+                found |= {n: getattr(chain, n).astype("<f4").tobytes() for n in ("word", "stem", "before", "after")}
+                found |= {"bias": chain.bias, "moves": chain.moves.ravel().tolist()}
+        kinds = [pa.string(), *[pa.binary()] * 4, pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        return pa.table([pa.array([v], k) for v, k in zip([key[0].as_py(), *found.values()], kinds)], ["job", *found])
+
+    # two groups, each the whole sample, of about fit_chars characters at most
+    jobs = rows.withColumn("job", F.explode(F.array(F.lit("chain"), F.lit("weights"))))
+    got = {r.job: r for r in jobs.groupBy("job").applyInArrow(work, FITTED).collect()}
+    if not got or got["weights"].weights is None:
+        return Model(None, np.zeros(4), rate)
+    own = got["chain"]
+    chain = Chain(*(np.frombuffer(own[n], "<f4") for n in ("word", "stem", "before", "after")), own.bias, np.reshape(own.moves, (2, 2)))
+    return Model(chain, np.array(got["weights"].weights), rate)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and spans (start, end in code points, p) of the words at
-    0.5 or more, for each row of `docs` (doc_id, text) in its whole text. Null text
-    counts as empty; a text without words scores as one without evidence.
+    0.5 or more, for each row of `docs` (doc_id, text; further columns are left alone) in
+    its whole text, repeated rows and null ids too; no rows give none. Null text counts as
+    empty; a text without words scores as one without evidence.
     """
     rows_per_batch(docs.sparkSession)
     schema = "doc_id {}, score double, spans array<struct<start:bigint,end:bigint,p:double>>".format(docs.schema["doc_id"].dataType.simpleString())
@@ -287,7 +316,9 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, bound: float) -> DataFrame:
-    """The rows of `docs`, whole and in place, whose text scores below `bound`."""
+    """The rows of `docs`, whole and in place, whose text scores below `bound`; each row is
+    judged by itself, null text as empty.
+    """
     rows_per_batch(docs.sparkSession)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
