@@ -3,8 +3,9 @@
 Linked documents begin in shards by a hash and move, round by round, to the shard most
 of their neighbours are in, as far as its quota allows: a shard takes no more linked
 documents than its final size. Rounds alternate in direction (to lower, to higher
-numbers), so that two neighbours never swap places for ever. Documents without links,
-and those beyond a quota, then fill the shards to exactly their sizes.
+numbers), so that two neighbours never swap places for ever, and go on until neither
+direction cuts fewer links; the places with the fewest cut links are taken. Documents
+without links, and those beyond a quota, then fill the shards to exactly their sizes.
 
 Votes are counts by (document, shard) that merge on the map side. Quotas and fills use
 ranks from per-bucket counts, so no shard's rows meet in one task; a hub of links is
@@ -13,15 +14,16 @@ one row a neighbour in joins that Spark can split.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caravel.llm.shared import gapless_rank, shared_table, whole_text
 
 SHARDS = 24
-ROUNDS = 6
-#: Rows of one shard that are ranked in one bucket.
-BUCKET_ROWS = 20_000
+#: Rows of one shard, or of one group of copies, that are ranked in one bucket.
+BUCKET_ROWS = 1000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -40,16 +42,20 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def links_of_copies(rows: DataFrame, most: int) -> DataFrame:
-    """Links (row, other) of rows with equal `same`: each to the first of its group, or of
-    its chunk where a group is larger than `most` (a shard), not to each other.
+    """Links (row, other) of rows with equal `same`: each to the first of its group, not to
+    each other. A group larger than `most` (a shard) is taken in chunks; each row is linked
+    to the first of its chunk, and that to the first of the chunk before.
     """
-    groups = rows.groupBy("same").agg(F.count("*").alias("members")).filter("members > 1")
+    # written, so that the join has a plain table on both sides and Spark can split a large group
+    groups = shared_table(rows.groupBy("same").agg(F.count("*").alias("members")).filter("members > 1"), "groups")
     members = shared_table(rows.join(groups, "same").select("row", "same", "members"), "copies")
     largest = members.agg(F.max("members")).first()[0] or 0
     ranked = gapless_rank(members, ["same"], ["row"], 1 + largest // BUCKET_ROWS)
     chunked = shared_table(ranked.select("row", "same", F.floor(F.col("rank") / max(most, 1)).alias("chunk")), "chunks")
-    firsts = chunked.groupBy("same", "chunk").agg(F.min("row").alias("other"))
-    return chunked.join(firsts, ["same", "chunk"]).filter("row != other").select("row", "other")
+    firsts = shared_table(chunked.groupBy("same", "chunk").agg(F.min("row").alias("other")), "chunk-firsts")
+    within = chunked.join(firsts, ["same", "chunk"]).filter("row != other").select("row", "other")
+    before = firsts.select("same", (F.col("chunk") + 1).alias("chunk"), F.col("other").alias("before"))
+    return within.unionByName(firsts.join(before, ["same", "chunk"]).select(F.col("other").alias("row"), F.col("before").alias("other")))
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -60,35 +66,56 @@ def _by_shard(values: list[int]) -> Column:
     return F.array(*[F.lit(int(v)) for v in values])[F.col("shard")]
 
 
-def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def cut_links(places: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: links, and cut, those of them (row, other) between two shards."""
+    shard = lambda c: places.select(F.col("row").alias(c), F.col("shard").alias(f"of_{c}"))
+    both = links.join(shard("row"), "row").join(shard("other"), "other")
+    return both.agg(F.count("*").alias("links"), F.coalesce(F.sum((F.col("of_row") != F.col("of_other")).cast("bigint")), F.lit(0)).alias("cut"))
+
+
+def wishes_of(both: DataFrame, placed: DataFrame) -> DataFrame:
+    """A written table of row, shard, `to` (the shard of most neighbours; of equal ones its
+    own, then the lowest) and cut (its neighbours in other shards).
+    """
+    where = placed.select(F.col("row").alias("other"), F.col("shard").alias("at"))
+    votes = both.join(where, "other").groupBy("row", "at").agg(F.count("*").alias("votes"))
+    here = F.col("at") == F.col("shard")
+    best = votes.join(placed, "row").groupBy("row", "shard").agg(
+        F.max(F.struct("votes", here.alias("here"), (-F.col("at")).alias("low"))).alias("best"),
+        F.sum(F.when(here, 0).otherwise(F.col("votes"))).alias("cut"),
+    )
+    return shared_table(best.select("row", "shard", (-F.col("best.low")).alias("to"), "cut"), "wishes")
+
+
+def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS) -> DataFrame:
     """row, shard and slot (gapless from 0 in its shard) of each of `rows` (row, unique; a
-    written table), for undirected `links` (row, other). No rows give no shards.
+    written table), for undirected `links` (row, other). No rows give no shards; repeated
+    links count once.
     """
     total = rows.count()
     sizes = shard_sizes(total, shards)
     buckets = 1 + max(sizes) // BUCKET_ROWS
     both = shared_table(links.select("row", "other").unionByName(links.select(F.col("other").alias("row"), F.col("row").alias("other"))).distinct(), "links")
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
-    placed = shared_table(both.select("row").distinct().select("row", start), "placed")
-    idle = 0
-    for turn in range(rounds):
+    placed = lowest = shared_table(both.select("row").distinct().select("row", start), "placed")
+    fewest, idle = None, 0
+    for turn in itertools.count():
+        wishes = wishes_of(both, placed)
+        cut = wishes.agg(F.sum("cut")).first()[0] or 0
+        if fewest is None or cut < fewest:
+            lowest, fewest, idle = placed, cut, 0
+        else:
+            idle += 1
+        if idle == 2 or cut == 0:
+            break
         load = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         quota = [max(0, size - load.get(s, 0)) for s, size in enumerate(sizes)]
-        where = placed.select(F.col("row").alias("other"), F.col("shard").alias("at"))
-        votes = both.join(where, "other").groupBy("row", "at").agg(F.count("*").alias("votes"))
-        now = votes.join(placed, "row")
-        best = now.groupBy("row", "shard").agg(
-            F.max(F.struct("votes", (F.col("at") == F.col("shard")).alias("here"), (-F.col("at")).alias("low"))).alias("best"),
-        )
-        to = -F.col("best.low")
-        onward = to < F.col("shard") if turn % 2 == 0 else to > F.col("shard")
-        wish = shared_table(best.filter(onward).select("row", to.alias("shard")), "wishes")
+        onward = F.col("to") < F.col("shard") if turn % 2 == 0 else F.col("to") > F.col("shard")
+        wish = shared_table(wishes.filter(onward).select("row", F.col("to").alias("shard")), "moving")
         allowed = gapless_rank(wish, ["shard"], ["row"], buckets).filter(F.col("rank") < _by_shard(quota))
         moved = shared_table(allowed.select("row", F.col("shard").alias("to")), "moves")
-        idle = idle + 1 if moved.isEmpty() else 0
-        if idle == 2:
-            break
         placed = shared_table(placed.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "placed")
+    placed = lowest
     ranked = gapless_rank(placed, ["shard"], ["row"], buckets)
     kept = shared_table(ranked.filter(F.col("rank") < _by_shard(sizes)).select("row", "shard", F.col("rank").alias("slot")), "kept")
     load = {r.shard: r.n for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -103,14 +130,14 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
     return kept.unionByName(fill.select("row", "shard", slot.alias("slot")))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard and slot of each
-    row of `docs` (doc_id, text); documents of equal texts are linked.
+    row of `docs` (doc_id, text; further columns are left alone); documents of equal texts
+    are linked, null texts with empty ones.
 
-    Every row has its place, rows of null and repeated doc_ids too.
+    Every row has its place, rows of null and repeated doc_ids too; no rows give none.
     """
     rows = sized(docs)
     most = max(shard_sizes(rows.count(), shards), default=0)
-    places = balanced_shards(rows.select("row"), links_of_copies(rows, most), shards, rounds)
+    places = balanced_shards(rows.select("row"), links_of_copies(rows, most), shards)
     return rows.join(places, "row").select("doc_id", "size", "text_crc32", "shard", "slot")
-
