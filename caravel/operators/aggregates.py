@@ -34,16 +34,57 @@ def trip_measures() -> list[Column]:
     ]
 
 
-def grain_rollup(norm: DataFrame, grain: str) -> DataFrame:
-    """bucket x platform x fleet, bucket x platform, bucket x fleet and bucket in one pass
-    over grouping sets. `*` is all of a dimension, `unknown` a real null in it.
+#: Of bucket, platform and fleet, what a roll-up's rows are taken over.
+GRAINS = [["bucket", "platform", "fleet_id"], ["bucket", "platform"], ["bucket", "fleet_id"], ["bucket"]]
+
+
+def grain_rollup(norm: DataFrame, grain: str, sets: list[list[str]] = GRAINS) -> DataFrame:
+    """The measures by each of `sets`: bucket x platform x fleet, bucket x platform, bucket
+    x fleet, and bucket. `*` is all of a dimension, `unknown` a real null in it.
+
+    Rows are summed once by bucket, platform, fleet, person and car. Sums roll up from
+    there; people and cars are made distinct at each set from those narrow rows.
     """
+    keys = ["bucket", "platform", "fleet_id"]
+    booking = F.col("is_booking")
+    count_if = lambda p: F.count(F.when(p, 1))
+    fare = booking & F.col("has_fare")
     rows = norm.filter("requested_at is not null").withColumn("bucket", time.bucket(grain, F.col("requested_at")))
-    label = lambda c: F.when(F.grouping(c) == 1, "*").otherwise(F.coalesce(F.col(c), F.lit("unknown")))
-    sets = [[F.col("bucket"), F.col("platform"), F.col("fleet_id")], [F.col("bucket"), F.col("platform")], [F.col("bucket"), F.col("fleet_id")], [F.col("bucket")]]
-    grouped = rows.groupingSets(sets, "bucket", "platform", "fleet_id")
-    out = grouped.agg(label("platform").alias("__platform"), label("fleet_id").alias("__fleet"), *trip_measures())
-    return out.drop("platform", "fleet_id").withColumnsRenamed({"__platform": "platform", "__fleet": "fleet"})
+    person = F.when(booking, F.nullif("person_key", F.lit(""))).alias("person")
+    base = rows.groupBy(*keys, person, "plate").agg(
+        F.count("*").alias("trips"),
+        count_if(booking).alias("bookings"),
+        count_if(~booking).alias("telematics"),
+        count_if(booking & (F.col("person_key") != "")).alias("attributed_trips"),
+        F.sum(F.when(fare, F.col("price"))).alias("revenue"),
+        count_if(fare).alias("priced_trips"),
+        F.sum(F.when(booking & F.col("has_distance"), F.col("distance_km"))).alias("km"),
+        count_if(booking & F.col("has_distance")).alias("measured_trips"),
+        count_if(F.col("outcome") == "completed").alias("completed"),
+        count_if(F.col("outcome") == "not_completed").alias("not_completed"),
+        F.count("outcome").alias("outcome_n"),
+        F.max((fare & (F.col("price") > 0)).cast("int")).alias("earning"),
+    )
+    counts = [c for c in base.columns if c not in (*keys, "person", "plate", "revenue", "km", "earning")]
+    which = (F.grouping("platform") * 2 + F.grouping("fleet_id")).alias("set")
+
+    def at_sets(df: DataFrame, extra: list[str], *measures: Column) -> DataFrame:
+        return df.groupingSets([[F.col(c) for c in [*s, *extra]] for s in sets], *keys, *extra).agg(which, *measures)
+
+    fine = base.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in [*counts, "revenue", "km"]])
+    sums = at_sets(fine, [], *[F.sum(c).alias(c) for c in counts], F.round(F.sum("revenue"), 2).cast("double").alias("revenue"), F.round(F.sum("km").cast("decimal(20,4)"), 1).cast("double").alias("km"))
+    people = at_sets(base.filter("person is not null").select(*keys, "person").distinct(), ["person"]).groupBy(*keys, "set").agg(F.count("*").alias("drivers"))
+    cars = base.filter("plate is not null").groupBy(*keys, "plate").agg(F.max("earning").alias("earning"))
+    cars = at_sets(cars, ["plate"], F.max("earning").alias("earning")).groupBy(*keys, "set").agg(F.count("*").alias("vehicles"), F.sum("earning").alias("earning_vehicles"))
+    found = sums
+    for part in (people, cars):
+        own = [F.col(c).alias(f"__{c}") for c in [*keys, "set"]]
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*keys, "set"]]
+        found = found.join(part.select(*own, *part.columns[4:]), same, "left").drop(*[f"__{c}" for c in [*keys, "set"]])
+    distinct = [F.coalesce(c, F.lit(0)).alias(c) for c in ("drivers", "vehicles", "earning_vehicles")]
+    platform = F.when(F.col("set") >= 2, "*").otherwise(F.coalesce("platform", F.lit("unknown"))).alias("platform")
+    fleet = F.when(F.col("set") % 2 == 1, "*").otherwise(F.coalesce("fleet_id", F.lit("unknown"))).alias("fleet")
+    return found.select("bucket", platform, fleet, *counts, "revenue", "km", *distinct)
 
 
 def fold_grain(days: DataFrame, grain: str, day: str = "bucket", by: tuple[str, ...] = ("platform", "fleet")) -> DataFrame:

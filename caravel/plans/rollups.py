@@ -81,7 +81,7 @@ SELECT CAST(date_trunc('{_grain}', bucket) AS DATE) AS first_day, platform, CAST
 FROM d GROUP BY 1, 2""",
     )
     def _(t, grain=_grain):
-        days = agg.grain_rollup(norm(t), "day").filter("fleet = '*'")
+        days = agg.grain_rollup(norm(t), "day", [["bucket", "platform"], ["bucket"]])
         return agg.fold_grain(days, grain, by=("platform",))
 
 
