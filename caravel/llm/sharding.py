@@ -23,7 +23,7 @@ from caravel.llm.shared import gapless_rank, shared_table, whole_text
 
 SHARDS = 24
 #: Rows of one shard, or of one group of copies, that are ranked in one bucket.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 200
 
 
 def sized(docs: DataFrame) -> DataFrame:
