@@ -61,15 +61,20 @@ def chat_examples(conversations: DataFrame, trainable: str = "assistant", block_
         F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**63))).alias("block"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    turns = turns.withColumn("target", F.col("role") == trainable).withColumn("body", escaped(F.col("text")))
-    turns = turns.withColumn("formatted", F.concat(F.lit("<|"), escaped_role(F.col("role")), F.lit("|>\n"), "body", F.lit(END)))
+    ).withColumn("target", F.col("role") == trainable)
     long = shared_table(several_blocks(turns), "long-conversations")
+    several = not long.isEmpty()
     same = turns["conv_id"].eqNullSafe(long["conv_id"]) & (turns["block"] == long["block"])
-    known = [F.coalesce(long[c], F.lit(default)).alias(c) for c, default in (("past", 0), ("earlier", False), ("later", False))]
+    none = (("past", 0), ("earlier", False), ("later", False))
+    if several:
+        held = turns.join(long, same, "left").select(turns["*"], *[F.coalesce(long[c], F.lit(x)).alias(c) for c, x in none])
+    else:
+        held = turns.withColumns({c: F.lit(x) for c, x in none})
+    # dealt before the texts are formatted, which makes them several columns
+    held = formatted(held.repartition("conv_id", "block"))
     order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = turns.join(long, same, "left").select(turns["*"], *known).select(
+    placed = held.select(
         "conv_id",
         "block",
         "earlier",
@@ -79,8 +84,8 @@ def chat_examples(conversations: DataFrame, trainable: str = "assistant", block_
         F.concat_ws("", F.collect_list("formatted").over(so_far)).alias("formatted"),
         F.length("body").alias("body_chars"),
     ).filter("target or last")
-    if not long.isEmpty():
-        texts = turns.join(long, same, "left_semi").groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "formatted"))).alias("own"))
+    if several:
+        texts = formatted(turns).join(long, same, "left_semi").groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "formatted"))).alias("own"))
         texts = shared_table(texts.select(F.col("conv_id").alias("__conv"), F.col("block").alias("__block"), F.concat_ws("", "own.formatted").alias("whole")), "chat-blocks")
         placed = shared_table(placed, "chat-examples")
         of = F.col("conv_id").eqNullSafe(F.col("__conv"))
@@ -99,6 +104,12 @@ def chat_examples(conversations: DataFrame, trainable: str = "assistant", block_
     )
 
 
+def formatted(turns: DataFrame) -> DataFrame:
+    """`turns` with body (the text, escaped) and formatted (the whole turn)."""
+    turns = turns.withColumn("body", escaped(F.col("text")))
+    return turns.withColumn("formatted", F.concat(F.lit("<|"), escaped_role(F.col("role")), F.lit("|>\n"), "body", F.lit(END)))
+
+
 def several_blocks(turns: DataFrame) -> DataFrame:
     """Of conversations with more than one block, each block: conv_id, block, past (the
     targets before it), and whether there are earlier and later ones.

@@ -19,7 +19,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caravel.llm.shared import integer_names, shared_table, whole_text
+from caravel.llm.shared import integer_names, kept_rows, shared_table, whole_text
 
 BLOCK = 4096
 #: Marks the missing right half of the last pair of an odd row of names; names are >= 0.
@@ -111,17 +111,9 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns and whole texts. Of rows with
-    the same doc_id and text, which no key tells apart, the smallest by all columns stays.
+    """The rows of `docs` that stay, with all their columns (of any type) and whole texts. Of
+    rows with the same doc_id and text, which no key tells apart, any one stays. Null texts
+    count as empty; no rows give none.
     """
-    decided = shared_table(exact_dedup(docs, block).select("doc_id", "text_sha256", "kept"), "decided")
-    keys = decided.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("times"))
-    odd = shared_table(keys.filter("not stays or times > 1"), "dropped-or-repeated")
-    sha = F.sha2(normalised(whole_text()), 256)
-    same = docs["doc_id"].eqNullSafe(odd["doc_id"]) & (sha == odd["text_sha256"])
-    single = docs.join(odd, same, "left_anti")
-    if odd.filter("stays").isEmpty():
-        return single
-    again = docs.join(odd.filter("stays"), same, "left_semi").withColumn("__sha", sha)
-    one = again.groupBy("doc_id", "__sha").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return single.unionByName(one)
+    decided = exact_dedup(docs, block).select("doc_id", "text_sha256", "kept")
+    return kept_rows(docs, decided, F.sha2(normalised(whole_text()), 256))

@@ -20,12 +20,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, under the
-    application's id. Only where the cluster names none (as in tests on one machine)
-    is a folder of this machine set.
+    application's id. Only a session on one machine may leave it unset; it gets a folder of
+    its own.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
@@ -88,3 +90,26 @@ def gapless_rank(df: DataFrame, key: list[str], order: list[str], buckets: int,
 def whole_text(name: str = "text") -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame, sha: Column) -> DataFrame:
+    """The rows of `docs` for `decided` (doc_id, text_sha256, kept), a row for each row that
+    was judged: rows that no decision names or all keep stay whole; of rows with the same
+    doc_id and text, one stays if any is kept.
+
+    The join is one by shuffle at every size: what it drops grows with the input, and a
+    broadcast that holds on small inputs only would hide that.
+    """
+    keys = decided.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("__stays"), F.count("*").alias("__times"))
+    odd = shared_table(keys.filter("not __stays or __times > 1"), "dropped-or-repeated")
+    odd = odd.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"), "__stays").hint("merge")
+    named = docs.withColumn("__sha", sha)
+    met = named.join(odd, named["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sha256")), "left")
+    single = met.filter("__stays is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if odd.filter("__stays").isEmpty():
+        return single
+    # a row's number is enough to choose by, whatever types the columns have
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    again = met.filter("__stays").select("__id", "__sha", F.monotonically_increasing_id().alias("__row"), whole)
+    one = again.groupBy("__id", "__sha").agg(F.min_by("whole", "__row").alias("whole"))
+    return single.unionByName(one.select("whole.*"))
