@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caravel.plans import domain, feeds, relational, rollups, scalars  # noqa: F401  they register their queries
+from caravel.plans import domain, feeds, relational, rollups, scalars, streams  # noqa: F401  they register their queries
 from caravel.plans.registry import ORACLES, QUERIES
 
 

@@ -83,7 +83,7 @@ def notices(health: DataFrame, late: str, confirm: dict[str, int] = {"stalled":
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         told, pending, since, noticed = state.get if state.exists else (None, None, None, None)
-        rows = pd.concat(list(batches)).sort_values("at")
+        rows = pd.concat(list(batches)).sort_values(["at", "state"])
         out = []
         for at, now in zip(rows["at"].astype("datetime64[ms]").astype("int64"), rows["state"]):
             at = int(at)
