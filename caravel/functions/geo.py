@@ -28,8 +28,8 @@ def approaches(states: DataFrame, runways: DataFrame) -> DataFrame:
     barometric altitude is the geometric one; below 30 m/s the time is that of 70 m/s.
 
     `states`: icao24, lat, lng, track, baro_m, geo_m, climb_ms, speed_ms, on_ground.
-    `runways` (airport, runway, lat, lng, heading) is a table of a few rows, broadcast: a
-    join of every state with each near one is what the question asks.
+    `runways`: airport, runway, lat, lng, heading. States meet those of their band of
+    latitude, an equi-join whatever the size of either.
     """
     r = runways.select("airport", "runway", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), "heading")
     north = (F.col("r_lat") - F.col("lat")) * 60
@@ -37,7 +37,9 @@ def approaches(states: DataFrame, runways: DataFrame) -> DataFrame:
     ahead = lambda a, b: a * F.cos(F.radians("track")) + b * F.sin(F.radians("track"))
     turn = F.abs(F.pmod(F.col("track") - F.col("heading") + 180, F.lit(360.0)) - 180)
     altitude = F.coalesce("baro_m", "geo_m")
-    joined = states.join(F.broadcast(r), F.abs(F.col("lat") - F.col("r_lat")) <= 0.1)
+    band = lambda lat: F.floor(lat / 0.1)
+    near = r.withColumn("__band", F.explode(F.sequence(band(F.col("r_lat") - 0.1), band(F.col("r_lat") + 0.1))))
+    joined = states.withColumn("__band", band(F.col("lat"))).join(near, "__band").filter(F.abs(F.col("lat") - F.col("r_lat")) <= 0.1).drop("__band")
     joined = joined.withColumn("along_nm", ahead(north, east)).withColumn("cross_nm", F.abs(ahead(east, -north))).withColumn("dist_nm", F.sqrt(north * north + east * east))
     flying = ~F.col("on_ground") & (altitude <= 900) & (F.col("climb_ms") <= -0.5)
     landed = F.col("on_ground") & (F.col("dist_nm") <= 3) & (F.col("speed_ms") > 20)

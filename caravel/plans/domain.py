@@ -255,6 +255,13 @@ def _(t):
     return incremental.refreshed(rows.withColumn("of", F.lit("old")), rows.withColumn("of", F.lit("fresh")), "bucket", since).select("bucket", "of", "n")
 
 
+@query("T12_swept", "WITH s AS (SELECT event_id, user_id % 40 AS plate, date_trunc('hour', ts) AS a, date_trunc('hour', ts) + to_minutes(CAST(event_id % 9 * 20 AS INT)) AS b FROM events) SELECT event_id FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.plate = x.plate AND y.a <= x.a AND y.b >= x.b AND (y.a < x.a OR y.b > x.b))")
+def _(t):
+    start = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    rows = t.events.select("event_id", (F.col("user_id") % 40).alias("plate"), start.alias("start"), (start + F.make_interval(mins=(F.col("event_id") % 9 * 20).cast("int"))).alias("end"))
+    return sinks.swept(rows).select("event_id")
+
+
 @query("T09_supersede", "WITH l AS (SELECT event_id AS id, event_type AS airport, user_id % 20 AS icao24, ts FROM events WHERE value < 50), c AS (SELECT event_id AS confirmed_id, event_type AS airport, user_id % 20 AS icao24, ts AS c_at FROM events WHERE value >= 50), n AS (SELECT id, confirmed_id FROM l JOIN c USING (airport, icao24) WHERE abs(epoch_us(ts) - epoch_us(c_at)) <= 1800000000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(epoch_us(ts) - epoch_us(c_at)), c_at) = 1), d AS (SELECT DISTINCT airport, CAST(c_at AS DATE) AS day FROM c) SELECT l.id, d.day IS NOT NULL AS superseded, CASE WHEN d.day IS NOT NULL THEN confirmed_id END AS confirmed_id FROM l LEFT JOIN d ON l.airport = d.airport AND CAST(ts AS DATE) = d.day LEFT JOIN n USING (id)")
 def _(t):
     rows = t.events.select("event_id", "value", F.col("event_type").alias("airport"), (F.col("user_id") % 20).alias("icao24"), F.col("ts").alias("landed_at"))

@@ -50,10 +50,13 @@ def replaced_window(table: DataFrame, fresh: DataFrame, inside: Column) -> DataF
 
 
 def swept(segments: DataFrame, key: str = "plate") -> DataFrame:
-    """Without segments that lie within a longer one of the same car."""
-    other = segments.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    within = (F.col(key) == F.col("__k")) & (F.col("__s") <= F.col("start")) & (F.col("__e") >= F.col("end")) & ((F.col("__s") < F.col("start")) | (F.col("__e") > F.col("end")))
-    return segments.join(other, within, "left_anti")
+    """Without segments that lie within a longer one of the same car: one that began earlier
+    and ends no earlier, or began with it and ends later.
+    """
+    earlier = Window.partitionBy(key).orderBy(F.unix_micros(F.col("start").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    reach, longest = F.max("end").over(earlier), F.max("end").over(Window.partitionBy(key, "start"))
+    marked = segments.withColumn("__within", F.coalesce(reach >= F.col("end"), F.lit(False)) | (longest > F.col("end")))
+    return marked.filter(~F.col("__within")).drop("__within")
 
 
 def replaced_day(landings: DataFrame, fresh: DataFrame, day: Column) -> DataFrame:
