@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -163,44 +165,55 @@ class PrefixCounter:
             tail = symbols[j:stop]
             if tail not in tails:
                 break
-            token, (before, n) = tail + end, last[j - stop]
-            if token in vocab and stands[before, token]:
-                return token, n + 1
+            if (token := tail + end) in vocab and stands[last[j - stop][0], token]:
+                return token, last[j - stop][1] + 1
         raise ValueError(f"no token ends {symbols[max(0, stop - self.longest) : stop]!r}")
 
     def steps(self, piece: str) -> bytes:
-        """For each code point of a piece, the change of the count, as 32-bit numbers. What
-        is known of a short prefix holds for every piece that begins with it; beyond, only
-        the states within reach of the longest token are held.
-        """
+        """For each code point of a piece, the change of the count, as 32-bit numbers."""
         if piece[0] in SPACES:
             return bytes(4 * len(piece))
-        goes_on, ended, end, longest = self.goes_on, self.ended, self.end, self.longest
+        raw = piece.encode()
+        symbols = "".join([self.letters[b] for b in raw])
+        ends = range(1, len(raw) + 1) if len(raw) == len(piece) else np.cumsum([len(c.encode()) for c in piece]).tolist()
+        counts = self.short(symbols, ends) if len(symbols) <= LONG else self.long(symbols, ends)
+        return struct.pack(f"<{len(piece)}i", *map(sub, counts, [0, *counts]))
+
+    def short(self, symbols: str, ends: Sequence[int]) -> list[int]:
+        """The counts at `ends`. What is known of a prefix holds for every piece that begins
+        with it.
+        """
+        goes_on, ended, ending, end = self.goes_on, self.ended, self.ending, self.end
         if max(len(goes_on), len(ended)) >= MEMORY:
             goes_on.clear()
             ended.clear()
-        symbols = "".join([self.letters[b] for b in piece.encode()])
-        edges = np.cumsum([len(c.encode()) for c in piece]).tolist()
-        last, counts, at = [("", 0)], [0], 0
-        for edge in edges:
-            while at < edge:
-                if at:
-                    state = goes_on.get(symbols[:at]) if at <= LONG else None
-                    if state is None:
-                        state = self.ending(symbols, at, "", last)
-                        if at <= LONG:
-                            goes_on[symbols[:at]] = state
-                    last.append(state)
-                    if len(last) > 64 * longest:
-                        del last[:-longest]
-                at += 1
-            n = ended.get(symbols[:at]) if at <= LONG else None
+        last, counts, prefix, known = [("", 0)], [], "", 0
+        for stop in ends:
+            for at in range(max(1, known), stop):
+                if at > known:
+                    prefix = symbols[:at]
+                state = goes_on.get(prefix)
+                if state is None:
+                    state = goes_on[prefix] = ending(prefix, at, "", last)
+                last.append(state)
+            prefix, known = symbols[:stop], stop
+            n = ended.get(prefix)
             if n is None:
-                n = self.ending(symbols, at, end, last)[1]
-                if at <= LONG:
-                    ended[symbols[:at]] = n
+                n = ended[prefix] = ending(prefix, stop, end, last)[1]
             counts.append(n)
-        return np.diff(np.array(counts, "<i4")).tobytes()
+        return counts
+
+    def long(self, symbols: str, ends: Sequence[int]) -> list[int]:
+        """The same, holding only the states within reach of the longest token."""
+        last, done, counts = [("", 0)], 1, []
+        for stop in ends:
+            while done < stop:
+                last.append(self.ending(symbols, done, "", last))
+                done += 1
+                if len(last) > 64 * self.longest:
+                    del last[: -self.longest]
+            counts.append(self.ending(symbols, stop, self.end, last)[1])
+        return counts
 
     def table(self, text: str) -> np.ndarray:
         """Changes of the token count, one for each code point of the text in NFC: the
