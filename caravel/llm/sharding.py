@@ -1,11 +1,12 @@
 """Sharding by balanced label propagation, with row counts at most one apart.
 
 Linked documents begin in shards by a hash and move, round by round, to the shard most
-of their neighbours are in, as far as its quota allows: a shard takes no more linked
-documents than its final size. Rounds alternate in direction (to lower, to higher
-numbers), so that two neighbours never swap places for ever, and go on until neither
-direction cuts fewer links; the places with the fewest cut links are taken. Documents
-without links, and those beyond a quota, then fill the shards to exactly their sizes.
+of their neighbours are in, as far as its quota allows: between two shards as many go as
+come, and beyond that a shard takes no more linked documents than its final size. A hash
+of the round lets half of those that wish to move, so that two neighbours do not swap
+places for ever. Rounds go on until three in a row cut no fewer links; the places with the
+fewest cut links are taken. Documents without links, and those beyond a quota, then fill
+the shards to exactly their sizes.
 
 Votes are counts by (document, shard) that merge on the map side. Quotas and fills use
 ranks from per-bucket counts, so no shard's rows meet in one task; a hub of links is
@@ -87,6 +88,21 @@ def wishes_of(both: DataFrame, placed: DataFrame) -> DataFrame:
     return shared_table(best.select("row", "shard", (-F.col("best.low")).alias("to"), "cut"), "wishes")
 
 
+def quotas(asked: dict[tuple[int, int], int], free: list[int]) -> list[int]:
+    """How many may go from each shard to each other, in order of (from, to): as many as
+    come the other way, and then as far as the other has places free.
+    """
+    shards, left = len(free), list(free)
+    moves = []
+    for s in range(shards):
+        for t in range(shards):
+            wish, back = asked.get((s, t), 0), asked.get((t, s), 0)
+            more = max(0, min(wish - back, left[t]))
+            left[t] -= more
+            moves.append(min(wish, back) + more)
+    return moves
+
+
 def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS) -> DataFrame:
     """row, shard and slot (gapless from 0 in its shard) of each of `rows` (row, unique; a
     written table), for undirected `links` (row, other). No rows give no shards; repeated
@@ -106,14 +122,15 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS) ->
             lowest, fewest, idle = placed, cut, 0
         else:
             idle += 1
-        if idle == 2 or cut == 0:
+        if idle == 3 or cut == 0:
             break
         load = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        quota = [max(0, size - load.get(s, 0)) for s, size in enumerate(sizes)]
-        onward = F.col("to") < F.col("shard") if turn % 2 == 0 else F.col("to") > F.col("shard")
-        wish = shared_table(wishes.filter(onward).select("row", F.col("to").alias("shard")), "moving")
-        allowed = gapless_rank(wish, ["shard"], ["row"], buckets).filter(F.col("rank") < _by_shard(quota))
-        moved = shared_table(allowed.select("row", F.col("shard").alias("to")), "moves")
+        half = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2)) == 0
+        wish = shared_table(wishes.filter((F.col("to") != F.col("shard")) & half).select("row", "shard", "to"), "moving")
+        asked = {(r.shard, r.to): r.n for r in wish.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # shards x shards rows at most
+        quota = F.array(*[F.lit(n) for n in quotas(asked, [size - load.get(s, 0) for s, size in enumerate(sizes)])])[F.col("shard") * shards + F.col("to")]
+        allowed = gapless_rank(wish, ["shard", "to"], ["row"], buckets).filter(F.col("rank") < quota)
+        moved = shared_table(allowed.select("row", "to"), "moves")
         placed = shared_table(placed.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "placed")
     placed = lowest
     ranked = gapless_rank(placed, ["shard"], ["row"], buckets)
