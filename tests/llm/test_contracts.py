@@ -31,15 +31,16 @@ def rows(spark, name):
 
 
 def test_op1_separates_held_out_documents(spark):
-    found = {r.doc_id: r for r in rows(spark, "op1_toxicity")}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    assert len(found) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found.values())
+    sf = "/root/testdata/sf0.1"
+    found = {r.doc_id: r for r in corpus.queries()["op1_toxicity"](spark, sf).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(found) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found.values())
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in found.items())
     held = [(found[d].score, t) for d, t in labels.items() if found[d].held_out]
     ones, zeros = [s for s, t in held if t], [s for s, t in held if not t]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
-    assert auc > 0.8, auc  # an eighth of the ones show no sign
-    assert np.mean([s >= 0.7 for s in zeros]) < 0.03
+    assert auc > 0.94, auc
+    assert np.mean([s >= 0.7 for s in ones]) > 0.85 and np.mean([s >= 0.7 for s in zeros]) < 0.005
 
 
 def test_op3_keeps_the_smallest_of_equal_texts(spark, documents):

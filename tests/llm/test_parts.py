@@ -5,21 +5,18 @@ from __future__ import annotations
 from caravel.llm import decontamination, toxicity
 
 
-def test_op1_fits_on_whole_documents_above_its_bound(spark, monkeypatch):
+def test_op1_fits_on_whole_documents_above_its_bound(spark):
     texts = {d: " ".join(f"слово{(d * 7 + i) % 97} word{(d + i) % 89}" for i in range(400)) + (" мерзкий" if d % 2 else "") for d in range(80)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     labels = spark.createDataFrame([(d, d % 2) for d in texts], "doc_id long, toxic int")
-    seen, plain = [], toxicity.chain_of
-
-    def recorded(own, toxic):
-        seen.append(list(own))
-        return plain(own, toxic)
-
-    monkeypatch.setattr(toxicity, "chain_of", recorded)
     bound = sum(map(len, texts.values())) // 2
-    toxicity.fit(docs, labels, fit_chars=bound)
-    assert seen and all(set(own) <= set(texts.values()) for own in seen)
-    assert 0.6 * bound < sum(map(len, seen[-1])) < 1.4 * bound
+    rows, rate = toxicity.sampled(docs, labels, None, 6000, bound)
+    chosen = {r.text: r.toxic for r in rows.collect()}
+    assert rate == 0.5 and all(texts[d] not in chosen or chosen[texts[d]] == (d % 2 == 1) for d in texts) and set(chosen) <= set(texts.values())
+    assert 0.6 * bound < sum(map(len, chosen)) < 1.4 * bound
+    model = toxicity.fit(docs, labels, fit_chars=bound)
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    assert len(scores) == 80 and all(0 <= s <= 1 for s in scores.values())
 
 
 def test_op9_merges_the_parts_of_a_test_set_by_row(spark):
