@@ -119,3 +119,14 @@ def test_op10_reads_back_any_roles_texts_and_lengths(spark, block_turns):
     examples = chat.chat_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block_turns=block_turns)
     read = examples.select("conv_id", "example", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("reply"))
     assert {(r.conv_id, r.example): ([tuple(x) for x in r.turns], r.reply) for r in read.collect()} == expected
+
+
+def test_components_after_more_links_are_those_of_all_links(spark):
+    from caravel.llm.near_copies import joined_roots
+    from caravel.llm.simhash import components
+
+    rng = random.Random(1)
+    first, more = ([tuple(sorted(rng.sample(range(200), 2))) for _ in range(60)] for _ in range(2))
+    edges = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    found, expected = ({r.node: r.root for r in x.collect()} for x in (joined_roots(components(edges(first)), edges(more)), components(edges(first + more))))
+    assert all(found.get(i, i) == expected.get(i, i) for i in range(200))
