@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import chat, decontamination, exact_dedup, html_text, packing, pii, sharding, simhash, tokens, toxicity
+from caravel.llm import alignment, chat, decontamination, exact_dedup, html_text, packing, pii, sharding, simhash, tokens, toxicity
 from caravel.llm.shared import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -97,10 +97,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_html_text, op3_exact_dedup, op4_packing, op5_sharding,
         op6_simhash, op7_pii, op8_token_counts, op9_decontamination, op10_chat,
+        op11_alignment,
     )}
 
 
