@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import alignment, chat, decontamination, exact_dedup, html_text, packing, pii, sharding, simhash, tokens, toxicity
+from caravel.llm import alignment, chat, decontamination, exact_dedup, html_text, packing, pii, sharding, simhash, spelling, tokens, toxicity
 from caravel.llm.shared import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -101,11 +101,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_html_text, op3_exact_dedup, op4_packing, op5_sharding,
         op6_simhash, op7_pii, op8_token_counts, op9_decontamination, op10_chat,
-        op11_alignment,
+        op11_alignment, op12_spelling,
     )}
 
 
@@ -146,5 +150,36 @@ items AS (
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i)) AS t
+), found AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), coded AS (
+  SELECT run, c, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)]
+    ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS bytes FROM found
+), hashed AS (
+  SELECT run, c, xor(list_reduce(list_transform(bytes, lambda x: CAST(x AS BIGINT)), lambda v, x: xor(v >> 8, crc.t[(xor(v, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM coded, crc
+), damaged AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM hashed
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, {'less': -near_n, 'near': encode(near)}) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), ways AS (
+  SELECT word, word AS at FROM forms UNION ALL SELECT y.word, f.form FROM ways y JOIN forms f ON f.word = y.at WHERE f.form IS NOT NULL
+), ends AS (SELECT y.word, y.at AS root FROM ways y JOIN forms f ON f.word = y.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 """,
 }
