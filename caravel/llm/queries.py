@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import alignment, chat, decontamination, exact_dedup, html_text, packing, pii, sharding, simhash, spelling, tokens, toxicity
+from caravel.llm import alignment, chat, decontamination, exact_dedup, html_text, licences, packing, pii, sharding, simhash, spelling, tokens, toxicity
 from caravel.llm.shared import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -105,11 +105,15 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_html_text, op3_exact_dedup, op4_packing, op5_sharding,
         op6_simhash, op7_pii, op8_token_counts, op9_decontamination, op10_chat,
-        op11_alignment, op12_spelling,
+        op11_alignment, op12_spelling, op13_licences,
     )}
 
 
@@ -117,6 +121,46 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+def values(rows: list[tuple]) -> str:
+    quoted = (", ".join("'{}'".format(x) if isinstance(x, str) else str(x) for x in row) for row in rows)
+    return "VALUES " + ", ".join(f"({row})" for row in quoted)
+
+
+def licence_sql() -> str:
+    """The scan's own rules as relations: the templates' words, the phrases, and votes."""
+    index = licences.Index(licences.TEMPLATES, licences.BASE)
+    wanted = [(t, i, " ".join(p)) for t, phrases in enumerate(index.mandatory) for i, p in enumerate(phrases)]
+    phrases = sorted({p for _, _, p in wanted} | {" ".join(p) for p, _ in index.base})
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), vocabulary(word) AS ({values([(w,) for w in index.words])}),
+occ AS (SELECT r, pos, word FROM (SELECT r, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d) SEMI JOIN vocabulary USING (word)),
+tpl(t, word, spot) AS ({values([(t, w, at) for t, f in enumerate(index.first) for w, at in f.items()])}),
+named(t, label) AS ({values(list(enumerate(index.labels)))}),
+phrase(p, i, word) AS ({values([(p, i, w) for p in phrases for i, w in enumerate(p.split())])}),
+base(p, label) AS ({values([(" ".join(p), label) for p, label in index.base])}),
+wanted(t, i, p) AS ({values(wanted)}),
+starts AS (SELECT r, p, pos - i AS start FROM occ JOIN phrase USING (word) GROUP BY ALL HAVING count(*) = max(len(string_split(p, ' ')))),
+based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM starts JOIN base USING (p) GROUP BY r),
+freq AS (SELECT word, coalesce(n, 0) AS n FROM vocabulary LEFT JOIN (SELECT word, count(DISTINCT r) AS n FROM occ GROUP BY word) USING (word)),
+weighed AS (SELECT t, word, spot, n, length(bin(CAST(((SELECT count(*) FROM d) + 1) // (n + 1) AS BIGINT))) AS weight FROM tpl JOIN freq USING (word)),
+whole AS (SELECT t, sum(weight) AS whole FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n, word) AS k FROM weighed) WHERE k <= 8 GROUP BY t),
+rarest AS (
+  SELECT r, t, word, spot, weight FROM (SELECT *, row_number() OVER (PARTITION BY r, t ORDER BY n, word) AS k FROM (SELECT DISTINCT r, word FROM occ) JOIN weighed USING (word)) WHERE k <= 8
+), phrased AS (
+  SELECT r, t FROM wanted JOIN (SELECT DISTINCT r, p FROM starts) USING (p) GROUP BY r, t HAVING count(*) = (SELECT count(*) FROM wanted x WHERE x.t = wanted.t)
+), votes AS (
+  SELECT r, t, pos - spot AS start, sum(weight) AS agreed FROM rarest SEMI JOIN phrased USING (r, t) JOIN occ USING (r, word) GROUP BY ALL
+), added AS (
+  SELECT r, list(DISTINCT label) AS labels, max(agreed / whole) AS coverage FROM votes JOIN whole USING (t) JOIN named USING (t) WHERE agreed >= 0.6 * whole GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, a.labels))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN based b USING (r) LEFT JOIN added a USING (r)
+"""
+
+
 #: Queries that learn, extract, number by place or iterate have none: see tests/llm.
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -182,4 +226,5 @@ WITH RECURSIVE crc AS (
 ), ends AS (SELECT y.word, y.at AS root FROM ways y JOIN forms f ON f.word = y.at WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 """,
+    "op13_licences": licence_sql(),
 }
