@@ -105,8 +105,8 @@ class Index:
             for at, word in enumerate(words_of(template.text)):
                 first.setdefault(word, at)
         self.mandatory = [[words_of(p) for p in t.mandatory] for t in templates]
-        self.base = [(words_of(p), label) for p, label in base.items()]
-        self.words = sorted({w for f in self.first for w in f} | {w for m in self.mandatory for p in m for w in p} | {w for p, _ in self.base for w in p})
+        self.base = [{"label": label, "words": words_of(p)} for p, label in base.items()]
+        self.words = sorted({w for f in self.first for w in f} | {w for m in self.mandatory for p in m for w in p} | {w for b in self.base for w in b["words"]})
 
 
 def licence_words(docs: DataFrame, index: Index) -> DataFrame:
@@ -134,48 +134,51 @@ def weight(total: int, n: int) -> int:
     return ((total + 1) // (n + 1)).bit_length()
 
 
-def literals(values: list, kind: str) -> Column:
-    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+def literal(value) -> str:
+    """Of words, whole numbers, lists, and dictionaries with words as keys."""
+    if isinstance(value, dict):
+        return "map({})".format(", ".join(f"'{k}', {literal(v)}" for k, v in value.items()))
+    if isinstance(value, list):
+        return "array({})".format(", ".join(map(literal, value)))
+    return f"'{value}'" if isinstance(value, str) else str(value)
 
 
-def places(word: Column | str, shift: int = 0) -> Column:
-    """Where a word stands in a row, less `shift`."""
-    return F.transform(F.filter("seen", lambda x: x["word"] == word), lambda x: x["pos"] - F.lit(shift))
+def structs(rows: list[dict]) -> Column:
+    """A literal array of structs; one text to parse, however long."""
+    named = ("named_struct({})".format(", ".join(f"'{k}', {literal(v)}" for k, v in row.items())) for row in rows)
+    return F.expr("array({})".format(", ".join(named)))
 
 
-def phrase_places(words: list[str]) -> Column:
-    """Where the words stand one after another, in any order; empty without looking if the
-    row lacks one.
+def places(word: Column) -> Column:
+    """Where a word stands in a row."""
+    return F.transform(F.filter("seen", lambda x: x["word"] == word), lambda x: x["pos"])
+
+
+def phrase_places(phrase: Column) -> Column:
+    """Where the words of `phrase` (an array) stand one after another, in any order; empty
+    without looking if the row lacks one.
     """
-    starts = places(words[0])
-    for i, word in enumerate(words[1:], 1):
-        starts = F.array_intersect(starts, places(word, i))
-    have = F.size(F.array_intersect(literals(sorted(set(words)), "string"), F.col("words"))) == len(set(words))
-    return F.when(have, starts).otherwise(F.array().cast("array<int>"))
+    begins = F.transform(phrase, lambda word, i: F.transform(places(word), lambda at: at - i))
+    both = F.aggregate(begins, begins[0], lambda one, other: F.array_intersect(one, other))
+    return F.when(F.size(F.array_except(phrase, "words")) == 0, both).otherwise(F.array().cast("array<int>"))
 
 
 def template_votes(seen: DataFrame, index: Index, total: int, found: dict[str, int], looked_up: int, share: float) -> DataFrame:
     """row, label, coverage: the templates that stand in a row with all mandatory phrases."""
-    rank = lambda words: sorted(words, key=lambda w: (found.get(w, 0), w))
-    tried = []
-    for t, first in enumerate(index.first):
-        ranked = rank(first)
+    rows = []
+    for label, first, mandatory in zip(index.labels, index.first, index.mandatory):
+        ranked = sorted(first, key=lambda w: (found.get(w, 0), w))
         weights = {w: weight(total, found.get(w, 0)) for w in ranked}
-        whole = sum(weights[w] for w in ranked[:looked_up])
-        table = F.create_map(*[F.lit(x) for w in ranked for x in (w, weights[w])])
-        spots = F.create_map(*[F.lit(x) for w in ranked for x in (w, first[w])])
-        rarest = F.slice(F.array_intersect(literals(ranked, "string"), F.col("words")), 1, looked_up)
-        enough = F.aggregate(rarest, F.lit(0), lambda n, w: n + F.element_at(table, w)) >= F.lit(share * whole)
-        begins = lambda w: F.transform(places(w), lambda at: F.struct((at - F.element_at(spots, w)).alias("begin"), F.element_at(table, w).alias("weight")))  # noqa: B023, E731
-        votes = F.flatten(F.transform(rarest, begins))
-        phrases = F.lit(True)
-        for phrase in index.mandatory[t]:
-            phrases &= F.size(phrase_places(phrase)) > 0
-        tried.append(F.when(enough & phrases, F.struct(F.lit(t).alias("t"), F.lit(whole).alias("whole"), votes.alias("votes"))))
-    rows = seen.select("row", F.explode(F.array_compact(F.array(*tried))).alias("c")).select("row", "c.t", "c.whole", F.explode("c.votes").alias("v"))
-    agreed = rows.groupBy("row", "t", "whole", "v.begin").agg(F.sum("v.weight").alias("agreed")).filter(F.col("agreed") >= share * F.col("whole"))
-    label = F.element_at(literals(index.labels, "string"), F.col("t") + 1)
-    return agreed.groupBy("row", label.alias("label")).agg(F.max(F.col("agreed") / F.col("whole")).alias("coverage"))
+        rows.append({"t": len(rows), "label": label, "whole": sum(weights[w] for w in ranked[:looked_up]), "ranked": ranked, "weights": weights, "spots": first, "mandatory": mandatory})
+    rarest = lambda t: F.slice(F.array_intersect(t["ranked"], F.col("words")), 1, looked_up)
+    enough = lambda t: F.aggregate(rarest(t), F.lit(0), lambda n, w: n + F.element_at(t["weights"], w)) >= share * t["whole"]
+    phrased = lambda t: F.forall(t["mandatory"], lambda phrase: F.size(phrase_places(phrase)) > 0)
+    tried = seen.select("row", "seen", "words", F.explode(F.filter(structs(rows), lambda t: enough(t) & phrased(t))).alias("c"))
+    c = F.col("c")
+    begins = lambda w: F.transform(places(w), lambda at: F.struct((at - F.element_at(c["spots"], w)).alias("begin"), F.element_at(c["weights"], w).alias("weight")))
+    votes = tried.select("row", "c.t", "c.label", "c.whole", F.explode(F.flatten(F.transform(rarest(c), begins))).alias("v"))
+    agreed = votes.groupBy("row", "t", "label", "whole", "v.begin").agg(F.sum("v.weight").alias("agreed")).filter(F.col("agreed") >= share * F.col("whole"))
+    return agreed.groupBy("row", "label").agg(F.max(F.col("agreed") / F.col("whole")).alias("coverage"))
 
 
 def licence_scan(docs: DataFrame, templates: list[Template] = TEMPLATES, base: dict[str, str] = BASE, looked_up: int = LOOKED_UP, share: float = SHARE) -> DataFrame:
@@ -196,11 +199,10 @@ def licence_scan(docs: DataFrame, templates: list[Template] = TEMPLATES, base: d
     seen = licence_words(docs, index)
     total, found = frequencies(seen)
     named = seen.withColumn("words", F.array_distinct(F.transform("seen", lambda x: x["word"])))
-    standing = [phrase_places(words) for words, _ in index.base]
-    labelled = [F.when(F.size(at) > 0, F.lit(label)) for at, (_, label) in zip(standing, index.base)]
-    based = named.select(
-        "row", "doc_id", "n_words", F.concat(*standing).alias("at"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labelled)))).alias("base_labels")
-    )
+    standing = F.transform(structs(index.base), lambda b: F.struct(b["label"].alias("label"), phrase_places(b["words"]).alias("at")))
+    standing = named.select("row", "doc_id", "n_words", F.filter(standing, lambda b: F.size(b["at"]) > 0).alias("base"))
+    labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
+    based = standing.select("row", "doc_id", "n_words", F.flatten(F.transform("base", lambda b: b["at"])).alias("at"), labels.alias("base_labels"))
     votes = template_votes(named, index, total, found, looked_up, share)
     # a row has one vote for each label at most: bounded by the templates
     added = votes.groupBy(F.col("row").alias("voted")).agg(F.collect_set("label").alias("added"), F.max("coverage").alias("coverage"))

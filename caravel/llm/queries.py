@@ -130,7 +130,7 @@ def licence_sql() -> str:
     """The scan's own rules as relations: the templates' words, the phrases, and votes."""
     index = licences.Index(licences.TEMPLATES, licences.BASE)
     wanted = [(t, i, " ".join(p)) for t, phrases in enumerate(index.mandatory) for i, p in enumerate(phrases)]
-    phrases = sorted({p for _, _, p in wanted} | {" ".join(p) for p, _ in index.base})
+    phrases = sorted({p for _, _, p in wanted} | {" ".join(b["words"]) for b in index.base})
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -139,7 +139,7 @@ occ AS (SELECT r, pos, word FROM (SELECT r, unnest(range(len(w))) AS pos, unnest
 tpl(t, word, spot) AS ({values([(t, w, at) for t, f in enumerate(index.first) for w, at in f.items()])}),
 named(t, label) AS ({values(list(enumerate(index.labels)))}),
 phrase(p, i, word) AS ({values([(p, i, w) for p in phrases for i, w in enumerate(p.split())])}),
-base(p, label) AS ({values([(" ".join(p), label) for p, label in index.base])}),
+base(p, label) AS ({values([(" ".join(b["words"]), b["label"]) for b in index.base])}),
 wanted(t, i, p) AS ({values(wanted)}),
 starts AS (SELECT r, p, pos - i AS start FROM occ JOIN phrase USING (word) GROUP BY ALL HAVING count(*) = max(len(string_split(p, ' ')))),
 based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM starts JOIN base USING (p) GROUP BY r),
