@@ -127,11 +127,8 @@ class Units:
                 continue
             if apart and PLAIN.fullmatch(text):
                 words = BETWEEN.split(text)
-                own = [index.setdefault(w, len(index)) for w in words]
-                for place in {0, len(words) - 1}:
-                    word = words[place]
-                    if word[0].isspace() or word[-1].isspace():
-                        own[place] = ~alone.setdefault(word, len(alone))
+                edges = {i: w for i, w in ((0, words[0]), (len(words) - 1, words[-1])) if w[0].isspace() or w[-1].isspace()}
+                own = [index.setdefault(w, len(index)) if i not in edges else ~alone.setdefault(w, len(alone)) for i, w in enumerate(words)]
             else:
                 own = [~alone.setdefault(text, len(alone))]
             self.n[i] = len(own)

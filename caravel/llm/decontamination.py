@@ -132,10 +132,11 @@ class Block:
 
     def starts(self, terms: tuple[int, ...], counts: np.ndarray, slop: int) -> np.ndarray:
         """Where the window's terms stand, each within `slop` words of its place: lists
-        shifted by the term's offset, intersected from the rarest on.
+        shifted by the term's offset, intersected from the rarest on. That one too may be
+        displaced, so each of its places gives every start within `slop`.
         """
         order = sorted(range(len(terms)), key=lambda i: counts[terms[i]])
-        starts = self.places(terms[order[0]]) - order[0]
+        starts = np.unique((self.places(terms[order[0]]) - order[0])[:, None] + np.arange(-slop, slop + 1))
         for i in order[1:]:
             if not len(starts):
                 break

@@ -130,3 +130,19 @@ def test_components_after_more_links_are_those_of_all_links(spark):
     edges = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
     found, expected = ({r.node: r.root for r in x.collect()} for x in (joined_roots(components(edges(first)), edges(more)), components(edges(first + more))))
     assert all(found.get(i, i) == expected.get(i, i) for i in range(200))
+
+
+def test_op9_proximity_does_not_depend_on_the_other_documents_of_a_block(spark):
+    random = np.random.default_rng(7)
+    texts = [" ".join(random.choice(list("abcdx"), random.integers(0, 12))) for _ in range(120)] + ["b a c", "a a a b b b", "c c c b b b"]
+    items = ["a b c", "c b a d", "x x", "d", "b d c a x"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for slop in (0, 1, 2):
+        expected = {}
+        for i, text in enumerate(texts):
+            words = text.split()
+            near = lambda w, at: any(words[j] == w for j in range(max(0, at - slop), min(len(words), at + slop + 1)))  # noqa: B023, E731
+            expected[i] = [k for k, item in enumerate(items) if any(all(near(w, s + j) for j, w in enumerate(item.split())) for s in range(len(words)))]
+        for parts in (1, 5, 40):
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+            assert {r.doc_id: list(r.item_ids) for r in decontamination.phrase_matches(docs, benchmark, slop=slop).collect()} == expected
