@@ -155,7 +155,7 @@ def matches_in(block: Block, part: TestPart, slop: int) -> list[tuple[int, int,
     for w in np.flatnonzero(rarest > 0):
         starts = block.starts(part.windows[w], counts, slop)
         owners = np.searchsorted(block.first, starts, side="right") - 1
-        found += [(int(w), int(d), int(s - block.first[d])) for d, s in zip(owners, starts) if d >= 0 and s >= block.first[d]]
+        found += [(int(w), int(d), int(s - block.first[d])) for d, s in zip(owners, starts) if d >= 0 and block.first[d] <= s < block.first[d] + block.size[d]]
     return found
 
 
@@ -180,7 +180,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     merged) for each row of `docs`: what windows of `benchmark` (item_id, text) occur.
 
     Exact phrases with slop 0; otherwise proximity matches, whose terms may each stand
-    up to `slop` words from their place (the span is the window's own place). Documents
+    up to `slop` words from their place (the span is the window's own place, which begins
+    in the document). Documents
     without words or matches have empty arrays. Items of a null item_id are one null in
     item_ids, the last.
     """
