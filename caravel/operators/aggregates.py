@@ -194,11 +194,13 @@ def modal(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def statement_fold(components: DataFrame, period: list[str]) -> DataFrame:
     """Earnings components (category, parent, amount) as one row a period: net, gross,
-    tips, tolls, cash, fees. Missing categories are null, not zero.
+    tips, tolls, cash, fees; root_priced says whether its root has an amount. Missing
+    categories are null, not zero.
     """
     of = lambda *names: F.sum(F.when(F.col("category").isin(*names), F.col("amount")))
     inside = lambda name: F.sum(F.when((F.col("category") == name) & (F.col("parent") == "your_earnings"), F.col("amount")))
     net = F.coalesce(of("your_earnings") - F.coalesce(inside("tip"), F.lit(0)) - F.coalesce(inside("taxes"), F.lit(0)), of("net_fare"))
     return components.groupBy(*period).agg(
-        net.alias("net"), of("fare").alias("gross"), of("tip").alias("tips"), of("toll").alias("tolls"), (-of("cash_collected")).alias("cash"), (-of("service_fee")).alias("fees")
+        net.alias("net"), of("fare").alias("gross"), of("tip").alias("tips"), of("toll").alias("tolls"), (-of("cash_collected")).alias("cash"), (-of("service_fee")).alias("fees"),
+        of("your_earnings").isNotNull().alias("root_priced"),
     )

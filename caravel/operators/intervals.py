@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caravel.functions import time
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
@@ -117,3 +119,11 @@ def supersede_groups(journeys: DataFrame) -> DataFrame:
     best = Window.partitionBy("plate", "__g").orderBy(F.desc("ingested_at"), F.desc(minutes_between(F.col("start"), F.col("end"))), F.desc("distance_km"), F.desc("start"))
     all_ = Window.partitionBy("plate", "__g")
     return grouped.withColumn("members", F.count("*").over(all_)).withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__o", "__g", "__n")
+
+
+def minutes_by_day(spans: DataFrame, key: list[str], start: str = "start", end: str = "end", out: str = "online_min") -> DataFrame:
+    """Whole minutes of the spans of a key (which do not overlap) on each local day."""
+    a, b = time.local(F.col(start)), time.local(F.col(end))
+    days = spans.select(*key, a.alias("__a"), b.alias("__b"), F.explode(F.sequence(F.to_date(a), F.to_date(b))).alias("day"))
+    part = micros(F.least("__b", F.date_add("day", 1).cast("timestamp_ntz"))) - micros(F.greatest("__a", F.col("day").cast("timestamp_ntz")))
+    return days.groupBy(*key, "day").agg(F.round(F.sum(part) / F.lit(60_000_000)).cast("bigint").alias(out))
