@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,55 +39,78 @@ def once(events: DataFrame, at: str, key: list[str], late: str) -> DataFrame:
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
+DAY_MS, OFFSET_MS = 86_400_000, 4 * 3_600_000
+
+
+def in_event_time(events: DataFrame, key: str, at: str, value: str, late: str, own: list, fold: Callable, out: str) -> DataFrame:
+    """`fold` over the events of each key in the order of their times, whatever batches they
+    came in: they wait in the state until the watermark has passed them.
+
+    fold(key, own, ready, watermark) takes the key's own state (a list, `own` at first) and
+    what is ready, [(ms, value), ...] in order, and gives its new state, rows to emit and a
+    time at which it wants to be called again, or none. State is `own` and the events of the
+    time that they may be late; batches of rows are read one by one.
+    """
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mine, held = json.loads(state.get[0]) if state.exists else (own, [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                held += [list(r) for r in zip(rows[at].astype("datetime64[ms]").astype("int64").tolist(), rows[value].tolist())]
+        watermark = state.getCurrentWatermarkMs()
+        held.sort(key=lambda e: (e[0], e[1] is not None, e[1]))
+        ready = [e for e in held if e[0] < watermark]
+        held = held[len(ready) :]
+        mine, found, call = fold(keys[0], mine, ready, watermark)
+        times = [e[0] for e in held[:1]] + ([call] if call is not None else [])
+        state.update((json.dumps([mine, held]),))
+        if times:
+            state.setTimeoutTimestamp(max(min(times), watermark + 1))
+        yield pd.DataFrame(found, columns=[c.split()[0] for c in out.split(", ")])
+
+    marked = events.select(key, at, value).withWatermark(at, late).groupBy(key)
+    return marked.applyInPandasWithState(run, out, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def instant(ms: int) -> pd.Timestamp:
+    return pd.Timestamp(ms, unit="ms")
+
+
 def online_spans(events: DataFrame, online: str, late: str) -> DataFrame:
     """Spans from status events (driver, at, status): an online event opens one, the next
-    event of the driver closes it; one still open when the watermark passes its local day
-    closes at the day's end. State is one instant a driver.
+    event of the driver closes it; one still open when the watermark has passed its local
+    day closes at the day's end.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else None
-        out = []
+    def fold(driver, own: list, ready: list, watermark: int) -> tuple[list, list, int | None]:
+        since, out = own[0], []
 
-        def day_end(ms: int) -> int:
-            return ((ms + 4 * 3_600_000) // 86_400_000 + 1) * 86_400_000 - 4 * 3_600_000
+        def ends(ms: int) -> int:
+            return ((ms + OFFSET_MS) // DAY_MS + 1) * DAY_MS - OFFSET_MS
 
-        if state.hasTimedOut:
-            if since is not None:
-                out.append((key[0], since, day_end(since), "day"))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["at", "status"])
-            for at, status in zip(rows["at"].astype("datetime64[ms]").astype("int64"), rows["status"]):
-                if since is not None:
-                    out.append((key[0], since, min(int(at), day_end(since)), "event" if at <= day_end(since) else "day"))
-                since = int(at) if status == online else None
-            state.update((since,))
+        for at, status in ready:
             if since is not None:
-                state.setTimeoutTimestamp(max(day_end(since), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            [(d, pd.Timestamp(a, unit="ms"), pd.Timestamp(b, unit="ms"), c) for d, a, b, c in out], columns=["driver", "start", "end", "closed_by"]
-        )
+                out.append((driver, instant(since), instant(min(at, ends(since))), "event" if at <= ends(since) else "day"))
+            since = at if status == online else None
+        if since is not None and ends(since) < watermark:
+            out.append((driver, instant(since), instant(ends(since)), "day"))
+            since = None
+        return [since], out, None if since is None else ends(since)
 
     kind = events.schema["driver"].dataType.simpleString()
-    marked = events.select("driver", "at", "status").withWatermark("at", late).groupBy("driver")
-    return marked.applyInPandasWithState(
-        fold, f"driver {kind}, start timestamp, end timestamp, closed_by string", "since bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return in_event_time(events, "driver", "at", "status", late, [None], fold, f"driver {kind}, start timestamp, end timestamp, closed_by string")
 
 
 def notices(health: DataFrame, late: str, confirm: dict[str, int] = {"stalled": 9}, default: int = 60, quiet: int = 30) -> DataFrame:  # noqa: B006
     """Notices of changed health (key, at, state): a change counts once confirmed, a stall
     after 9 minutes, any other by a newer observation or after 60; no two notices of a key
-    within 30 minutes. State is four values a key.
+    within 30 minutes.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told, pending, since, noticed = state.get if state.exists else (None, None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["at", "state"])
+    def fold(key, own: list, ready: list, watermark: int) -> tuple[list, list, None]:
+        told, pending, since, noticed = own
         out = []
-        for at, now in zip(rows["at"].astype("datetime64[ms]").astype("int64"), rows["state"]):
-            at = int(at)
+        for at, now in ready:
             if now == told:
                 pending = since = None
                 continue
@@ -96,15 +120,12 @@ def notices(health: DataFrame, late: str, confirm: dict[str, int] = {"stalled":
             waited = (at - since) / 60_000
             confirmed = waited >= confirm.get(now, default) or (now not in confirm and not fresh)
             if (told is None or confirmed) and (noticed is None or at - noticed >= quiet * 60_000):
-                out.append((key[0], pd.Timestamp(at, unit="ms"), told, now))
+                out.append((key, instant(at), told, now))
                 told, pending, since, noticed = now, None, None, at
-        state.update((told, pending, since, noticed))
-        yield pd.DataFrame(out, columns=["key", "at", "was", "state"])
+        return [told, pending, since, noticed], out, None
 
     kind = health.schema["key"].dataType.simpleString()
-    return health.withWatermark("at", late).groupBy("key").applyInPandasWithState(
-        fold, f"key {kind}, at timestamp, was string, state string", "told string, pending string, since bigint, noticed bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    return in_event_time(health, "key", "at", "state", late, [None] * 4, fold, f"key {kind}, at timestamp, was string, state string")
 
 
 def latest_state(rows: DataFrame, key: list[str], at: str) -> DataFrame:
