@@ -19,6 +19,30 @@ def name_classes(people: DataFrame) -> DataFrame:
     return people.select("id", F.when(F.size(words) >= 2, F.concat_ws(" ", words)).alias("key")).filter("key is not null")
 
 
+def spelling_classes(words: DataFrame) -> DataFrame:
+    """word and class of `words` (word; distinct): words of four letters or more that lead to
+    each other over spellings one edit apart are a class, named by its smallest.
+
+    Words meet by a letter left out, so only alike ones do; the links are walked as
+    components, so a chain of spellings is one class however long it is.
+    """
+    keyed = words.filter(F.length("word") >= 4).select("word", F.explode(spelling_keys(F.col("word"))).alias("left"))
+    other = keyed.select(F.col("word").alias("other"), "left")
+    alike = keyed.join(other, "left").filter(F.col("word") < F.col("other")).select("word", "other").distinct()
+    alike = alike.filter(text.spelled_alike(F.col("word"), F.col("other")))
+    classes = connected(alike, "word", "other").withColumnsRenamed({"node": "word", "component": "class"})
+    return words.join(classes, "word", "left").select("word", F.coalesce("class", "word").alias("class"))
+
+
+def spelled_classes(people: DataFrame) -> DataFrame:
+    """As name_classes, each word taken as its class of spellings: id and key."""
+    spread = people.select("id", F.explode(F.array_distinct(text.words_of(F.col("name")))).alias("word"))
+    classes = spelling_classes(spread.select("word").distinct())
+    # a name has a few words: its list is bounded
+    folded = spread.join(classes, "word").groupBy("id").agg(F.array_sort(F.collect_set("class")).alias("words"))
+    return folded.filter(F.size("words") >= 2).select("id", F.concat_ws(" ", "words").alias("key"))
+
+
 def contained_names(keys: DataFrame) -> DataFrame:
     """Pairs (short, long) of distinct `keys` of which short's words are all in long, and more.
 
@@ -78,9 +102,25 @@ def refuted(pairs: DataFrame, trips: DataFrame) -> DataFrame:
 
 def phone_links(records: DataFrame) -> DataFrame:
     """A phone key that exactly two records on different platforms share links them."""
-    keyed = records.withColumn("key", text.phone_key(F.col("phone"))).filter("key is not null")
+    return links_by(records.withColumn("key", text.phone_key(F.col("phone"))), "phone")
+
+
+def email_links(records: DataFrame) -> DataFrame:
+    """An address, whatever its case, that exactly two named records on different platforms
+    share links them.
+    """
+    address = F.lower(F.trim("email"))
+    named = records.filter(F.trim(F.coalesce("name", F.lit(""))) != "")
+    return links_by(named.withColumn("key", F.when(F.contains(address, F.lit("@")), address)), "email")
+
+
+def links_by(records: DataFrame, reason: str) -> DataFrame:
+    """a, b, reason for each `key` that exactly two of `records` (id, platform, key) have, on
+    different platforms: on three it names a handset or an office, not a person.
+    """
+    keyed = records.filter("key is not null")
     pairs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("platform").alias("platforms"), F.min("id").alias("a"), F.max("id").alias("b"))
-    return pairs.filter("n = 2 and platforms = 2 and a <> b").select("a", "b", F.lit("phone").alias("reason"))
+    return pairs.filter("n = 2 and platforms = 2 and a <> b").select("a", "b", F.lit(reason).alias("reason"))
 
 
 def shared_car(pairs: DataFrame, trips: DataFrame) -> DataFrame:
@@ -90,11 +130,12 @@ def shared_car(pairs: DataFrame, trips: DataFrame) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
-def name_pairs(people: DataFrame) -> DataFrame:
-    """Pairs a < b of accounts whose names are of the same words, each account with the first
-    of its class, and of the firsts of classes of which one has all words of the other.
+def name_pairs(people: DataFrame, spelled: bool = False) -> DataFrame:
+    """Pairs a < b of accounts whose names are of the same words (`spelled`: of words spelled
+    alike), each account with the first of its class, and of the firsts of classes of which
+    one has all words of the other.
     """
-    classes = name_classes(people)
+    classes = spelled_classes(people) if spelled else name_classes(people)
     firsts = classes.groupBy("key").agg(F.min("id").alias("first"))
     same = classes.join(firsts, "key").select(F.col("first").alias("x"), F.col("id").alias("y"))
     first = lambda c: firsts.select(F.col("key").alias(c), F.col("first").alias(f"{c}_id"))
@@ -102,12 +143,17 @@ def name_pairs(people: DataFrame) -> DataFrame:
     return same.unionByName(more).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def persons(pairs: DataFrame, trips: DataFrame, links: DataFrame) -> DataFrame:
+def persons(pairs: DataFrame, trips: DataFrame, links: DataFrame, register: DataFrame | None = None) -> DataFrame:
     """id, person: components over name pairs that share a car and that simultaneous work
-    does not refute, and over other links.
+    does not refute, and over other links. What people have decided (`register`: a, b,
+    decision) goes before: a rejected pair is no link on any grounds, a confirmed one always.
     """
-    kept = shared_car(pairs, trips).join(refuted(pairs, trips), ["a", "b"], "left_anti").select("a", "b")
-    found = connected(kept.unionByName(links.select("a", "b")))
+    kept = shared_car(pairs, trips).join(refuted(pairs, trips), ["a", "b"], "left_anti").select("a", "b").unionByName(links.select("a", "b"))
+    if register is not None:
+        decided = register.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "decision")
+        ordered = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        kept = ordered.join(decided.filter("decision = 'rejected'"), ["a", "b"], "left_anti").unionByName(decided.filter("decision = 'confirmed'").select("a", "b"))
+    found = connected(kept)
     return found.withColumnsRenamed({"node": "id", "component": "person"})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caravel.plans import domain, feeds, ledgers, relational, rollups, scalars, streams, verdicts  # noqa: F401  they register their queries
+from caravel.plans import domain, feeds, ledgers, people, relational, rollups, scalars, streams, verdicts  # noqa: F401  they register their queries
 from caravel.plans.registry import ORACLES, QUERIES
 
 
