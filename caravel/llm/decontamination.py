@@ -254,7 +254,9 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """The rows of `docs` in whose own text no match is found, whatever their doc_ids."""
+    """The rows of `docs` in whose own text no match is found, whatever their doc_ids; rows of
+    null or empty text stay.
+    """
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     texts = docs.select("text", sha.alias("text_sha256"))
     found = matches_of(texts, benchmark, ["text_sha256"], window, 0, part_words).filter(F.size("spans") > 0)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
-from caravel.llm import decontamination
+from caravel.llm import decontamination, near_copies
 
 WORDS = [a + b + c for a in "bdfgklmnprst" for b in ("a", "e", "io", "u") for c in ("n", "r", "st", "lm")]
 
@@ -63,6 +65,48 @@ def test_near_copy_stage_leaves_no_pair_of_the_given_documents(spark):
     assert sorted(r.doc_id for r in kept) == sorted({top(d) for d in sets})
 
 
+def test_near_copies_miss_no_link_in_large_buckets(spark):
+    """Copies of one text with four words changed in each: most are below 0.8, and all of
+    them meet in the same buckets.
+    """
+    random_, base, texts = random.Random(5), prose(5, 200), []
+    for _ in range(500):
+        words = base.copy()
+        for _ in range(4):
+            words[random_.randrange(200)] = f"edit{random_.randrange(10**9)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(prose(900 + i, 3)) for i in range(5)] * 2
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    links = 0
+    for a, b in combinations(range(len(texts)), 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            links += 1
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_copies.near_copies(docs, block=64).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.component, []).append(r.doc_id)
+    expected = {}
+    for d in range(len(texts)):
+        expected.setdefault(top(d), []).append(d)
+    assert links > 5 and sorted(map(sorted, by.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_packed_sets_are_read_back():
+    for text in ("", "one", "a b c d e f g", " ".join(prose(3, 5000))):
+        hashes = near_copies.shingles(text)
+        assert list(near_copies.unpacked(near_copies.packed(hashes))) == sorted(set((hashes >> np.uint64(24)).tolist()))
+
+
 def test_pipeline_runs_whole(spark):
     sf = "/root/testdata/sf0.001"
     ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
