@@ -24,15 +24,12 @@ DROPPED = ["driver_cancelled", "driver_cancelled_after_accept"]
 DECLINED = ["driver_did_not_respond", "driver_rejected", "offer_rejected"]
 RIDER = ["rider_cancelled", "client_cancelled", "client_did_not_show"]
 DEVICE_FAULT = "power|battery|tamper|disconnect|gps"
-# How addresses name the two airports, and what is beside or elsewhere.
-MAKTOUM = ["al maktoum international airport", "al maktoum international air", "al maktoum airport", "( dwc )", "مطار آل مكتوم", "ورلد سنترال"]
-DUBAI = ["dubai international airport", "dubai int l airport", "dubai intl airport", "( dxb )", "dxb terminal", "مطار دبي"]
-BESIDE = [
-    "opposite", "opp", "oppo", "near", "free zone", "freezone", "dafza", "al quds st", "al quds street", "al ittihad rd", "al ittihad road", "e11",
-    "hotel", "inn", "cruise", "mina rashid", "zayed international", "abu dhabi international airport", "sharjah airport", "sharjah international airport",
-    "sharjah intl airport", "مطار الشارقة",
-]
-IN_TERMINAL = ["airport", "مطار", "arrival", "arrivals", "departure", "departures", "meeting point", "customs", "concourse"]
+# The airports' names in Latin and Arabic letters and their codes; only Dubai's
+# has numbered terminals.
+AIRPORTS = [
+    {"icao": "OMDW", "name": "al maktoum", "arabic": "آل مكتوم", "iata": "dwc", "numbered": False},
+    {"icao": "OMDB", "name": "dubai", "arabic": "دبي", "iata": "dxb", "numbered": True},
+]
 
 
 def bare_status(status: Column) -> Column:
@@ -67,24 +64,35 @@ def device_fault(alert_type: Column) -> Column:
     return F.coalesce(alert_type.rlike(f"(?i){DEVICE_FAULT}"), F.lit(False))
 
 
-def address_words(address: Column) -> Column:
-    """An address as lower-case words between single spaces; brackets are words."""
-    apart = F.regexp_replace(F.lower(address), "[()]", " $0 ")
-    return F.concat(F.lit(" "), F.regexp_replace(apart, r"[^\p{L}\p{N}()]+", " "), F.lit(" "))
-
-
-def names_one(words: Column, phrases: list[str]) -> Column:
-    return reduce(lambda found, p: found | F.contains(words, F.lit(f" {p} ")), phrases, F.lit(False))
+def address_parts(address: Column) -> Column:
+    """An address in lower case without apostrophes, its parts between ` | `, brackets kept."""
+    bare = F.regexp_replace(F.lower(address), "['’]", "")
+    parts = F.regexp_replace(bare, r"\s*(,|\s-|-\s)\s*", " | ")
+    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(parts, r"[^\p{L}\p{N}|()]+", " "), r"[()]", " $0 "), F.lit(" "))
 
 
 def airport_of(address: Column) -> Column:
-    """OMDW, OMDB or null for an address: by the airport's name or code, or by a numbered
-    terminal with a word for what is in one; null for what is only beside an airport.
+    """OMDW, OMDB or null for an address.
+
+    It is at an airport if it names one (its name, perhaps `international`, and `airport`,
+    but no road, zone or building called after that; its code in brackets; or its code and
+    `terminal` in one part), or a numbered terminal and a place inside one. It is only beside
+    one if it says so, if it is a hotel's or free zone's, if it is in a street and names no
+    terminal, or if its terminal is one of ships, buses or taxis.
     """
-    words = address_words(address)
-    terminal = names_one(words, [f"terminal {n}" for n in (1, 2, 3)]) & names_one(words, IN_TERMINAL)
-    jets = F.exists(F.split(address, ","), lambda part: address_words(part).rlike(" dwc .*terminal"))
-    return F.when(names_one(words, BESIDE), None).when(names_one(words, MAKTOUM) | jets, "OMDW").when(names_one(words, DUBAI) | terminal, "OMDB")
+    parts = address_parts(address)
+    says = lambda pattern: parts.rlike(pattern)
+    terminal = says(r" terminal ?[1-3] ")
+    street = says(r" (st|street|rd|road|roundabout) ") & ~terminal
+    beside = says(r" (opp|oppo|opposite|near|behind|beside|next to) ") | says(r"\b(hotel|inn|free ?zone|dafza)\b") | says(r" (cruise|ferry|bus|taxi) ") | street
+    found = F.when(beside, None)
+    for a in AIRPORTS:
+        named = rf" {a['name']} (international |intl |int l )?(airport(?! (road|rd|free|view))|air +\|)"
+        at = says(named) | says(rf" مطار {a['arabic']} ") | says(rf"\( +{a['iata']} +\)") | says(rf" {a['iata']} [^|]*terminal ")
+        if a["numbered"]:
+            at |= terminal & says(r" (airport|مطار|arrivals?|departures?|customs|concourse|meeting point) ")
+        found = found.when(at, a["icao"])
+    return found
 
 
 def net_fare(earnings: Column, tip: Column, taxes: Column, net: Column) -> Column:

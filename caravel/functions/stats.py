@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,40 @@ def inverse_normal(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+# The coefficients of Acklam's rational approximation of the inverse normal,
+# for the middle (numerator, denominator) and the tails, highest power first.
+MIDDLE = (
+    [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00],
+    [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0],
+)
+TAIL = (
+    [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00],
+    [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0],
+)
+TAIL_FROM = 0.02425
+
+
+def polynomial(x: Column, powers: list[float]) -> Column:
+    return reduce(lambda total, c: total * x + c, powers[1:], F.lit(powers[0]))
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal's value below which `p` lies, to nine digits; null outside (0, 1)."""
+    low = F.least(p, 1 - p)
+    q = F.sqrt(-2 * F.ln(low))
+    tail = polynomial(q, TAIL[0]) / polynomial(q, TAIL[1]) * F.when(p > 0.5, -1.0).otherwise(1.0)
+    m = p - 0.5
+    middle = m * polynomial(m * m, MIDDLE[0]) / polynomial(m * m, MIDDLE[1])
+    return F.when((p > 0) & (p < 1), F.when(low < TAIL_FROM, tail).otherwise(middle))
+
+
+def family_z(tests: Column, alpha: float = 0.05, single: float = 2.0) -> Column:
+    """The two-sided z that one of `tests` findings must pass so that all of them together
+    are wrong with probability `alpha` at most; `single` where there is one test or none.
+    """
+    return F.when(tests > 1, F.abs(normal_quantile(alpha / tests / 2))).otherwise(single)
+
+
 def bonferroni_z(tests: int, alpha: float = 0.05) -> float:
     """The two-sided z that keeps `alpha` over so many tests."""
     return inverse_normal(1 - alpha / (2 * max(tests, 1)))

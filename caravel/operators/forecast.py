@@ -140,3 +140,25 @@ def target_month(days: DataFrame, day: str, earned: str, target: str, weight: st
     left = F.sum(weight).over(month) - F.sum(weight).over(so_far)
     need = F.greatest(F.col(target) - F.col("earned_so_far"), F.lit(0.0))
     return rows.withColumn("needed_per_weight", need / F.nullif(left, F.lit(0.0))).withColumn("pace", F.col("earned_so_far") / F.nullif("plan_so_far", F.lit(0.0)))
+
+
+def breaks(months: DataFrame, by: list[str], month: str, trips: str, drivers: str, least_change: float = 0.30, least_trips: int = 20) -> DataFrame:
+    """Months of a series whose trips differ from the month's before by `least_change` or
+    more, if either has `least_trips`: change, driver_change, productivity_change and cause.
+
+    The cause is supply if the number of drivers changed over twice as much as the trips of
+    each, demand if it is the other way round, else mixed; unattributable if a month has no
+    known driver. Months that do not follow each other are no break.
+    """
+    order = Window.partitionBy(*by).orderBy(month)
+    before = lambda c: F.lag(c).over(order)
+    rows = months.withColumns({"__month": before(month), "__trips": before(trips), "__drivers": before(drivers)})
+    change = (F.col(trips) - F.col("__trips")) / F.col("__trips")
+    known = (F.col("__drivers") > 0) & (F.col(drivers) > 0)
+    moved = F.when(known, (F.col(drivers) - F.col("__drivers")) / F.col("__drivers"))
+    each = F.when(known, (F.col(trips) / F.col(drivers)) / (F.col("__trips") / F.col("__drivers")) - 1)
+    rows = rows.filter(F.col(month) == F.add_months("__month", 1)).filter((F.col(trips) >= least_trips) | (F.col("__trips") >= least_trips))
+    rows = rows.withColumns({"change": change, "driver_change": moved, "productivity_change": each}).filter(F.abs("change") >= least_change)
+    demand, supply = F.abs("productivity_change"), F.abs("driver_change")
+    cause = F.when(supply.isNull(), "unattributable").when(demand > 2 * supply, "demand").when(supply > 2 * demand, "supply").otherwise("mixed")
+    return rows.withColumn("cause", cause).drop("__month", "__trips", "__drivers")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.functions import time
+from caravel.operators.joins import overlaps
 
 
 def micros(ts: Column) -> Column:
@@ -85,13 +86,18 @@ def restated(filings: DataFrame, key: list[str], start: str, end: str) -> DataFr
 
 def count_once(segments: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """Without segments that a better source's segment of the same car and verdict
-    overlaps. `segments`: plate, source, verdict, start, end.
+    overlaps. `segments`: plate, source, verdict, start, end; null verdicts are alike.
+
+    Segments meet in the slots of four hours that they share, so a car's life is no group.
     """
     rank = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
-    mine = segments.withColumn("__rank", rank[F.col("source")])
-    other = mine.select(F.col("plate").alias("o_plate"), F.col("verdict").alias("o_verdict"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("__rank").alias("o_rank"))
-    same = (F.col("plate") == F.col("o_plate")) & F.col("verdict").eqNullSafe(F.col("o_verdict")) & (F.col("o_rank") < F.col("__rank"))
-    return mine.join(other, same & (F.col("o_start") < F.col("end")) & (F.col("o_end") > F.col("start")), "left_anti").drop("__rank")
+    named = segments.select("plate", "source", F.coalesce("verdict", F.lit("")).alias("__verdict"), rank[F.col("source")].alias("__rank"), "start", "end").distinct()
+    on = ["plate", "__verdict"]
+    better = named.select(*on, F.col("__rank").alias("__better"), F.col("start").alias("__start"), F.col("end").alias("__end"))
+    met = overlaps(named, better, on, ("start", "end"), ("__start", "__end"), 240)
+    beaten = met.filter("__better < __rank and __start < end and __end > start").select("plate", "source", "__verdict", "start", "end").distinct()
+    whole = segments.withColumn("__verdict", F.coalesce("verdict", F.lit("")))
+    return whole.join(beaten, ["plate", "source", "__verdict", "start", "end"], "left_anti").select(*segments.columns)
 
 
 def thinned(fixes: DataFrame, key: list[str], at: str, state: list[str], bucket_minutes: int = 15) -> DataFrame:

@@ -198,11 +198,13 @@ def _(t):
     return paid.select(F.col("trip_id").cast("bigint").alias("trip_id"), F.col("earnings").cast("double").alias("earnings"), F.col("adjustments").cast("double").alias("adjustments"))
 
 
-@query("S13_plan_days", "WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day), a AS (SELECT unnest(['OMDB', 'OMDW']) AS airport) SELECT day, airport FROM d, a WHERE NOT EXISTS (SELECT 1 FROM events WHERE CAST(ts AS DATE) = day AND event_type = 'error' AND user_id = 8 AND airport = 'OMDB')")
+@query("S13_plan_days", "WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day), a AS (SELECT unnest(['OMDB', 'OMDW']) AS airport), c AS (SELECT CASE WHEN event_type = 'signup' THEN 'OMDW' ELSE 'OMDB' END AS airport, CAST(ts AS DATE) AS day, max(value) > CASE WHEN event_type = 'signup' THEN 200 ELSE 300 END AS complete FROM events GROUP BY event_type = 'signup', 1, 2, event_type) SELECT day, airport FROM d, a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.day = d.day AND c.airport = a.airport AND complete)")
 def _(t):
     from datetime import date
 
-    covered = t.events.filter("event_type = 'error' and user_id = 8").select(F.lit("OMDB").alias("airport"), F.to_date("ts").alias("day"), F.lit(True).alias("complete")).distinct()
+    # a day of an airport is complete once some of its landings are large
+    airport = F.when(F.col("event_type") == "signup", "OMDW").otherwise("OMDB").alias("airport")
+    covered = t.events.groupBy(airport, F.to_date("ts").alias("day"), "event_type").agg((F.max("value") > F.when(F.col("event_type") == "signup", 200).otherwise(300)).alias("complete")).drop("event_type")
     return readers.plan_days(t.spark, date(2024, 1, 1), date(2024, 1, 30), ["OMDB", "OMDW"], covered)
 
 
@@ -283,9 +285,14 @@ def _(t):
     return incremental.retained(t.events, ["user_id"], "ts", ["event_type"], F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")).select("event_id")
 
 
-@query("M12_bonferroni", "SELECT count(DISTINCT o_custkey) AS tests, 3.0 AS floor FROM orders")
+@query("M12_bonferroni", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), g AS (SELECT user_id, avg(n) AS e, stddev_samp(n) AS sd, max(n) AS m FROM d GROUP BY 1),
+z AS (SELECT user_id, (m - e) / nullif(greatest(sqrt(e), sd), 0) AS surprise FROM g), t AS (SELECT count(surprise) AS tests, sqrt(-2 * ln(0.05 / count(surprise) / 2)) AS q FROM z)
+SELECT user_id, tests, round(surprise, 6) AS surprise, round(abs((((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838) * q - 2.549732539343734) * q + 4.374664141464968) * q + 2.938163982698783) / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996) * q + 3.754408661907416) * q + 1)), 6) AS bound,
+  surprise > abs((((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838) * q - 2.549732539343734) * q + 4.374664141464968) * q + 2.938163982698783) / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996) * q + 3.754408661907416) * q + 1)) AS surprising FROM z, t""")
 def _(t):
-    n = t.orders.agg(F.countDistinct("o_custkey").alias("tests"))
-    return n.withColumn("floor", F.when(F.col("tests") > 1, F.floor(F.lit(stats.bonferroni_z(100)) * 1.0)).cast("double"))
-
-
+    days = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    per = days.groupBy("user_id").agg(F.avg("n").alias("e"), F.stddev_samp("n").alias("sd"), F.max("n").alias("m"))
+    found = per.select("user_id", stats.surprise(F.col("m"), F.col("e"), F.col("sd")).alias("surprise"))
+    tests = found.agg(F.count("surprise").alias("tests")).withColumn("bound", stats.family_z(F.col("tests")))  # one row
+    rows = found.crossJoin(F.broadcast(tests))
+    return rows.select("user_id", "tests", F.round("surprise", 6).alias("surprise"), F.round("bound", 6).alias("bound"), (F.col("surprise") > F.col("bound")).alias("surprising"))

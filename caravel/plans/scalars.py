@@ -121,7 +121,7 @@ def _(t):
 
 @query("F10_area_alias", "SELECT n_nationkey, CASE WHEN n_name IN ('NATION_1', 'NATION_2') THEN 'First' WHEN n_name LIKE 'NATION_2%' THEN 'Twenties' ELSE n_name END AS area FROM nation")
 def _(t):
-    return t.nation.select("n_nationkey", text.canonical_area(F.col("n_name"), {"nation_1": "First"}, {"nation_2": "Twenties"}).alias("area")).withColumn("area", F.when(F.col("n_nationkey") == 2, "First").otherwise(F.col("area")))
+    return t.nation.select("n_nationkey", text.canonical_area(F.col("n_name"), {"nation_1": "First", "nation_2": "First"}, {"nation_2": "Twenties"}).alias("area"))
 
 
 @query("F11_F12_F13_pieces", "SELECT page_id, CAST(nullif(regexp_extract(url, '([0-9]+)', 1), '') AS INT) AS number, split_part(url, '/', 3) AS host, 'page ' || page_id || ' of ' || split_part(url, '/', 3) AS title FROM pages")
@@ -317,13 +317,16 @@ def _(t):
     return rows.select("o_custkey", split.alias("s")).select("o_custkey", F.round("s.days", 6).alias("days_part"), F.round("s.rate", 6).alias("rate_part"))
 
 
-@query("M16_breaks", "WITH m AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1, 2), l AS (SELECT *, lag(n) OVER w AS b, lag(month) OVER w AS pm FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY month)) SELECT o_orderpriority, month, round((n - b) / CAST(b AS DOUBLE), 6) AS change FROM l WHERE month = pm + INTERVAL 1 MONTH AND (n >= 20 OR b >= 20) AND abs((n - b) / CAST(b AS DOUBLE)) >= 0.3")
+@query("M16_breaks", """WITH m AS (SELECT l_returnflag AS series, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS trips, count(DISTINCT l_partkey % 60) FILTER (WHERE l_linenumber < 5 AND NOT (l_returnflag = 'R' AND month(l_shipdate) % 3 = 0)) AS drivers FROM lineitem GROUP BY 1, 2),
+l AS (SELECT *, lag(trips) OVER w AS t0, lag(drivers) OVER w AS d0, lag(month) OVER w AS pm FROM m WINDOW w AS (PARTITION BY series ORDER BY month)),
+c AS (SELECT *, (trips - t0) / CAST(t0 AS DOUBLE) AS change, d0 > 0 AND drivers > 0 AS comparable FROM l WHERE month = pm + INTERVAL 1 MONTH AND (trips >= 20 OR t0 >= 20)),
+x AS (SELECT *, CASE WHEN comparable THEN (drivers - d0) / CAST(d0 AS DOUBLE) END AS dc, CASE WHEN comparable THEN (trips / CAST(drivers AS DOUBLE)) / (t0 / CAST(d0 AS DOUBLE)) - 1 END AS pc FROM c WHERE abs(change) >= 0.2)
+SELECT series, month, round(change, 6) AS change, round(dc, 6) AS driver_change, round(pc, 6) AS productivity_change, CASE WHEN NOT comparable THEN 'unattributable' WHEN abs(pc) > 2 * abs(dc) THEN 'demand' WHEN abs(dc) > 2 * abs(pc) THEN 'supply' ELSE 'mixed' END AS cause FROM x""")
 def _(t):
-    rows = t.orders.groupBy("o_orderpriority", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("o_orderpriority").orderBy("month")
-    steps = rows.withColumn("b", F.lag("n").over(w)).withColumn("pm", F.lag("month").over(w))
-    change = (F.col("n") - F.col("b")) / F.col("b")
-    return steps.filter((F.col("month") == F.add_months("pm", 1)) & ((F.col("n") >= 20) | (F.col("b") >= 20)) & (F.abs(change) >= 0.3)).select("o_orderpriority", "month", F.round(change, 6).alias("change"))
+    known = (F.col("l_linenumber") < 5) & ~((F.col("l_returnflag") == "R") & (F.month("l_shipdate") % 3 == 0))
+    months = t.lineitem.groupBy(F.col("l_returnflag").alias("series"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(F.count("*").alias("trips"), F.countDistinct(F.when(known, F.col("l_partkey") % 60)).alias("drivers"))
+    found = forecast.breaks(months, ["series"], "month", "trips", "drivers", least_change=0.2)
+    return found.select("series", "month", *[F.round(c, 6).alias(c) for c in ("change", "driver_change", "productivity_change")], "cause")
 
 
 @query("M17_income_basis", "WITH g AS (SELECT o_custkey, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS st, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE count(*) FILTER (WHERE o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) END AS cov, count(*) FILTER (WHERE o_orderstatus = 'P') AS np, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS nf, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN st > 0 THEN CASE WHEN cov IS NULL OR cov >= 0.8 THEN 'statement' ELSE 'partial_statement' END WHEN np > 0 AND np / CAST(n AS DOUBLE) >= 0.8 THEN 'payout' WHEN np = 0 AND nf / CAST(n AS DOUBLE) >= 0.8 THEN 'fares' WHEN np > 0 THEN 'partial_payout' WHEN nf > 0 THEN 'partial_fares' ELSE 'none' END AS basis FROM g")
