@@ -162,3 +162,43 @@ def breaks(months: DataFrame, by: list[str], month: str, trips: str, drivers: st
     demand, supply = F.abs("productivity_change"), F.abs("driver_change")
     cause = F.when(supply.isNull(), "unattributable").when(demand > 2 * supply, "demand").when(supply > 2 * demand, "supply").otherwise("mixed")
     return rows.withColumn("cause", cause).drop("__month", "__trips", "__drivers")
+
+
+def like_for_like(months: DataFrame, by: list[str], month: str, channel: str, value: str, horizon: int = 12, k: int = 3) -> DataFrame:
+    """The next `horizon` months of each series of whole `months` (by, month, channel, value;
+    a row where a channel ran), from the same months a year before: base, base_like, carry,
+    value, low and high (hundreds, at least 0), ratio, base_after (the base month is one of
+    the newest year's already compared months).
+
+    A month over the month a year before is a ratio of the channels that ran in both; the
+    mean of the newest `k` ratios, with its 95 % t-interval for a new one, is applied to the
+    base's channels that still run. A channel that runs now but not in the base month adds
+    the mean of all months it ran, rounded, as `carry`. Series of fewer than `k` ratios have
+    no rows; a month whose base is missing has null figures.
+    """
+    rows = months.groupBy(*by, F.col(month).alias("month"), F.col(channel).alias("channel")).agg(F.sum(value).cast("double").alias("y")).filter("y > 0")
+    year = rows.select(*by, F.add_months("month", 12).alias("month"), "channel", F.col("y").alias("before"))
+    pairs = rows.join(year, [*by, "month", "channel"]).groupBy(*by, "month").agg((F.sum("y") / F.sum("before")).alias("ratio"))
+    newest = Window.partitionBy(*by).orderBy(F.desc("month"))
+    used = pairs.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= k)
+    fit = used.groupBy(*by).agg(F.avg("ratio").alias("ratio"), F.stddev_samp("ratio").alias("sd"), F.count("*").alias("n"), F.min("month").alias("compared_from")).filter(F.col("n") >= k)
+    last = rows.groupBy(*by).agg(F.max("month").alias("last"))
+    live = rows.join(last, by).filter("month = last").select(*by, "channel")
+    runs = rows.join(live, [*by, "channel"]).groupBy(*by, "channel").agg(F.round(F.avg("y")).alias("mean"))
+    ahead = fit.join(last, by).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    ahead = ahead.withColumn("month", F.add_months("last", F.col("ahead"))).withColumn("base_month", F.add_months("month", -12))
+    whole = rows.groupBy(*by, F.col("month").alias("base_month")).agg(F.sum("y").alias("base"))
+    like = rows.join(live, [*by, "channel"]).groupBy(*by, F.col("month").alias("base_month")).agg(F.sum("y").alias("base_like"))
+    # every running channel beside each month ahead: months x channels of a series
+    beside = ahead.select(*by, "base_month").join(runs, by).join(rows.select(*by, F.col("month").alias("base_month"), "channel", F.lit(True).alias("ran")), [*by, "base_month", "channel"], "left")
+    carry = beside.groupBy(*by, "base_month").agg(F.coalesce(F.sum(F.when(F.col("ran").isNull(), F.col("mean"))), F.lit(0.0)).alias("carry"))
+    for part in (whole, like, carry):
+        ahead = ahead.join(part, [*by, "base_month"], "left")
+    known = F.col("base").isNotNull()
+    like_ = F.coalesce("base_like", F.lit(0.0))
+    half = t95(F.col("n") - 1) * F.col("sd") * F.sqrt(1 + 1 / F.col("n"))
+    at = lambda r: F.when(known, hundred(F.greatest(like_ * r + F.col("carry"), F.lit(0.0))))
+    return ahead.select(
+        *by, "month", "base_month", "base", F.when(known, like_).alias("base_like"), F.when(known, F.col("carry")).alias("carry"), at(F.col("ratio")).alias("value"),
+        at(F.col("ratio") - half).alias("low"), at(F.col("ratio") + half).alias("high"), "ratio", (F.col("base_month") >= F.col("compared_from")).alias("base_after"),
+    )
