@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caravel.operators import reconcile
+from caravel.operators import attribution, reconcile
 from caravel.plans.domain import KM_SQL
 from caravel.plans.registry import query
 
@@ -58,3 +58,26 @@ def _(t):
     passes = fixes.select("pass").distinct().select("pass", first(F.col("pass")).alias("from"), first(F.col("pass") + 1).alias("until"))
     found = reconcile.judged(fixes, bookings, fixes.select("fleet_id").distinct(), passes)
     return found.withColumns({c: F.round(c, 4) for c in ("gap_before", "gap_after")})
+
+
+@query("J25_ladder", """WITH s AS (SELECT event_id AS segment_id, 'U' || (user_id % 40) AS plate, ts AS s0, ts + INTERVAL 20 MINUTE AS s1, CASE WHEN event_id % 9 = 0 THEN 90 ELSE event_id % 7 END AS lag FROM events WHERE event_type = 'signup'),
+t AS (SELECT 'U' || (user_id % 40) AS plate, user_id // 80 AS person, ts AS t0, CASE WHEN event_id % 13 > 0 THEN ts + INTERVAL 10 MINUTE END AS t1 FROM events WHERE event_type IN ('purchase', 'view')),
+n AS (SELECT segment_id, s0, s1, t.* FROM s JOIN t ON s.plate = t.plate AND t0 <= s1 + INTERVAL 240 MINUTE AND coalesce(t1, t0) >= s0 - INTERVAL 240 MINUTE),
+p AS (SELECT segment_id, s0, s1, person, max(t1) FILTER (WHERE t1 <= s0 AND t1 >= s0 - INTERVAL 240 MINUTE) AS b, min(t0) FILTER (WHERE t0 >= s1 AND t0 <= s1 + INTERVAL 240 MINUTE) AS a FROM n GROUP BY ALL),
+k AS (SELECT segment_id, count(b) AS before_people, count(a) AS after_people, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS "both" FROM p GROUP BY 1),
+q AS (SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n x WHERE x.segment_id = p.segment_id AND x.person <> p.person AND coalesce(x.t1, x.t0) > p.b AND x.t0 < p.a)),
+c AS (SELECT segment_id, count(*) AS clear, min(person) AS person, min(epoch_us(s0) - epoch_us(b)) / 60000000.0 AS before_min, min(epoch_us(a) - epoch_us(s1)) / 60000000.0 AS after_min FROM q GROUP BY 1),
+l AS (SELECT segment_id, arg_max(person, (t1, -person)) AS last_person, (epoch_us(any_value(s0)) - epoch_us(max(t1))) / 60000000.0 AS stale FROM s JOIN t ON s.plate = t.plate AND t1 <= s0 GROUP BY 1),
+h AS (SELECT segment_id, count(DISTINCT e.user_id) AS k, min(e.user_id) AS custodian FROM s JOIN events e ON e.event_type = 'error' AND e.user_id % 40 = CAST(substr(plate, 2) AS INT) AND CAST(e.ts AS DATE) BETWEEN CAST(s0 AS DATE) AND CAST(s1 AS DATE) GROUP BY 1),
+j AS (SELECT s.*, coalesce(clear, 0) AS clear, c.person, before_min, after_min, before_people, after_people, "both", last_person, stale, h.k, custodian, lag <= 60 AND coalesce(clear, 0) = 1 AS br, lag <= 60 AND coalesce(stale <= 500, FALSE) AS la FROM s LEFT JOIN c USING (segment_id) LEFT JOIN k USING (segment_id) LEFT JOIN l USING (segment_id) LEFT JOIN h USING (segment_id))
+SELECT segment_id, plate, CASE WHEN br THEN 'bracketed' WHEN la THEN 'last_trip' WHEN k = 1 THEN 'sole_custodian' WHEN k > 1 THEN 'ambiguous' ELSE 'unknown' END AS basis, CASE WHEN br THEN person WHEN la THEN last_person WHEN k = 1 THEN custodian END AS person, CASE WHEN br THEN round(before_min, 4) END AS before_min, CASE WHEN br THEN round(after_min, 4) END AS after_min, CASE WHEN la AND NOT br THEN round(stale, 4) END AS stale_min,
+  CASE WHEN br THEN NULL WHEN lag > 60 THEN 'clock' WHEN clear > 1 THEN 'contradiction' WHEN "both" > 0 THEN 'someone_between' WHEN before_people > 0 AND after_people > 0 THEN 'handover' WHEN before_people > 0 THEN 'only_before' WHEN after_people > 0 THEN 'only_after' ELSE 'nothing_near' END AS not_bracketed FROM j""")
+def _(t):
+    key, user = F.col("event_id"), F.col("user_id")
+    plate = F.concat(F.lit("U"), user % 40).alias("plate")
+    segments = t.events.filter("event_type = 'signup'").select(key.alias("segment_id"), plate, F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL '20' MINUTE")).alias("end"), F.when(key % 9 == 0, 90).otherwise(key % 7).alias("lag"))
+    ended = F.when(key % 13 > 0, F.col("ts") + F.expr("INTERVAL '10' MINUTE"))
+    trips = t.events.filter("event_type in ('purchase', 'view')").select(plate, F.floor(user / 80).alias("person"), F.col("ts").alias("t_start"), ended.alias("t_end"))
+    custody = t.events.filter("event_type = 'error'").select(plate, F.to_date("ts").alias("day"), user.alias("person"))
+    found = attribution.attributed(segments, trips, custody, stale=500)
+    return found.withColumns({c: F.round(c, 4) for c in ("before_min", "after_min", "stale_min")})
