@@ -6,17 +6,16 @@ integer names, and so on until one name is left of each document. Equal names at
 end mean equal texts and nothing else: no step trusts a hash.
 
 The block contents cross the network once, as distinct blocks after a map-side merge,
-under a 64-bit key. Whether that key tells all distinct blocks of this corpus apart is
-counted, not assumed; if it does not, another seed is taken. From there on, rows are
-narrow: keys, positions and names. A group of copies, however large, meets only in
+under a 64-bit key. How many contents a key has is counted, not assumed: those of a key
+that has several (at 10^10 blocks a few dozen keys do) are numbered in their order, and
+only these few are looked up by content. From there on, rows are narrow: keys with
+numbers, positions and names. A group of copies, however large, meets only in
 aggregations that merge on the map side and in joins that Spark can split.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.llm.shared import integer_names, kept_rows, shared_table, whole_text
@@ -38,33 +37,38 @@ def blocks_of(text: Column, block: int) -> Column:
     return F.when(F.length(text) <= block, F.array(text)).otherwise(cut)
 
 
-def _named_blocks(texts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """The narrow documents with their blocks' keys, and the keys' integer names."""
-    for seed in itertools.count(1):
-        key = lambda b: F.xxhash64(F.lit(seed), b)
-        contents = texts.select(F.explode(blocks_of(F.col("norm"), block)).alias("block"))
-        distinct = contents.groupBy(key(F.col("block")).alias("key"), "block").agg(F.count("*").alias("copies"))
-        keys = shared_table(distinct.groupBy("key").agg(F.count("*").alias("contents")), "block-keys")
-        if keys.filter("contents > 1").isEmpty():
-            break
-    docs = texts.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.sha2("norm", 256).alias("text_sha256"),
-        F.transform(blocks_of(F.col("norm"), block), key).alias("keys"),
-    )
-    return shared_table(docs, "block-docs"), integer_names(keys.select("key"), "block-names")
-
-
-def exact_identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def _named_blocks(texts: DataFrame, block: int, key_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' blocks (row, doc_id, text_sha256, blocks, at, key, nth), and the names of
+    (key, nth): a key's nth content.
+    """
+    key = lambda b: F.shiftrightunsigned(F.xxhash64(b), 64 - key_bits)
+    contents = texts.select(F.explode(blocks_of(F.col("norm"), block)).alias("block")).withColumn("key", key("block"))
+    keys = shared_table(contents.groupBy("key", "block").agg(F.count("*").alias("copies")).groupBy("key").agg(F.count("*").alias("contents")), "block-keys")
+    row = F.monotonically_increasing_id().alias("row")
+    spread = texts.select(row, "doc_id", F.sha2("norm", 256).alias("text_sha256"), blocks_of(F.col("norm"), block).alias("cut"))
+    spread = spread.select("row", "doc_id", "text_sha256", F.size("cut").alias("blocks"), F.posexplode("cut").alias("at", "block")).withColumn("key", key("block"))
+    shared = keys.filter("contents > 1").select("key")
+    if shared.isEmpty():
+        spread = spread.withColumn("nth", F.lit(0))
+    else:
+        # the contents of the few keys that have several; Spark broadcasts this table only if it is small
+        few = contents.join(shared, "key").distinct()
+        nth = (F.row_number().over(Window.partitionBy("key").orderBy("block")) - 1).alias("nth")
+        few = shared_table(few.select("key", "block", nth), "shared-keys")
+        spread = spread.join(few, ["key", "block"], "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
+    blocks = shared_table(spread.select("row", "doc_id", "text_sha256", "blocks", F.col("at").cast("long").alias("at"), "key", "nth"), "block-docs")
+    names = keys.select("key", F.explode(F.sequence(F.lit(0), F.col("contents").cast("int") - 1)).alias("nth"))
+    return blocks, integer_names(names, "block-names")
+
+
+def exact_identities(docs: DataFrame, block: int = BLOCK, key_bits: int = 64) -> DataFrame:
     """row, doc_id, text_sha256 and `identity` (an integer, equal for equal normalised
     texts only) of each row of `docs` (doc_id, text; further columns are left alone).
     Null texts count as empty; null or repeated doc_ids are kept as rows of their own.
     """
     texts = docs.select("doc_id", normalised(whole_text()).alias("norm"))
-    narrow, names = _named_blocks(texts, block)
-    spread = narrow.select("row", F.size("keys").alias("blocks"), F.posexplode("keys").alias("at", "key"))
-    named = shared_table(spread.join(names, "key").select("row", "blocks", F.col("at").cast("long").alias("at"), "name"), "level-0")
+    spread, names = _named_blocks(texts, block, key_bits)
+    named = shared_table(spread.join(names, ["key", "nth"]).select("row", "blocks", "at", "name"), "level-0")
     done = [named.filter("blocks = 1").select("row", "blocks", "name")]
     longest = named.agg(F.max("blocks")).first()[0] or 0
     width, active = 1, named.filter("blocks > 1")
@@ -87,7 +91,7 @@ def exact_identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     last = last.withColumnRenamed("name", "last")
     identities = integer_names(last.select("blocks", "last").distinct(), "identities").withColumnRenamed("name", "identity")
     rows = last.join(identities, ["blocks", "last"]).select("row", "identity")
-    return narrow.select("row", "doc_id", "text_sha256").join(rows, "row")
+    return spread.filter("at = 0").select("row", "doc_id", "text_sha256").join(rows, "row")
 
 
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caravel.llm import chat, decontamination, html_text, pii, sharding, tokens
+from caravel.llm import chat, decontamination, exact_dedup, html_text, pii, sharding, tokens
 from caravel.llm.queries import vocabulary
 from caravel.llm.shared import shared_table
 
@@ -146,3 +146,14 @@ def test_op9_proximity_does_not_depend_on_the_other_documents_of_a_block(spark):
         for parts in (1, 5, 40):
             docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
             assert {r.doc_id: list(r.item_ids) for r in decontamination.phrase_matches(docs, benchmark, slop=slop).collect()} == expected
+
+
+def test_op3_tells_blocks_apart_whose_keys_are_the_same(spark):
+    random = np.random.default_rng(3)
+    texts = ["".join(random.choice(list("ab c"), random.integers(0, 90))) for _ in range(400)] + ["same text " * 20] * 9
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    norm = [re.sub(" +", " ", t) for t in texts]
+    for bits in (1, 8, 64):
+        found = {r.doc_id: r.identity for r in exact_dedup.exact_identities(docs, block=16, key_bits=bits).collect()}
+        assert len(found) == len(texts) and len(set(found.values())) == len(set(norm))
+        assert len({(found[i], n) for i, n in enumerate(norm)}) == len(set(norm))
