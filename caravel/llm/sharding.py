@@ -4,8 +4,8 @@ Linked documents begin in shards by a hash and move, round by round, to the shar
 of their neighbours are in, as far as its quota allows: between two shards as many go as
 come, and beyond that a shard takes no more linked documents than its final size. A hash
 of the round lets half of those that wish to move, so that two neighbours do not swap
-places for ever. Rounds go on until three in a row cut no fewer links; the places with the
-fewest cut links are taken. Documents without links, and those beyond a quota, then fill
+places for ever. Rounds go on until two in a row cut no fewer links, or to ROUNDS of them;
+the places with the fewest cut links are taken. Documents without links, and those beyond a quota, then fill
 the shards to exactly their sizes.
 
 Votes are counts by (document, shard) that merge on the map side. Quotas and fills use
@@ -15,16 +15,17 @@ one row a neighbour in joins that Spark can split.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caravel.llm.shared import gapless_rank, shared_table, whole_text
+from caravel.llm.shared import forget, gapless_rank, shared_table, whole_text
 
 SHARDS = 24
-#: Rows of one shard, or of one group of copies, that are ranked in one bucket.
-BUCKET_ROWS = 200
+#: Rows of one shard, or of one group of copies, that are ranked in one bucket, until there
+#: are so many buckets: their sizes are summed in one task, so they may not grow with the rows.
+BUCKET_ROWS, BUCKETS = 200, 4096
+#: Rounds at most. They only make the cut smaller; sizes are exact after any number.
+ROUNDS = 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -42,6 +43,10 @@ def sized(docs: DataFrame) -> DataFrame:
     return shared_table(narrow, "sized")
 
 
+def buckets_for(rows: int) -> int:
+    return min(1 + rows // BUCKET_ROWS, BUCKETS)
+
+
 def links_of_copies(rows: DataFrame, most: int) -> DataFrame:
     """Links (row, other) of rows with equal `same`: each to the first of its group, not to
     each other. A group larger than `most` (a shard) is taken in chunks; each row is linked
@@ -51,7 +56,7 @@ def links_of_copies(rows: DataFrame, most: int) -> DataFrame:
     groups = shared_table(rows.groupBy("same").agg(F.count("*").alias("members")).filter("members > 1"), "groups")
     members = shared_table(rows.join(groups, "same").select("row", "same", "members"), "copies")
     largest = members.agg(F.max("members")).first()[0] or 0
-    ranked = gapless_rank(members, ["same"], ["row"], 1 + largest // BUCKET_ROWS)
+    ranked = gapless_rank(members, ["same"], ["row"], buckets_for(largest))
     chunked = shared_table(ranked.select("row", "same", F.floor(F.col("rank") / max(most, 1)).alias("chunk")), "chunks")
     firsts = shared_table(chunked.groupBy("same", "chunk").agg(F.min("row").alias("other")), "chunk-firsts")
     within = chunked.join(firsts, ["same", "chunk"]).filter("row != other").select("row", "other")
@@ -103,26 +108,28 @@ def quotas(asked: dict[tuple[int, int], int], free: list[int]) -> list[int]:
     return moves
 
 
-def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS) -> DataFrame:
+def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """row, shard and slot (gapless from 0 in its shard) of each of `rows` (row, unique; a
     written table), for undirected `links` (row, other). No rows give no shards; repeated
     links count once.
     """
     total = rows.count()
     sizes = shard_sizes(total, shards)
-    buckets = 1 + max(sizes) // BUCKET_ROWS
+    buckets = buckets_for(max(sizes))
     both = shared_table(links.select("row", "other").unionByName(links.select(F.col("other").alias("row"), F.col("row").alias("other"))).distinct(), "links")
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
     placed = lowest = shared_table(both.select("row").distinct().select("row", start), "placed")
     fewest, idle = None, 0
-    for turn in itertools.count():
+    for turn in range(rounds + 1):
         wishes = wishes_of(both, placed)
         cut = wishes.agg(F.sum("cut")).first()[0] or 0
         if fewest is None or cut < fewest:
+            if lowest is not placed:
+                forget(lowest)
             lowest, fewest, idle = placed, cut, 0
         else:
             idle += 1
-        if idle == 3 or cut == 0:
+        if idle == 2 or cut == 0 or turn == rounds:
             break
         load = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         half = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(2)) == 0
@@ -131,14 +138,15 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS) ->
         quota = F.array(*[F.lit(n) for n in quotas(asked, [size - load.get(s, 0) for s, size in enumerate(sizes)])])[F.col("shard") * shards + F.col("to")]
         allowed = gapless_rank(wish, ["shard", "to"], ["row"], buckets).filter(F.col("rank") < quota)
         moved = shared_table(allowed.select("row", "to"), "moves")
-        placed = shared_table(placed.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "placed")
+        past, placed = placed, shared_table(placed.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "placed")
+        forget(wishes, wish, moved, *([past] if past is not lowest else []))
     placed = lowest
     ranked = gapless_rank(placed, ["shard"], ["row"], buckets)
     kept = shared_table(ranked.filter(F.col("rank") < _by_shard(sizes)).select("row", "shard", F.col("rank").alias("slot")), "kept")
     load = {r.shard: r.n for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     free = [size - load.get(s, 0) for s, size in enumerate(sizes)]
     rest = shared_table(rows.join(kept, "row", "left_anti").select(F.lit(0).alias("all"), "row"), "rest")
-    numbered = gapless_rank(rest, ["all"], ["row"], 1 + sum(free) // BUCKET_ROWS)
+    numbered = gapless_rank(rest, ["all"], ["row"], buckets_for(sum(free)))
     begins = [sum(free[:s]) for s in range(shards)]
     # the last shard whose free places begin at or before this number, and its place there
     shard = F.size(F.filter(F.array(*[F.lit(b) for b in begins]), lambda b: b <= F.col("rank"))) - 1

@@ -41,7 +41,17 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that no later result is read from: those of past rounds."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rows_per_batch(spark: SparkSession, rows: int = 1000) -> None:

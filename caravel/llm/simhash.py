@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravel.llm.shared import rows_per_batch, shared_table
+from caravel.llm.shared import forget, rows_per_batch, shared_table
 
 SHINGLE = 3
 SEED = 42
@@ -92,7 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = shared_table(small.filter("u != v").distinct(), "small-star")
+        past, edges = edges, shared_table(small.filter("u != v").distinct(), "small-star")
+        forget(past, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
