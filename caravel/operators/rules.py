@@ -60,6 +60,56 @@ def tracker_dark(fixes: DataFrame, source: str, plate: str, at: str, crowd: int
     return finding(runs, "tracker_feed_dark", source, F.lit("critical"), "n")
 
 
+def stale_trackers(fixes: DataFrame, source: str, plate: str, at: str, hours: float = 24, dark: float = 72, crowd: int = 5) -> DataFrame:
+    """Cars whose last fix of a source is `hours` or more before the source's newest, critical
+    beyond `dark`; those that went dark together with a crowd are the feed's fault and are
+    left to `tracker_dark`.
+    """
+    from caravel.operators.intervals import gap_islands
+
+    last = fixes.groupBy(source, plate).agg(F.max(at).alias("last_at"))
+    newest = last.groupBy(source).agg(F.max("last_at").alias("now"))
+    runs = gap_islands(last, [source], "last_at", 60).filter(F.col("n") >= crowd).select(source, F.col("first").alias("__first"), F.col("last").alias("__last"))
+    alone = last.join(runs, [last[source] == runs[source], last["last_at"] >= runs["__first"], last["last_at"] <= runs["__last"]], "left_anti")
+    age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))) / 3_600_000_000
+    old = alone.join(newest, source).withColumn("age", age).filter(F.col("age") >= hours)
+    return finding(old, "stale_tracker", plate, F.when(F.col("age") > dark, "critical").otherwise("warning"), "age")
+
+
+def dormant_vehicles(fixes: DataFrame, plate: str, day: str, days: int = 36, gone: int = 180) -> DataFrame:
+    """Cars silent for `days` or more at the end of the record; `gone` says they have left."""
+    last = fixes.groupBy(plate).agg(F.max(day).alias("last_day"))
+    today = fixes.agg(F.max(day).alias("today"))  # one row
+    silent = last.crossJoin(F.broadcast(today)).withColumn("silent", F.datediff("today", "last_day")).filter(F.col("silent") >= days)
+    return finding(silent, "vehicle_dormant", plate, F.when(F.col("silent") >= gone, "critical").otherwise("warning"), "silent")
+
+
+def deadhead(trips: DataFrame, plate: str, empty_km: str, paid_km: str, least_km: float = 30, share: float = 0.3) -> DataFrame:
+    """Cars that drive `share` km or more empty for each km paid, over enough paid km."""
+    per = trips.filter(F.col(empty_km).isNotNull() & F.col(plate).isNotNull()).groupBy(plate).agg(F.sum(empty_km).alias("empty"), F.sum(paid_km).alias("paid"))
+    wasted = per.filter(F.col("paid") > least_km).withColumn("ratio", F.col("empty") / F.col("paid")).filter(F.col("ratio") >= share)
+    return finding(wasted, "deadhead_waste", plate, F.lit("warning"), "ratio")
+
+
+def low_utilisation(hours: DataFrame, plate: str, online: str, on_trip: str, least: float = 0.2) -> DataFrame:
+    """Cars on a trip for less than `least` of their online hours."""
+    poor = hours.filter(F.col(online) > 0).withColumn("share", F.col(on_trip) / F.col(online)).filter(F.col("share") < least)
+    return finding(poor, "low_utilisation", plate, F.lit("warning"), "share")
+
+
+def online_without_trips(days: DataFrame, person: str, online_min: str, completed: str, closed: str) -> DataFrame:
+    """People online on a day without completing a trip; only a warning while the day is open."""
+    idle = days.filter((F.col(online_min) > 0) & (F.col(completed) == 0)).withColumn("__h", F.col(online_min) / 60)
+    return finding(idle, "online_no_trips", person, F.when(F.col(closed), "critical").otherwise("warning"), "__h")
+
+
+def expiring_documents(documents: DataFrame, entity: str, days_left: str, code: str = "vehicle_doc") -> DataFrame:
+    """Documents that have expired or do within 30 days; critical from 7 days on."""
+    due = documents.filter(F.col(days_left) <= 30)
+    found = finding(due, code, entity, F.when(F.col(days_left) <= 7, "critical").otherwise("warning"), days_left)
+    return found.withColumn("code", F.when(F.col("figure") < 0, f"{code}_expired").otherwise(f"{code}_expiring"))
+
+
 def all_findings(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
