@@ -23,6 +23,8 @@ SETTLEMENT = {
 DROPPED = ["driver_cancelled", "driver_cancelled_after_accept"]
 DECLINED = ["driver_did_not_respond", "driver_rejected", "offer_rejected"]
 RIDER = ["rider_cancelled", "client_cancelled", "client_did_not_show"]
+HELD_BY_DRIVER = ["cash", "cash-driver"]
+RECEIVABLE = ["room-charge", "hotel-charge", "posted-for-salary"]
 DEVICE_FAULT = "power|battery|tamper|disconnect|gps"
 # The airports' names in Latin and Arabic letters and their codes; only Dubai's
 # has numbered terminals.

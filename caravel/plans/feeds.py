@@ -14,7 +14,7 @@ from caravel.operators import identity, joins, places
 from caravel.plans.registry import query
 from caravel.plans.rollups import norm
 from caravel.sources import readers, sinks
-from caravel.sources.fleet import WITH_TRIPS, trips_ext
+from caravel.sources.fleet import WITH_TRIPS, listed, trips_ext
 from caravel.streaming import status
 
 
@@ -163,7 +163,7 @@ def _(t):
     return words.select("alert", money.device_fault(F.col("alert")).alias("fault"))
 
 
-@query("P13_completed", "SELECT o_orderstatus, regexp_replace(lower(trim(s)), '^optional_ride_', '') IN ('completed', 'finished', 'complete', 'closed', 'delivered') AS done, count(*) AS n FROM (SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN ' Optional_Ride_Finished ' WHEN 'O' THEN 'optional_ride_open' ELSE 'CLOSED' END AS s FROM orders) GROUP BY 1, 2")
+@query("P13_completed", f"SELECT o_orderstatus, regexp_replace(lower(trim(s)), '^optional_ride_', '') IN {listed(money.COMPLETED)} AS done, count(*) AS n FROM (SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN ' Optional_Ride_Finished ' WHEN 'O' THEN 'optional_ride_open' ELSE 'CLOSED' END AS s FROM orders) GROUP BY 1, 2")
 def _(t):
     word = F.when(F.col("o_orderstatus") == "F", " Optional_Ride_Finished ").when(F.col("o_orderstatus") == "O", "optional_ride_open").otherwise("CLOSED")
     return t.orders.groupBy("o_orderstatus", money.completed(word).alias("done")).agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caravel.functions import money, time
 from caravel.operators import aggregates as agg
 from caravel.plans.registry import query
-from caravel.sources.fleet import TRIP_SQL, WITH_TRIPS, bookings, trips, trips_ext, trips_norm
+from caravel.sources.fleet import TRIP_SQL, WITH_TRIPS, bookings, listed, trips, trips_ext, trips_norm
 
 
 def norm(t):
@@ -34,14 +34,12 @@ def _(t):
     return norm(t).groupBy(*keys).agg(F.count("*").alias("n"), F.min("local_day").alias("first_day"), F.max("local_day").alias("last_day"))
 
 
-SETTLEMENT_SQL = """CASE WHEN payment_type IS NULL OR trim(payment_type) = '' THEN NULL
-  WHEN lower(payment_type) IN ('cash','cash-driver','cash-supervisor') THEN 'cash' WHEN lower(payment_type) IN ('pos-driver','card') THEN 'card'
-  WHEN lower(payment_type) IN ('apple_pay','google_pay') THEN 'wallet' WHEN lower(payment_type) IN ('room-charge','hotel-charge') THEN 'on_account'
-  WHEN lower(payment_type) IN ('foc-complimentary','foc','complimentary') THEN 'complimentary' ELSE 'other' END"""
+KINDS_SQL = " ".join(f"WHEN lower(payment_type) IN {listed(words)} THEN '{kind}'" for kind, words in money.SETTLEMENT.items())
+SETTLEMENT_SQL = f"CASE WHEN payment_type IS NULL OR trim(payment_type) = '' THEN NULL {KINDS_SQL} ELSE 'other' END"
 DAYPART_SQL = "CASE WHEN local_hour < 5 THEN 'night' WHEN local_hour < 10 THEN 'morning' WHEN local_hour < 15 THEN 'midday' WHEN local_hour < 20 THEN 'evening' ELSE 'late' END"
 
 
-@query("S19_trips_ext", WITH_TRIPS + f"SELECT {SETTLEMENT_SQL} AS settlement_class, {DAYPART_SQL} AS daypart, lower(payment_type) IN ('cash','cash-driver') AS driver_holds_cash, lower(payment_type) IN ('room-charge','hotel-charge','posted-for-salary') AS is_receivable, count(*) AS n, CAST(sum(price) AS DOUBLE) AS price FROM trip_norm WHERE is_booking GROUP BY ALL")
+@query("S19_trips_ext", WITH_TRIPS + f"SELECT {SETTLEMENT_SQL} AS settlement_class, {DAYPART_SQL} AS daypart, lower(payment_type) IN {listed(money.HELD_BY_DRIVER)} AS driver_holds_cash, lower(payment_type) IN {listed(money.RECEIVABLE)} AS is_receivable, count(*) AS n, CAST(sum(price) AS DOUBLE) AS price FROM trip_norm WHERE is_booking GROUP BY ALL")
 def _(t):
     rows = trips_ext(norm(t)).filter("is_booking")
     return rows.groupBy("settlement_class", "daypart", "driver_holds_cash", "is_receivable").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("price"))

@@ -77,7 +77,7 @@ def trips_norm(trip: DataFrame) -> DataFrame:
         time.local_day(F.col("requested_at")).alias("local_day"),
         time.local_hour(F.col("requested_at")).alias("local_hour"),
         time.local_dow(F.col("requested_at")).alias("local_dow"),
-        (F.col("price").isNotNull() & ~F.coalesce(F.lower("payment_type"), F.lit("")).isin("foc-complimentary", "foc", "complimentary")).alias("has_fare"),
+        (F.col("price").isNotNull() & ~F.coalesce(F.lower("payment_type"), F.lit("")).isin(money.SETTLEMENT["complimentary"])).alias("has_fare"),
         F.coalesce((F.col("distance_km") > 0) & (F.col("distance_km") < 500), F.lit(False)).alias("has_distance"),
         text.person_fold(F.col("driver_name")).alias("person_key"),
     )
@@ -88,14 +88,18 @@ def trips_ext(norm: DataFrame) -> DataFrame:
     return norm.select(
         "*",
         money.settlement_class(F.col("payment_type")).alias("settlement_class"),
-        F.lower("payment_type").isin("cash", "cash-driver").alias("driver_holds_cash"),
-        F.lower("payment_type").isin("room-charge", "hotel-charge", "posted-for-salary").alias("is_receivable"),
+        F.lower("payment_type").isin(money.HELD_BY_DRIVER).alias("driver_holds_cash"),
+        F.lower("payment_type").isin(money.RECEIVABLE).alias("is_receivable"),
         time.daypart(F.col("local_hour")).alias("daypart"),
     )
 
 
+def listed(words: list[str]) -> str:
+    return "({})".format(", ".join(f"'{w}'" for w in words))
+
+
 #: The same relations for the oracle.
-TRIP_SQL = """
+TRIP_SQL = f"""
 trip AS (
   SELECT lower(c_mktsegment) AS platform, o_orderkey AS external_id, nullif(r_name, 'AFRICA') AS fleet_id,
          'V-' || (o_orderkey % 97) AS plate, o_custkey AS driver_ext_id, c_name AS driver_name,
@@ -116,14 +120,14 @@ trip AS (
 ), trip_norm AS (
   SELECT *, platform <> 'fms' AS is_booking,
          CASE WHEN platform = 'fms' THEN NULL
-              WHEN regexp_replace(lower(trim(status)), '^optional_ride_', '') IN ('completed', 'finished', 'complete', 'closed', 'delivered') THEN 'completed'
+              WHEN regexp_replace(lower(trim(status)), '^optional_ride_', '') IN {listed(money.COMPLETED)} THEN 'completed'
               WHEN lower(status) LIKE '%cancel%' OR regexp_replace(lower(trim(status)), '^optional_ride_', '') IN
-                   ('client_did_not_show', 'driver_did_not_respond', 'driver_rejected', 'rejected', 'offer_rejected', 'expired', 'failed', 'no_show') THEN 'not_completed'
+                   {listed(money.NOT_COMPLETED)} THEN 'not_completed'
               WHEN status IS NOT NULL THEN 'other' END AS outcome,
          CAST(requested_at + INTERVAL 4 HOUR AS DATE) AS local_day,
          CAST(hour(requested_at + INTERVAL 4 HOUR) AS INT) AS local_hour,
          CAST(dayofweek(requested_at + INTERVAL 4 HOUR) AS INT) AS local_dow,
-         price IS NOT NULL AND coalesce(lower(payment_type), '') NOT IN ('foc-complimentary', 'foc', 'complimentary') AS has_fare,
+         price IS NOT NULL AND coalesce(lower(payment_type), '') NOT IN {listed(money.SETTLEMENT["complimentary"])} AS has_fare,
          coalesce(distance_km > 0 AND distance_km < 500, FALSE) AS has_distance,
          trim(regexp_replace(lower(driver_name), '\\s+', ' ', 'g')) AS person_key
   FROM trip
