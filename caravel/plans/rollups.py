@@ -318,3 +318,16 @@ def _(t):
     Narrow.orders = orders
     rows = bookings(Narrow).filter(time.span_filter(F.col("requested_at"), date(1997, 3, 1), date(1997, 6, 30)) & (F.col("fleet_id") == "ASIA"))
     return rows.groupBy("platform").agg(F.count("*").alias("n"), F.min("requested_at").alias("first_at"))
+
+
+#: One row a booking's words: everything here is a column function of the library on one side and its text on the other.
+@query("E04_column_macros", WITH_TRIPS + f"""SELECT regexp_replace(lower(trim(status)), '^optional_ride_', '') AS bare, outcome, regexp_replace(lower(trim(status)), '^optional_ride_', '') IN {listed(money.COMPLETED)} AS completed, {SETTLEMENT_SQL} AS settlement, {DAYPART_SQL} AS daypart,
+  CASE WHEN outcome IS DISTINCT FROM 'not_completed' THEN NULL WHEN regexp_replace(lower(trim(status)), '^optional_ride_', '') IN {listed(money.DROPPED + money.DECLINED)} THEN 'driver' WHEN regexp_replace(lower(trim(status)), '^optional_ride_', '') IN {listed(money.RIDER)} THEN 'rider' ELSE 'unattributed' END AS cancelled_by,
+  CASE WHEN date_diff('day', DATE '2000-01-01', local_day) < 0 THEN 'expired' WHEN date_diff('day', DATE '2000-01-01', local_day) <= 30 THEN 'd30' WHEN date_diff('day', DATE '2000-01-01', local_day) <= 45 THEN 'd45' WHEN date_diff('day', DATE '2000-01-01', local_day) <= 90 THEN 'd90' ELSE 'ok' END AS expiry, count(*) AS n FROM trip_norm WHERE is_booking GROUP BY ALL""")
+def _(t):
+    rows, status = norm(t).filter("is_booking"), F.col("status")
+    macros = {
+        "bare": money.bare_status(status), "outcome": money.outcome(status), "completed": money.completed(status), "settlement": money.settlement_class(F.col("payment_type")), "daypart": time.daypart(F.col("local_hour")),
+        "cancelled_by": money.cancelled_by(money.outcome(status), status), "expiry": money.document_status(F.datediff("local_day", F.lit("2000-01-01"))),
+    }
+    return rows.groupBy(*[c.alias(n) for n, c in macros.items()]).agg(F.count("*").alias("n"))
