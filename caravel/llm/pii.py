@@ -44,6 +44,8 @@ LEFT, RIGHT = 24, 8
 #: Planted shapes, and pieces of documents (at most so many, of so many code points) they are set into.
 TRAIN_ROWS = 8000
 PIECES, PIECE = 800, 96
+#: How many shapes planted() chooses from.
+SHAPES = 27
 PRECISION = 0.95
 
 
@@ -200,7 +202,7 @@ def planted(docs: DataFrame, n: int = TRAIN_ROWS) -> DataFrame:
         ("phone", 0, F.concat_ws(" ", F.concat(pick("low", 2).cast("string"), number("s", 2)), number("q", 3), number("r", 4))),
         ("phone", 0, F.concat_ws(".", F.concat(pick("low", 2).cast("string"), number("s", 2)), number("q", 3), number("r", 4))),
     ]
-    chosen = pick("shape", len(shapes))
+    chosen = pick("shape", SHAPES)
     column = lambda i: F.element_at(F.array(*[s[i] if isinstance(s[i], Column) else F.lit(s[i]) for s in shapes]), (chosen + 1).cast("int"))
     rows = spark.range(n).select("id", column(0).alias("kind"), column(1).alias("personal"), column(2).alias("shape"), (pick("piece", PIECES) + 1).cast("int").alias("number"))
     telling = reduce(lambda c, k: c.when(F.col("kind") == k, of(CUES[k].split("|"), "cue")), CUES, F.when(F.lit(False), ""))
@@ -248,27 +250,63 @@ def held() -> Column:
     return F.col("number") % 10 >= 7
 
 
-def fitted(docs: DataFrame, precision: float = PRECISION) -> tuple[Column, DataFrame]:
-    """The trees' probability as an expression of the features; and for each generator the
-    threshold (the lowest of 0.50, 0.55, ... 0.95 that keeps `precision` among what is held
-    out), the precision and the recall there.
-    """
+def grown(rows: DataFrame, names: list[str]) -> Column:
+    """The probability of boosted trees fitted on `rows` (label, features), as an expression."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows, names = features(shared_table(training_rows(docs), "training"))
-    rows = shared_table(rows.select("number", "generator", "label", *names), "features")
-    vectors = VectorAssembler(inputCols=names, outputCol="x").transform(rows.filter(~held()))
+    vectors = VectorAssembler(inputCols=names, outputCol="x").transform(rows)
     model = GBTClassifier(featuresCol="x", maxIter=16, maxDepth=5, stepSize=0.3, seed=7).fit(vectors)
     margin = reduce(lambda a, b: a + b, [_tree(t.toDebugString, names) * F.lit(w) for t, w in zip(model.trees, model.treeWeights)])
-    chance = 1 / (1 + F.exp(-2 * margin))
-    judged = shared_table(rows.filter(held()).select("generator", "label", chance.alias("p")), "held-out")
+    return 1 / (1 + F.exp(-2 * margin))
+
+
+def thresholds_for(judged: DataFrame, precision: float) -> DataFrame:
+    """For each generator of `judged` (generator, label, p) the threshold (the lowest of 0.50,
+    0.55, ... 0.95 that keeps `precision`), the precision and the recall there.
+    """
     tried = judged.withColumn("threshold", F.explode(F.array(*[F.lit(x / 100) for x in range(50, 100, 5)])))
     taken = F.when(F.col("p") >= F.col("threshold"), F.col("label"))
     figures = tried.groupBy("generator", "threshold").agg(F.avg(taken).alias("precision"), (F.sum(taken) / F.sum("label")).alias("recall"))
     good = F.coalesce(F.col("precision"), F.lit(0)) >= precision
     best = Window.partitionBy("generator").orderBy(F.desc(good), F.when(good, F.col("threshold")).otherwise(-F.col("threshold")))
-    return chance, figures.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+    return figures.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+
+
+def fitted(docs: DataFrame, precision: float = PRECISION) -> tuple[Column, DataFrame]:
+    """The trees' probability as an expression of the features; and for each generator the
+    threshold, and the precision and recall that it was chosen by, on pieces held out.
+    """
+    rows, names = features(shared_table(training_rows(docs), "training"))
+    rows = shared_table(rows.select("number", "generator", "label", *names), "features")
+    chance = grown(rows.filter(~held()), names)
+    judged = shared_table(rows.filter(held()).select("generator", "label", chance.alias("p")), "held-out")
+    return chance, thresholds_for(judged, precision)
+
+
+def judged_unseen(docs: DataFrame, folds: int = 3, precision: float = PRECISION, n: int = TRAIN_ROWS) -> DataFrame:
+    """generator, found and personal (spans of personal data), and false and taken (spans
+    selected), over shapes that the trees have not seen, as a check of the method.
+
+    The shapes are dealt into folds; for each, trees and thresholds come from the other
+    shapes alone (trees from pieces they learn from, thresholds from one part of those held
+    out) and are judged on the fold's shapes in the other part.
+    """
+    rows, names = features(shared_table(training_rows(docs, n), "training"))
+    shape = F.pmod(F.xxhash64("doc_id", F.lit("shape")), F.lit(SHAPES))  # as planted() chooses it
+    rows = shared_table(rows.select("number", "generator", "label", shape.alias("shape"), *names), "features")
+    found = None
+    for fold in range(folds):
+        seen = F.col("shape") % folds != fold
+        chance = grown(rows.filter(~held() & seen), names)
+        judged = rows.filter(held()).select("number", "generator", "label", seen.alias("seen"), chance.alias("p"))
+        judged = shared_table(judged, "unseen")
+        chosen = thresholds_for(judged.filter("seen and number % 10 < 9"), precision).select("generator", "threshold")
+        mine = judged.filter("not seen and number % 10 = 9").join(F.broadcast(chosen), "generator", "left").withColumn("taken", F.coalesce(F.col("p") >= F.col("threshold"), F.lit(False)))
+        found = mine if found is None else found.unionByName(mine)
+    count = lambda p: F.count(F.when(p, 1))
+    personal = F.col("label") == 1
+    return found.groupBy("generator").agg(count(personal & F.col("taken")).alias("found"), count(personal).alias("personal"), count(~personal & F.col("taken")).alias("false"), count(F.col("taken")).alias("taken"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def test_op7_finds_planted_spans_of_documents_held_out(spark):
     assert all(r.recall >= 0.9 and r.precision >= 0.9 for r in figures.values()), figures
 
 
+def test_op7_is_judged_on_shapes_that_the_trees_have_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = pii.judged_unseen(docs, folds=2, n=1500).collect()
+    assert {r.generator for r in found} <= set(pii.GENERATORS) and sum(r.personal for r in found) > 20
+    assert all(0 <= r.found <= r.personal and r.found + r.false == r.taken for r in found) and sum(r.found for r in found) > 0
+
+
 def test_op7_base_matches_as_they_are_and_more(spark):
     texts = ["card 4111 1111 1111 1111 and order 1234567890123456", "write jane (at) host (dot) org", "host fe80::1ff:fe23:4567:890a and 12:30:45", "call (415) 555-2671 or 030/1234567", "v 1.2.3.400 and 10.0.0.1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
