@@ -50,7 +50,7 @@ def _(t):
     return movement.movement(standing_fixes(t)).withColumns({"minutes": F.round("minutes", 4), "lat": F.round("lat", 6), "lng": F.round("lng", 6)})
 
 
-@query("C21_overnight", tiles_sql(5, 6, 7) + """, best AS (SELECT DISTINCT ON (plate, day) * FROM tiles WHERE kind = 'stay' ORDER BY plate, day, minutes DESC, start DESC),
+@query("W23_C21_overnight", tiles_sql(5, 6, 7) + """, best AS (SELECT DISTINCT ON (plate, day) * FROM tiles WHERE kind = 'stay' ORDER BY plate, day, minutes DESC, start DESC),
 k AS (SELECT plate, day, count(*) FILTER (WHERE kind = 'stay') AS stays, coalesce(sum(minutes) FILTER (WHERE kind = 'drive'), 0) AS driven, coalesce(sum(minutes) FILTER (WHERE kind IN ('moved', 'silent', 'before_first', 'after_last')), 0) AS unknown FROM tiles GROUP BY 1, 2)
 SELECT plate, day AS night, round(lat, 6) AS lat, round(lng, 6) AS lng, round(minutes, 4) AS minutes, from_at, to_at, since_at_least, until_at_least, stays, round(driven, 4) AS driven, round(unknown, 4) AS unknown FROM k LEFT JOIN best USING (plate, day)""")
 def _(t):
