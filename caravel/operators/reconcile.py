@@ -72,27 +72,27 @@ def uncollected_fleets(bookings: DataFrame, declared: DataFrame, channel: str =
     return declared.select("fleet_id").distinct().join(read, "fleet_id", "left_anti").crossJoin(F.broadcast(any_read)).filter("any").select("fleet_id")
 
 
-def judged(fixes: DataFrame, bookings: DataFrame, declared: DataFrame, passes: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def judged(fixes: DataFrame, bookings: DataFrame, declared: DataFrame, days: int, origin: str, rules: Rules = Rules()) -> DataFrame:
     """Every seat segment of `fixes` (plate, source, fleet_id, captured_at, polled_at, ...)
     with its kind, matched booking, verdict and reason.
 
-    `bookings`: booking_id, plate, platform, fleet_id, pass, b_start, b_end, outcome;
-    `declared`: fleets with an account of their own on the hotel channel; `passes`: pass,
-    from, until, each judged by what was read in it; a segment belongs to the pass in which
-    it starts. The clock is measured for each source and pass. A gap at a segment's ends
-    counts as a gap of its own. Guards speak in the order of `verdict`.
+    `bookings`: booking_id, plate, platform, fleet_id, b_start, b_end, outcome; `declared`:
+    fleets with an account of their own on the hotel channel. Passes of so many days from
+    `origin` are judged by what was read in each; a segment belongs to the pass in which it
+    starts. The clock is measured for each source and pass. A gap at a segment's ends counts
+    as a gap of its own. Guards speak in the order of `verdict`.
     """
+    pass_of = lambda ts: F.floor(F.datediff(F.to_date(ts), F.lit(origin)) / days).cast("bigint")
+    until = F.lit(origin).cast("timestamp_ntz") + F.make_interval(days=((F.col("pass") + 1) * days).cast("int"))
     facts = fixes.groupBy("plate").agg(F.first("source").alias("source"), F.first("fleet_id").alias("fleet_id"))
     boundary = F.greatest(F.coalesce("gap_before", F.lit(0.0)), F.coalesce("gap_after", F.lit(0.0)))
     found = summarised(seat_segments(fixes, rules)).join(edges(fixes, rules), ["plate", "segment"]).withColumn("max_gap", F.greatest("max_gap", boundary))
-    # a handful of passes: a range join with them is one of a bounded side
-    spans = F.broadcast(passes.select("pass", F.col("from").alias("__from"), F.col("until").alias("__until")))
     found = found.withColumn("kind", seat_class(rules)).withColumn("segment_id", F.xxhash64("plate", "segment")).join(facts, "plate")
-    found = found.join(spans, (F.col("start") >= F.col("__from")) & (F.col("start") < F.col("__until")))
-    timed = fixes.drop("pass").join(spans, (F.col("captured_at") >= F.col("__from")) & (F.col("captured_at") < F.col("__until")))
+    found = found.withColumn("pass", pass_of("start")).withColumn("__until", until)
+    timed, booked = fixes.withColumn("pass", pass_of("captured_at")), bookings.withColumn("pass", pass_of("b_start"))
     matched = match_bookings(found, bookings)
-    never = uncollected_fleets(bookings, declared).withColumn("__never", F.lit(True))
-    known = matched.join(clock_lags(timed, ["source", "pass"]), ["source", "pass"], "left").join(unread_channels(bookings, passes), "pass").join(never, "fleet_id", "left")
+    never = uncollected_fleets(booked, declared).withColumn("__never", F.lit(True))
+    known = matched.join(clock_lags(timed, ["source", "pass"]), ["source", "pass"], "left").join(unread_channels(booked, found), "pass").join(never, "fleet_id", "left")
     edge = F.col("gap_before").isNull() | F.col("gap_after").isNull()
     unread, missing = F.size("unread") > 0, F.coalesce("__never", F.lit(False))
     judgement = verdict(F.col("kind"), F.col("matched_booking"), F.coalesce("lag", F.lit(0.0)), F.col("end"), F.col("__until"), edge, unread, missing, rules)

@@ -54,9 +54,7 @@ def _(t):
     bookings = fixes.filter("event_type = 'purchase'").select(
         F.col("event_id").alias("booking_id"), "plate", platform.alias("platform"), "fleet_id", "pass", F.col("captured_at").alias("b_start"), (F.col("captured_at") + F.expr("INTERVAL '10' MINUTE")).alias("b_end"), outcome.alias("outcome")
     )
-    first = lambda n: F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_interval(days=(10 * n).cast("int"))
-    passes = fixes.select("pass").distinct().select("pass", first(F.col("pass")).alias("from"), first(F.col("pass") + 1).alias("until"))
-    found = reconcile.judged(fixes, bookings, fixes.select("fleet_id").distinct(), passes)
+    found = reconcile.judged(fixes, bookings, fixes.select("fleet_id").distinct(), 10, "2024-01-01")
     return found.withColumns({c: F.round(c, 4) for c in ("gap_before", "gap_after")})
 
 
