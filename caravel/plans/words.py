@@ -1,4 +1,4 @@
-"""Classifiers of words, addresses, codes and days over the tables' rows."""
+"""Classifiers of words, addresses, codes and days, and pivoted answers, over the tables' rows."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from caravel.plans.feeds import ENDS
 from caravel.plans.registry import query
 from caravel.plans.rollups import KINDS_SQL
 from caravel.plans.scalars import HIJRI_STARTS
+from caravel.sources import readers
 
 
 def chosen(values: list, key: Column) -> Column:
@@ -94,3 +95,13 @@ def _(t):
     cells = known.select(geo.cell(F.col("lat")).alias("cell_lat"), geo.cell(F.col("lng")).alias("cell_lng"), "area")
     found = places.resolved(ends, cells, ["Old Souk", "Souk"])
     return found.groupBy(F.split_part("id", F.lit("/"), F.lit(1)).alias("event_type"), "area", "basis", "reason").agg(F.count("*").alias("n"))
+
+
+@query("S05_pivoted_days", "SELECT user_id, CAST(ts AS DATE) AS day, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) - 1 AS INT) AS row, CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN event_id % 3 > 0 THEN event_type END AS note FROM events")
+def _(t):
+    # a provider's answer holds one driver's day, column by column
+    line = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("note"))
+    days = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    column = lambda key: F.struct(F.lit(key).alias("key"), F.transform("lines", lambda r: r[key].cast("string")).alias("cells"))
+    answers = days.select("user_id", "day", F.array(*map(column, ("id", "kind", "note"))).alias("columns"))
+    return readers.pivoted(answers).select("user_id", "day", "row", *[F.col("cells")[c].alias(c) for c in ("id", "kind", "note")])

@@ -47,10 +47,12 @@ def csv_payments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pivoted(tables: DataFrame, columns: str = "columns") -> DataFrame:
-    """A provider's column-major table, array<struct<key, cells>>, as rows of a map."""
+    """A provider's column-major tables, array<struct<key, cells>>, as rows of a map: one table
+    a row of `tables`, whose other columns stay beside each line.
+    """
     keys, n = F.col(columns)["key"], F.array_max(F.transform(F.col(columns), lambda c: F.size(c["cells"])))
     lines = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.map_from_arrays(keys, F.transform(F.col(columns), lambda c: F.get(c["cells"], i))))
-    return tables.filter(n > 0).select(F.posexplode(lines).alias("row", "cells"))
+    return tables.filter(n > 0).select(*[c for c in tables.columns if c != columns], F.posexplode(lines).alias("row", "cells"))
 
 
 def timeline_rows(events: DataFrame) -> DataFrame:
