@@ -13,7 +13,7 @@ from caravel.plans.feeds import ENDS
 from caravel.plans.registry import query
 from caravel.plans.rollups import KINDS_SQL
 from caravel.plans.scalars import HIJRI_STARTS
-from caravel.sources import readers
+from caravel.sources import readers, sinks
 
 
 def chosen(values: list, key: Column) -> Column:
@@ -105,3 +105,12 @@ def _(t):
     column = lambda key: F.struct(F.lit(key).alias("key"), F.transform("lines", lambda r: r[key].cast("string")).alias("cells"))
     answers = days.select("user_id", "day", F.array(*map(column, ("id", "kind", "note"))).alias("columns"))
     return readers.pivoted(answers).select("user_id", "day", "row", *[F.col("cells")[c].alias(c) for c in ("id", "kind", "note")])
+
+
+@query("S14_S15_S26_workbooks", "SELECT 'customer ' || o_custkey || '.xlsx' AS path, o_orderkey AS number, o_orderstatus || ' <&> \"' || o_orderpriority || '\"' AS status, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS price FROM orders")
+def _(t):
+    status = F.concat("o_orderstatus", F.lit(' <&> "'), "o_orderpriority", F.lit('"'))
+    rows = t.orders.select(F.concat(F.lit("customer "), "o_custkey").alias("customer"), F.col("o_orderkey").alias("number"), status.alias("status"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice")).alias("price"))
+    books = sinks.workbooks(rows, "customer", ["number"])
+    cells = readers.cells_of(books)
+    return readers.headed_rows(cells, ["number", "status", "price"]).select("path", F.col("number").cast("bigint").alias("number"), "status", F.col("price").cast("double").alias("price"))
