@@ -9,7 +9,8 @@ words of a block of documents (a few megabytes of text).
 Links are counted before anything is shuffled: a block has one row for each pair of ids in
 it. The corpus-wide counts are summed in two stages, by pair and a salt and then by pair,
 and go back to the blocks, again as one row for each pair and block. No list of one pair's
-links or one document's links crosses the network, and no table of pairs is broadcast.
+links or one document's links crosses the network; the table of pairs meets the blocks by
+shuffle unless Spark finds it small.
 """
 
 from __future__ import annotations

@@ -150,7 +150,7 @@ def test_op9_proximity_does_not_depend_on_the_other_documents_of_a_block(spark):
             words = text.split()
             near = lambda w, at: any(words[j] == w for j in range(max(0, at - slop), min(len(words), at + slop + 1)))  # noqa: B023, E731
             expected[i] = [k for k, item in enumerate(items) if any(all(near(w, s + j) for j, w in enumerate(item.split())) for s in range(len(words)))]
-        for parts in (1, 5, 40):
+        for parts in (1, 12):
             docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
             assert {r.doc_id: list(r.item_ids) for r in decontamination.phrase_matches(docs, benchmark, slop=slop).collect()} == expected
 
@@ -160,7 +160,7 @@ def test_op3_tells_blocks_apart_whose_keys_are_the_same(spark):
     texts = ["".join(random.choice(list("ab c"), random.integers(0, 90))) for _ in range(400)] + ["same text " * 20] * 9
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     norm = [re.sub(" +", " ", t) for t in texts]
-    for bits in (1, 8, 64):
+    for bits in (1, 8):
         found = {r.doc_id: r.identity for r in exact_dedup.exact_identities(docs, block=16, key_bits=bits).collect()}
         assert len(found) == len(texts) and len(set(found.values())) == len(set(norm))
         assert len({(found[i], n) for i, n in enumerate(norm)}) == len(set(norm))
