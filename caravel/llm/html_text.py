@@ -42,6 +42,8 @@ CLOSES_P = {
 #: Opening one of the keys ends an open one of the values, up to the nearest scope.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "body", "html"}
+#: Over these, the end of an inline element has no effect.
+CELLS = {"table", "td", "th"}
 NEVER = {
     "head", "script", "style", "noscript", "template", "title", "iframe", "nav", "menu", "header", "footer", "aside", "form", "button", "select", "textarea",
     "input", "svg", "canvas", "object", "embed", "dialog",
@@ -69,11 +71,17 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "no_article", "in_article")
+    __slots__ = ("scope", "cell", "block", "in_scope", "in_cell", "tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "no_article", "in_article")
 
     def __init__(self, tag: str, parent: Node | None, no_article: bool):
         self.tag, self.parent, self.no_article = tag, parent, no_article
         self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        # the nearest of each kind upwards, and what is open under it before the next one
+        self.scope = self if parent is None or tag in SCOPE else parent.scope
+        self.cell = self if parent is None or tag in CELLS else parent.cell
+        self.block = self if parent is None or tag not in INLINE else parent.block
+        self.in_scope = Counter() if self.scope is self else None
+        self.in_cell = Counter() if self.cell is self else None
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -109,12 +117,39 @@ def is_no_article(tag: str, attrs: str, parent: Node) -> bool:
     return False
 
 
+def entered(child: Node, opened: Counter[str]) -> Node:
+    opened[child.tag] += 1
+    child.parent.scope.in_scope[child.tag] += 1
+    child.parent.cell.in_cell[child.tag] += 1
+    return child
+
+
+def left(node: Node, upto: Node, opened: Counter[str]) -> Node:
+    """`upto`, with all that is open below it closed."""
+    while node is not upto:
+        opened[node.tag] -= 1
+        node.parent.scope.in_scope[node.tag] -= 1
+        node.parent.cell.in_cell[node.tag] -= 1
+        node = node.parent
+    return upto
+
+
+def above(node: Node, tags: set[str]) -> Node:
+    """The nearest of `tags` upwards, of which one is open."""
+    while node.tag not in tags:
+        node = node.parent
+    return node
+
+
 def parse(page: str) -> Node:
     """A tree by the main rules of HTML: void and raw elements, ends that may be left out,
     blocks that close an open paragraph with the inline elements in it.
+
+    What is open is counted by name, in each scope and cell, so an element is only looked
+    for where one is open; finding it closes all that was passed.
     """
     root = node = Node("html", None, False)
-    opened: Counter[str] = Counter()  # tags opened and not yet closed by name; others need no search
+    opened: Counter[str] = Counter()
     at = 0
     match = MARKUP.search(page)
     while match:
@@ -127,31 +162,21 @@ def parse(page: str) -> Node:
         if not tag:
             pass
         elif match["close"]:
-            if not opened[tag]:
-                match = MARKUP.search(page, at)
-                continue
-            opened[tag] -= 1
-            found = node
-            while found.parent and found.tag != tag:
-                found = None if found.tag in ("table", "td", "th") and tag in INLINE else found.parent
-                if found is None:
-                    break
-            if found is not None and found.parent and found.tag == tag:
-                node = found.parent
+            if (node.cell.in_cell if tag in INLINE else opened)[tag] > 0:
+                node = left(node, above(node, {tag}).parent, opened)
         elif tag == "html" or tag == "body" and any(isinstance(c, Node) and c.tag == "body" for c in root.children):
             pass
         else:
             if tag == "body":
-                node = root
-            ends = {"p"} if tag in CLOSES_P else ENDS.get(tag, set())
-            if ends:
-                found = node
-                while found.parent and found.tag not in ends and found.tag not in SCOPE and (tag not in CLOSES_P or found.tag in INLINE):
-                    found = found.parent
-                if found.parent and found.tag in ends:
-                    node = found.parent
-                    if tag == "tr" and node.tag == "tr":
-                        node = node.parent
+                node = left(node, root, opened)
+            if tag in CLOSES_P:
+                if node.block.tag == "p":
+                    node = left(node, node.block.parent, opened)
+            elif any(node.scope.in_scope[t] > 0 for t in ENDS.get(tag, ())):
+                found = above(node, ENDS[tag])
+                node = left(node, found.parent, opened)
+                if tag == "tr" and node.tag == "tr":
+                    node = left(node, node.parent, opened)
             child = Node(tag, node, is_no_article(tag, match["attrs"], node))
             node.children.append(child)
             if tag in RAW:
@@ -160,8 +185,7 @@ def parse(page: str) -> Node:
                     child.children.append(page[at : end.start() if end else len(page)])
                 at = end.end() if end else len(page)
             elif tag not in VOID and not match["attrs"].endswith("/"):
-                node = child
-                opened[tag] += 1
+                node = entered(child, opened)
         match = MARKUP.search(page, at)
     if at < len(page):
         node.children.append(page[at:])

@@ -164,3 +164,23 @@ def test_op3_tells_blocks_apart_whose_keys_are_the_same(spark):
         found = {r.doc_id: r.identity for r in exact_dedup.exact_identities(docs, block=16, key_bits=bits).collect()}
         assert len(found) == len(texts) and len(set(found.values())) == len(set(norm))
         assert len({(found[i], n) for i, n in enumerate(norm)}) == len(set(norm))
+
+
+def test_op2_hostile_pages_take_time_in_proportion():
+    import time
+
+    n = 20_000
+    shapes = ["<b>" * n + "</i>" * n, "<b>" * n + "<li></li>" * n, "<table><td>" + "<i>" * n + "</b>" * n, "<p><div>" + "<b>" * n + "<hr>" * n, "<b><p>" * n, "<ul><li><b>" * n]
+    for page in shapes:
+        began = time.process_time()
+        html_text.parse(page)
+        assert time.process_time() - began < 8
+
+
+def test_op2_ends_of_inline_elements_reach_no_further_than_their_cell():
+    def tree(node):
+        return [c if isinstance(c, str) else (c.tag, tree(c)) for c in node.children]
+
+    assert tree(html_text.parse("<b><table><td></b>in</td></table></b>out")) == [("b", [("table", [("td", ["in"])])]), "out"]
+    assert tree(html_text.parse("<p>a<b>b<p>c</b>d")) == [("p", ["a", ("b", ["b"])]), ("p", ["cd"])] or tree(html_text.parse("<p>a<b>b<p>c</b>d")) == [("p", ["a", ("b", ["b"])]), ("p", ["c", "d"])]
+    assert tree(html_text.parse("<ul><li>a<ul><li>b</ul><li>c</ul>")) == [("ul", [("li", ["a", ("ul", [("li", ["b"])])]), ("li", ["c"])])]
