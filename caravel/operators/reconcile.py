@@ -80,11 +80,12 @@ def judged(fixes: DataFrame, bookings: DataFrame, declared: DataFrame, days: int
     fleets with an account of their own on the hotel channel. Passes of so many days from
     `origin` are judged by what was read in each; a segment belongs to the pass in which it
     starts. The clock is measured for each source and pass. A gap at a segment's ends counts
-    as a gap of its own. Guards speak in the order of `verdict`.
+    as a gap of its own. Guards speak in the order of `verdict`. A car has one source and
+    fleet; of several the smallest names are taken.
     """
     pass_of = lambda ts: F.floor(F.datediff(F.to_date(ts), F.lit(origin)) / days).cast("bigint")
     until = F.lit(origin).cast("timestamp_ntz") + F.make_interval(days=((F.col("pass") + 1) * days).cast("int"))
-    facts = fixes.groupBy("plate").agg(F.first("source").alias("source"), F.first("fleet_id").alias("fleet_id"))
+    facts = fixes.groupBy("plate").agg(F.min("source").alias("source"), F.min("fleet_id").alias("fleet_id"))
     boundary = F.greatest(F.coalesce("gap_before", F.lit(0.0)), F.coalesce("gap_after", F.lit(0.0)))
     found = summarised(seat_segments(fixes, rules)).join(edges(fixes, rules), ["plate", "segment"]).withColumn("max_gap", F.greatest("max_gap", boundary))
     found = found.withColumn("kind", seat_class(rules)).withColumn("segment_id", F.xxhash64("plate", "segment")).join(facts, "plate")
