@@ -33,15 +33,25 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str,
     return met.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__slot").withColumnRenamed("__at", right_at)
 
 
-def asof_before(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, take: list[str]) -> DataFrame:
-    """Each left row with `take` of the latest right row at or before it: one sort of both
-    by key and time, the last value carried forward. No range join, no rows multiplied.
+def asof_before(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, take: list[str], strictly: bool = False) -> DataFrame:
+    """Each left row with `take` of the latest right row at or (unless `strictly`) before it:
+    one sort of both by key and time, the last value carried forward. No range join, no rows
+    multiplied.
     """
+    return _asof(left, right, on, left_at, right_at, take, F.asc("__at"), strictly)
+
+
+def asof_after(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, take: list[str]) -> DataFrame:
+    """The same of the earliest right row at or after it."""
+    return _asof(left, right, on, left_at, right_at, take, F.desc_nulls_first("__at"), False)
+
+
+def _asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, take: list[str], order: Column, strictly: bool) -> DataFrame:
     pick = F.struct(F.col(right_at).alias("at"), *take)
     b = right.select(*on, F.col(right_at).alias("__at"), pick.alias("__right"), F.lit(0).alias("__side"))
-    a = left.withColumn("__at", F.col(left_at)).withColumn("__right", F.lit(None).cast(b.schema["__right"].dataType)).withColumn("__side", F.lit(1))
-    order = Window.partitionBy(*on).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__right", True).over(order)).filter("__side = 1")
+    a = left.withColumn("__at", F.col(left_at)).withColumn("__right", F.lit(None).cast(b.schema["__right"].dataType)).withColumn("__side", F.lit(-1 if strictly else 1))
+    rows = Window.partitionBy(*on).orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__right", True).over(rows)).filter("__side <> 0")
     return both.select(*left.columns, *[F.col(f"__last.{c}").alias(c if c not in left.columns else f"{c}_2") for c in ["at", *take]])
 
 
