@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.functions import geo
+from caravel.operators.attribution import holders
 from caravel.operators.intervals import minutes_between
-from caravel.operators.joins import asof_before, overlaps
+from caravel.operators.joins import asof_after, asof_before
 
 
 @dataclass(frozen=True)
@@ -125,21 +126,23 @@ def attributed(segments: DataFrame, trips: DataFrame, custody: DataFrame, before
 
     `trips`: plate, person, t_start, t_end. `custody`: plate, day, person.
     """
+    # evidence depends on a car and two times alone; it is found by sorting, without pairs
     reach = F.expr(f"INTERVAL '{before_minutes}' MINUTE")
-    wide = segments.select("segment_id", "plate", "start", "end", (F.col("start") - reach).alias("__a"), (F.col("end") + reach).alias("__b"))
-    met = overlaps(wide, trips.select("plate", "person", "t_start", "t_end"), ["plate"], ("__a", "__b"), ("t_start", "t_end"), before_minutes)
-    near = met.filter((F.col("t_start") < F.col("__b")) & (F.col("t_end") > F.col("__a")))
-    before, after = F.col("t_end") <= F.col("start"), F.col("t_start") >= F.col("end")
-    last = F.max(F.when(before, F.struct("t_end", "person")))["person"]
-    following = F.min(F.when(after, F.struct("t_start", "person")))["person"]
-    sides = near.groupBy("segment_id").agg(last.alias("before_person"), following.alias("after_person"), F.max((~before & ~after).cast("int")).alias("between"))
-    days = segments.select("segment_id", "plate", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("day"))
-    held = days.join(custody, ["plate", "day"]).groupBy("segment_id").agg(F.collect_set("person").alias("custodians"))
-    newest = trips.groupBy("plate", "t_end").agg(F.max("person").alias("last_person"))
-    earlier = asof_before(segments.select("segment_id", "plate", "start"), newest, ["plate"], "start", "t_end", ["last_person"]).select("segment_id", "last_person")
-    joined = segments.join(sides, "segment_id", "left").join(held, "segment_id", "left").join(earlier, "segment_id", "left")
-    bracketed = (F.col("before_person") == F.col("after_person")) & (F.col("between") == 0)
-    one = F.size("custodians") == 1
-    basis = F.when(bracketed, "bracketed").when(F.col("last_person").isNotNull(), "last_trip").when(one, "sole_custodian").when(F.size("custodians") > 1, "ambiguous").otherwise("unknown")
-    person = F.when(bracketed, F.col("before_person")).when(F.col("last_person").isNotNull(), F.col("last_person")).when(one, F.col("custodians")[0])
+    span = ["plate", "start", "end"]
+    done = trips.filter("t_start is not null and t_end is not null")
+    newest = done.groupBy("plate", "t_end").agg(F.max("person").alias("last_person"))
+    sides = asof_before(segments.select(*span).distinct(), newest, ["plate"], "start", "t_end", ["last_person"])
+    sides = sides.select(*span, "last_person", F.when(F.col("at") > F.col("start") - reach, F.col("last_person")).alias("before_person"))
+    soonest = done.groupBy("plate", "t_start").agg(F.min("person").alias("next_person"))
+    sides = asof_after(sides, soonest, ["plate"], "end", "t_start", ["next_person"])
+    sides = sides.select(*span, "last_person", "before_person", F.when(F.col("at") < F.col("end") + reach, F.col("next_person")).alias("after_person"))
+    so_far = Window.partitionBy("plate").orderBy("t_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = done.groupBy("plate", "t_start").agg(F.max("t_end").alias("__end")).select("plate", "t_start", F.max("__end").over(so_far).alias("until"))
+    sides = asof_before(sides, running, ["plate"], "end", "t_start", ["until"], strictly=True)
+    known = sides.withColumn("between", F.coalesce(F.col("until") > F.col("start"), F.lit(False))).drop("at", "until")
+    joined = segments.join(known.join(holders(segments, custody), span, "left"), span, "left")
+    bracketed = (F.col("before_person") == F.col("after_person")) & ~F.col("between")
+    one, several = F.col("custodian") == F.col("other"), F.col("custodian") != F.col("other")
+    basis = F.when(bracketed, "bracketed").when(F.col("last_person").isNotNull(), "last_trip").when(one, "sole_custodian").when(several, "ambiguous").otherwise("unknown")
+    person = F.when(bracketed, F.col("before_person")).when(F.col("last_person").isNotNull(), F.col("last_person")).when(one, F.col("custodian"))
     return joined.select(*segments.columns, basis.alias("basis"), person.alias("person"))
