@@ -144,10 +144,9 @@ def status_at(candidates: DataFrame, accounts: DataFrame, events: DataFrame) ->
     accounts at or before the segment's start, null where there is none.
 
     `candidates`: segment_id, person, started_at. `accounts`: person, account. `events`:
-    account, at, status. One as-of pass for each account, then the newest across them.
+    account, at, status. The accounts' events become their person's, so one as-of pass goes
+    over candidates and events, however many accounts a person has.
     """
-    asked = candidates.join(accounts, "person").select("segment_id", "person", "account", "started_at")
-    seen = asof_before(asked, events, ["account"], "started_at", "at", ["status"])
-    newest = seen.groupBy("segment_id", "person").agg(F.max(F.struct("at", "status")).alias("s"))
-    joined = candidates.join(newest, ["segment_id", "person"], "left")
-    return joined.select("segment_id", "person", F.col("s.status").alias("status"), F.col("s.at").alias("at"))
+    theirs = events.join(accounts.distinct(), "account").groupBy("person", "at").agg(F.max("status").alias("status"))
+    found = asof_before(candidates.select("segment_id", "person", "started_at"), theirs, ["person"], "started_at", "at", ["status"])
+    return found.select("segment_id", "person", "status", "at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from caravel.operators import attribution, segments
+from caravel.operators import attribution, joins, segments
 
 T0 = datetime(2024, 1, 1)
 
@@ -78,3 +78,15 @@ def test_attribution_pairs_no_segment_with_trips_or_holders(spark):
         return shuffled(spark, segments.attributed(s, t, held))
 
     assert rows(1600) < 6 * rows(400)
+
+
+def test_status_history_repeats_no_candidate_for_each_account(spark):
+    def rows(n):
+        candidates = spark.createDataFrame([(i, 1, at(i)) for i in range(n)], "segment_id long, person long, started_at timestamp_ntz")
+        accounts = spark.createDataFrame([(1, i) for i in range(n)], "person long, account long")
+        events = spark.createDataFrame([(i, at(2 * i), f"s{i}") for i in range(n)], "account long, at timestamp_ntz, status string")
+        found = joins.status_at(candidates, accounts, events)
+        assert {r.segment_id: r.status for r in found.collect()} == {i: f"s{i // 2}" for i in range(n)}
+        return shuffled(spark, found)
+
+    assert rows(800) < 6 * rows(200)
