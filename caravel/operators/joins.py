@@ -84,22 +84,27 @@ def nearest_trip(sessions: DataFrame, trips: DataFrame, hours: int) -> DataFrame
     own, the only car its driver had near it, the car of the nearest trip, or none.
     """
     linked = sessions.join(trips.select("driver").distinct().withColumn("__known", F.lit(True)), "driver", "left")
-    met = asof_pairs(sessions.select("session_id", "driver", "at"), trips.select("driver", "plate", "trip_at"), hours)
-    order = Window.partitionBy("session_id").orderBy("gap_s", "trip_at", "plate")
-    ranked = met.withColumn("__n", F.row_number().over(order))
-    near = ranked.groupBy("session_id").agg(F.max(F.when(F.col("__n") == 1, F.col("plate"))).alias("near_plate"), F.countDistinct("plate").alias("cars"))
-    joined = linked.join(near, "session_id", "left")
-    basis = F.when(F.col("session_plate").isNotNull(), "session_plate").when(F.col("__known").isNull(), "no_link").when(F.col("cars").isNull(), "no_trip").when(F.col("cars") == 1, "only_car").otherwise("nearest_trip")
+    asked, reach = ["driver", "at"], F.expr(f"INTERVAL '{hours}' HOUR")
+    cars = trips.groupBy("driver", "trip_at").agg(F.min("plate").alias("plate"))
+    gap = lambda a, b: F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))
+    near = asof_before(sessions.select(*asked).distinct(), cars, ["driver"], "at", "trip_at", ["plate"])
+    near = near.select(*asked, F.col("at_2").alias("__t0"), F.col("plate").alias("__p0"))
+    near = asof_after(near, cars, ["driver"], "at", "trip_at", ["plate"])
+    near = near.select(*asked, "__t0", "__p0", F.col("at_2").alias("__t1"), F.col("plate").alias("__p1"), (F.col("at") + reach).alias("__to"))
+    # several cars: the last change of cars before the reach ends lies within it, both trips
+    order = Window.partitionBy("driver").orderBy("trip_at", "plate")
+    changes = trips.select("driver", "trip_at", "plate").distinct().select("driver", "trip_at", F.lag("trip_at").over(order).alias("since"), (F.lag("plate").over(order) != F.col("plate")).alias("changed"))
+    changes = changes.filter("changed").groupBy("driver", "trip_at").agg(F.max("since").alias("since"))
+    near = asof_before(near, changes, ["driver"], "__to", "trip_at", ["since"])
+    most = 3_600_000_000 * hours
+    before, after = F.when(gap("__t0", "at") <= most, gap("__t0", "at")), F.when(gap("at", "__t1") <= most, gap("at", "__t1"))
+    plate = F.when(after.isNull() | (before <= after), F.col("__p0")).otherwise(F.col("__p1"))
+    near = near.select(*asked, F.coalesce(before, after).isNotNull().alias("__any"), F.when(F.coalesce(before, after).isNotNull(), plate).alias("near_plate"), F.coalesce(gap("since", "at") <= most, F.lit(False)).alias("__several"))
+    joined = linked.join(near, asked, "left")
+    basis = F.when(F.col("session_plate").isNotNull(), "session_plate").when(F.col("__known").isNull(), "no_link").when(~F.coalesce("__any", F.lit(False)), "no_trip").when(~F.col("__several"), "only_car").otherwise("nearest_trip")
     return joined.select("session_id", F.coalesce("session_plate", "near_plate").alias("plate"), basis.alias("basis"))
 
 
-def asof_pairs(sessions: DataFrame, trips: DataFrame, hours: int) -> DataFrame:
-    reach = F.expr(f"INTERVAL '{hours}' HOUR")
-    a = sessions.withColumn("__slot", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / (3600 * hours)))
-    b = trips.withColumn("__slot", slots(F.col("trip_at") - reach, F.col("trip_at") + reach, 60 * hours))
-    return a.join(b, ["driver", "__slot"]).withColumn("gap_s", F.abs(seconds(F.col("at")) - seconds(F.col("trip_at")))).filter(F.col("gap_s") <= 3600 * hours)
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only
     a session on one machine may leave that unset; it gets a folder of its own.

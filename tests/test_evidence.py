@@ -90,3 +90,22 @@ def test_status_history_repeats_no_candidate_for_each_account(spark):
         return shuffled(spark, found)
 
     assert rows(800) < 6 * rows(200)
+
+
+def test_nearest_trips_against_all_pairs(spark):
+    def tables(n, minutes):
+        rng = random.Random(n)
+        trips = [(rng.randrange(2), f"P{rng.randrange(3) if rng.random() < 0.3 else 0}", rng.randrange(minutes)) for _ in range(n)]
+        sessions = [(i, rng.randrange(3), rng.randrange(minutes)) for i in range(n)]
+        s = spark.createDataFrame([(i, d, at(m), None) for i, d, m in sessions], "session_id long, driver long, at timestamp_ntz, session_plate string")
+        return trips, sessions, joins.nearest_trip(s, spark.createDataFrame([(d, p, at(m)) for d, p, m in trips], "driver long, plate string, trip_at timestamp_ntz"), 1)
+
+    trips, sessions, found = tables(150, 9000)
+    expected = {}
+    for i, d, m in sessions:
+        near = sorted((abs(m - x), x, p) for e, p, x in trips if e == d and abs(m - x) <= 60)
+        basis = "no_link" if d == 2 else "no_trip" if not near else "only_car" if len({p for *_, p in near}) == 1 else "nearest_trip"
+        expected[i] = (near[0][2] if near else None, basis)
+    assert {r.session_id: (r.plate, r.basis) for r in found.collect()} == expected
+    assert {b for _, b in expected.values()} == {"no_link", "no_trip", "only_car", "nearest_trip"}
+    assert shuffled(spark, tables(1600, 200)[2]) < 6 * shuffled(spark, tables(400, 200)[2])
