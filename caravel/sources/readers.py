@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from datetime import date, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -82,15 +82,23 @@ def flattened(breakdowns: DataFrame, key: str, nodes: str, depth: int = 9) -> Da
     {name, amount, currency, children}, read to `depth` levels.
     """
     schema = "array<struct<name:string,amount:double,currency:string,children:string>>"
-    named = F.trim("n.name") != ""
-    level = breakdowns.select(key, F.explode(F.from_json(nodes, schema)).alias("n")).filter(named).select(key, F.trim("n.name").alias("path"), "n.*")
-    found = level
-    for _ in range(depth - 1):
-        level = level.filter("children is not null").select(key, F.col("path").alias("up"), F.explode(F.from_json("children", schema)).alias("n"))
-        level = level.filter(named).select(key, F.concat_ws(".", "up", F.trim("n.name")).alias("path"), "n.*")
-        found = found.unionByName(level)
-    mixed = found.groupBy(key).agg((F.countDistinct("currency") > 1).alias("mixed_currency"))
-    return found.filter("amount is not null").groupBy(key, "path").agg(F.sum("amount").alias("amount")).join(mixed, key)
+    up = lambda under, n: F.trim(n["name"]) if under is None else F.concat_ws(".", under["path"], F.trim(n["name"]))
+    node = lambda under, n: F.struct(up(under, n).alias("path"), n["amount"].alias("amount"), n["currency"].alias("currency"), n["children"].alias("children"))
+
+    def level(text: Column, under: Column | None = None) -> Column:
+        named = F.filter(F.coalesce(F.from_json(text, schema), F.array().cast(schema)), lambda n: F.trim(n["name"]) != "")
+        return F.transform(named, lambda n: node(under, n))
+
+    # every tree is read once, level by level within its row
+    rows = breakdowns.select(key, level(F.col(nodes)).alias("l1"))
+    for i in range(2, depth + 1):
+        above = F.filter(f"l{i - 1}", lambda n: n["children"].isNotNull())
+        rows = rows.withColumn(f"l{i}", F.flatten(F.transform(above, lambda n: level(n["children"], n))))
+    found = rows.select(key, F.explode(F.concat(*[f"l{i}" for i in range(1, depth + 1)])).alias("n")).select(key, "n.path", "n.amount", "n.currency")
+    paths = found.groupBy(key, "path").agg(F.sum("amount").alias("amount"), F.min("currency").alias("__least"), F.max("currency").alias("__most"))
+    whole = Window.partitionBy(key)
+    mixed = F.coalesce(F.min("__least").over(whole) != F.max("__most").over(whole), F.lit(False))
+    return paths.withColumn("mixed_currency", mixed).filter("amount is not null").select(key, "path", "amount", "mixed_currency")
 
 
 def plan_days(spark: SparkSession, lo: date, hi: date, airports: list[str], covered: DataFrame) -> DataFrame:
