@@ -161,9 +161,10 @@ def _(t):
 def _(t):
     a = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 50).alias("k"))
     b = t.orders.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("other"), "o_orderdate", (F.col("o_custkey") % 50).alias("k"))
-    met = a.join(b, ["o_orderdate", "k"])
-    alone = lambda c: F.count("*").over(Window.partitionBy(c)) == 1
-    return met.select("o_orderkey", "other", (alone("o_orderkey") & alone("other")).alias("matched"))
+    # an order's counterparts are those of its day and k: counted there, not over the pairs
+    on = ["o_orderdate", "k"]
+    alone = a.groupBy(*on).agg(F.count("*").alias("x")).join(b.groupBy(*on).agg(F.count("*").alias("y")), on).select(*on, ((F.col("x") == 1) & (F.col("y") == 1)).alias("matched"))
+    return a.join(alone, on).join(b, on).select("o_orderkey", "other", "matched")
 
 
 @query("C26_set_audit", "WITH ours AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority <> '1-URGENT'), theirs AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority <> '5-LOW') SELECT coalesce(o.day, t.day) AS day, count(*) FILTER (WHERE o.k IS NULL) AS missing, count(*) FILTER (WHERE t.k IS NULL) AS extra, round(100.0 * count(*) FILTER (WHERE o.k IS NOT NULL AND t.k IS NOT NULL) / count(*), 1) AS agreement_pct FROM ours o FULL JOIN theirs t ON o.k = t.k GROUP BY 1")
