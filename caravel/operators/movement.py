@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,32 +44,46 @@ def windowed(fixes: DataFrame, span: Span) -> DataFrame:
     return rows.join(best, ["plate", "day", "source"]).groupBy("plate", "day", "source", "at").agg(F.min("lat").alias("lat"), F.min_by("lng", "lat").alias("lng"))
 
 
-def tiles_of(rows: pd.DataFrame) -> pd.DataFrame:
+def tiles_of(table: pa.Table) -> pa.Table:
     """The tiles of one window of one car, from its fixes in order. Intervals of fixes within
     150 m of the first of their run are a stay if it lasts ten minutes, else a part of the
     drive around them; further ones are driving, or `moved` if the fixes are too far apart
     in time; beyond a day the car is silent. Neighbouring driving is one tile.
     """
-    rows = rows.sort_values("at", kind="stable")
-    at, lat, lng = rows["at"].to_numpy(), np.radians(rows["lat"].to_numpy(float)), np.radians(rows["lng"].to_numpy(float))
-    cadence, n = CADENCE.get(rows["source"].iloc[0], 30), len(rows)
-
-    def near(i: int, j: int) -> bool:
-        h = np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[j] - lng[i]) / 2) ** 2
-        return 2 * geo.EARTH_KM * np.arcsin(min(1.0, np.sqrt(h))) <= STAY_KM
-
-    minutes = lambda i, j: (at[j] - at[i]) / np.timedelta64(1, "us") / 6e7
+    rows = table.sort_by("at")
+    at = rows.column("at").cast(pa.int64()).to_numpy()
+    lat, lng = (np.radians(rows.column(c).to_numpy().astype(float)) for c in ("lat", "lng"))
+    cadence, n = CADENCE.get(rows.column("source")[0].as_py(), 30), len(rows)
+    cos = np.cos(lat)
+
+    def within(i: int, j: int) -> np.ndarray:
+        """Which of the fixes i + 1 to j are near the ones before them (i: all near the first)."""
+        h = np.sin((lat[i + 1 : j] - lat[i]) / 2) ** 2 + cos[i] * cos[i + 1 : j] * np.sin((lng[i + 1 : j] - lng[i]) / 2) ** 2
+        return 2 * geo.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h))) <= STAY_KM
+
+    h = np.sin(np.diff(lat) / 2) ** 2 + cos[:-1] * cos[1:] * np.sin(np.diff(lng) / 2) ** 2
+    beside = 2 * geo.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h))) <= STAY_KM
+    gaps = np.diff(at) / 6e7
+    # a run goes on until a step that is long or far
+    stop = np.append(np.flatnonzero(~(beside & (gaps <= SILENT_MINUTES))), n - 1)
+    minutes = lambda i, j: (at[j] - at[i]) / 6e7
     found, k = [], 0
     while k < n - 1:
-        gap, j = minutes(k, k + 1), k + 1
-        if gap > SILENT_MINUTES:
+        j = k + 1
+        if gaps[k] > SILENT_MINUTES:
             kind = "silent"
-        elif not near(k, j):
-            kind = "drive" if gap <= MOVING_MINUTES else "moved"
+        elif not beside[k]:
+            kind = "drive" if gaps[k] <= MOVING_MINUTES else "moved"
         else:
-            while j < n - 1 and minutes(j, j + 1) <= SILENT_MINUTES and near(j, j + 1) and near(k, j + 1):
-                j += 1
-            held = any(minutes(x, x + 1) > cadence for x in range(k, j))
+            last = int(stop[np.searchsorted(stop, k)])
+            j, step = k + 1, 16
+            while j < last:
+                far = np.flatnonzero(~within(k, min(last, j + step) + 1)[j - k :])
+                if len(far):
+                    j += int(far[0])
+                    break
+                j, step = min(last, j + step), 2 * step
+            held = bool((gaps[k:j] > cadence).any())
             kind = "stay" if minutes(k, j) >= STAY_MINUTES else "parked" if held else "drive"
         if kind == "drive" and found and found[-1][0] == "drive":
             found[-1][2] = j
@@ -81,11 +95,16 @@ def tiles_of(rows: pd.DataFrame) -> pd.DataFrame:
         stay = kind == "stay"
         after = found[place + 1][0] if place + 1 < len(found) else None
         spot = (float(np.degrees(lat[i])), float(np.degrees(lng[i]))) if stay else (None, None)
-        out.append((kind, at[i], at[j], *spot, j - i + 1, stay and i == 0, stay and after in (None, "moved", "silent")))
+        out.append((kind, int(at[i]), int(at[j]), *spot, j - i + 1, stay and i == 0, stay and after in (None, "moved", "silent")))
     if not out:  # a single fix
-        out.append(("seen", at[0], at[0], float(np.degrees(lat[0])), float(np.degrees(lng[0])), 1, True, True))
-    frame = pd.DataFrame(out, columns=["kind", "start", "end", "lat", "lng", "fixes", "since_at_least", "until_at_least"])
-    return frame.assign(plate=rows["plate"].iloc[0], day=rows["day"].iloc[0])[[c.split()[0] for c in TILES.split(", ")]]
+        out.append(("seen", int(at[0]), int(at[0]), float(np.degrees(lat[0])), float(np.degrees(lng[0])), 1, True, True))
+    kind, start, end, lats, lngs, fixes, since, until = map(list, zip(*out))
+    time_type = rows.schema.field("at").type
+    same = lambda c: pa.repeat(rows.column(c)[0], len(out))
+    return pa.table({
+        "plate": same("plate"), "day": same("day"), "kind": kind, "start": pa.array(start, pa.int64()).cast(time_type), "end": pa.array(end, pa.int64()).cast(time_type),
+        "lat": pa.array(lats, pa.float64()), "lng": pa.array(lngs, pa.float64()), "fixes": pa.array(fixes, pa.int64()), "since_at_least": since, "until_at_least": until,
+    }).select([c.split()[0] for c in TILES.split(", ")])
 
 
 def movement(fixes: DataFrame, span: Span = DAY) -> DataFrame:
@@ -97,7 +116,7 @@ def movement(fixes: DataFrame, span: Span = DAY) -> DataFrame:
 
     A group is one window of one car: the fixes of a day and a half at most.
     """
-    whole = windowed(fixes, span).groupBy("plate", "day").applyInPandas(tiles_of, TILES)
+    whole = windowed(fixes, span).groupBy("plate", "day").applyInArrow(tiles_of, TILES)
     begin = F.col("day").cast("timestamp_ntz") - F.expr(time.OFFSET)
     until = begin + F.make_dt_interval(mins=F.lit(int(span.hours * 60)))
     ends = whole.groupBy("plate", "day").agg(F.min("start").alias("first"), F.max("end").alias("last"))
