@@ -102,9 +102,14 @@ def fold_grain(days: DataFrame, grain: str, day: str = "bucket", by: tuple[str,
 def period_to_days(periods: DataFrame, by: list[str], start: str, end: str, amount: str, newest: str) -> DataFrame:
     """An amount over a period as equal shares of its days. A day that several periods of
     the same `by` cover takes the shortest, then the newest, then the earliest one.
+
+    Of the filings of one and the same period only the newest can be taken, so the others go
+    in a hashed aggregate before any day is spread out.
     """
+    latest = F.when(F.max(newest).isNull(), F.max(amount)).otherwise(F.max_by(amount, newest))
+    spans = periods.groupBy(*by, start, end).agg(latest.alias(amount), F.max(newest).alias(newest))
     n = F.datediff(end, start) + 1
-    days = periods.withColumn("period_days", n).withColumn("day", F.explode(F.sequence(start, end)))
+    days = spans.withColumn("period_days", n).withColumn("day", F.explode(F.sequence(start, end)))
     order = Window.partitionBy(*by, "day").orderBy("period_days", F.desc_nulls_last(newest), start)
     best = days.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
     return best.select(*by, "day", "period_days", (F.col(amount) / F.col("period_days")).alias("day_amount"))

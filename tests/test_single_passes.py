@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 import pyarrow as pa
 
-from caravel.operators import movement
+from caravel.operators import aggregates, movement
 from caravel.plans import catalogue
 from caravel.sources import readers
 from tests.test_oracles import SF
@@ -37,3 +37,13 @@ def test_a_long_stay_is_found_in_arrow_columns():
     # each step is short, but the run drifts away from its first fix
     assert tiles([25.0 + 0.0001 * i for i in range(29)]) == [("stay", 14), ("stay", 14), ("drive", 3)]
     assert tiles([25.0]) == [("seen", 1)]
+
+
+def test_filings_of_one_period_go_before_its_days_are_spread(spark):
+    at = lambda d: date(2024, 1, d)
+    rows = [("x", at(1), at(4), 40, 1), ("x", at(1), at(4), 80, 2), ("x", at(1), at(4), 8, None), ("x", at(4), at(4), 5, None), ("x", at(2), at(5), 4, 2), ("x", at(6), at(7), 6, None), (None, at(1), at(1), None, 3), (None, at(1), at(1), 7, 2), ("y", None, at(2), 1, 1)]
+    found = aggregates.period_to_days(spark.createDataFrame(rows, "k string, a date, b date, amount int, seen int"), ["k"], "a", "b", "amount", "seen")
+    expected = [("x", 1, 4, 20.0), ("x", 2, 4, 20.0), ("x", 3, 4, 20.0), ("x", 4, 1, 5.0), ("x", 5, 4, 1.0), ("x", 6, 2, 3.0), ("x", 7, 2, 3.0), (None, 1, 1, None)]
+    assert sorted(map(str, ((r.k, r.day.day, r.period_days, r.day_amount) for r in found.collect()))) == sorted(map(str, expected))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate explode") :]
