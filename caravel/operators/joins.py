@@ -126,22 +126,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (its smallest node) of an undirected graph. Every round each node
-    takes the smallest label among its neighbours', then that label's own label, so long
-    chains halve; the labels are written between rounds and only one number is collected.
+    """node, component (its smallest node) of an undirected graph.
+
+    Every round each node hangs on the neighbour that comes first in an order dealt anew,
+    if that comes before itself; the links between what they hang on are the next round's.
+    About half of the nodes go each round, so all rounds together move a few times the links,
+    however long a chain is. Then the roots are handed back from the last round to the first.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y")))
-    both = written(both.filter("x is not null and y is not null").distinct(), "links")
-    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.x).select("node", F.least("component", "m").alias("component"))
-        jump = step.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
-        new = written(step.join(jump, F.col("component") == F.col("__n")).select("node", F.least("component", "__c").alias("component")), "labels")
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    links = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
+    links = written(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "links")
+    hung, n = [], 0
+    while not links.isEmpty():
+        rank = lambda c: F.xxhash64(F.lit(n), F.col(c))  # noqa: E731, B023
+        ends = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")
+        both = links.select(ends).select("e.x", "e.y").withColumn("rank", rank("y"))
+        # equal ranks of different nodes would need equal hashes; they then hang on neither
+        first = both.groupBy("x").agg(F.min("rank").alias("rank"), F.min_by("y", "rank").alias("y"))
+        up = written(first.select(F.col("x").alias("node"), F.when(F.col("rank") < rank("x"), F.col("y")).otherwise(F.col("x")).alias("up")), "hung")
+        of = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"of_{c}"))  # noqa: E731, B023
+        between = links.filter("x <> y").join(of("x"), "x").join(of("y"), "y").filter("of_x <> of_y")
+        links = written(between.select(F.least("of_x", "of_y").alias("x"), F.greatest("of_x", "of_y").alias("y")).distinct(), "links")
+        hung, n = [*hung, up], n + 1
+    if not hung:
+        return links.select(F.col("x").alias("node"), F.col("y").alias("component"))
+    roots = hung[-1].withColumnRenamed("up", "root")
+    for up in reversed(hung[:-1]):
+        above = roots.select(F.col("node").alias("up"), "root")
+        roots = written(up.join(above, "up", "left").select("node", F.coalesce("root", "up").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return written(roots.join(least, "root").select("node", "component"), "labels")
 
 
 def status_at(candidates: DataFrame, accounts: DataFrame, events: DataFrame) -> DataFrame:

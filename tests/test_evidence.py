@@ -110,3 +110,21 @@ def test_nearest_trips_against_all_pairs(spark):
     assert {r.session_id: (r.plate, r.basis) for r in found.collect()} == expected
     assert {b for _, b in expected.values()} == {"no_link", "no_trip", "only_car", "nearest_trip"}
     assert shuffled(spark, tables(1600, 200)[2]) < 6 * shuffled(spark, tables(400, 200)[2])
+
+
+def test_components_move_no_more_than_a_few_times_the_links_however_long_the_chains(spark):
+    def rows(n):
+        before = written_rows(spark)
+        found = joins.connected(spark.createDataFrame([(i, i + 1) for i in range(n)] + [(-5, -5), (None, 3), (n + 9, n + 7)], "a long, b long"))
+        moved = written_rows(spark) - before
+        assert {r.node: r.component for r in found.collect()} == {**dict.fromkeys(range(n + 1), 0), -5: -5, n + 7: n + 7, n + 9: n + 7}
+        return moved
+
+    assert rows(3000) < 3000 * 12
+
+
+def written_rows(spark):
+    """Rows written to tables so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).outputRecords() for i in range(stages.size()))
