@@ -30,6 +30,8 @@ from caravel.llm.shared import rows_per_batch
 MEMORY = 400_000
 #: Pieces, and prefixes of pieces, that are longer are not kept.
 LONG = 48
+#: Words with what stands beside them up to the spaces, kept as wholes up to this length.
+WORD = 10
 #: Texts of these characters need no library: NFC leaves them, lower case is one to one.
 PLAIN = re.compile(r"[\t-\r\x20-\x7E\xA1-įı-ňŊ-ž]*")
 #: Letters and other numbers of the plain range, after lower-casing.
@@ -49,12 +51,12 @@ def library(path: str):
 class Memory(dict):
     """piece -> what `make` gives for it; kept for short pieces only."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, longest: int = LONG):
+        self.make, self.longest = make, longest
 
     def __missing__(self, piece):
         value = self.make(piece)
-        if len(piece) <= LONG:
+        if len(piece) <= self.longest:
             if len(self) >= MEMORY:
                 self.clear()
             self[piece] = value
@@ -68,7 +70,9 @@ class Encoder:
         self.tokenizer = library(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.pieces = Memory(self.by_library)
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.pieces = Memory(self.by_model)
+        self.words = Memory(self.by_pieces, WORD)
 
     def is_plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
@@ -86,9 +90,20 @@ class Encoder:
     def by_library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def by_model(self, piece: str) -> bytes:
+        """The ids of a plain piece: the library's model on the letters that stand for its bytes."""
+        found = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in found], self.dtype).tobytes()
+
+    def by_pieces(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word)))
+
     def ids(self, text: str) -> bytes:
+        """No piece has white space in it, and none depends on what is beyond the space, so a
+        plain text is looked up by what stands between spaces.
+        """
         if self.is_plain(text):
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
         return self.by_library(text)
 
 
