@@ -175,11 +175,14 @@ def cells_of(files: DataFrame) -> DataFrame:
 
 
 def headed_rows(cells: DataFrame, header: list[str]) -> DataFrame:
-    """Rows of sheets whose first row is exactly `header`; other sheets give none."""
-    heads = cells.filter("row = 1").groupBy("path", "sheet").agg(F.array_sort(F.collect_list(F.struct("column", "text"))).alias("h"))
-    fits = heads.filter(F.transform("h", lambda x: F.trim(x["text"])) == F.array(*map(F.lit, header))).select("path", "sheet")
-    body = cells.filter("row > 1").join(fits, ["path", "sheet"], "left_semi")
-    return body.groupBy("path", "sheet", "row").agg(*[F.max(F.when(F.col("column") == i, F.col("text"))).alias(h) for i, h in enumerate(header, 1)])
+    """Rows of sheets whose first row is exactly `header`; other sheets give none. The cells
+    are asked for once, so no workbook is read again for its head.
+    """
+    head = F.array_sort(F.collect_list(F.when(F.col("row") == 1, F.struct("column", "text"))))
+    rows = cells.filter("row >= 1").groupBy("path", "sheet", "row").agg(*[F.max(F.when(F.col("column") == i, F.col("text"))).alias(h) for i, h in enumerate(header, 1)], head.alias("__head"))
+    of_sheet = F.max(F.when(F.col("row") == 1, F.col("__head"))).over(Window.partitionBy("path", "sheet"))
+    fits = F.transform("__of", lambda x: F.trim(x["text"])) == F.array(*map(F.lit, header))
+    return rows.withColumn("__of", of_sheet).filter(fits).filter("row > 1").drop("__head", "__of")
 
 
 def sheet_date(serial: Column) -> Column:

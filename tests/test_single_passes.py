@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pyarrow as pa
+import pytest
 
 from caravel.operators import aggregates, movement
 from caravel.plans import catalogue
-from caravel.sources import readers
+from caravel.sources import readers, sinks
 from tests.test_oracles import SF
 
 
@@ -47,3 +48,15 @@ def test_filings_of_one_period_go_before_its_days_are_spread(spark):
     assert sorted(map(str, ((r.k, r.day.day, r.period_days, r.day_amount) for r in found.collect()))) == sorted(map(str, expected))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Generate explode") :]
+
+
+def test_workbooks_are_built_and_read_once(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("b", 1, None), ("a", 1, "y"), ("a", None, "z"), (None, 5, "w")], "who string, n int, t string")
+    books = sinks.workbooks(rows, "who", ["n"])
+    found = readers.headed_rows(readers.cells_of(books), ["n", "t"])
+    assert {(r.path, r.row, r.n, r.t) for r in found.collect()} == {("a.xlsx", 2, "1", "y"), ("a.xlsx", 3, "2", "x"), ("a.xlsx", 4, None, "z"), ("b.xlsx", 2, "1", None), ("None.xlsx", 2, "5", "w")}
+    assert readers.headed_rows(readers.cells_of(books), ["n", "u"]).isEmpty()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert sinks.workbooks(rows, "who", ["n"], 3).count() == 3
+    with pytest.raises(Exception, match="over 2 rows"):
+        sinks.workbooks(rows, "who", ["n"], 2).collect()
