@@ -1,12 +1,13 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Ball hashing (simhash.py) finds fingerprints at a few differing bits; documents that share
-four fifths of their five-word shingles differ in about ten of 64, far beyond any ball
-that can be emitted. So candidates meet here by MinHash: a document has 20 bands of five
-minima over its shingles, and two at similarity 0.8 share a band but once in 2,000 cases.
-In a band's bucket each member is paired with the first and with its neighbour in the
+Candidates meet in two ways. SimHashes of the sets at RADIUS or fewer differing bits meet by
+ball hashing (simhash.py). Documents that share four fifths of their five-word shingles
+differ in about ten of 64 bits, far beyond any ball that can be emitted; so they meet by
+MinHash as well: a document has 20 bands of five minima over its shingles, and two at
+similarity 0.8 share a band but once in 2,000 cases. In a band's bucket each member is paired with the first and with its neighbour in the
 order of the members' SimHashes, so a bucket makes two rows a member however many meet.
-Pairs are verified on the shingles themselves, and the links join most of what is alike.
+Pairs of both ways are verified on the shingles themselves, and the links join most of what
+is alike.
 
 Buckets that then still hold several components are compared whole, once: their members are
 dealt into blocks of a bounded size, and every two blocks that do not belong to one and the
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.llm.shared import kept_rows, rows_per_batch, shared_table, whole_text
-from caravel.llm.simhash import SEED, components
+from caravel.llm.simhash import RADIUS, SEED, components, links
 
 SHINGLE = 5
 #: Hundredths of the Jaccard similarity from which on two documents are near copies.
@@ -142,22 +143,37 @@ def near(pairs: DataFrame) -> DataFrame:
     return close.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def candidates(buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with its first and with its neighbour."""
+def in_balls(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, fp, other, other_fp) by ball hashing: nodes of one SimHash with the first of
+    them, and the firsts of SimHashes that are neighbours in a variant; a written table.
+    """
+    firsts = shared_table(nodes.groupBy("fp").agg(F.min("node").alias("other"), F.count("*").alias("n")), "simhashes")
+    several = firsts.filter("n > 1").select("fp", "other")
+    equal = nodes.select("node", "fp").join(several, "fp").select("node", "fp", "other", F.col("fp").alias("other_fp"))
+    met = shared_table(links(firsts.select("fp"), radius), "ball-links")
+    a = firsts.select(F.col("fp").alias("a"), F.col("other").alias("node"))
+    b = firsts.select(F.col("fp").alias("b"), "other")
+    apart = met.join(a, "a").join(b, "b").select("node", F.col("a").alias("fp"), "other", F.col("b").alias("other_fp"))
+    return shared_table(equal.unionByName(apart).filter("node <> other"), "in-balls")
+
+
+def candidates(buckets: DataFrame, balls: DataFrame) -> DataFrame:
+    """Each member of a bucket with its first and with its neighbour, and who met in balls."""
     firsts = shared_table(buckets.groupBy("band").agg(F.min(F.struct("lead", "node", "fp")).alias("first")), "firsts")
     with_first = buckets.join(firsts, "band").select("node", "fp", F.col("first.node").alias("other"), F.col("first.fp").alias("other_fp"))
     # a bucket is dealt by the top bits of its members' SimHashes, so that a large one is not one group
     order = Window.partitionBy("band", F.shiftright("fp", 60)).orderBy("fp", "node")
     beside = buckets.select("node", "fp", F.lag("node").over(order).alias("other"), F.lag("fp").over(order).alias("other_fp")).filter("other is not null")
-    return near(with_first.unionByName(beside))
+    return near(with_first.unionByName(beside).unionByName(balls))
 
 
-def sets_of(prints: DataFrame, buckets: DataFrame) -> DataFrame:
-    """node and its packed shingles for all nodes in `buckets`; a written table. A node is
-    the row of its first document. The nodes grow with the input, so the join is one by
-    shuffle at every size.
+def sets_of(prints: DataFrame, buckets: DataFrame, balls: DataFrame) -> DataFrame:
+    """node and its packed shingles for all nodes in `buckets` and `balls`; a written table.
+    A node is the row of its first document. The nodes grow with the input, so the join is
+    one by shuffle at every size.
     """
-    nodes = buckets.select("node").distinct()
+    met = balls.select(F.explode(F.array("node", "other")).alias("node"))
+    nodes = buckets.select("node").unionByName(met).distinct()
     return shared_table(prints.select(F.col("row").alias("node"), "shingles").join(nodes.hint("merge"), "node"), "candidate-sets")
 
 
@@ -238,7 +254,7 @@ def joined_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
     return shared_table(every.join(above, "root", "left").select("node", F.coalesce("__above", "root").alias("root")), "joined-roots")
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, alike: int = ALIKE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, alike: int = ALIKE, seed: int = SEED, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """row, doc_id, text_sha256 and component (a row's number) of each row of `docs`
     (doc_id, text; further columns are left alone), over links of at least `alike`
     hundredths of Jaccard similarity. Null text counts as empty; texts without words are
@@ -249,8 +265,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, alike: int = ALIKE, see
     least = [F.min_by(c, "row").alias(c) for c in ("fp", "bands")]
     same = shared_table(prints.groupBy("same").agg(F.min("row").alias("node"), *least), "shingle-sets")
     buckets = shared_table(bucketed(same), "buckets")
-    sets = sets_of(prints, buckets)
-    roots = components(verified(sets, candidates(buckets), alike))
+    balls = in_balls(same, radius)
+    sets = sets_of(prints, buckets, balls)
+    roots = components(verified(sets, candidates(buckets, balls), alike))
     members, tasks = blocks_of(buckets, roots, block)
     roots = joined_roots(roots, links_in_blocks(sets, members, tasks, alike))
     named = same.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component"))

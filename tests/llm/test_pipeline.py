@@ -101,6 +101,26 @@ def test_near_copies_miss_no_link_in_large_buckets(spark):
     assert links > 5 and sorted(map(sorted, by.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_near_copies_meet_in_balls_without_a_band(spark, monkeypatch):
+    """Sets that share no band still meet if their SimHashes differ in two bits or fewer;
+    at more, and where they meet but are not alike, they stay apart.
+    """
+    monkeypatch.setattr(near_copies, "bands_of", lambda hashes, seed: np.arange(near_copies.BANDS) + hashes[:1].view(np.int64) + len(hashes))
+    texts = [" ".join(prose(40 + i // 2, 3000)) for i in range(40)]
+    texts = [t if i % 2 == 0 else f"{t} one{i}" + " more" * (i % 3) for i, t in enumerate(texts)]
+    prints = [near_copies.simhash_of(near_copies.shingles(t)) & (2**64 - 1) for t in texts]
+    bits = [(prints[i] ^ prints[i + 1]).bit_count() for i in range(0, 40, 2)]
+    found = {r.doc_id: r.component for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(n <= 2 for n in bits) > 10
+    assert all(found[2 * i] == found[2 * i + 1] for i, n in enumerate(bits) if n <= 2)
+    assert len(set(found.values())) == 40 - sum(n <= 2 for n in bits)
+
+    schema = "node long, fp long"
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 0b11), (4, 0b1110001), (5, -1)], schema)
+    pairs = {(r.node, r.other) for r in near_copies.in_balls(nodes, 2).collect()}
+    assert {tuple(sorted(p)) for p in pairs} == {(1, 2), (1, 3)}
+
+
 def test_packed_sets_are_read_back():
     for text in ("", "one", "a b c d e f g", " ".join(prose(3, 5000))):
         hashes = near_copies.shingles(text)
