@@ -142,33 +142,36 @@ class PrefixCounter:
         self.letters = byte_letters()
         self.stands = Memory(self.both_stand)
         self.pieces = Memory(self.steps)
+        self.words = Memory(self.by_pieces, WORD)
         self.lower = Memory(self.encoder.lower_case)
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        rank, never = self.rank, len(self.rank)
-        while len(symbols) > 1:
-            best, at = min((rank.get(pair, never), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-            if best == never:
-                break
-            left, right = symbols[at], symbols[at + 1]
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+    def merged(self, symbols: list[str], edge: int = 0) -> list[str]:
+        """The tokens of `symbols`; none if one would cover both sides of the first `edge`."""
+        rank, never = self.rank.get, len(self.rank)
+        ranks = [rank(pair, never) for pair in zip(symbols, symbols[1:])]
+        edge -= 1
+        while ranks and (best := min(ranks)) != never:
+            at = ranks.index(best)
+            if at == edge:
+                return []
+            edge -= at < edge
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((symbols[at - 1], symbols[at]), never)
+            if at < len(ranks):
+                ranks[at] = rank((symbols[at], symbols[at + 1]), never)
         return symbols
 
     def both_stand(self, pair: tuple[str, str]) -> bool:
         left, right = pair
+        if pair in self.rank:
+            return False
         ended = right.endswith(self.end) and len(right) > len(self.end)
         symbols = [*left, *(right.removesuffix(self.end) if ended else right)]
         if ended:
             symbols[-1] += self.end
-        return self.merged(symbols) == [t for t in pair if t]
+        return self.merged(symbols, len(left)) == [t for t in pair if t]
 
     def ending(self, symbols: str, stop: int, end: str, last: list[tuple[str, int]]) -> tuple[str, int]:
         """The last token of the first `stop` of `symbols`, and the count with it; `last`
@@ -194,6 +197,9 @@ class PrefixCounter:
         counts = self.short(symbols, ends) if len(symbols) <= LONG else self.long(symbols, ends)
         return struct.pack(f"<{len(piece)}i", *map(sub, counts, [0, *counts]))
 
+    def by_pieces(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES_AND_SPACE.findall(word)))
+
     def short(self, symbols: str, ends: Sequence[int]) -> list[int]:
         """The counts at `ends`. What is known of a prefix holds for every piece that begins
         with it.
@@ -237,7 +243,8 @@ class PrefixCounter:
         text. What lies between special strings is put in NFC.
         """
         if self.encoder.is_plain(text):
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, PIECES_AND_SPACE.findall(text.lower()))), "<i4")
+            # no piece goes beyond a space, so what stands between spaces is looked up as a whole
+            return np.frombuffer(bytes(4).join(map(self.words.__getitem__, text.lower().split(" "))), "<i4")
         parts = re.split("(" + "|".join(map(re.escape, self.encoder.special)) + ")", text)
         return np.concatenate([self.special(p) if p in self.encoder.special else self.other(p) for p in parts])
 
@@ -268,11 +275,13 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def longest_prefix(table: np.ndarray, budget: int) -> int:
-    """The most code points whose prefix has at most `budget` tokens (counts are not
-    monotone: a longer prefix may merge into fewer).
+def longest_prefix(counts: np.ndarray, budget: int) -> int:
+    """The most code points whose prefix has at most `budget` tokens, of the count at each
+    (counts are not monotone: a longer prefix may merge into fewer).
     """
-    fits = np.flatnonzero(np.cumsum(table, dtype=np.int64) <= budget)
+    if len(counts) and counts[-1] <= budget:
+        return len(counts)
+    fits = np.flatnonzero(counts <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
@@ -299,8 +308,9 @@ def prefix_counts(docs: DataFrame, vocabulary: str, budgets: tuple[int, ...] = (
                 text = text or ""
                 table = dp.table(text)
                 sizes.append(len(text.encode()))
-                tokens.append(int(table.sum(dtype=np.int64)))
-                fits.append([longest_prefix(table, b) for b in budgets])
+                counts = np.cumsum(table, dtype=np.int64)
+                tokens.append(int(counts[-1]) if len(counts) else 0)
+                fits.append([longest_prefix(counts, b) for b in budgets])
                 if keep_table:
                     tables.append(table.astype("<i4").tobytes())
             out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.list_(pa.int64()))]

@@ -78,6 +78,19 @@ def test_op7_base_matches_as_they_are_and_more(spark):
     assert all(len(s) == 3 and not (s[2] and s[1] == "1.2.3.400") for spans in found.values() for s in spans)
 
 
+def test_op8_looks_up_what_stands_between_spaces():
+    """A piece that came back beside others was cut and looked up again each time."""
+    from caravel.llm import tokens
+
+    counter = tokens.PrefixCounter(vocabulary())
+    seen = []
+    counter.pieces = tokens.Memory(lambda piece: seen.append(piece) or counter.steps(piece), 0)
+    text = "it's  one, two\n two one, ÀB it's "
+    table = counter.table(text)
+    assert len(table) == len(text) and seen == ["it", "'s", "one", ",", "two", "\n", "two", "àb"]
+    assert table.sum() == len(counter.encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_op8_words_of_any_length():
     import resource
 
