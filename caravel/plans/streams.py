@@ -15,17 +15,24 @@ def landed(t):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Files of a landing, which one micro-batch takes together.
+FILES = 8
+
+
 def in_files(t, label: str, times: int = 1):
-    """The events as a stream of files landed one after another, each of some three days;
-    an event comes up to a day late, and `times` times.
+    """The events as a stream of landings one after another, each of some three days; an
+    event comes up to a day late, and `times` times. A landing has as many files at every
+    size, so that the micro-batches, each of which goes over the state, do not grow in number.
     """
-    folder = joins.shared_path(t.spark, label)
+    folder, slices = joins.shared_path(t.spark, label), joins.shared_path(t.spark, f"{label}-slices")
     hours = (F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("bigint")
     late = [(F.col("event_id") * 7 + 11 * k) % 24 for k in range(times)]
     rows = t.events.withColumn("file", F.explode(F.array(*[((hours + h) / 72).cast("bigint") for h in late])))
-    for r in rows.select("file").distinct().sort("file").collect():  # ten of a month
-        rows.filter(F.col("file") == r.file).drop("file").write.mode("append").parquet(folder)
-    return status.event_stream(t.spark, folder, t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.partitionBy("file").parquet(slices)  # one pass over the events
+    landings = t.spark.read.schema(rows.schema).parquet(slices)
+    for r in landings.select("file").distinct().sort("file").collect():  # ten of a month
+        landings.filter(F.col("file") == r.file).drop("file").repartition(FILES).write.mode("append").parquet(folder)
+    return status.event_stream(t.spark, folder, t.events.schema, FILES).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def whole_run(t, stream, label: str, mode: str = "append"):

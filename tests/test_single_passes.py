@@ -60,3 +60,16 @@ def test_workbooks_are_built_and_read_once(spark):
     assert sinks.workbooks(rows, "who", ["n"], 3).count() == 3
     with pytest.raises(Exception, match="over 2 rows"):
         sinks.workbooks(rows, "who", ["n"], 2).collect()
+
+
+def test_landed_files_make_as_many_batches_at_every_size(spark, tmp_path):
+    """Events of five partitions came as five files a landing, each a micro-batch of its own."""
+    from types import SimpleNamespace
+
+    from caravel.plans import streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(5)
+    stream = streams.in_files(SimpleNamespace(spark=spark, events=events), "landings")
+    batches = []
+    stream.writeStream.foreachBatch(lambda rows, n: batches.append(rows.count())).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert sum(batches) == events.count() and len(batches) <= 11
