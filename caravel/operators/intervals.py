@@ -38,9 +38,10 @@ def gap_islands(events: DataFrame, key: list[str], at: str, gap_minutes: float)
     return marked.groupBy(*key, "run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
 
 
-def waits(jobs: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
+def waits(jobs: DataFrame, key: list[str], start: str, end: str, *more: Column) -> DataFrame:
     """Minutes of waiting between jobs (number columns): each start less the running
     maximum of the ends before it, so that overlapping jobs don't count as waiting.
+    `more` are further aggregates of the jobs of a key.
     """
     order = Window.partitionBy(*key).orderBy(start, end)
     wait = F.greatest(F.col(start) - F.max(end).over(order.rowsBetween(*BEFORE)), F.lit(0))
@@ -51,6 +52,7 @@ def waits(jobs: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
         F.coalesce(F.max("__wait"), F.lit(0)).alias("longest_wait"),
         (F.max(end) - F.min(start)).alias("span"),
         F.sum(F.greatest(F.col(end) - F.col(start), F.lit(0))).alias("on_job"),
+        *more,
     )
 
 

@@ -101,13 +101,15 @@ def _(t):
         time.minute_of_day(F.col("requested_at")).alias("s"), time.end_minute(F.col("requested_at"), F.col("ended_at")).alias("e"), F.when(F.col("has_fare"), F.col("price").cast("double")).alias("fare"),
     )
     on = ["driver", "day"]
-    work = intervals.waits(jobs, on, "s", "e").select(*on, *[F.col(c).cast("bigint").alias(c) for c in ("jobs", "wait", "span", "on_job")])
-    work = work.join(jobs.groupBy(*on).agg(F.min("fleet_id").alias("fleet_id")), on)
+    parts = filings.tasks(t.orders.count())
+    by_driver = jobs.repartition(parts, "driver")
+    work = intervals.waits(by_driver, on, "s", "e", F.min("fleet_id").alias("fleet_id"))
+    work = work.select(*on, *[F.col(c).cast("bigint").alias(c) for c in ("jobs", "wait", "span", "on_job")], "fleet_id")
     n = F.when(key % 2 == 0, 1).otherwise(7)
     spread = jobs.filter(key % 9 < 4).withColumn("n", n).withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
     statements = spread.select("person", F.when(key % 4 > 0, F.col("driver")).alias("driver"), "platform", F.expr("date_add(day, i)").alias("day"), (F.col("fare") * 0.75 / F.col("n")).alias("net"), F.when(key % 6 != 3, F.col("n")).alias("period_days"))
     payouts = jobs.filter(key % 7 == 0).select("person", "driver", F.date_add("day", 20).alias("day"), F.col("fare").alias("earnings"), F.when(key % 2 == 0, F.col("fare")).alias("cash"))
     hour, half = F.expr("INTERVAL '1' HOUR"), F.expr("INTERVAL '30' MINUTE")
-    spans = intervals.merge_spans(jobs.filter(key % 5 < 2).select("driver", (F.col("requested_at") - hour).alias("start"), (F.col("ended_at") + half).alias("end")), ["driver"])
-    found = filings.driver_days(work, jobs.select("driver", "person", "day", "platform", "fare"), statements, payouts, intervals.minutes_by_day(spans, ["driver"]))
+    spans = intervals.merge_spans(by_driver.filter(key % 5 < 2).select("driver", (F.col("requested_at") - hour).alias("start"), (F.col("ended_at") + half).alias("end")), ["driver"])
+    found = filings.driver_days(work, jobs.select("driver", "person", "day", "platform", "fare"), statements, payouts, intervals.minutes_by_day(spans, ["driver"]), parts)
     return found.withColumns({c: F.round(c, 4) for c in ("statement_net", "money", "payout", "payout_cash")})

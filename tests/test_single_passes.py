@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
 from datetime import date, datetime
 
 import pyarrow as pa
 import pytest
 
-from caravel.operators import aggregates, movement
+from caravel.operators import aggregates, filings, movement
 from caravel.plans import catalogue
 from caravel.sources import readers, sinks
 from tests.test_oracles import SF
@@ -73,3 +75,65 @@ def test_landed_files_make_as_many_batches_at_every_size(spark, tmp_path):
     batches = []
     stream.writeStream.foreachBatch(lambda rows, n: batches.append(rows.count())).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
     assert sum(batches) == events.count() and len(batches) <= 11
+
+
+def test_the_sources_of_a_drivers_day_meet_without_joins(spark):
+    """They were joined and aggregated in the few tasks that Spark made of them."""
+    rng = random.Random(9)
+    day = lambda: date(2024, 1, rng.randrange(1, 9))
+    fare = lambda: rng.choice([None, 8.0, 16.0, 64.0])
+    jobs = [(rng.choice(["1", "2", "3", None]), rng.choice("pq"), day(), rng.choice(["a", "b", None]), fare()) for _ in range(40)]
+    statements = [(rng.choice("pqr"), rng.choice(["1", "4", None]), day(), rng.choice(["a", "b", "c", None]), fare(), rng.choice([1, 7, None])) for _ in range(30)]
+    payouts = [(rng.choice("pqr"), rng.choice(["2", "5", None]), day(), fare(), fare()) for _ in range(12)]
+    work = [(d, x, f, 1, 10) for d, x, f in sorted({(d, x): (d, x, rng.choice(["F", "E", None])) for d, _, x, _, _ in jobs if d}.values(), key=str)]
+    online = [("1", date(2024, 1, 2), 4), ("1", date(2024, 1, 3), 90), ("9", date(2024, 1, 20), 5)]
+    frames = [
+        spark.createDataFrame(rows, schema)
+        for rows, schema in (
+            (work, "driver string, day date, fleet_id string, jobs long, on_job long"), (jobs, "driver string, person string, day date, platform string, fare double"),
+            (statements, "person string, driver string, day date, platform string, net double, period_days int"), (payouts, "person string, driver string, day date, earnings double, cash double"), (online, "driver string, day date, online_min long"),
+        )
+    ]
+    found = filings.driver_days(*frames)
+
+    total = lambda values: sum(v for v in values if v is not None) if any(v is not None for v in values) else None
+    top = lambda values: max((v for v in values if v is not None), default=None)
+    money, pay = {}, {}
+    for p, x in {(p, x) for _, p, x, _, _ in jobs} | {(r[0], r[2]) for r in [*statements, *payouts]}:
+        mine = [r for r in jobs if (r[1], r[2]) == (p, x)]
+        filed, paid = ([r for r in rows if (r[0], r[2]) == (p, x)] for rows in (statements, payouts))
+        accounts = Counter(r[0] for r in mine)
+        owner = min(accounts, key=lambda d: (-accounts[d], d is not None, d or "")) if accounts else None
+        driver = owner or top([r[1] for r in filed]) or p
+        parts = money.setdefault((driver, x), []) if mine or filed else []
+        for platform in {r[3] for r in mine + filed}:
+            nets, fares = [r for r in filed if r[3] == platform], [r[4] for r in mine if r[3] == platform]
+            net = total([r[4] for r in nets])
+            if platform is None and net is not None and total(fares) is not None:  # rows of no platform never meet
+                parts.append((None, total(fares), 1, "fares"))
+                fares = []
+            if net is not None:
+                vague = any(r[4] is not None and r[5] is None for r in nets)
+                parts.append((net, net, None if vague else top([r[5] for r in nets]), "statement"))
+            elif total(fares) is not None:
+                parts.append((None, total(fares), 1, "fares"))
+        if paid:
+            pay.setdefault((owner or top([r[1] for r in paid]) or p, x), []).extend(paid)
+    fleets = {d: min((r[2] for r in work if r[0] == d and r[2]), default=None) for d, *_ in work}
+    expected = {}
+    for k in {(r[0], r[1]) for r in work} | {*money, *pay} | {(r[0], r[1]) for r in online}:
+        w, on = next((r for r in work if (r[0], r[1]) == k), None), next((r[2] for r in online if (r[0], r[1]) == k), None)
+        parts, paid = money.get(k, []), pay.get(k, [])
+        kinds = {r[3] for r in parts}
+        expected[k] = (
+            (w and w[2]) or fleets.get(k[0]), w[3] if w else 0, w[4] if w else 0, total([r[0] for r in parts]), total([r[1] for r in parts]), "mixed" if len(kinds) > 1 else [*kinds, "none"][0],
+            None if any(r[2] is None for r in parts) else top([r[2] for r in parts]), total([r[3] for r in paid]), total([r[4] for r in paid]), on, None if on is None else max(0, on - (w[4] if w else 0)),
+        )
+    columns = ["fleet_id", "jobs", "on_job", "statement_net", "money", "money_source", "money_period_days", "payout", "payout_cash", "online_min", "idle_online"]
+    rows = found.collect()
+    assert len(rows) == len(expected) and {(r.driver, r.day): tuple(r[c] for c in columns) for r in rows} == expected
+    assert {r.money_source for r in rows} == {"none", "statement", "fares", "mixed"}
+
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert filings.driver_days(*frames, 7).rdd.getNumPartitions() == 7
+    assert [filings.tasks(n) for n in (0, 150_000, 900_000, 9_000_000)] == [1, 8, 46, 200]
