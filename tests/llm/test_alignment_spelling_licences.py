@@ -179,6 +179,21 @@ def test_op12_counts_alike_when_tasks_hand_on_early(spark, monkeypatch):
     assert sorted(map(tuple, spelling.word_counts(docs).collect())) == whole
 
 
+def test_op12_sends_no_table_through_the_driver(spark, monkeypatch):
+    rows = [(i, f"letter lettor lettr lett{'aeiou'[i % 5]}rs lettering") for i in range(60)]
+    plans, write = [], spelling.shared_table
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(spelling, "shared_table", noted)
+    found = spelling.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, plain_spelling(rows)))
+
+
 def test_op12_masks_differ_in_two_bits_at_most():
     for word in ("letter", "ÿàé÷×ß", "zzzzz"):
         for other in [word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in spelling.BITS] + [word[:i] + c + word[i:] for i in range(7) for c in spelling.BITS]:
