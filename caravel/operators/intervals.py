@@ -120,8 +120,9 @@ def thinned(fixes: DataFrame, key: list[str], at: str, state: list[str], bucket_
 def supersede_groups(journeys: DataFrame) -> DataFrame:
     """Of overlapping journeys of a car (plate, start, end, ingested_at, distance_km), the
     latest ingested, then longest, farthest, latest: one row a group, with its members.
+    Of one start, a journey without an end comes last; one without a start is alone.
     """
-    order = Window.partitionBy("plate").orderBy("start", "end")
+    order = Window.partitionBy("plate").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     opens = F.coalesce((F.col("start") >= F.max("end").over(order.rowsBetween(*BEFORE))).cast("int"), F.lit(1))
     grouped = journeys.withColumn("__o", opens).withColumn("__g", F.sum("__o").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     best = Window.partitionBy("plate", "__g").orderBy(F.desc("ingested_at"), F.desc(minutes_between(F.col("start"), F.col("end"))), F.desc("distance_km"), F.desc("start"))

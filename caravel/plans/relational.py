@@ -252,7 +252,7 @@ JOURNEYS = "j AS (SELECT 'S' || l_suppkey AS plate, l_shipdate AS start, l_shipd
 
 
 def _journeys(t):
-    return t.lineitem.select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("plate"), F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.make_interval(hours=F.col("l_quantity").cast("int"))).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ingested_at"), F.col("l_quantity").alias("distance_km"))
+    return t.lineitem.select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("plate"), F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.make_interval(hours=F.rint("l_quantity").cast("int"))).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ingested_at"), F.col("l_quantity").alias("distance_km"))
 
 
 @query("W17_supersede", f"WITH {JOURNEYS}, o AS (SELECT *, CASE WHEN start < max(\"end\") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS b FROM j WINDOW w AS (PARTITION BY plate ORDER BY start, \"end\")), g AS (SELECT *, sum(b) OVER (PARTITION BY plate ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS i FROM o) SELECT plate, arg_max(ingested_at, ingested_at) AS ingested_at, count(*) AS members FROM g GROUP BY plate, i")
